@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import sentencepiece, simhash, substrings
+from corpusloom.llm import quality, sentencepiece, simhash, substrings
 from corpusloom.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "base_failed", "kept"]
+    return quality.measure(table(spark, sf_dir, "documents")).select(*columns)
+
+
+ORACLES["op2_quality"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twin AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twin) GROUP BY r),
+l AS (SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+ln AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM l GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(ln.dup, 0)::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(ln.n, 0)::BIGINT AS n_lines,
+  len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in quality.STOP_WORDS)})))::BIGINT AS n_stop_words
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND 1000 * n_symbols <= 100 * n_words AND 1000 * word_chars BETWEEN 2000 * n_words AND 15000 * n_words
+  AND 1000 * n_dup_lines <= 500 * n_lines AND 1000 * n_stop_words >= 30 * n_words AS kept FROM b
+"""
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_documents(table(spark, sf_dir, "documents"), piece_model(), full=False)
 
@@ -35,6 +59,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_substrings": op7_substrings,
 }
