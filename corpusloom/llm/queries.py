@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import quality, sentencepiece, simhash, substrings
+from corpusloom.llm import decontaminate, pii, quality, ring, sentencepiece, simhash, substrings
 from corpusloom.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,23 @@ SELECT *, NOT base_failed AND 1000 * n_symbols <= 100 * n_words AND 1000 * word_
 """
 
 
+#: Key of the surrogates in the registered queries; a real run passes its own secret.
+SURROGATE_KEY = "corpusloom"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"), SURROGATE_KEY, length="n_chars").select("doc_id", "text", "n_chars")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring.assign(table(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_documents(table(spark, sf_dir, "documents"), piece_model(), full=False)
 
@@ -60,6 +77,9 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op3_pii": op3_pii,
+    "op4_sharding": op4_sharding,
+    "op5_decontaminate": op5_decontaminate,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_substrings": op7_substrings,
 }
