@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, pii, quality, ring, sentencepiece, simhash, substrings
+from corpusloom.llm import decontaminate, htmltext, pii, quality, ring, sentencepiece, simhash, substrings
 from corpusloom.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,12 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = htmltext.train(htmltext.training_pages(pages))
+    return htmltext.main_text(pages.select("page_id", "url", "html"), model).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -82,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_substrings": op7_substrings,
+    "op8_html": op8_html,
 }
