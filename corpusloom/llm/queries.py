@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, htmltext, pii, quality, ring, sentencepiece, simhash, substrings
+from corpusloom.llm import decontaminate, htmltext, pii, quality, ring, sentencepiece, simhash, substrings, tokencounts, warc
 from corpusloom.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,21 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(pages.select("page_id", "url", "html"), model).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencounts.tokens_per_document(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages are archived, one in about a hundred with its first byte changed, and audited against the table."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    hurt = (F.pmod(F.xxhash64("page_id"), F.lit(97)) == 0) & F.col("html").startswith("<")
+    ours, theirs = warc.replicas(pages, pages.withColumn("html", F.when(hurt, F.concat(F.lit("?"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))))
+    found = warc.audit(ours, theirs).select("file", "offset", "status")
+    return ours.join(found, ["file", "offset"], "full").select("page_id", "file", "offset", "length", "sha256", F.coalesce("status", F.lit("same")).alias("status"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -89,4 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_substrings": op7_substrings,
     "op8_html": op8_html,
+    "op9_token_counts": op9_token_counts,
+    "op10_warc": op10_warc,
 }

@@ -251,7 +251,8 @@ def encode_documents(docs: DataFrame, model_path: str, *, key: str = "doc_id", t
                 rows = list(model.digests(part.column(1).to_pylist()))
                 count = pa.array([r[0] for r in rows], pa.int64())
                 if full:
-                    ids = pa.array([[int(i) for i in r[1].split(b",")] if r[1] else [] for r in rows], pa.list_(pa.int32()))
+                    flat = np.array(b",".join(r[1] for r in rows if r[1]).split(b",") if any(r[1] for r in rows) else [], np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(r[0] for r in rows)]), pa.int32()), pa.array(flat, pa.int32()))
                     yield pa.RecordBatch.from_arrays([part.column(0), count, ids, pa.array([r[2] for r in rows], pa.string())], names=["k", "n_tokens", "ids", "decoded"])
                 else:
                     sha = [[hashlib.sha256(x).hexdigest() for x in (r[1], r[2].encode())] for r in rows]

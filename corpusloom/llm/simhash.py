@@ -20,7 +20,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
@@ -205,3 +205,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = named.join(ids, "component").select("fp", "component_id")
     return rows.join(of_fp, "fp").select(key, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
+    """One row of each group of :func:`near_duplicates`, the one with the smallest key, with all its columns. Of repeated
+    rows (equal key and text) one stays; a null key stays only where all keys of its group are null."""
+    groups = near_duplicates(docs, key=key, text=text, width=width, max_bits=max_bits)
+    first = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), docs[key].alias("_key"), F.xxhash64(text).alias("_text"))
+    kept = rows.join(first, F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
+    again = Window.partitionBy("_key", "_text").orderBy("_text")
+    return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1").select("_row.*")
