@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from corpusloom.plans.base import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+PLANS = ("texts", "codebooks", "vocabularies", "tokens", "alignment", "examples", "features", "decoding", "metrics", "pretraining", "noise", "files")
+for _name in PLANS:
+    importlib.import_module(f"corpusloom.plans.{_name}")
 
-
-def top_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.explode(F.split(F.lower("text"), "")).alias("ch")).filter("ch != ' '").groupBy("ch").count()
-
-
-QUERIES["top_codes"] = top_codes
+__all__ = ["ORACLES", "QUERIES"]
