@@ -1 +1,127 @@
-"""Queries."""
+"""Queries of alignments: the words of a line against pieces of three characters of the same line."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import align as A
+from corpusloom.plans.base import LINES, lines, query
+
+KEYS = ["doc_id", "line_no"]
+SIDES = (
+    f"{LINES}, w AS (SELECT doc_id, line_no, line, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS w FROM lines), "
+    "tok AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS stop, stop - length(piece) AS start FROM (SELECT doc_id, line_no, unnest(range(len(w))) AS pos, unnest(w) AS piece FROM w)), "
+    "sub AS (SELECT doc_id, line_no, n // 3 AS pos, n AS start, least(n + 3, size) AS stop FROM (SELECT doc_id, line_no, length(array_to_string(w, '')) AS size, unnest(range(0, length(array_to_string(w, '')), 3)) AS n FROM w)), "
+    "own AS (SELECT s.doc_id, s.line_no, s.pos, t.pos AS owner FROM sub s ASOF JOIN tok t ON s.doc_id = t.doc_id AND s.line_no = t.line_no AND s.start >= t.start)"
+)
+
+
+def sides(spark, sf_dir):
+    rows = lines(spark, sf_dir).withColumn("words", T.words("line"))
+    pieces = F.regexp_extract_all(F.array_join("words", ""), F.lit("(?s).{1,3}"), 0)
+    rows = rows.withColumn("subchars", pieces)
+    return rows, A.positions(rows, KEYS, "words"), A.positions(rows, KEYS, "subchars")
+
+
+def longs(df, *cols):
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
+@query("subchar_to_token_pos", f"WITH {SIDES} SELECT doc_id, line_no, pos, owner FROM own")
+def subchar_to_token_pos(spark, sf_dir):
+    _, tokens, subs = sides(spark, sf_dir)
+    return longs(A.subchar_to_token(subs, tokens, KEYS), "pos", "owner")
+
+
+@query("token_to_subchar_pos", f"WITH {SIDES} SELECT t.doc_id, t.line_no, t.pos, s.pos AS first FROM tok t ASOF JOIN sub s ON s.doc_id = t.doc_id AND s.line_no = t.line_no AND t.start >= s.start")
+def token_to_subchar_pos(spark, sf_dir):
+    _, tokens, subs = sides(spark, sf_dir)
+    return longs(A.token_to_subchar(subs, tokens, KEYS), "pos", "first")
+
+
+@query("subchar_owner", f"WITH {SIDES} SELECT doc_id, line_no, string_agg(owner::VARCHAR, ' ' ORDER BY pos) AS owners FROM own GROUP BY doc_id, line_no")
+def subchar_owner(spark, sf_dir):
+    _, tokens, subs = sides(spark, sf_dir)
+    own = A.owner(subs, tokens, KEYS)
+    return own.groupBy(*KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "owner"))), lambda x: x["owner"].cast("string")), " ").alias("owners"))
+
+
+@query("inverse_text_index", f"WITH {SIDES}, c AS (SELECT doc_id, line_no, text_pos, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY text_pos) - 1 AS start FROM (SELECT doc_id, line_no, unnest(range(length(line))) AS text_pos, unnest(list_filter(string_split(line, ''), lambda x: x <> '')) AS ch FROM lines) WHERE ch <> ' ') SELECT t.doc_id, t.line_no, t.pos, c.text_pos FROM tok t JOIN c USING (doc_id, line_no, start) UNION ALL SELECT doc_id, line_no, len(w), length(line) FROM w WHERE len(w) > 0")
+def inverse_text_index(spark, sf_dir):
+    rows, tokens, _ = sides(spark, sf_dir)
+    return longs(A.inverse_text_index(rows, KEYS, "line", tokens), "pos", "text_pos")
+
+
+SPANS = "spans AS (SELECT doc_id, line_no, 'T' || (pos % 3) AS type, start, least(start + 2 * (pos % 4) + 1, size) AS stop FROM (SELECT sub.*, max(stop) OVER (PARTITION BY doc_id, line_no) AS size FROM sub) WHERE pos % 7 = 0)"
+
+
+def spans(subs):
+    """Some stretches of a line, shorter than the distance between them."""
+    from pyspark.sql import Window
+
+    size = F.max("stop").over(Window.partitionBy(*KEYS))
+    some = subs.withColumn("size", size).where("pos % 7 = 0")
+    return some.select(*KEYS, F.concat(F.lit("T"), (F.col("pos") % 3).cast("string")).alias("type"), "start", F.least(F.col("start") + 2 * (F.col("pos") % 4) + 1, F.col("size")).alias("stop"))
+
+
+LABELLED = "h AS (SELECT t.doc_id, t.line_no, t.pos, s.start AS s_start, s.type, count(*) OVER (PARTITION BY t.doc_id, t.line_no, s.start) AS n, min(t.pos) OVER (PARTITION BY t.doc_id, t.line_no, s.start) AS first FROM (SELECT doc_id, line_no, type, start, unnest(range(a, b + 1)) AS pos FROM (SELECT x.*, t.pos AS b FROM (SELECT s.*, t.pos AS a, s.stop - 1 AS z FROM spans s ASOF JOIN tok t ON t.doc_id = s.doc_id AND t.line_no = s.line_no AND s.start >= t.start) x ASOF JOIN tok t ON t.doc_id = x.doc_id AND t.line_no = x.line_no AND x.z >= t.start)) s JOIN tok t USING (doc_id, line_no, pos)), lab AS (SELECT t.*, coalesce(l.label, 'O') AS label FROM tok t LEFT JOIN (SELECT doc_id, line_no, pos, arg_max(CASE WHEN n = 1 THEN 'S' WHEN pos = first THEN 'B' ELSE 'I' END || '-' || type, s_start) AS label FROM h GROUP BY ALL) l USING (doc_id, line_no, pos))"
+
+
+@query("labels_char_to_token", f"WITH {SIDES}, {SPANS}, {LABELLED} SELECT doc_id, line_no, pos, label FROM lab")
+def labels_char_to_token(spark, sf_dir):
+    _, tokens, subs = sides(spark, sf_dir)
+    return longs(A.labels_to_tokens(spans(subs), tokens, KEYS), "pos")
+
+
+def spread_sql(pieces: str) -> str:
+    return (
+        f"WITH {SIDES}, {SPANS}, {LABELLED}, ch AS (SELECT doc_id, line_no, unnest(range(start, stop)) AS start, start AS pos FROM sub WHERE false), chars AS (SELECT doc_id, line_no, pos + k AS pos, start + k AS start FROM (SELECT doc_id, line_no, start AS pos, start, unnest(range(length(piece))) AS k FROM tok)), "
+        f"x AS (SELECT p.doc_id, p.line_no, p.pos, l.label, row_number() OVER (PARTITION BY l.doc_id, l.line_no, l.pos ORDER BY p.pos) AS nth, count(*) OVER (PARTITION BY l.doc_id, l.line_no, l.pos) AS n FROM {pieces} p ASOF JOIN lab l ON p.doc_id = l.doc_id AND p.line_no = l.line_no AND p.start >= l.start) "
+        "SELECT doc_id, line_no, pos::BIGINT AS pos, CASE WHEN label = 'O' OR n = 1 OR label LIKE 'I-%' THEN label WHEN nth = 1 THEN 'B-' || label[3:] ELSE 'I-' || label[3:] END AS label FROM x"
+    ).replace("ch AS (SELECT doc_id, line_no, unnest(range(start, stop)) AS start, start AS pos FROM sub WHERE false), ", "")
+
+
+def labelled_tokens(tokens, subs):
+    return tokens.join(A.labels_to_tokens(spans(subs), tokens, KEYS), [*KEYS, "pos"])
+
+
+@query("labels_char_to_subchar", spread_sql("sub"))
+def labels_char_to_subchar(spark, sf_dir):
+    """Words stand in for characters, pieces for sub-characters."""
+    _, tokens, subs = sides(spark, sf_dir)
+    return longs(A.labels_to_pieces(labelled_tokens(tokens, subs), subs, KEYS), "pos")
+
+
+@query("labels_token_to_char", spread_sql("chars"))
+def labels_token_to_char(spark, sf_dir):
+    rows, tokens, subs = sides(spark, sf_dir)
+    chars = A.positions(rows.withColumn("chars", F.filter(F.split(F.array_join("words", ""), ""), lambda c: c != "")), KEYS, "chars")
+    return longs(A.labels_to_pieces(labelled_tokens(tokens, subs), chars, KEYS), "pos")
+
+
+@query("pos_left_right", f"WITH {SIDES}, n AS (SELECT doc_id, line_no, len(w) AS n FROM w) SELECT doc_id, line_no, pos, owner AS \"left\", greatest(coalesce(lead(owner) OVER (PARTITION BY doc_id, line_no ORDER BY pos), n), owner + 1) AS \"right\" FROM own JOIN n USING (doc_id, line_no)")
+def pos_left_right(spark, sf_dir):
+    rows, tokens, subs = sides(spark, sf_dir)
+    counts = rows.select(*KEYS, F.size("words").alias("n"))
+    return longs(A.pos_left_right(A.owner(subs, tokens, KEYS), KEYS, counts), "pos", "left", "right")
+
+
+FILLED = "m AS (SELECT doc_id, line_no, pos, CASE WHEN (pos * 7 + doc_id) % 5 < 2 THEN owner END AS value FROM own), f AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY doc_id, line_no ORDER BY pos ROWS UNBOUNDED PRECEDING) AS l, first_value(value IGNORE NULLS) OVER (PARTITION BY doc_id, line_no ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM m)"
+
+
+@query("nearest_filled", f"WITH {SIDES}, {FILLED} SELECT doc_id, line_no, pos, CASE WHEN value IS NOT NULL THEN value WHEN l IS NULL THEN CASE WHEN r >= 1 THEN 0 ELSE r END WHEN r IS NULL THEN l WHEN r > l + 1 THEN l + 1 ELSE r END AS s, CASE WHEN value IS NOT NULL THEN value WHEN l IS NULL THEN CASE WHEN r >= 1 THEN r - 1 ELSE r END WHEN r IS NULL THEN l WHEN r > l + 1 THEN r - 1 ELSE l END AS e FROM f")
+def nearest_filled(spark, sf_dir):
+    _, tokens, subs = sides(spark, sf_dir)
+    m = A.owner(subs, tokens, KEYS).select(*KEYS, "pos", F.when((F.col("pos") * 7 + F.col("doc_id")) % 5 < 2, F.col("owner")).alias("value"))
+    s, e = (A.nearest_filled(m, KEYS, is_start=x).withColumnRenamed("value", name) for x, name in ((True, "s"), (False, "e")))
+    return longs(s.join(e, [*KEYS, "pos"]), "pos", "s", "e")
+
+
+@query("improve_span", f"WITH {SIDES}, q AS (SELECT doc_id, line_no, w, least(len(w), 9) - 1 AS e FROM w WHERE len(w) >= 2), t AS (SELECT doc_id, line_no, w, e, unnest(range(0, e + 1)) AS s FROM q), u AS (SELECT *, unnest(range(s, e + 1)) AS x FROM t), g AS (SELECT doc_id, line_no, s, x, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY s, x DESC) AS n FROM u WHERE array_to_string(w[s + 1:x + 1], ' ') = w[2] || coalesce(' ' || w[3], '')) SELECT q.doc_id, q.line_no, coalesce(g.s, 0) AS \"start\", coalesce(g.x, q.e) AS \"end\" FROM q LEFT JOIN g ON q.doc_id = g.doc_id AND q.line_no = g.line_no AND g.n = 1")
+def improve_span(spark, sf_dir):
+    """A line's first nine words hold the answer that its second and third are."""
+    rows = lines(spark, sf_dir).withColumn("w", T.words("line")).where("size(w) >= 2")
+    end = F.least(F.size("w"), F.lit(9)) - 1
+    got = A.improve_span(F.col("w"), F.lit(0), end, F.array_join(F.slice("w", 2, 2), " "))
+    return longs(rows.select(*KEYS, got.alias("g")).select(*KEYS, "g.start", "g.end"), "start", "end")

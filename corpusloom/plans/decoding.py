@@ -1 +1,166 @@
-"""Queries."""
+"""Queries of decoding. Vectors stand in for scores, events of a user in order of time for label sequences."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.operators import decode as D
+from corpusloom.plans.base import query, table
+
+LABEL = "['B-PER', 'I-PER', 'I-LOC', 'O', 'S-LOC', 'B-LOC', 'I-LOC']"
+SEQ = f"seq AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, ({LABEL})[event_id % 7 + 1] AS label, event_type FROM events)"
+
+
+def labels(spark, sf_dir):
+    from pyspark.sql import Window
+
+    names = F.split(F.lit("B-PER I-PER I-LOC O S-LOC B-LOC I-LOC"), " ")
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return table(spark, sf_dir, "events").select("user_id", pos.cast("long").alias("pos"), F.get(names, (F.col("event_id") % 7).cast("int")).alias("label"), "event_type")
+
+
+def vectors(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("a"))
+    return v.withColumn("b", F.reverse("a"))
+
+
+VEC = "vec AS (SELECT vec_id, label, embedding::DOUBLE[] AS a, list_reverse(embedding::DOUBLE[]) AS b FROM embeddings)"
+TOP = "(SELECT * FROM (SELECT vec_id, label, idx, s, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, idx) AS rank FROM (SELECT vec_id, label, unnest(range(len({c}))) AS idx, unnest({c}) AS s FROM vec)) WHERE rank <= 5)"
+
+
+@query("top_n_index", f"WITH {VEC} SELECT vec_id, idx, s AS score, rank FROM {TOP.format(c='a')}")
+def top_n_index(spark, sf_dir):
+    return D.top_n(vectors(spark, sf_dir), ["vec_id"], "a", 5).withColumns({"idx": F.col("idx").cast("long"), "rank": F.col("rank").cast("long")})
+
+
+@query("argmax_class", f"WITH {VEC} SELECT vec_id, (list_position(a, list_max(a)) - 1)::INTEGER AS class FROM vec")
+def argmax_class(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", D.argmax_class("a").alias("class"))
+
+
+@query("match_results", f"WITH {VEC} SELECT d.doc_id AS unique_id, d.source, v.label FROM documents d JOIN vec v ON d.doc_id = v.vec_id")
+def match_results(spark, sf_dir):
+    features = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unique_id"), "source")
+    return D.match_results(features, vectors(spark, sf_dir).select(F.col("vec_id").alias("unique_id"), "label"))
+
+
+CAND = f"{VEC}, ta AS MATERIALIZED {TOP.format(c='a')}, tb AS MATERIALIZED {TOP.format(c='b')}, cand AS (SELECT x.vec_id, x.vec_id // 3 AS q, x.idx AS s, y.idx AS e, x.s + y.s AS score FROM ta x JOIN tb y ON x.vec_id = y.vec_id WHERE y.idx >= x.idx AND y.idx < x.idx + 30)"
+
+
+def candidates(spark, sf_dir):
+    c = D.span_candidates(vectors(spark, sf_dir), ["vec_id"], "a", "b", 5, 30)
+    return c.select("vec_id", F.floor(F.col("vec_id") / 3).cast("long").alias("q"), F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), "score")
+
+
+@query("span_candidates", f"WITH {CAND} SELECT vec_id, s, e, round(score, 6) AS score FROM cand")
+def span_candidates(spark, sf_dir):
+    return candidates(spark, sf_dir).select("vec_id", "s", "e", F.round("score", 6).alias("score"))
+
+
+@query("span_topk_beam", f"WITH {VEC}, s AS (SELECT vec_id, unnest(range(3)) AS i, a, b FROM vec), p AS (SELECT *, i * 2 + unnest(range(2)) AS place FROM s) SELECT vec_id, s, e, score FROM (SELECT vec_id, i * 7 AS s, place * 4 AS e, round(a[i + 1] + b[place + 1], 6) AS score FROM p) WHERE e >= s AND e < s + 15")
+def span_topk_beam(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumns({"si": F.sequence(F.lit(0), F.lit(14), F.lit(7)), "ei": F.sequence(F.lit(0), F.lit(20), F.lit(4))})
+    out = D.span_beam(v, ["vec_id"], "si", "a", "ei", "b", 2, 15)
+    return out.select("vec_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.round("score", 6).alias("score"))
+
+
+NBEST = f"{CAND}, nb AS (SELECT q, text, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, text) AS rank FROM (SELECT q, s || '-' || e AS text, max(score) AS score FROM cand GROUP BY ALL) QUALIFY rank <= 4), nbest AS (SELECT * FROM nb UNION ALL SELECT DISTINCT vec_id // 3, 'empty', 0.0, 1 FROM vec WHERE vec_id // 3 NOT IN (SELECT q FROM nb))"
+
+
+def best(spark, sf_dir):
+    c = candidates(spark, sf_dir).withColumn("text", F.concat_ws("-", "s", "e"))
+    questions = vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / 3).cast("long").alias("q")).distinct()
+    return D.nbest(c, ["q"], "text", 4, questions=questions)
+
+
+@query("span_nbest", f"WITH {NBEST} SELECT q, rank, text, round(score, 6) AS score FROM nbest")
+def span_nbest(spark, sf_dir):
+    return best(spark, sf_dir).select("q", F.col("rank").cast("long").alias("rank"), "text", F.round("score", 6).alias("score"))
+
+
+@query("softmax_group", f"WITH {NBEST}, e AS (SELECT q, rank, exp(score - max(score) OVER (PARTITION BY q)) AS e FROM nbest) SELECT q, rank, round(e / sum(e) OVER (PARTITION BY q), 6) AS prob FROM e")
+def softmax_group(spark, sf_dir):
+    return D.softmax(best(spark, sf_dir), ["q"], "score").select("q", F.col("rank").cast("long").alias("rank"), F.round("prob", 6).alias("prob"))
+
+
+@query("null_answer", f"WITH {NBEST}, n AS (SELECT vec_id // 3 AS q, min(a[1] + b[1]) AS z FROM vec GROUP BY 1) SELECT q, CASE WHEN z - score > -1.0 THEN '' ELSE text END AS text FROM nbest JOIN n USING (q) WHERE rank = 1")
+def null_answer(spark, sf_dir):
+    nulls = vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / 3).cast("long").alias("q"), (F.get("a", F.lit(0)) + F.get("b", F.lit(0))).alias("null_score"))
+    return D.null_answer(best(spark, sf_dir).where("rank = 1"), nulls, ["q"], -1.0)
+
+
+@query("span_single", f"WITH {CAND}, d AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, s, e) AS n FROM cand) SELECT vec_id, s, e FROM d WHERE n = 1")
+def span_single(spark, sf_dir):
+    """The best span of one passage each."""
+    c = candidates(spark, sf_dir)
+    best = c.groupBy("vec_id").agg(F.min_by(F.struct("s", "e"), F.struct(-F.col("score"), F.col("s"), F.col("e"))).alias("b"))
+    return best.select("vec_id", "b.s", "b.e")
+
+
+@query("span_text", f"WITH {CAND}, w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), d AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, s, e) AS n FROM cand) SELECT doc_id, coalesce(array_to_string(w[s + 1:e + 1], ' '), '') AS answer FROM d JOIN w ON doc_id = vec_id WHERE n = 1")
+def span_text(spark, sf_dir):
+    from corpusloom.functions import text as T
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), T.words("text").alias("w"))
+    both = span_single(spark, sf_dir).join(docs, "vec_id")
+    return both.select(F.col("vec_id").alias("doc_id"), D.span_text(F.col("w"), F.col("s"), F.col("e")).alias("answer"))
+
+
+CHOICE = f"{VEC}, ch AS (SELECT vec_id // 6 AS passage, vec_id % 6 AS blank, unnest(range(6)) AS choice, unnest(a[1:6]) AS score FROM vec)"
+
+
+def choice_scores(spark, sf_dir):
+    v = vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / 6).cast("long").alias("passage"), (F.col("vec_id") % 6).alias("blank"), F.posexplode(F.slice("a", 1, 6)).alias("choice", "score"))
+    return v.withColumn("choice", F.col("choice").cast("long"))
+
+
+@query("assign_argmax", f"WITH {CHOICE} SELECT passage, blank, choice FROM (SELECT *, row_number() OVER (PARTITION BY passage, blank ORDER BY score DESC, choice) AS n FROM ch) WHERE n = 1")
+def assign_argmax(spark, sf_dir):
+    return D.assign_argmax(choice_scores(spark, sf_dir), ["passage", "blank"])
+
+
+@query("assign_greedy")
+def assign_greedy(spark, sf_dir):
+    return D.assign_greedy(choice_scores(spark, sf_dir), "passage", "blank")
+
+
+ISLAND = f"{SEQ}, isl AS (SELECT *, sum(CASE WHEN label LIKE 'I-%' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY pos) AS island FROM seq), hd AS (SELECT user_id, island, arg_min(label, pos) AS head, min(pos) AS \"start\" FROM isl GROUP BY ALL), bb AS (SELECT i.*, h.\"start\", h.head[3:] AS type FROM isl i JOIN hd h USING (user_id, island) WHERE h.head LIKE 'B-%')"
+SINGLE = "SELECT user_id, label[3:] AS type, pos AS \"start\", pos AS \"end\" FROM seq WHERE label LIKE 'S-%'"
+LOOSE = f"{ISLAND}, loose AS (SELECT user_id, type, \"start\", max(pos) AS \"end\", count(*) AS n FROM bb WHERE label[3:] = type GROUP BY user_id, type, \"start\")"
+STRICT = f"{ISLAND}, cut AS (SELECT *, min((label[3:] = type)::INTEGER) OVER (PARTITION BY user_id, island ORDER BY pos) AS ok FROM bb), strict AS (SELECT user_id, type, \"start\", max(pos) AS \"end\" FROM cut WHERE ok = 1 GROUP BY user_id, type, \"start\" UNION ALL {SINGLE})"
+
+
+@query("decode_bios", f"WITH {STRICT} SELECT * FROM strict")
+def decode_bios(spark, sf_dir):
+    return D.decode_bios(labels(spark, sf_dir), ["user_id"])
+
+
+@query("decode_bios_loose", f"WITH {LOOSE} SELECT user_id, type, \"start\", \"end\" FROM loose WHERE n > 1 UNION ALL {SINGLE}")
+def decode_bios_loose(spark, sf_dir):
+    return D.decode_bios(labels(spark, sf_dir), ["user_id"], strict=False)
+
+
+@query("decode_bio", f"WITH {LOOSE} SELECT user_id, type, \"start\", \"end\" FROM loose")
+def decode_bio(spark, sf_dir):
+    return D.decode_bio(labels(spark, sf_dir), ["user_id"])
+
+
+@query("decode_start_end", f"WITH {SEQ} SELECT a.user_id, a.label AS type, a.pos AS \"start\", min(b.pos) AS \"end\" FROM seq a JOIN seq b ON a.user_id = b.user_id AND a.label = b.label AND b.pos >= a.pos WHERE a.label <> 'O' AND a.pos % 2 = 0 AND b.pos % 3 = 0 GROUP BY ALL")
+def decode_start_end(spark, sf_dir):
+    marks = labels(spark, sf_dir).select("user_id", "pos", F.when(F.col("pos") % 2 == 0, F.col("label")).alias("s"), F.when(F.col("pos") % 3 == 0, F.col("label")).alias("e"))
+    return D.decode_start_end(marks, ["user_id"])
+
+
+@query("entity_submission", f"WITH {STRICT}, x AS (SELECT user_id, type, 'u' || (\"start\" % 3) AS text, string_agg('[' || \"start\" || ',' || \"end\" || ']', ',' ORDER BY \"start\", \"end\") AS s FROM strict GROUP BY ALL), y AS (SELECT user_id, type, '{{' || string_agg('\\\"' || text || '\\\":[' || s || ']', ',' ORDER BY text) || '}}' AS t FROM x GROUP BY ALL) SELECT user_id, '{{' || string_agg('\"' || type || '\":\"' || t || '\"', ',' ORDER BY type) || '}}' AS label FROM y GROUP BY user_id")
+def entity_submission(spark, sf_dir):
+    e = decode_bios(spark, sf_dir).withColumn("text", F.concat(F.lit("u"), (F.col("start") % 3).cast("string")))
+    return D.entity_submission(e, ["user_id"])
+
+
+@query("prediction_diff", f"WITH {SEQ}, a AS (SELECT user_id, string_agg(label, ' ' ORDER BY pos) AS a, string_agg(CASE WHEN label = 'S-LOC' AND user_id % 2 = 0 THEN 'O' ELSE label END, ' ' ORDER BY pos) AS b FROM seq GROUP BY user_id) SELECT user_id, a, b FROM a WHERE a <> b")
+def prediction_diff(spark, sf_dir):
+    rows = labels(spark, sf_dir)
+    line = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("l")))), lambda x: x["l"]), " ").alias("seq")
+    a = rows.groupBy("user_id").agg(line(F.col("label")))
+    b = rows.groupBy("user_id").agg(line(F.when((F.col("label") == "S-LOC") & (F.col("user_id") % 2 == 0), "O").otherwise(F.col("label"))))
+    return D.prediction_diff(a, b, ["user_id"], "seq")

@@ -1 +1,157 @@
-"""Queries."""
+"""Queries of metrics. Labels are gold values; a threshold on a text's length stands in for a prediction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import metrics as M
+from corpusloom.plans.base import query, table
+from corpusloom.plans.decoding import SINGLE, STRICT, decode_bios, decode_bios_loose
+
+PRED = "p AS (SELECT l.doc_id, d.lang, quality, (n_chars > 900)::INTEGER AS pred, n_chars FROM labels l JOIN documents d USING (doc_id))"
+
+
+def preds(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", (F.col("n_chars") > 900).cast("int").alias("pred"))
+    return table(spark, sf_dir, "labels").join(docs, "doc_id")
+
+
+@query("accuracy", f"WITH {PRED} SELECT avg((pred = quality)::INTEGER) AS acc FROM p")
+def accuracy(spark, sf_dir):
+    return M.accuracy(preds(spark, sf_dir), "pred", "quality")
+
+
+C = "c AS (SELECT count(*) AS n, count(*) FILTER (pred = 1 AND quality = 1)::DOUBLE AS tp, count(*) FILTER (pred = 1 AND quality = 0)::DOUBLE AS fp, count(*) FILTER (pred = 0 AND quality = 1)::DOUBLE AS fn, count(*) FILTER (pred = 0 AND quality = 0)::DOUBLE AS tn FROM p)"
+
+
+@query("acc_f1", f"WITH {PRED}, {C} SELECT round((tp + tn) / n, 9) AS acc, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round(((tp + tn) / n + 2 * tp / (2 * tp + fp + fn)) / 2, 9) AS acc_and_f1 FROM c")
+def acc_f1(spark, sf_dir):
+    return M.acc_f1(preds(spark, sf_dir), "pred", "quality").select(*[F.round(c, 9).alias(c) for c in ("acc", "f1", "acc_and_f1")])
+
+
+@query("matthews", f"WITH {PRED}, {C} SELECT round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 9) AS mcc FROM c")
+def matthews(spark, sf_dir):
+    return M.matthews(preds(spark, sf_dir), "pred", "quality").select(F.round("mcc", 9).alias("mcc"))
+
+
+@query("pearson_spearman", "WITH x AS (SELECT n_chars AS x, length(regexp_replace(text, '[^ ]', '', 'g')) AS y FROM documents), r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM x) SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round((corr(x, y) + corr(rx, ry)) / 2, 6) AS corr FROM r")
+def pearson_spearman(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("n_chars").alias("x"), F.length(F.regexp_replace("text", "[^ ]", "")).alias("y"))
+    return M.pearson_spearman(rows, "x", "y").select(*[F.round(c, 6).alias(c) for c in ("pearson", "spearman", "corr")])
+
+
+#: Questions: the second word of a turn is the prediction, its first two words and its second one without marks the answers.
+QA = "qa AS (SELECT conv_id, turn, role, w, w[2] AS pred, [w[1] || ' ' || w[2], regexp_replace(w[2], '[.,]', '', 'g')] AS answers FROM (SELECT conv_id, turn, role, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations) WHERE len(w) >= 2)"
+
+
+def qa(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.words(F.lower("text")).alias("w")).where("size(w) >= 2")
+    second = F.get("w", F.lit(1))
+    return c.select("conv_id", "turn", "role", "w", second.alias("pred"), F.array(F.concat_ws(" ", F.get("w", F.lit(0)), second), F.regexp_replace(second, "[.,]", "")).alias("answers"))
+
+
+CLEAN = "translate({x}, '-:_*^/\\~`+=', '')"
+
+
+@query("exact_match", f"WITH {QA} SELECT conv_id, turn, (list_bool_or(list_transform(answers, lambda a: {CLEAN.format(x='lower(trim(a))')} = {CLEAN.format(x='lower(trim(pred))')})))::INTEGER AS em FROM qa")
+def exact_match(spark, sf_dir):
+    return qa(spark, sf_dir).select("conv_id", "turn", M.exact_match(F.col("pred"), F.col("answers"), T.remove_scored_punct).alias("em"))
+
+
+#: A turn's characters against those of the turn after it, forty of each.
+PAIRS = "t AS (SELECT conv_id, turn, list_filter(string_split(lower(text[1:40]), ''), lambda x: x <> '') AS a, list_filter(string_split(lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)[1:40]), ''), lambda x: x <> '') AS b FROM conversations), x AS (SELECT conv_id, turn, unnest(range(len(a))) AS i, unnest(a) AS w FROM t), y AS (SELECT conv_id, turn, unnest(range(len(b))) AS j, unnest(b) AS w FROM t), h AS (SELECT conv_id, turn, i - j AS d, i - row_number() OVER (PARTITION BY conv_id, turn, i - j ORDER BY i) AS run FROM x JOIN y USING (conv_id, turn, w)), l AS (SELECT conv_id, turn, max(n) AS lcs FROM (SELECT conv_id, turn, count(*) AS n FROM h GROUP BY conv_id, turn, d, run) GROUP BY conv_id, turn), f AS (SELECT conv_id, turn, len(a) AS p, len(b) AS g, coalesce(lcs, 0) AS lcs FROM t LEFT JOIN l USING (conv_id, turn) WHERE b IS NOT NULL)"
+F1 = "CASE WHEN lcs = 0 THEN 0.0 ELSE 2 * (lcs / p) * (lcs / g) / (lcs / p + lcs / g) END"
+
+
+def pairs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    chars = lambda c: F.filter(F.split(F.lower(F.substring(c, 1, 40)), ""), lambda x: x != "")
+    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, sf_dir, "conversations").withColumn("next", nxt).where("next IS NOT NULL").select("conv_id", "turn", chars("text").alias("a"), chars(F.col("next")).alias("b"))
+
+
+def scored(spark, sf_dir):
+    rows = pairs(spark, sf_dir)
+    both = rows.select("conv_id", "turn", F.size("a").alias("p"), F.size("b").alias("g")).join(M.lcs(rows, ["conv_id", "turn"], "a", "b"), ["conv_id", "turn"])
+    return both.withColumn("f1", M.f1_of(F.col("lcs"), F.col("p"), F.col("g")))
+
+
+@query("lcs_f1", f"WITH {PAIRS} SELECT conv_id, turn, lcs, round({F1}, 9) AS f1 FROM f")
+def lcs_f1(spark, sf_dir):
+    return scored(spark, sf_dir).select("conv_id", "turn", F.col("lcs").cast("long").alias("lcs"), F.round("f1", 9).alias("f1"))
+
+
+REPORT = f"s AS (SELECT conv_id, CASE WHEN turn % 5 = 4 THEN NULL ELSE {F1} END AS f1, CASE WHEN turn % 5 = 4 THEN NULL ELSE (lcs = p AND p = g)::INTEGER END AS em, CASE turn % 4 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE 'span' END AS kind FROM f), r AS (SELECT 100 * sum(coalesce(f1, 0)) / count(*) AS f1, 100 * sum(coalesce(em, 0)) / count(*) AS em, count(*) AS total, count(*) FILTER (f1 IS NULL) AS skipped, 100.0 * sum(coalesce(em, 0)) FILTER (kind = 'YES') / count(*) FILTER (kind = 'YES') AS y, 100.0 * sum(coalesce(em, 0)) FILTER (kind = 'NO') / count(*) FILTER (kind = 'NO') AS n FROM s)"
+
+
+def questions(spark, sf_dir):
+    """One in five turns is left without an answer."""
+    rows, none = scored(spark, sf_dir), F.col("turn") % 5 == 4
+    em = ((F.col("lcs") == F.col("p")) & (F.col("p") == F.col("g"))).cast("int")
+    kind = F.when(F.col("turn") % 4 == 0, "YES").when(F.col("turn") % 4 == 1, "NO").otherwise("span")
+    return rows.select(F.when(~none, F.col("f1")).alias("f1"), F.when(~none, em).alias("em"), kind.alias("kind"))
+
+
+@query("qa_report", f"WITH {PAIRS}, {REPORT} SELECT round(f1, 6) AS f1, round(em, 6) AS em, round((f1 + em) / 2, 6) AS average, total, skipped FROM r")
+def qa_report(spark, sf_dir):
+    return M.qa_report(questions(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("f1", "em", "average")], "total", "skipped")
+
+
+@query("qa_report_negative", f"WITH {PAIRS}, {REPORT} SELECT round(f1, 6) AS f1, total, round(y, 6) AS yes_acc, round(n, 6) AS no_acc, NULL::DOUBLE AS unanswerable_acc FROM r")
+def qa_report_negative(spark, sf_dir):
+    out = M.qa_report_negative(questions(spark, sf_dir), "kind")
+    return out.select(F.round("f1", 6).alias("f1"), "total", *[F.round(c, 6).cast("double").alias(c) for c in ("yes_acc", "no_acc", "unanswerable_acc")])
+
+
+@query("cloze_accuracy", f"WITH {PRED} SELECT avg((pred = quality)::INTEGER) AS acc, count(*) AS n FROM p WHERE doc_id % 3 <> 0")
+def cloze_accuracy(spark, sf_dir):
+    """Over the ids that both sides have."""
+    rows = preds(spark, sf_dir)
+    gold, pred = rows.select("doc_id", "quality"), rows.where("doc_id % 3 != 0").select("doc_id", "pred")
+    both = gold.join(pred, "doc_id")
+    return both.agg(F.avg((F.col("pred") == F.col("quality")).cast("int")).alias("acc"), F.count("*").alias("n"))
+
+
+def prf_sql(on: str) -> str:
+    return (
+        f"WITH {STRICT}, loose AS (SELECT user_id, type, \"start\", max(pos) AS \"end\", count(*) AS n FROM bb WHERE label[3:] = type GROUP BY user_id, type, \"start\"), pr AS (SELECT user_id, type, \"start\", \"end\" FROM loose WHERE n > 1 UNION ALL {SINGLE}), "
+        f"g AS (SELECT DISTINCT {on} FROM strict), p AS (SELECT DISTINCT {on} FROM pr), b AS (SELECT type, 1 AS g, 0 AS p, 0 AS r FROM g UNION ALL SELECT type, 0, 1, 0 FROM p UNION ALL SELECT type, 0, 0, 1 FROM (SELECT * FROM g INTERSECT SELECT * FROM p)), "
+        "c AS (SELECT type, sum(p)::BIGINT AS found, sum(g)::BIGINT AS gold, sum(r)::BIGINT AS \"right\" FROM b GROUP BY ROLLUP (type)), d AS (SELECT *, coalesce(\"right\" / nullif(found, 0), 0) AS pc, coalesce(\"right\" / nullif(gold, 0), 0) AS rc FROM c WHERE type IS NULL OR gold > 0) "
+        "SELECT type, found, gold, \"right\", round(pc, 4) AS \"precision\", round(rc, 4) AS recall, round(coalesce(2 * pc * rc / nullif(pc + rc, 0), 0), 4) AS f1 FROM d"
+    )
+
+
+def prf_of(spark, sf_dir, on):
+    out = M.prf(decode_bios(spark, sf_dir), decode_bios_loose(spark, sf_dir), on)
+    return out.select("type", "found", "gold", "right", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("entity_prf", prf_sql('user_id, type, "start", "end"'))
+def entity_prf(spark, sf_dir):
+    return prf_of(spark, sf_dir, ["user_id", "type", "start", "end"])
+
+
+@query("span_prf", prf_sql('type, "start", "end"'))
+def span_prf(spark, sf_dir):
+    return prf_of(spark, sf_dir, ["type", "start", "end"])
+
+
+RUNS = "runs AS (SELECT event_type AS run, epoch(ts)::BIGINT // 3600 AS epoch, round(avg(value), 6) AS score FROM events GROUP BY ALL)"
+
+
+def runs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("event_type").alias("run"), F.floor(F.unix_timestamp(F.date_trunc("second", "ts")) / 3600).cast("long").alias("epoch")).agg(F.round(F.avg("value"), 6).alias("score"))
+
+
+@query("best_epoch", f"WITH {RUNS} SELECT run, epoch, score FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, epoch DESC) AS n FROM runs) WHERE n = 1")
+def best_epoch(spark, sf_dir):
+    """Hours stand in for epochs, event types for runs."""
+    return M.best_epoch(runs(spark, sf_dir), ["run"], "score")
+
+
+@query("average_loss", "SELECT event_type AS run, count(*) AS steps, round(avg(value), 6) AS loss FROM events GROUP BY event_type")
+def average_loss(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run")).agg(F.count("*").alias("steps"), F.round(F.avg("value"), 6).alias("loss"))
