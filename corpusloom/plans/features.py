@@ -1 +1,157 @@
-"""Queries."""
+"""Queries of features, on turns of conversations and words of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import align as A
+from corpusloom.operators import examples as E
+from corpusloom.operators import features as X
+from corpusloom.operators import tokens as K
+from corpusloom.plans.base import query, table
+from corpusloom.plans.codebooks import WORDS
+from corpusloom.plans.examples import CHOICES, WT, choices, turns, words
+from corpusloom.plans.vocabularies import vocab_sql, word_vocab
+
+PAIR = f"p AS (SELECT conv_id, turn, {WT} AS a, list_filter(string_split(role, ''), lambda x: x <> '') AS b FROM conversations), z AS (SELECT *, len(a) AS la, len(b) AS lb FROM p), k AS (SELECT *, CASE WHEN la + lb <= 29 THEN la WHEN la <= 15 THEN la WHEN lb <= 14 THEN 29 - lb ELSE 15 END AS ka, CASE WHEN la + lb <= 29 THEN lb WHEN la <= 15 THEN 29 - la WHEN lb <= 14 THEN lb ELSE 14 END AS kb FROM z), f AS (SELECT conv_id, turn, list_concat(list_concat(['[CLS]'], a[1:ka], ['[SEP]']), list_concat(b[1:kb], ['[SEP]'])) AS tokens, ka + 2 AS first, kb + 1 AS second FROM k)"
+
+
+def pair(spark, sf_dir):
+    """Words of a turn against the letters of its role, cut to 32 with specials."""
+    p = turns(spark, sf_dir).select("conv_id", "turn", words().alias("a"), F.filter(F.split("role", ""), lambda x: x != "").alias("b"))
+    ka, kb = E.truncate_pair(F.size("a"), F.size("b"), 29)
+    p = p.withColumns({"a": F.slice("a", F.lit(1), ka), "b": F.slice("b", F.lit(1), kb)})
+    tokens, segments = E.assemble(F.col("a"), F.col("b"))
+    return p.select("conv_id", "turn", tokens.alias("tokens"), segments.alias("segments"))
+
+
+text_of = lambda c, sep=" ": F.array_join(F.col(c).cast("array<string>") if isinstance(c, str) else c.cast("array<string>"), sep)
+
+
+@query("assemble_pair", f"WITH {PAIR} SELECT conv_id, turn, array_to_string(tokens, ' ') AS tokens, repeat('0', first::INTEGER) || repeat('1', second::INTEGER) AS segments FROM f")
+def assemble_pair(spark, sf_dir):
+    return pair(spark, sf_dir).select("conv_id", "turn", text_of("tokens").alias("tokens"), text_of("segments", "").alias("segments"))
+
+
+@query("feat_single_pair", f"WITH {PAIR}, {WORDS}, {vocab_sql()}, t AS (SELECT conv_id, turn, unnest(range(len(tokens))) AS i, unnest(tokens) AS token FROM f) SELECT f.conv_id, f.turn, string_agg(coalesce(v.id, 0)::VARCHAR, ' ' ORDER BY i) || repeat(' 0', (32 - any_value(first + second))::INTEGER) AS ids, repeat('1', any_value(first + second)::INTEGER) || repeat('0', (32 - any_value(first + second))::INTEGER) AS mask FROM t JOIN f USING (conv_id, turn) LEFT JOIN vocab v USING (token) GROUP BY f.conv_id, f.turn")
+def feat_single_pair(spark, sf_dir):
+    p = pair(spark, sf_dir)
+    ids, _ = K.to_ids(p, ["conv_id", "turn"], "tokens", F.broadcast(word_vocab(spark, sf_dir)))
+    return ids.select("conv_id", "turn", text_of(E.padded(F.col("ids"), 32)).alias("ids"), text_of(E.mask_of(F.col("ids"), 32), "").alias("mask"))
+
+
+@query("feat_two_level")
+def feat_two_level(spark, sf_dir):
+    """Pieces of three characters of a turn's words, with the range of words that each belongs to."""
+    keys = ["conv_id", "turn"]
+    rows = turns(spark, sf_dir).select(*keys, words().alias("words"))
+    rows = rows.withColumn("subs", F.regexp_extract_all(F.array_join("words", ""), F.lit("(?s).{1,3}"), 0))
+    own = A.owner(A.positions(rows, keys, "subs"), A.positions(rows, keys, "words"), keys)
+    lr = A.pos_left_right(own, keys, rows.select(*keys, F.size("words").alias("n")))
+    packed = F.array_sort(F.collect_list(F.struct("pos", "left", "right")))
+    arrays = lr.groupBy(*keys).agg(packed.alias("p"))
+    cut = lambda name: text_of(E.padded(F.transform("p", lambda x: x[name]), 48, -1))
+    return arrays.select(*keys, cut("left").alias("left"), cut("right").alias("right"))
+
+
+@query("feat_triple", f"WITH {CHOICES} SELECT conv_id, turn, k, '[CLS] ' || question || ' [SEP] ' || choice || ' [SEP] ' || answer || ' [SEP]' AS tokens FROM (SELECT conv_id, turn, question, answer, unnest(range(4)) AS k, unnest(choices) AS choice FROM c)")
+def feat_triple(spark, sf_dir):
+    c = choices(spark, sf_dir).select("conv_id", "turn", "question", "answer", F.posexplode("choices").alias("k", "choice"))
+    tokens, _ = E.assemble(F.array("question"), F.array("choice"), third=F.array("answer"))
+    return c.select("conv_id", "turn", F.col("k").cast("long").alias("k"), text_of(tokens).alias("tokens"))
+
+
+@query("feat_choices", f"WITH q AS (SELECT conv_id, turn, {WT} AS w FROM conversations), e AS (SELECT conv_id, turn, w, unnest(range(4)) AS k FROM q WHERE len(w) >= 5) SELECT conv_id, turn, k, array_to_string(list_concat(list_concat(['[CLS]'], w[1:least(len(w), 20 - 3 - (k + 1))], ['[SEP]']), list_concat(w[1:k + 1], ['[SEP]'])), ' ') AS tokens FROM e")
+def feat_choices(spark, sf_dir):
+    """Endings of one to four words; the context is cut for each of them."""
+    q = turns(spark, sf_dir).select("conv_id", "turn", words().alias("w")).where("size(w) >= 5").select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    context = F.slice("w", F.lit(1), F.least(F.size("w"), 17 - (F.col("k") + 1)))
+    tokens, _ = E.assemble(context, F.slice("w", F.lit(1), F.col("k") + 1))
+    return q.select("conv_id", "turn", F.col("k").cast("long").alias("k"), text_of(tokens).alias("tokens"))
+
+
+@query("feat_cloze", f"WITH q AS (SELECT conv_id, turn, w, len(w) AS n, (conv_id % len(w))::BIGINT AS pos FROM (SELECT conv_id, turn, {WT} AS w FROM conversations) WHERE len(w) > 0), s AS (SELECT *, 5 AS l, 6 AS r, n - 1 - pos AS after FROM q), k AS (SELECT *, CASE WHEN pos >= l AND after >= r THEN l WHEN pos <= l THEN pos ELSE least(pos, 11 - after) END AS kl, CASE WHEN pos >= l AND after >= r THEN r WHEN pos <= l THEN least(after, 11 - pos) ELSE after END AS kr FROM s) SELECT conv_id, turn, array_to_string(w[pos - kl + 1:pos], ' ') AS \"left\", array_to_string(w[pos + 2:pos + 1 + kr], ' ') AS \"right\" FROM k")
+def feat_cloze(spark, sf_dir):
+    """Eleven words round a blank."""
+    q = turns(spark, sf_dir).select("conv_id", "turn", words().alias("w")).where("size(w) > 0")
+    left, right = E.around(F.col("w"), (F.col("conv_id") % F.size("w")).cast("int"), 11)
+    return q.select("conv_id", "turn", text_of(left).alias("left"), text_of(right).alias("right"))
+
+
+DOCWIN = "w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT doc_id, w, len(w) AS n, 60 - doc_id % 8 AS m FROM w), win AS (SELECT doc_id, w, n, m, unnest(range(0, CASE WHEN n <= m THEN 1 ELSE (ceil((n - m) / 32) * 32)::BIGINT + 1 END, 32)) AS start FROM n)"
+
+
+def doc_windows(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w"))
+    return X.windows(rows, "w", (60 - F.col("doc_id") % 8).cast("int"), 32)
+
+
+@query("feat_windows", f"WITH {DOCWIN} SELECT doc_id, start // 32 AS \"window\", start, array_to_string(w[start + 1:start + m], ' ') AS part FROM win")
+def feat_windows(spark, sf_dir):
+    return doc_windows(spark, sf_dir).select("doc_id", F.col("window").cast("long").alias("window"), F.col("start").cast("long").alias("start"), text_of("part").alias("part"))
+
+
+@query("feat_single_window", f"WITH {DOCWIN} SELECT doc_id, array_to_string(w[1:m], ' ') AS part FROM n")
+def feat_single_window(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w"))
+    return rows.select("doc_id", text_of(F.slice("w", F.lit(1), (60 - F.col("doc_id") % 8).cast("int"))).alias("part"))
+
+
+@query("max_context", f"WITH {DOCWIN}, p AS (SELECT doc_id, start // 32 AS win_no, start, least(m, n - start) AS size, unnest(range(start, least(start + m, n))) AS pos FROM win) SELECT doc_id, pos, arg_min(win_no, -(least(pos - start, start + size - 1 - pos) * 100 + size) * 10000 + win_no) AS \"window\" FROM p GROUP BY doc_id, pos")
+def max_context(spark, sf_dir):
+    parts = doc_windows(spark, sf_dir).where("size(part) > 0").select("doc_id", "window", "start", F.size("part").alias("size"))
+    out = X.max_context(parts, ["doc_id"])
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("window").cast("long").alias("window"))
+
+
+@query("window_labels", f"WITH {DOCWIN}, a AS (SELECT doc_id, start // 32 AS \"window\", start, least(m, n - start) AS size, n // 2 AS s, n // 2 + doc_id % 5 AS e FROM win) SELECT doc_id, \"window\", CASE WHEN s >= start AND e < start + size THEN s - start + 12 ELSE 0 END AS s, CASE WHEN s >= start AND e < start + size THEN e - start + 12 ELSE 0 END AS e FROM a")
+def window_labels(spark, sf_dir):
+    """Answers in the middle of a document, after a query of ten tokens."""
+    w = doc_windows(spark, sf_dir)
+    s = F.floor(F.size("w") / 2).cast("int")
+    got = X.window_label(F.col("start"), F.size("part"), s, s + (F.col("doc_id") % 5).cast("int"), F.lit(12))
+    return w.select("doc_id", F.col("window").cast("long").alias("window"), got.alias("g")).select("doc_id", "window", F.col("g.start").cast("long").alias("s"), F.col("g.end").cast("long").alias("e"))
+
+
+@query("feat_windows_two_level")
+def feat_windows_two_level(spark, sf_dir):
+    """Windows of words, each with its pieces of three characters and their words."""
+    keys = ["doc_id", "window"]
+    w = doc_windows(spark, sf_dir).where("size(part) > 0").select(*keys, F.col("part").alias("words"))
+    w = w.withColumn("subs", F.regexp_extract_all(F.array_join("words", ""), F.lit("(?s).{1,3}"), 0))
+    own = A.owner(A.positions(w, keys, "subs"), A.positions(w, keys, "words"), keys)
+    return own.groupBy(*keys).agg(text_of(F.transform(F.array_sort(F.collect_list(F.struct("pos", "owner"))), lambda x: x["owner"])).alias("owners"))
+
+
+SEQ16 = "s AS (SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS t, string_agg((['B-X', 'I-X', 'O'])[event_id % 3 + 1], ' ' ORDER BY ts, event_id) AS l FROM events GROUP BY user_id), a AS (SELECT user_id, string_split(t, ' ')[1:14] AS t, string_split(l, ' ')[1:14] AS l FROM s)"
+
+
+def sequences(spark, sf_dir):
+    label = F.get(F.split(F.lit("B-X I-X O"), " "), (F.col("event_id") % 3).cast("int"))
+    seq = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", label.alias("l"))))
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(seq.alias("s"))
+    return s.select("user_id", F.transform("s", lambda x: x["event_type"]).alias("t"), F.transform("s", lambda x: x["l"]).alias("l"))
+
+
+@query("feat_sequence", f"WITH {SEQ16} SELECT user_id, '[CLS] ' || array_to_string(t, ' ') || ' [SEP]' || repeat(' [PAD]', (14 - len(t))::INTEGER) AS tokens, 'O ' || array_to_string(l, ' ') || ' O' || repeat(' O', (14 - len(t))::INTEGER) AS labels FROM a")
+def feat_sequence(spark, sf_dir):
+    t, lab = X.sequence_features(F.col("t"), F.col("l"), 16)
+    return sequences(spark, sf_dir).select("user_id", text_of(t).alias("tokens"), text_of(lab).alias("labels"))
+
+
+@query("feat_spans", "WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_id % 3 AS k FROM events) SELECT user_id, string_agg(CASE WHEN k = 0 THEN '1' ELSE '0' END, ' ' ORDER BY pos) AS starts, string_agg(CASE WHEN k = 0 THEN '1' ELSE '0' END, ' ' ORDER BY pos) AS ends FROM r WHERE pos < 16 GROUP BY user_id")
+def feat_spans(spark, sf_dir):
+    """Entities of one place each, at every B."""
+    s = sequences(spark, sf_dir).withColumn("l", F.slice("l", 1, 16))
+    marks = F.filter(F.transform("l", lambda x, i: F.struct(F.when(x == "B-X", 1).otherwise(0).alias("type"), i.alias("start"), i.alias("end"))), lambda e: e["type"] == 1)
+    s = s.withColumn("e", marks)
+    starts, ends = X.span_arrays(F.col("e"), F.size("l"))
+    return s.select("user_id", text_of(starts).alias("starts"), text_of(ends).alias("ends"))
+
+
+@query("batch_trim", f"WITH q AS (SELECT role, conv_id, turn, len({WT}) AS n FROM conversations), b AS (SELECT *, (row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1) // 8 AS batch FROM q) SELECT role, conv_id, turn, batch, max(n) OVER (PARTITION BY role, batch) AS longest FROM b")
+def batch_trim(spark, sf_dir):
+    q = turns(spark, sf_dir).withColumn("w", words()).withColumn("n", F.size("w"))
+    out = X.batch_trim(q, ["conv_id", "turn"], "w", "n", 8, by="role")
+    return out.select("role", "conv_id", "turn", "batch", F.col("longest").cast("long").alias("longest"))

@@ -1 +1,113 @@
-"""Queries."""
+"""Queries of pretraining examples."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import pretrain as P
+from corpusloom.plans.base import query, table
+from corpusloom.plans.features import PAIR, pair, text_of
+
+
+def d(seed: int, n, *keys: str) -> str:
+    return f"(('0x' || md5({' || '.join([repr(str(seed))] + [f'{chr(39)}|{chr(39)} || {k}' for k in keys])})[1:7])::BIGINT % {n})"
+
+
+SENT = "sent AS (SELECT doc_id, regexp_extract_all(text, '[^!?？！。.]+[!?？！。.]?') AS s FROM documents), n AS (SELECT doc_id, len(s)::INTEGER AS n, list_transform(s, lambda x: len(list_filter(string_split_regex(x, '\\s+'), lambda y: y <> ''))) AS sizes FROM sent)"
+
+
+def sentences(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select("doc_id", T.sentence_split("text").alias("s"))
+    return s.select("doc_id", F.size("s").alias("n"), F.transform("s", lambda x: F.size(T.words(x))).alias("sizes"))
+
+
+SHARD = f"{SENT}, sp AS (SELECT doc_id, n, CASE WHEN {d(0, 1000, 'doc_id', repr('split'))} < 100 THEN 'test' ELSE 'training' END AS split FROM n), rk AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY n DESC, {d(0, 64, 'doc_id')}, md5('0|' || doc_id), doc_id) - 1 AS r FROM sp), sh AS (SELECT doc_id, n, split, CASE WHEN (r // 8) % 2 = 0 THEN r % 8 ELSE 7 - r % 8 END AS shard FROM rk)"
+
+
+def shards(spark, sf_dir):
+    return P.shard_balance(sentences(spark, sf_dir).select("doc_id", "n"), "n", "doc_id", 8)
+
+
+@query("shard_balance", f"WITH {SHARD} SELECT doc_id, split, shard FROM sh")
+def shard_balance(spark, sf_dir):
+    return shards(spark, sf_dir).select("doc_id", "split", "shard")
+
+
+@query("shard_stats", f"WITH {SHARD} SELECT split, shard, count(*) AS docs, sum(n)::BIGINT AS sentences, median(n) AS median FROM sh GROUP BY split, shard")
+def shard_stats(spark, sf_dir):
+    return shards(spark, sf_dir).groupBy("split", "shard").agg(F.count("*").alias("docs"), F.sum("n").alias("sentences"), F.percentile("n", 0.5).alias("median"))
+
+
+@query("duplicate_factor", "SELECT doc_id, unnest(range(5))::INTEGER AS dupe FROM documents")
+def duplicate_factor(spark, sf_dir):
+    return P.duplicate(table(spark, sf_dir, "documents").select("doc_id"), 5)
+
+
+CHUNK = f"RECURSIVE {SENT}, ck AS (SELECT doc_id, 1 AS i, sizes, n, sizes[1] AS total, 0 AS chunk, 0 AS first FROM n WHERE n > 0 UNION ALL SELECT doc_id, i + 1, sizes, n, CASE WHEN total >= 125 THEN 0 ELSE total END + sizes[i + 1], chunk + (total >= 125)::INTEGER, CASE WHEN total >= 125 THEN i ELSE first END FROM ck WHERE i < n), chunks AS (SELECT doc_id, chunk::BIGINT AS chunk, first::BIGINT AS first, max(i)::BIGINT - 1 AS last FROM ck GROUP BY doc_id, chunk, first)"
+
+
+def chunks(spark, sf_dir):
+    return P.pack_chunks(sentences(spark, sf_dir), "doc_id", "sizes", 125)
+
+
+@query("pack_chunks", f"WITH {CHUNK} SELECT doc_id, chunk, first, last FROM chunks")
+def pack_chunks(spark, sf_dir):
+    return chunks(spark, sf_dir)
+
+
+CUT = f"CASE WHEN last > first THEN 1 + {d(9, '(last - first)', 'doc_id', 'chunk', repr('cut'))} ELSE 1 END"
+
+
+@query("split_ab", f"WITH {CHUNK} SELECT doc_id, chunk, {CUT} AS cut FROM chunks")
+def split_ab(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    n = F.col("last") - F.col("first")
+    return c.select("doc_id", "chunk", F.when(n > 0, 1 + P.draw(9, F.greatest(n, F.lit(1)), "doc_id", "chunk", F.lit("cut"))).otherwise(1).alias("cut"))
+
+
+@query("next_sentence", f"WITH {CHUNK}, rk AS (SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, {d(9, 64, 'doc_id')}, md5('9|' || doc_id), doc_id) - 1 AS r, count(*) OVER () AS total FROM n), c AS (SELECT k.*, r, total, last > first AND {d(9, 2, 'k.doc_id', 'chunk', repr('next'))} = 0 AS is_next FROM chunks k JOIN rk ON k.doc_id = rk.doc_id), p AS (SELECT c.*, CASE WHEN NOT is_next THEN (r + 1 + {d(9, '(total - 1)', 'doc_id', 'chunk', repr('doc'))}) % total END AS p FROM c) SELECT p.doc_id, p.chunk, p.first, p.last, {CUT.replace('doc_id', 'p.doc_id')} AS cut, is_next, coalesce(rk.doc_id, p.doc_id) AS b_doc, CASE WHEN is_next THEN first + {CUT.replace('doc_id', 'p.doc_id')} ELSE {d(9, 'greatest(rk.n, 1)', 'p.doc_id', 'chunk', repr('start'))} END AS b_start FROM p LEFT JOIN rk ON p.p = rk.r")
+def next_sentence(spark, sf_dir):
+    return P.next_sentence(chunks(spark, sf_dir), sentences(spark, sf_dir).select("doc_id", "n"), "doc_id", "n", 9)
+
+
+@query("truncate_pair_random", f"WITH z AS (SELECT conv_id, turn, greatest(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) - 12, 0)::BIGINT AS dropped FROM conversations), x AS (SELECT conv_id, turn, dropped, unnest(range(1, greatest(dropped, 1) + 1)) AS i FROM z) SELECT conv_id, turn, dropped, CASE WHEN dropped > 0 THEN sum({d(4, 2, 'conv_id', 'turn', 'i')}) ELSE 0 END::BIGINT AS front FROM x GROUP BY conv_id, turn, dropped")
+def truncate_pair_random(spark, sf_dir):
+    """How many words of a turn are dropped to leave twelve, and how many of them in front."""
+    z = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.greatest(F.size(T.words("text")) - 12, F.lit(0)).alias("dropped"))
+    return z.select("conv_id", "turn", F.col("dropped").cast("long").alias("dropped"), P.front_drops(F.col("dropped"), 4, "conv_id", "turn").cast("long").alias("front"))
+
+
+VOCAB = ["the", "of", "and", "to", "in"]
+MASKED = f"{PAIR}, t AS (SELECT conv_id, turn, len(tokens) AS n, unnest(range(len(tokens))) AS i, unnest(tokens) AS token FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY token IN ('[CLS]', '[SEP]'), {d(1, 1 << 28, 'conv_id', 'turn', 'i')}, i) AS rk, token IN ('[CLS]', '[SEP]') AS sp FROM t), m AS (SELECT *, NOT sp AND rk <= least(5, greatest(1, round_even(n * 0.15, 0)::INTEGER)) AS hit, {d(2, 10, 'conv_id', 'turn', 'i')} AS how, {d(3, 5, 'conv_id', 'turn', 'i')} AS other FROM r)"
+
+
+@query("mask_tokens", f"WITH {MASKED} SELECT conv_id, turn, string_agg(CASE WHEN NOT hit OR how = 8 THEN token WHEN how < 8 THEN '[MASK]' ELSE (['the', 'of', 'and', 'to', 'in'])[other + 1] END, ' ' ORDER BY i) AS tokens, string_agg(i::VARCHAR, ' ' ORDER BY i) FILTER (hit) AS places, string_agg(token, ' ' ORDER BY i) FILTER (hit) AS labels FROM m GROUP BY conv_id, turn")
+def mask_tokens(spark, sf_dir):
+    p = pair(spark, sf_dir)
+    t, places, labels = P.mask(F.col("tokens"), P.masked_count(F.size("tokens"), 150, 5), VOCAB, 1, "conv_id", "turn")
+    out = p.select("conv_id", "turn", text_of(t).alias("m"), text_of(places).alias("places"), text_of(labels).alias("labels"))
+    return out.withColumnRenamed("m", "tokens")
+
+
+@query("pad_encode", f"WITH {PAIR} SELECT conv_id, turn, array_to_string(list_transform(tokens, lambda x: length(x)), ' ') || repeat(' 0', (40 - len(tokens))::INTEGER) AS ids, repeat('1', len(tokens)::INTEGER) || repeat('0', (40 - len(tokens))::INTEGER) AS mask, repeat('0', first::INTEGER) || repeat('1', second::INTEGER) || repeat('0', (40 - len(tokens))::INTEGER) AS segments FROM f")
+def pad_encode(spark, sf_dir):
+    """A token's length stands in for its id."""
+    from corpusloom.operators import examples as E
+
+    p = pair(spark, sf_dir)
+    ids = F.transform("tokens", lambda x: F.length(x))
+    return p.select("conv_id", "turn", text_of(E.padded(ids, 40)).alias("ids"), text_of(E.mask_of(ids, 40), "").alias("mask"), text_of(E.padded(F.col("segments"), 40), "").alias("segments"))
+
+
+@query("dense_labels", f"WITH {MASKED}, g AS (SELECT conv_id, turn, i, CASE WHEN hit THEN length(token) ELSE -1 END AS v FROM m), s AS (SELECT conv_id, turn, unnest(range(32)) AS i FROM f) SELECT s.conv_id, s.turn, string_agg(coalesce(v, -1)::VARCHAR, ' ' ORDER BY s.i) AS labels FROM s LEFT JOIN g USING (conv_id, turn, i) GROUP BY s.conv_id, s.turn")
+def dense_labels(spark, sf_dir):
+    p = pair(spark, sf_dir)
+    _, places, labels = P.mask(F.col("tokens"), P.masked_count(F.size("tokens"), 150, 5), VOCAB, 1, "conv_id", "turn")
+    m = p.select("conv_id", "turn", F.concat(places, F.array(F.lit(0))).alias("p"), F.concat(F.transform(labels, lambda x: F.length(x)), F.array(F.lit(0))).alias("l"))
+    return m.select("conv_id", "turn", text_of(P.dense_labels(F.col("p"), F.col("l"), 32)).alias("labels"))
+
+
+@query("shuffle_examples", "SELECT doc_id, md5('6|' || doc_id) AS place FROM documents")
+def shuffle_examples(spark, sf_dir):
+    return P.shuffled(table(spark, sf_dir, "documents").select("doc_id"), 6, "doc_id").withColumn("place", F.md5(F.concat_ws("|", F.lit("6"), F.col("doc_id").cast("string"))))
