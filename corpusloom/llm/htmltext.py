@@ -251,9 +251,10 @@ def extract(model: Model, pages: list[str | None]) -> list[str]:
 
 
 def training_pages(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> list[str]:
-    """At most ``TRAIN_PAGES`` pages that mark their article."""
+    """At most ``TRAIN_PAGES`` pages that mark their article. Only ids are ranked; the pages of those come to the driver."""
     marked = pages.where((F.length(html) <= TRAIN_CHARS) & F.col(html).rlike(r"(?i)<(article|main)[\s>]|role=.?main"))
-    return [r[0] for r in marked.orderBy(F.xxhash64(key), html).select(html).limit(TRAIN_PAGES).collect()]
+    ids = [r[0] for r in marked.select(key, F.xxhash64(key).alias("_h")).orderBy("_h", key).limit(TRAIN_PAGES).collect()]
+    return [r[0] for r in marked.where(F.col(key).isin(ids)).select(html).limit(TRAIN_PAGES).collect()]
 
 
 def main_text(pages: DataFrame, model: Model, *, html: str = "html", batch: int = 64) -> DataFrame:
