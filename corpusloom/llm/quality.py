@@ -91,8 +91,15 @@ def measures(text: Column) -> Column:
     return F.struct(_let(words, of_words).alias("w"), of_lines.alias("l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("s"))
 
 
-def _bounds(rule: Rule) -> Column:
-    up, down = F.col(rule.numerator) * 1000, F.col(rule.denominator)
+def _values(m: Column) -> dict[str, Column]:
+    """The measures by name, from a struct of :func:`measures`."""
+    w, lines = m["w"], m["l"]
+    got = {"n_words": w["n_words"], "word_chars": w["word_chars"], "n_symbols": m["s"], "n_lines": lines["n"], "n_dup_lines": lines["dup"], "n_repeat_words": w["n_repeat_words"], "n_stop_words": w["n_stop_words"]}
+    return {k: v.cast("long") for k, v in got.items()}
+
+
+def _bounds(rule: Rule, v: dict[str, Column]) -> Column:
+    up, down = v[rule.numerator] * 1000, v[rule.denominator]
     checks = [up >= down * rule.least] * (rule.least is not None) + [up <= down * rule.most] * (rule.most is not None)
     ok = F.lit(True)
     for check in checks:
@@ -100,18 +107,34 @@ def _bounds(rule: Rule) -> Column:
     return ok | (down == 0)
 
 
+def _base_failed(v: dict[str, Column]) -> Column:
+    return (v["n_words"] < BASE_WORDS) | (v["n_repeat_words"] * 1000 > v["n_words"] * BASE_REPEATS)
+
+
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Whether a text passes the base rules and the table. One expression that makes its measures once, so that it stays
+    one when the optimizer moves a filter."""
+
+    def judge(m: Column) -> Column:
+        v = _values(m)
+        ok = ~_base_failed(v)
+        for rule in rules:
+            ok = ok & _bounds(rule, v)
+        return ok
+
+    return _let(measures(text), judge)
+
+
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> DataFrame:
     """The rows with all measures, base_failed, failed_rules and kept."""
     m = docs.withColumn("_m", measures(docs[text]))
-    got = {"n_words": "_m.w.n_words", "word_chars": "_m.w.word_chars", "n_symbols": "_m.s", "n_lines": "_m.l.n", "n_dup_lines": "_m.l.dup", "n_repeat_words": "_m.w.n_repeat_words", "n_stop_words": "_m.w.n_stop_words"}
-    m = m.withColumns({k: F.col(v).cast("long") for k, v in got.items()}).drop("_m")
-    failed = F.array_compact(F.array(*[F.when(~_bounds(r), F.lit(r.name)) for r in rules]))
-    base = (F.col("n_words") < BASE_WORDS) | (F.col("n_repeat_words") * 1000 > F.col("n_words") * BASE_REPEATS)
-    m = m.withColumns({"base_failed": base, "failed_rules": failed})
+    m = m.withColumns(_values(F.col("_m"))).drop("_m")
+    v = {k: F.col(k) for k in MEASURES}
+    failed = F.array_compact(F.array(*[F.when(~_bounds(r, v), F.lit(r.name)) for r in rules]))
+    m = m.withColumns({"base_failed": _base_failed(v), "failed_rules": failed})
     return m.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> DataFrame:
     """The rows that pass all rules, with their own columns only."""
-    packed = docs.select(F.struct("*").alias("_row"), docs[text].alias("_text"))
-    return measure(packed, rules, text="_text").where("kept").select("_row.*")
+    return docs.where(verdict(docs[text], rules))
