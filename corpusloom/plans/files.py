@@ -47,7 +47,7 @@ def read_books(spark, sf_dir):
     docs(spark, sf_dir).select("source", F.substring("text", 1, 200).alias("value")).repartition("source").write.partitionBy("source").text(path)
     got = R.books(spark, path).select(F.regexp_extract("file", "source=([^/]+)", 1).alias("source"), "file")
     whole = spark.read.text(path, wholetext=True).select("source", "value")
-    body = F.array_sort(F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != ""))
+    body = F.array_sort(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != ""))
     return whole.join(got.select("source").distinct(), "source").select("source", F.array_join(body, " ").alias("text"))
 
 

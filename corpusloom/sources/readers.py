@@ -22,7 +22,7 @@ def doc_lines(spark: SparkSession, path: str) -> DataFrame:
 def sentence_docs(spark: SparkSession, path: str) -> DataFrame:
     """(doc, sent_no, sentence): a sentence a line, a blank line ends a document."""
     docs = spark.read.option("lineSep", "\n\n").text(path).where("trim(value) != ''")
-    parts = docs.select(F.xxhash64("value").alias("doc"), F.filter(F.transform(F.split("value", "\n"), F.trim), lambda s: s != "").alias("s"))
+    parts = docs.select(F.xxhash64("value").alias("doc"), F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda s: s != "").alias("s"))
     return parts.select("doc", F.posexplode("s").alias("sent_no", "sentence"))
 
 
