@@ -121,3 +121,25 @@ def invert(book: DataFrame, *, index: bool = True) -> DataFrame:
 def collisions(book: DataFrame) -> DataFrame:
     """(size, codes): how many digit-free codes stand for so many characters."""
     return invert(book, index=False).groupBy(F.size("chars").alias("size")).agg(F.count("*").alias("codes"))
+
+
+def phrase_translator(table: DataFrame):
+    """A column function that replaces the longest phrase of ``table`` (ch, out) at each place, from left to right."""
+    import re
+
+    rows = table.limit(MAX_HELD + 1).collect()
+    if len(rows) > MAX_HELD:
+        raise ValueError("the table is too large to be held")
+    held = table.sparkSession.sparkContext.broadcast({r["ch"]: r["out"] for r in rows if r["ch"]})
+
+    @F.pandas_udf("string")
+    def apply(texts: pd.Series) -> pd.Series:
+        book = held.value
+        single = {ord(k): v for k, v in book.items() if len(k) == 1}
+        longer = sorted((k for k in book if len(k) > 1), key=len, reverse=True)
+        if not longer:
+            return pd.Series([t if t is None else t.translate(single) for t in texts], dtype=object)
+        any_of = re.compile("|".join(map(re.escape, [*longer, *(k for k in book if len(k) == 1)])))
+        return pd.Series([t if t is None else any_of.sub(lambda m: book[m[0]], t) for t in texts], dtype=object)
+
+    return apply

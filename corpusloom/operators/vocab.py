@@ -105,3 +105,73 @@ def _merged(s, a: str, b: str):
     line = F.concat(F.lit(mark), F.array_join(s, mark + mark), F.lit(mark))  # every symbol between two marks
     whole = F.replace(line, F.lit(f"{mark}{a}{mark}{mark}{b}{mark}"), F.lit(f"{mark}{a}{b}{mark}"))
     return F.filter(F.split(whole, mark), lambda x: x != "")
+
+
+def _expected(words, scores: dict[str, float], longest: int) -> dict[str, float]:
+    """Expected uses of each piece over weighted words, by forward and backward sums of segmentations."""
+    import math
+
+    out: dict[str, float] = {}
+    for word, weight in words:
+        n = len(word)
+        fwd, bwd = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+
+        def add(x: float, y: float) -> float:
+            return max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
+
+        arcs = [(a, b, scores[word[a:b]]) for a in range(n) for b in range(a + 1, min(n, a + longest) + 1) if word[a:b] in scores]
+        for a, b, s in arcs:
+            fwd[b] = add(fwd[b], fwd[a] + s)
+        for a, b, s in reversed(arcs):
+            bwd[a] = add(bwd[a], s + bwd[b])
+        if fwd[n] == -math.inf:
+            continue
+        for a, b, s in arcs:
+            p = math.exp(fwd[a] + s + bwd[b] - fwd[n])
+            if p > 1e-9:
+                out[word[a:b]] = out.get(word[a:b], 0.0) + weight * p
+    return out
+
+
+def train_unigram(words: DataFrame, size: int, *, longest: int = 8, seeds: int = 20_000, rounds: int = 2, keep: float = 0.5) -> DataFrame:
+    """(token, score): pieces of a unigram model and their log-probabilities. ``words``: (word, n), distinct.
+
+    Seeds are all characters and the substrings of most characters covered; each round estimates expected uses over the
+    distinct words and then drops the least used, until ``size`` are left. What tasks hold is the current table of pieces,
+    ``seeds`` of them at most beside the characters.
+    """
+    import math
+
+    import pandas as pd
+
+    spark = words.sparkSession
+    places = F.sequence(F.lit(1), F.length("word"))
+    cuts = words.where("word != ''").select("n", "word", F.explode(places).alias("a")).select("n", "word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("a") + 1))).alias("k"))
+    counts = cuts.groupBy(F.expr("substring(word, a, k)").alias("token")).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
+    letters = [(r["token"], float(r["n"])) for r in counts.where("length(token) = 1").collect()]
+    longer = counts.where("length(token) > 1 AND n > 1").orderBy(F.desc(F.col("n") * F.length("token")), "token").limit(seeds)
+    freq = dict(letters) | {r["token"]: float(r["n"]) for r in longer.collect()}
+    single = {t for t, _ in letters}
+
+    def scored(f: dict[str, float]) -> dict[str, float]:
+        total = sum(f.values()) or 1.0
+        return {t: math.log(max(n, 1e-3) / total) for t, n in f.items()}
+
+    while True:
+        for _ in range(rounds):
+            held = spark.sparkContext.broadcast(scored(freq))
+
+            def estimate(batches, held=held):
+                for b in batches:
+                    got = _expected(zip(b["word"], b["n"]), held.value, longest)
+                    yield pd.DataFrame({"token": list(got), "n": list(got.values())}, columns=["token", "n"])
+
+            new = words.mapInPandas(estimate, "token string, n double").groupBy("token").agg(F.sum("n").alias("n"))
+            freq = {r["token"]: r["n"] for r in new.collect()}
+            freq |= {t: 1e-3 for t in single if t not in freq}
+        if len(freq) <= max(size, len(single)):
+            break
+        left = max(size - len(single), int(keep * (len(freq) - len(single))))
+        best = sorted((t for t in freq if t not in single), key=lambda t: (-freq[t], t))[:left]
+        freq = {t: freq[t] for t in [*single, *best]}
+    return spark.createDataFrame(sorted(scored(freq).items(), key=lambda x: (-x[1], x[0])), "token string, score double")

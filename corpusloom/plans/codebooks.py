@@ -155,3 +155,24 @@ def top_codes(spark, sf_dir):
     sentences = lines(spark, sf_dir).select(F.explode(T.sentence_split("line")).alias("s"))
     codes = sentences.select(F.explode(F.regexp_extract_all(C.encode("s", book(spark)), F.lit(f"[^{T.SEP}]+{T.SEP}"), 0)).alias("code"))
     return codes.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(20)
+
+
+PHRASES = {"tion": "T", "th": "þ", "the": "ð", "é": "e", "ñ": "n"}
+
+
+def simplified(spark: SparkSession, x: Column | str) -> Column:
+    values = ", ".join(f"('{a}', '{b}')" for a, b in PHRASES.items())
+    return C.phrase_translator(spark.sql(f"SELECT * FROM VALUES {values} AS t(ch, out)"))(x)
+
+
+def simplified_sql(x: str) -> str:
+    """No phrase begins inside another one but at its start, so the longer ones can be replaced first."""
+    for a in sorted(PHRASES, key=len, reverse=True):
+        x = f"replace({x}, '{a}', '{PHRASES[a]}')"
+    return x
+
+
+@query("to_simplified", f"WITH {LINES} SELECT doc_id, line_no, {simplified_sql('line')} AS out FROM lines")
+def to_simplified(spark, sf_dir):
+    """Phrases and letters stand in for traditional forms."""
+    return lines(spark, sf_dir).select("doc_id", "line_no", simplified(spark, "line").alias("out"))

@@ -164,3 +164,14 @@ def prediction_diff(spark, sf_dir):
     a = rows.groupBy("user_id").agg(line(F.col("label")))
     b = rows.groupBy("user_id").agg(line(F.when((F.col("label") == "S-LOC") & (F.col("user_id") % 2 == 0), "O").otherwise(F.col("label"))))
     return D.prediction_diff(a, b, ["user_id"], "seq")
+
+
+@query("span_two_level", f"WITH {CAND}, t AS (SELECT vec_id, s // 3 AS s, e // 3 AS e, max(score) AS score FROM cand GROUP BY ALL) SELECT vec_id, s, e, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, s, e) AS n FROM t) WHERE n <= 3")
+def span_two_level(spark, sf_dir):
+    """Scores of sub-characters, three to a token; the best spans of tokens."""
+    c = candidates(spark, sf_dir).select("vec_id", F.floor(F.col("s") / 3).alias("s"), F.floor(F.col("e") / 3).alias("e"), "score")
+    t = c.groupBy("vec_id", "s", "e").agg(F.max("score").alias("score"))
+    from pyspark.sql import Window
+
+    best = t.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "s", "e"))).where("n <= 3")
+    return best.select("vec_id", "s", "e", F.round("score", 6).alias("score"))

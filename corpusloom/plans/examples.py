@@ -167,3 +167,13 @@ def truncate_pair(spark, sf_dir):
 def truncate_triple(spark, sf_dir):
     a, b, c = E.truncate_triple(F.col("a"), F.col("b"), F.col("c"), 20)
     return sizes(spark, sf_dir).select("conv_id", "turn", a.alias("a"), b.alias("b"), c.alias("c"))
+
+
+@query("ex_reading_simplified")
+def ex_reading_simplified(spark, sf_dir):
+    """Answer starts after both passage and answer are made simple."""
+    from corpusloom.plans.codebooks import simplified
+
+    r = reading(spark, sf_dir)
+    r = r.select("conv_id", "turn", simplified(spark, "text").alias("text"), simplified(spark, "answer").alias("answer"))
+    return r.select("conv_id", "turn", "answer", (F.instr("text", F.col("answer")) - 1).cast("long").alias("start"))

@@ -109,3 +109,8 @@ def label_distribution(spark, sf_dir):
 @query("train_bpe")
 def train_bpe(spark, sf_dir):
     return V.train_bpe(word_counts(spark, sf_dir).select(F.col("token").alias("word"), "n"), 24)
+
+
+@query("train_unigram")
+def train_unigram(spark, sf_dir):
+    return V.train_unigram(word_counts(spark, sf_dir).select(F.col("token").alias("word"), "n"), 1000)
