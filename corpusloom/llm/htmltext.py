@@ -258,8 +258,8 @@ def training_pages(pages: DataFrame, *, key: str = "page_id", html: str = "html"
 
 
 def main_text(pages: DataFrame, model: Model, *, html: str = "html", batch: int = 64) -> DataFrame:
-    """The rows without ``html``, with their main ``text``. Map-only."""
-    columns = [c for c in pages.columns if c != html]
+    """The rows without ``html``, with their main ``text`` (in place of a column of that name). Map-only."""
+    columns = [c for c in pages.columns if c not in (html, "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,5 +267,5 @@ def main_text(pages: DataFrame, model: Model, *, html: str = "html", batch: int
                 texts = extract(model, part.column(html).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(texts, pa.string())], names=[*columns, "text"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes if c != html)
+    schema = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes if c in columns)
     return pages.mapInArrow(run, f"{schema}, text string")

@@ -214,16 +214,16 @@ def replace(docs: DataFrame, secret: str, *, text: str = "text", length: str | N
         body = docs.where(docs[text].rlike(HINT)).select(docs[text].alias("t")).distinct()
         keys = body.select(F.sha2("t", 256).alias("h"), F.explode(F.flatten(F.transform(matches(F.col("t")), lambda m: parts_of(m, kind_of(m))))).alias("e"))
         keys = keys.select("h", F.concat_ws("|", "e.type", "e.canon").alias("key")).distinct()
-        of_text = keys.join(odd, "key").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("key", "attempt"))).alias("_known"))
-        rows = docs.withColumn("_h", F.sha2(docs[text], 256)).join(of_text.withColumnRenamed("h", "_h"), "_h", "left").drop("_h")
-        attempt_of = lambda key: F.coalesce(F.element_at(F.col("_known"), key), F.lit(0))
+        of_text = keys.join(odd, "key").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("key", "attempt"))).alias("__pii_known"))
+        rows = docs.withColumn("__pii_h", F.sha2(docs[text], 256)).join(of_text.withColumnRenamed("h", "__pii_h"), "__pii_h", "left").drop("__pii_h")
+        attempt_of = lambda key: F.coalesce(F.element_at(F.col("__pii_known"), key), F.lit(0))
     t = F.col(text)
 
     changed = F.transform(F.array(matches(t)), lambda m: F.when(F.size(m) > 0, _bound(m, t, lambda x: _surrogate(secret, x, attempt_of))))[0]
-    out = rows.withColumn("_new", changed)
-    columns = {text: F.coalesce("_new", t)}
+    out = rows.withColumn("__pii_new", changed)
+    columns = {text: F.coalesce("__pii_new", t)}
     if length:
-        columns[length] = F.when(F.col("_new").isNotNull(), F.length("_new")).otherwise(F.col(length)).cast(dict(docs.dtypes)[length])
+        columns[length] = F.when(F.col("__pii_new").isNotNull(), F.length("__pii_new")).otherwise(F.col(length)).cast(dict(docs.dtypes)[length])
     return out.withColumns(columns).select(*docs.columns)
 
 
