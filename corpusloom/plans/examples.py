@@ -75,12 +75,10 @@ def ex_labels_bmes(spark, sf_dir):
 
 @query("ex_spans", "WITH d AS (SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_id % 7 AS k FROM events)) SELECT user_id, string_agg(pos || ':' || pos, ' ' ORDER BY pos) AS spans FROM d WHERE k = 4 GROUP BY user_id")
 def ex_spans(spark, sf_dir):
-    from corpusloom.plans.decoding import decode_bios
+    from corpusloom.plans.decoding import decode_bios, labels
 
-    single = decode_bios(spark, sf_dir).where("type = 'LOC' AND start = `end`")
-    from corpusloom.plans.decoding import labels
-
-    s_only = single.join(labels(spark, sf_dir).where("label = 'S-LOC'").select("user_id", F.col("pos").alias("start")), ["user_id", "start"], "left_semi")
+    at = labels(spark, sf_dir).where("label = 'S-LOC'").select("user_id", F.col("pos").alias("start"))
+    s_only = decode_bios(spark, sf_dir).where("start = `end`").join(at, ["user_id", "start"], "left_semi")
     return s_only.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("start")), lambda p: F.concat_ws(":", p, p)), " ").alias("spans"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import vocab as V
 from corpusloom.plans.base import query, table
-from corpusloom.plans.codebooks import BOOK, CHARS, NOSPACE, WORDS, book, corpus_words
+from corpusloom.plans.codebooks import CHARS, NOSPACE, WORDS, corpus_words
 
 SPECIAL_SQL = "SELECT * FROM (VALUES (0, '[UNK]', 0), (1, '[PAD]', 0), (2, '[CLS]', 0), (3, '[SEP]', 0), (4, '[MASK]', 0)) s(id, token, n)"
 
