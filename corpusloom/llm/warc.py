@@ -127,6 +127,7 @@ def tree(replica: DataFrame, levels: int) -> list[DataFrame]:
     leaf = replica.withColumn("node", F.floor(F.col("offset") / RANGE_BYTES).cast("long"))
     part = F.struct("offset", "length", "sha256")
     level = leaf.groupBy("file", "node").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: F.concat_ws(" ", x["offset"], x["length"], x["sha256"])), "\n"), 256).alias("hash"))
+    level = stage_table(level, "leaves")  # few rows; every level above and the way down start from them
     out = [level]
     for _ in range(levels):
         child = level.select("file", F.col("node").alias("child"), F.floor(F.col("node") / FAN).cast("long").alias("node"), "hash")
