@@ -15,7 +15,8 @@ SHIFT = 50000
 SEP = chr(ord("_") + SHIFT)
 SHIFTED = "".join(chr(ord(c) + SHIFT) for c in LITERALS)
 SCORED_MARKS = "-:_*^/\\~`+=，。：？！“”；’《》·、「」（）－～『』"
-CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
+CJK_RANGES = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
+CJK = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in CJK_RANGES)
 PUNCT = r"\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\p{P}"
 SENTENCE = r"[^!?？！。.]+[!?？！。.]?"
 IDIOM = r"#idiom\d{6}#"
@@ -157,17 +158,36 @@ def reader_tokens(x: Column | str) -> Column:
     return split_on_punct(space_cjk(x))
 
 
+def _token_places(text: str) -> list[int]:
+    out, token, inside = [], -1, False
+    for ch in text:
+        if ch.isspace():
+            inside = False
+        elif _single(ch):
+            token, inside = token + 1, False
+        elif not inside:
+            token, inside = token + 1, True
+        out.append(token)
+    return out
+
+
+def _single(ch: str) -> bool:
+    """A mark or a CJK character."""
+    cp = ord(ch)
+    cjk = any(a <= cp <= b for a, b in CJK_RANGES)
+    return cjk or (cp < 128 and not ch.isalnum() and cp > 32 and cp != 127) or unicodedata.category(ch).startswith("P")
+
+
 def token_of_char(x: Column | str) -> Column:
-    """For each character the index of its :func:`reader_tokens` token (of the last token begun, for white space)."""
-    text = _c(x)
-    n = F.length(text)
-    single = f"[{CJK}{PUNCT}]"
-    at = lambda i: F.substring(text, i, F.lit(1))
-    starts = lambda i: (at(i).rlike(single) | (at(i).rlike(r"(?U)\S") & ((i == 1) | at(i - 1).rlike(rf"(?U)\s|{single}")))).cast("int")
-    flags = F.transform(F.sequence(F.lit(1), n), starts)
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(
-        F.aggregate(flags, F.array().cast("array<int>"), lambda acc, f: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + f)))
-    )
+    """For each character the index of its :func:`reader_tokens` token (of the last token begun, for white space). A running
+    count over characters is linear only outside higher-order functions, so this one is a vectorised function."""
+    import pandas as pd
+
+    @F.pandas_udf("array<int>")
+    def places(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _token_places(t) for t in texts], dtype=object)
+
+    return places(_c(x))
 
 
 def blank_tokens(x: Column | str) -> Column:
