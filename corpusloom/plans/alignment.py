@@ -12,7 +12,7 @@ KEYS = ["doc_id", "line_no"]
 SIDES = (
     f"{LINES}, w AS (SELECT doc_id, line_no, line, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS w FROM lines), "
     "tok AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS stop, stop - length(piece) AS start FROM (SELECT doc_id, line_no, unnest(range(len(w))) AS pos, unnest(w) AS piece FROM w)), "
-    "sub AS (SELECT doc_id, line_no, n // 3 AS pos, n AS start, least(n + 3, size) AS stop FROM (SELECT doc_id, line_no, length(array_to_string(w, '')) AS size, unnest(range(0, length(array_to_string(w, '')), 3)) AS n FROM w)), "
+    "sub AS (SELECT doc_id, line_no, n // 3 AS pos, n AS start, least(n + 3, size) AS stop, whole[n + 1] AS head FROM (SELECT doc_id, line_no, array_to_string(w, '') AS whole, length(array_to_string(w, '')) AS size, unnest(range(0, length(array_to_string(w, '')), 3)) AS n FROM w)), "
     "own AS (SELECT s.doc_id, s.line_no, s.pos, t.pos AS owner FROM sub s ASOF JOIN tok t ON s.doc_id = t.doc_id AND s.line_no = t.line_no AND s.start >= t.start)"
 )
 
@@ -53,15 +53,15 @@ def inverse_text_index(spark, sf_dir):
     return longs(A.inverse_text_index(rows, KEYS, "line", tokens), "pos", "text_pos")
 
 
-SPANS = "spans AS (SELECT doc_id, line_no, 'T' || (pos % 3) AS type, start, least(start + 2 * (pos % 4) + 1, size) AS stop FROM (SELECT sub.*, max(stop) OVER (PARTITION BY doc_id, line_no) AS size FROM sub) WHERE pos % 7 = 0)"
+SPANS = "spans AS (SELECT doc_id, line_no, 'T' || (pos % 3) AS type, start, least(start + 2 * (pos % 4) + 1, size) AS stop FROM (SELECT sub.*, max(stop) OVER (PARTITION BY doc_id, line_no) AS size FROM sub) WHERE head = 'h')"
 
 
 def spans(subs):
-    """Some stretches of a line, shorter than the distance between them."""
+    """Stretches of a line that begin with a certain letter."""
     from pyspark.sql import Window
 
     size = F.max("stop").over(Window.partitionBy(*KEYS))
-    some = subs.withColumn("size", size).where("pos % 7 = 0")
+    some = subs.withColumn("size", size).where("piece LIKE 'h%'")
     return some.select(*KEYS, F.concat(F.lit("T"), (F.col("pos") % 3).cast("string")).alias("type"), "start", F.least(F.col("start") + 2 * (F.col("pos") % 4) + 1, F.col("size")).alias("stop"))
 
 

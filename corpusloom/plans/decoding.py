@@ -145,9 +145,9 @@ def decode_bio(spark, sf_dir):
     return D.decode_bio(labels(spark, sf_dir), ["user_id"])
 
 
-@query("decode_start_end", f"WITH {SEQ} SELECT a.user_id, a.label AS type, a.pos AS \"start\", min(b.pos) AS \"end\" FROM seq a JOIN seq b ON a.user_id = b.user_id AND a.label = b.label AND b.pos >= a.pos WHERE a.label <> 'O' AND a.pos % 2 = 0 AND b.pos % 3 = 0 GROUP BY ALL")
+@query("decode_start_end", f"WITH {SEQ} SELECT a.user_id, a.label[3:] AS type, a.pos AS \"start\", min(b.pos) AS \"end\" FROM seq a JOIN seq b ON a.user_id = b.user_id AND a.label[3:] = b.label[3:] AND b.pos >= a.pos WHERE a.label[1] IN ('B', 'S') AND b.label[1] IN ('I', 'S') GROUP BY ALL")
 def decode_start_end(spark, sf_dir):
-    marks = labels(spark, sf_dir).select("user_id", "pos", F.when(F.col("pos") % 2 == 0, F.col("label")).alias("s"), F.when(F.col("pos") % 3 == 0, F.col("label")).alias("e"))
+    marks = labels(spark, sf_dir).select("user_id", "pos", F.when(F.col("label").rlike("^[BS]-"), F.substring("label", 3, 100)).alias("s"), F.when(F.col("label").rlike("^[IS]-"), F.substring("label", 3, 100)).alias("e"))
     return D.decode_start_end(marks, ["user_id"])
 
 

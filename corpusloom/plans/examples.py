@@ -37,9 +37,9 @@ def ex_pair_json(spark, sf_dir):
     return r.select("conv_id", F.col("r.sentence1").alias("text_a"), F.col("r.sentence2").alias("text_b"), "r.label")
 
 
-@query("ex_pair_tsv", "SELECT doc_id, string_split(line, chr(9))[1] AS text_a, string_split(line, chr(9))[2] AS text_b, string_split(line, chr(9))[3] AS label FROM (SELECT doc_id, replace(text[1:40], chr(10), ' ') || chr(9) || lang || chr(9) || source AS line FROM documents)")
+@query("ex_pair_tsv", "SELECT doc_id, string_split(line, chr(9))[1] AS text_a, string_split(line, chr(9))[2] AS text_b, string_split(line, chr(9))[3] AS label FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), chr(9), ' ') || chr(9) || lang || chr(9) || source AS line FROM documents)")
 def ex_pair_tsv(spark, sf_dir):
-    line = F.concat_ws("\t", F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")), "lang", "source")
+    line = F.concat_ws("\t", F.translate("text", "\n\t", "  "), "lang", "source")
     c = F.from_csv(line, "text_a string, text_b string, label string", {"sep": "\t", "quote": "\x00"})
     return table(spark, sf_dir, "documents").select("doc_id", c.alias("c")).select("doc_id", "c.*")
 
@@ -57,10 +57,10 @@ def ex_span_marked(spark, sf_dir):
     return t.select("conv_id", "turn", E.span_marked(F.col("text"), a, F.lit(0), b, j).alias("text_a"))
 
 
-@query("ex_column_layouts", "SELECT doc_id, 'a' AS layout, text[1:20] AS text_a, lang AS text_b, source AS label FROM documents UNION ALL SELECT doc_id, 'b', lang, text[1:20], source FROM documents UNION ALL SELECT doc_id, 'c', source, NULL, lang FROM documents")
+@query("ex_column_layouts", "SELECT doc_id, 'a' AS layout, text AS text_a, lang AS text_b, source AS label FROM documents UNION ALL SELECT doc_id, 'b', lang, text, source FROM documents UNION ALL SELECT doc_id, 'c', source, NULL, lang FROM documents")
 def ex_column_layouts(spark, sf_dir):
     """Tasks that name their columns by position: the position of each role is data."""
-    cols = F.array(F.substring("text", 1, 20), "lang", "source")
+    cols = F.array("text", "lang", "source")
     layouts = F.array(*[F.struct(F.lit(n).alias("layout"), F.lit(a).alias("a"), F.lit(b).cast("int").alias("b"), F.lit(c).alias("c")) for n, a, b, c in (("a", 0, 1, 2), ("b", 1, 0, 2), ("c", 2, None, 1))])
     rows = table(spark, sf_dir, "documents").select("doc_id", cols.alias("cols"), F.explode(layouts).alias("l"))
     return rows.select("doc_id", "l.layout", F.get("cols", F.col("l.a")).alias("text_a"), F.get("cols", F.col("l.b")).alias("text_b"), F.get("cols", F.col("l.c")).alias("label"))

@@ -40,11 +40,11 @@ def read_sentence_docs(spark, sf_dir):
     return R.sentence_docs(spark, path).groupBy("sentence", F.col("sent_no").cast("long").alias("sent_no")).agg(F.count("*").alias("n"))
 
 
-@query("read_books", "SELECT source, array_to_string(list_sort(list_filter(list_transform(string_split(string_agg(text[1:200], chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '')), ' ') AS text FROM documents GROUP BY source")
+@query("read_books", "SELECT source, array_to_string(list_sort(list_filter(list_transform(string_split(string_agg(text, chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '')), ' ') AS text FROM documents GROUP BY source")
 def read_books(spark, sf_dir):
     """A folder, and so a book, of each source; the order of lines in it is not kept, so lines are compared sorted."""
     path = S.scratch(spark, "books")
-    docs(spark, sf_dir).select("source", F.substring("text", 1, 200).alias("value")).repartition("source").write.partitionBy("source").text(path)
+    docs(spark, sf_dir).select("source", F.col("text").alias("value")).repartition("source").write.partitionBy("source").text(path)
     got = R.books(spark, path).select(F.regexp_extract("file", "source=([^/]+)", 1).alias("source"), "file")
     whole = spark.read.text(path, wholetext=True).select("source", "value")
     body = F.array_sort(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != ""))
@@ -65,9 +65,9 @@ def read_jsonl(spark, sf_dir):
     return R.jsonl(spark, path, "doc_id bigint, lang string, text string")
 
 
-@query("read_tsv", "SELECT doc_id, lang, replace(replace(text, chr(10), ' '), chr(9), ' ')[1:60] AS text FROM documents")
+@query("read_tsv", "SELECT doc_id, lang, replace(replace(text, chr(10), ' '), chr(9), ' ') AS text FROM documents")
 def read_tsv(spark, sf_dir):
-    flat = F.substring(F.translate("text", "\n\t", "  "), 1, 60)
+    flat = F.translate("text", "\n\t", "  ")
     path = written(docs(spark, sf_dir).select(F.concat_ws("\t", "doc_id", "lang", flat).alias("value")), "tsv")
     return R.tsv(spark, path, "doc_id bigint, lang string, text string")
 
@@ -105,13 +105,13 @@ def read_dialog_choice(spark, sf_dir):
     return got.select("dialog", "question", F.array_join("choices", "|").alias("choices"), "answer").groupBy("dialog", "question", "choices", "answer").agg(F.count("*").alias("n"))
 
 
-@query("read_cloze", "WITH t AS (SELECT '#idiom' || lpad((conv_id * 100 + turn)::VARCHAR, 6, '0') || '#' AS tag, role, turn FROM conversations) SELECT tag, 'a ' || tag || ' b' AS passage, role || '|x' AS candidates, (turn % 2)::INTEGER AS answer FROM t WHERE turn < 3")
+@query("read_cloze", "WITH t AS (SELECT '#idiom' || lpad(((conv_id * 100 + turn) % 1000000)::VARCHAR, 6, '0') || '#' AS tag, role, turn FROM conversations) SELECT tag, 'a ' || tag || ' b' AS passage, role || '|x' AS candidates, max(turn % 2) OVER (PARTITION BY tag)::INTEGER AS answer FROM t")
 def read_cloze(spark, sf_dir):
-    tag = F.concat(F.lit("#idiom"), F.lpad((F.col("conv_id") * 100 + F.col("turn")).cast("string"), 6, "0"), F.lit("#"))
-    t = turns(spark, sf_dir).where("turn < 3").select(tag.alias("tag"), "role", "turn")
+    tag = F.concat(F.lit("#idiom"), F.lpad(((F.col("conv_id") * 100 + F.col("turn")) % 1000000).cast("string"), 6, "0"), F.lit("#"))
+    t = turns(spark, sf_dir).select(tag.alias("tag"), "role", "turn")
     path = S.scratch(spark, "cloze")
     t.select(F.array(F.concat(F.lit("a "), "tag", F.lit(" b"))).alias("content"), F.array("role", F.lit("x")).alias("candidates")).write.json(path)
-    answers = t.select("tag", (F.col("turn") % 2).cast("int").alias("answer"))
+    answers = t.groupBy("tag").agg(F.max(F.col("turn") % 2).cast("int").alias("answer"))
     return R.cloze(spark, path, answers).select("tag", "passage", F.array_join("candidates", "|").alias("candidates"), "answer")
 
 
@@ -128,10 +128,10 @@ def read_token_labels(spark, sf_dir):
     return got.select(F.array_join("words", " ").alias("words"), F.array_join("labels", " ").alias("labels")).groupBy("words", "labels").agg(F.count("*").alias("n"))
 
 
-@query("read_entity_json", f"WITH q AS (SELECT conv_id, turn, array_to_string({WT}, ' ')[1:30] AS text, length(({WT})[1]) AS k FROM conversations), c AS (SELECT conv_id, turn, text, k, unnest(range(length(text))) AS i FROM q WHERE turn % 5 <> 4) SELECT conv_id, turn, string_agg(CASE WHEN i >= k THEN 'O' WHEN k = 1 THEN 'S-N' WHEN i = 0 THEN 'B-N' ELSE 'I-N' END, ' ' ORDER BY i) AS labels FROM c GROUP BY conv_id, turn")
+@query("read_entity_json", f"WITH q AS (SELECT conv_id, turn, array_to_string({WT}, ' ') AS text, length(({WT})[1]) AS k FROM conversations), c AS (SELECT conv_id, turn, text, k, unnest(range(length(text))) AS i FROM q WHERE turn % 5 <> 4) SELECT conv_id, turn, string_agg(CASE WHEN i >= k THEN 'O' WHEN k = 1 THEN 'S-N' WHEN i = 0 THEN 'B-N' ELSE 'I-N' END, ' ' ORDER BY i) AS labels FROM c GROUP BY conv_id, turn")
 def read_entity_json(spark, sf_dir):
     """The first word is an entity; in one of five turns it is given a wrong place and rejected."""
-    q = turns(spark, sf_dir).select("conv_id", "turn", F.substring(F.array_join(words(), " "), 1, 30).alias("t"), F.get(words(), F.lit(0)).alias("w"))
+    q = turns(spark, sf_dir).select("conv_id", "turn", F.array_join(words(), " ").alias("t"), F.get(words(), F.lit(0)).alias("w"))
     n = F.length("w")
     bad = (F.col("turn") % 5 == 4).cast("int")
     span = F.array(F.array(bad, n - 1 + bad))
@@ -141,9 +141,9 @@ def read_entity_json(spark, sf_dir):
     return keyed.join(good, "text").select("conv_id", "turn", F.array_join("labels", " ").alias("labels"))
 
 
-@query("read_paired_text", "SELECT text_a, text_b, count(*) AS n FROM (SELECT replace(text, chr(10), ' ')[1:50] AS raw, CASE WHEN turn % 2 = 0 THEN role END AS text_b, trim(replace(text, chr(10), ' ')[1:50]) AS text_a FROM conversations) GROUP BY text_a, text_b")
+@query("read_paired_text", "SELECT text_a, text_b, count(*) AS n FROM (SELECT CASE WHEN turn % 2 = 0 THEN role END AS text_b, trim(replace(text, chr(10), ' ')) AS text_a FROM conversations) GROUP BY text_a, text_b")
 def read_paired_text(spark, sf_dir):
-    first = F.trim(F.substring(F.translate("text", "\n", " "), 1, 50))
+    first = F.trim(F.translate("text", "\n", " "))
     value = F.when(F.col("turn") % 2 == 0, F.concat(first, F.lit(" ||| "), "role")).otherwise(first)
     path = written(turns(spark, sf_dir).select(value.alias("value")), "pairs")
     return R.paired_text(spark, path).groupBy("text_a", "text_b").agg(F.count("*").alias("n"))
