@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -29,12 +30,18 @@ def read_range(path: str, start: int, length: int) -> bytes:
 
 @contextmanager
 def write_whole(path: str) -> Iterator:
-    """A new file that has its name only once it is complete, so a failed attempt leaves no file of that name."""
+    """A new file that has its name only once it is complete: if the block raises, or the task dies, no file of that name is
+    left."""
     where, inner = filesystem(path)
     where.create_dir(inner.rpartition("/")[0], recursive=True)
-    with where.open_output_stream(inner + ".part") as f:
+    part = f"{inner}.{uuid.uuid4().hex}.part"
+    with where.open_output_stream(part) as f:
         yield f
-    where.move(inner + ".part", inner)
+    from pyarrow import fs
+
+    if where.get_file_info(inner).type != fs.FileType.NotFound:  # an earlier attempt was whole as well
+        where.delete_file(inner)
+    where.move(part, inner)
 
 
 def ranges(spark: SparkSession, paths: str | list[str], block: int, *, glob: str = "*") -> DataFrame:

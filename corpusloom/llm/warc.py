@@ -15,13 +15,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import new_path, stage_table
-from corpusloom.llm.sharedfiles import filesystem
+from corpusloom.llm.sharedfiles import filesystem, write_whole
 
 FAN, RANGE_BYTES = 16, 64 << 10
 RECORDS_A_FILE = 1000
@@ -47,10 +49,38 @@ def number_of_files(pages: DataFrame) -> int:
 
 
 def write(rows: DataFrame, *, key: str = "page_id") -> str:
-    """Writes ``records`` as one file each in a new folder, in the order of their keys; returns the folder."""
+    """Writes ``records`` as one file each in a new folder, in the order of their keys; returns the folder.
+
+    Records cross the shuffle compressed. A file's name does not depend on the attempt and it appears whole, so a task that
+    is done again replaces it by the same bytes.
+    """
     folder = new_path(rows.sparkSession, "warc")
-    dealt = rows.repartition("file").sortWithinPartitions("file", key, "url", "record")
-    dealt.select("file", "record").write.partitionBy("file").option("lineSep", END).text(folder)
+    where, inner = filesystem(folder)
+    where.create_dir(inner, recursive=True)  # it is there even if there are no rows
+    kind = dict(rows.dtypes)[key]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(3).compress
+        for b in batches:
+            data = pa.array([squeeze(r.as_py().encode()) for r in b.column(4)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], data], names=["k", "file", "url", "_r", "data"])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, expand = None, ExitStack(), zstandard.ZstdDecompressor().decompress
+        out, f = [], None
+        with held:
+            for b in batches:
+                for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if file != now:  # rows come sorted by file
+                        held.close()
+                        now, f = file, held.enter_context(write_whole(f"{folder}/file={file}/records.warc"))
+                        out.append(file)
+                    f.write(expand(data) + END.encode())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["file"])
+
+    packed = rows.select(F.col(key).alias("k"), "file", "url", F.xxhash64("record").alias("_r"), "record").mapInArrow(pack, f"k {kind}, file bigint, url string, _r bigint, data binary")
+    dealt = packed.repartition("file").sortWithinPartitions("file", "k", "url", "_r").select("file", "data")
+    dealt.mapInArrow(put, "file bigint").agg(F.count("*")).collect()
     return folder
 
 
@@ -118,7 +148,7 @@ def read(spark: SparkSession, folder: str, *, payload: bool = False) -> DataFram
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), types)], names=[n for n, _ in types])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder).select("path", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc").load(folder).select("path", "length")
     return files.repartition(F.xxhash64("path")).mapInArrow(scan, LEAF + (", uri string, payload binary" if payload else ""))
 
 

@@ -391,16 +391,15 @@ def test_warc(spark, tmp_path, monkeypatch):
     from pathlib import Path
 
     hurt = {}
-    for f in sorted(Path(folder.removeprefix("file://")).rglob("*.txt")):
+    for f in sorted(Path(folder.removeprefix("file://")).rglob("*.warc")):
         data = bytearray(f.read_bytes())
         at = data.rfind(b"<p>")
         data[at + 1] ^= 1
         f.write_bytes(bytes(data))
-        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
         hurt[int(re.search(r"file=(\d+)", str(f))[1])] = at
     bad = warc.audit(ours, warc.read(spark, folder)).collect()
     assert len(bad) == len(hurt) and all(r["status"] == "altered" and r["offset"] <= hurt[r["file"]] < r["offset"] + r["length"] for r in bad)
     short = ours.where("page_id != 39 or page_id is null")
     assert {r["status"] for r in warc.audit(ours, short).collect()} == {"missing"} and {r["status"] for r in warc.audit(short, ours).collect()} == {"extra"}
-    none = warc.expected(warc.records(pages.where("false"), 1))
-    assert warc.audit(none, none).count() == 0
+    none, back = warc.replicas(pages.where("false"), pages.where("false"))
+    assert warc.audit(none, back).count() == 0
