@@ -27,7 +27,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts that lie in fewer parts than there are cores are dealt out, as work on them is far more than reading;
+    a large table has more parts, and nothing moves."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
