@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -24,6 +24,15 @@ def written(rows: DataFrame, name: str, *, sep: str = "\n") -> str:
     return path
 
 
+#: Turns of a conversation in one JSON record.
+TURNS = 64
+
+
+def chunk() -> list[Column]:
+    """Keys of records that hold at most ``TURNS`` turns, however long a conversation is."""
+    return [F.col("conv_id"), F.floor(F.col("turn") / TURNS).alias("_chunk")]
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -90,7 +99,7 @@ def read_nested_qa(spark, sf_dir):
     qa = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.get("w", F.lit(0)).alias("question"), F.array(answer).alias("answers"), (F.col("turn") % 2 == 1).alias("is_impossible"))
     paragraph = F.struct(F.col("text").alias("context"), F.array(qa).alias("qas"))
     path = S.scratch(spark, "qa")
-    q.groupBy("conv_id").agg(F.array(F.struct(F.collect_list(paragraph).alias("paragraphs"))).alias("data")).select("data").write.json(path)
+    q.groupBy(*chunk()).agg(F.array(F.struct(F.collect_list(paragraph).alias("paragraphs"))).alias("data")).select("data").write.json(path)
     out = R.nested_qa(spark, path, whole_files=False)
     return out.select("id", "context", "question", F.get("answers", F.lit(0))["text"].alias("answer"), F.get("answers", F.lit(0))["answer_start"].alias("answer_start"), "is_impossible")
 
@@ -186,7 +195,7 @@ def read_codebook(spark, sf_dir):
 @query("read_definitions", "SELECT conv_id || '-' || turn AS word, text AS definition FROM conversations")
 def read_definitions(spark, sf_dir):
     one = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "conv_id", "turn"), "text"))))
-    path = written(turns(spark, sf_dir).groupBy("conv_id").agg(one.alias("value")), "definitions")
+    path = written(turns(spark, sf_dir).groupBy(*chunk()).agg(one.alias("value")), "definitions")
     return R.definitions(spark.read.text(path))
 
 
