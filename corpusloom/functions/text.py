@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,8 +182,6 @@ def _single(ch: str) -> bool:
 def token_of_char(x: Column | str) -> Column:
     """For each character the index of its :func:`reader_tokens` token (of the last token begun, for white space). A running
     count over characters is linear only outside higher-order functions, so this one is a vectorised function."""
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def places(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else _token_places(t) for t in texts], dtype=object)

@@ -65,7 +65,7 @@ def spans(subs):
     return some.select(*KEYS, F.concat(F.lit("T"), (F.col("pos") % 3).cast("string")).alias("type"), "start", F.least(F.col("start") + 2 * (F.col("pos") % 4) + 1, F.col("size")).alias("stop"))
 
 
-LABELLED = "h AS (SELECT t.doc_id, t.line_no, t.pos, s.start AS s_start, s.type, count(*) OVER (PARTITION BY t.doc_id, t.line_no, s.start) AS n, min(t.pos) OVER (PARTITION BY t.doc_id, t.line_no, s.start) AS first FROM (SELECT doc_id, line_no, type, start, unnest(range(a, b + 1)) AS pos FROM (SELECT x.*, t.pos AS b FROM (SELECT s.*, t.pos AS a, s.stop - 1 AS z FROM spans s ASOF JOIN tok t ON t.doc_id = s.doc_id AND t.line_no = s.line_no AND s.start >= t.start) x ASOF JOIN tok t ON t.doc_id = x.doc_id AND t.line_no = x.line_no AND x.z >= t.start)) s JOIN tok t USING (doc_id, line_no, pos)), lab AS (SELECT t.*, coalesce(l.label, 'O') AS label FROM tok t LEFT JOIN (SELECT doc_id, line_no, pos, arg_max(CASE WHEN n = 1 THEN 'S' WHEN pos = first THEN 'B' ELSE 'I' END || '-' || type, s_start) AS label FROM h GROUP BY ALL) l USING (doc_id, line_no, pos))"
+LABELLED = "h AS (SELECT t.doc_id, t.line_no, t.pos, s.start AS s_start, s.type, count(*) OVER (PARTITION BY t.doc_id, t.line_no, s.start) AS n, min(t.pos) OVER (PARTITION BY t.doc_id, t.line_no, s.start) AS first FROM spans s JOIN tok t ON t.doc_id = s.doc_id AND t.line_no = s.line_no AND t.start < s.stop AND t.stop > s.start), lab AS (SELECT t.*, coalesce(l.label, 'O') AS label FROM tok t LEFT JOIN (SELECT doc_id, line_no, pos, arg_max(CASE WHEN n = 1 THEN 'S' WHEN pos = first THEN 'B' ELSE 'I' END || '-' || type, s_start) AS label FROM h GROUP BY ALL) l USING (doc_id, line_no, pos))"
 
 
 @query("labels_char_to_token", f"WITH {SIDES}, {SPANS}, {LABELLED} SELECT doc_id, line_no, pos, label FROM lab")
