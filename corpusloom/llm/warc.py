@@ -1,39 +1,44 @@
 """WARC files of web pages, and a Merkle audit of their fixity.
 
-Records are written as uncompressed WARC/1.0 files in the shared folder and read back by walking their length fields.
-A replica is a table of records (file, offset, length, sha256). Over it stands a tree for each file: a leaf covers a fixed
-range of byte offsets and hashes the records that begin there in order; a node hashes its ``FAN`` children in order; the
-last level has the file's root. Two replicas are compared by their roots; only below roots that differ are children
-compared, level by level, down to the ranges and records that are altered, missing or extra.
+Records are written as ``.warc.gz`` files in the shared folder: every record is a gzip member of its own, so a reader can
+start at any record's offset. They are read back member by member; where one is damaged, reading goes on at the next.
+A replica is a table of records (file, offset, length, sha256), all of the stored bytes. Over it stands a tree for each
+file: a leaf covers a fixed range of byte offsets and hashes the records that begin there in order; a node hashes its
+``FAN`` children in order; the last level has the file's root. Two replicas are compared by their roots; only below roots
+that differ are children compared, level by level, down to the ranges and records that are altered, missing or extra.
 
 Null pages and addresses give records with an empty payload or address; an empty table gives no files. Rows that agree in
-all of key, address and page are interchangeable.
+all of key, address and page are interchangeable. Only the columns named are read; a long page is one record like any other.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from contextlib import ExitStack
 
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import new_path, stage_table
 from corpusloom.llm.sharedfiles import filesystem, write_whole
 
 FAN, RANGE_BYTES = 16, 64 << 10
-RECORDS_A_FILE = 1000
+#: Pages in a file, about: a file is written by one task, as a stream.
+RECORDS_A_FILE = 4000
 DATE = "1970-01-01T00:00:00Z"
 END = "\r\n\r\n"
 LEAF = "file bigint, offset bigint, length bigint, sha256 string"
+LEVEL, GZIP, READ = 3, 31, 1 << 20  # of compression; zlib's name for gzip; bytes read at once
+MAGIC = b"\x1f\x8b\x08"
 
 
 def records(pages: DataFrame, files: int, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, file, url, record): each page as a WARC record without its end mark, dealt over ``files`` files by its key."""
+    """(k, file, url, record): each page as a WARC record, dealt over ``files`` files by a hash of its key, address and page;
+    ``k`` is the key."""
     body, address = F.coalesce(pages[html], F.lit("")), F.regexp_replace(F.coalesce(pages[url], F.lit("")), r"[\r\n]", " ")
     digest = F.sha1(F.concat_ws(" ", F.coalesce(pages[key].cast("string"), F.lit("")), address))
     uid = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
@@ -41,88 +46,145 @@ def records(pages: DataFrame, files: int, *, key: str = "page_id", url: str = "u
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), uid, F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), address,
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END),
     )
-    return pages.select(pages[key], F.pmod(F.xxhash64(pages[key]), F.lit(files)).cast("long").alias("file"), address.alias("url"), F.concat(head, body).alias("record"))
+    file = F.pmod(F.xxhash64(pages[key], pages[url], pages[html]), F.lit(files)).cast("long")
+    return pages.select(pages[key].alias("k"), file.alias("file"), address.alias("url"), F.concat(head, body, F.lit(END)).alias("record"))
 
 
 def number_of_files(pages: DataFrame) -> int:
     return pages.count() // RECORDS_A_FILE + 1
 
 
-def write(rows: DataFrame, *, key: str = "page_id") -> str:
-    """Writes ``records`` as one file each in a new folder, in the order of their keys; returns the folder.
+def members(rows: DataFrame) -> DataFrame:
+    """(k, file, url, tie, data) of ``records``: the stored bytes of each. Equal records give equal bytes."""
+    kind = dict(rows.dtypes)["k"]
 
-    Records cross the shuffle compressed. A file's name does not depend on the attempt and it appears whole, so a task that
-    is done again replaces it by the same bytes.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = []
+            for r in b.column(4):
+                squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
+                data.append(squeeze.compress(r.as_py().encode()) + squeeze.flush())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(data, pa.binary())], names=["k", "file", "url", "tie", "data"])
+
+    return rows.select("k", "file", "url", F.xxhash64("record").alias("tie"), "record").mapInArrow(pack, f"k {kind}, file bigint, url string, tie bigint, data binary")
+
+
+def write(stored: DataFrame, files: int) -> str:
+    """Writes ``members`` as one file each in a new folder, in the order of their keys; returns the folder.
+
+    A file's name does not depend on the attempt and it appears whole, so a task that is done again replaces it by the same
+    bytes.
     """
-    folder = new_path(rows.sparkSession, "warc")
+    folder = new_path(stored.sparkSession, "warc")
     where, inner = filesystem(folder)
     where.create_dir(inner, recursive=True)  # it is there even if there are no rows
-    kind = dict(rows.dtypes)[key]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(3).compress
-        for b in batches:
-            data = pa.array([squeeze(r.as_py().encode()) for r in b.column(4)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], data], names=["k", "file", "url", "_r", "data"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, expand = None, ExitStack(), zstandard.ZstdDecompressor().decompress
-        out, f = [], None
+        now, held, f, out = None, ExitStack(), None, []
         with held:
             for b in batches:
-                for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for file, data in zip(b.column(0).to_pylist(), b.column(1)):
                     if file != now:  # rows come sorted by file
                         held.close()
-                        now, f = file, held.enter_context(write_whole(f"{folder}/file={file}/records.warc"))
+                        now, f = file, held.enter_context(write_whole(f"{folder}/file={file}/records.warc.gz"))
                         out.append(file)
-                    f.write(expand(data) + END.encode())
+                    f.write(data.as_buffer())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["file"])
 
-    packed = rows.select(F.col(key).alias("k"), "file", "url", F.xxhash64("record").alias("_r"), "record").mapInArrow(pack, f"k {kind}, file bigint, url string, _r bigint, data binary")
-    dealt = packed.repartition("file").sortWithinPartitions("file", "k", "url", "_r").select("file", "data")
+    dealt = stored.repartition(files, "file").sortWithinPartitions("file", "k", "url", "tie").select("file", "data")
     dealt.mapInArrow(put, "file bigint").agg(F.count("*")).collect()
     return folder
 
 
-def expected(rows: DataFrame, *, key: str = "page_id") -> DataFrame:
-    """(key, file, offset, length, sha256) that a file written from ``records`` must have. Only lengths and hashes move."""
-    narrow = rows.select(key, "file", "url", (F.octet_length("record") + len(END)).cast("long").alias("length"), F.sha2("record", 256).alias("sha256"), F.xxhash64("record").alias("_r"))
-    order = Window.partitionBy("file").orderBy(key, "url", "_r")
-    return narrow.select(key, "file", (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "sha256")
-
-
-def walk(f, size: int) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length with end mark, record) of each record of an open file. Bytes that are no record up to the next one
-    come as one record."""
-    at = 0
+def expected(stored: DataFrame) -> DataFrame:
+    """(k, file, offset, length, sha256) that files written from ``members`` must have. Only lengths and hashes move."""
+    narrow = stored.select("k", "file", "url", "tie", F.octet_length("data").cast("long").alias("length"), F.sha2("data", 256).alias("sha256"))
+    order = Window.partitionBy("file").orderBy("k", "url", "tie")
+    return narrow.select("k", "file", (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "sha256")
+
+
+class _Bytes:
+    """An open file of ``size`` bytes, read in blocks."""
+
+    def __init__(self, f, size: int):
+        self.f, self.size, self.base, self.block = f, size, 0, b""
+
+    def at(self, pos: int, least: int = 1) -> memoryview:
+        """What is held from ``pos`` on: ``least`` bytes or more, unless the file ends."""
+        end = self.base + len(self.block)
+        if not self.base <= pos < end or (end - pos < least and end < self.size):
+            self.base, self.block = pos, self.f.read_at(min(READ, self.size - pos), pos)
+        return memoryview(self.block)[pos - self.base :]
+
+
+def _member(b: _Bytes, pos: int, payload: bool) -> tuple[int, str, bytes] | None:
+    """(end, sha256, record if wanted) of the whole record that is stored at ``pos``; None if there is none."""
+    expand, digest, out, head = zlib.decompressobj(GZIP), hashlib.sha256(), [], b""
+    if bytes(b.at(pos, len(MAGIC))[: len(MAGIC)]) != MAGIC:
+        return None
+    while pos < b.size:
+        chunk = b.at(pos)[: 1 << 16]
+        try:
+            got = expand.decompress(chunk)
+        except zlib.error:
+            return None
+        if len(head) < 7:
+            head += got[:7]
+            if not b"WARC/1.".startswith(head[:7]):
+                return None
+        if payload:
+            out.append(got)
+        used = len(chunk) - len(expand.unused_data)
+        digest.update(chunk[:used])
+        pos += used
+        if expand.eof:
+            return (pos, digest.hexdigest(), b"".join(out)) if len(head) >= 7 else None
+    return None
+
+
+def _begins(b: _Bytes, pos: int) -> bool:
+    """Whether a record begins at ``pos``."""
+    try:
+        return zlib.decompressobj(GZIP).decompress(b.at(pos, 4096)[:4096], 7) == b"WARC/1."
+    except zlib.error:
+        return False
+
+
+def _next(b: _Bytes, pos: int) -> int:
+    """Where the next record after ``pos`` begins, or the file's end."""
+    pos += 1
+    while pos < b.size:
+        some = bytes(b.at(pos, len(MAGIC)))
+        k = some.find(MAGIC)
+        if k < 0:
+            pos += max(1, len(some) - len(MAGIC) + 1)
+        elif _begins(b, pos + k):
+            return pos + k
+        else:
+            pos += k + 1
+    return b.size
+
+
+def walk(f, size: int, payload: bool = False) -> Iterator[tuple[int, int, str, bytes]]:
+    """(offset, length, sha256, record if wanted) of each stored record of an open file. Bytes that are no record up to the
+    next one come as one, with an empty record."""
+    b, at = _Bytes(f, size), 0
     while at < size:
-        head = f.read_at(min(8192, size - at), at)
-        stop = head.find(b"\r\n\r\n")
-        length = re.search(rb"\r\nContent-Length: *(\d+)", head[:stop]) if head.startswith(b"WARC/1.") and stop >= 0 else None
-        if length:
-            whole = stop + 4 + int(length[1])
-            yield at, whole + 4, f.read_at(min(whole, size - at), at)
-            at += whole + 4
-            continue
-        skipped, ahead = [head[:1]], at + 1  # lost: look for the next record
-        while ahead < size:
-            some = f.read_at(min(1 << 20, size - ahead), ahead)
-            k = some.find(b"\r\n\r\nWARC/1.")
-            if k >= 0:
-                skipped.append(some[: k + 4])
-                ahead += k + 4
-                break
-            step = len(some) - 10 if ahead + len(some) < size else len(some)
-            skipped.append(some[:step])
-            ahead += step
-        data = b"".join(skipped)
-        yield at, len(data), data[:-4] if data.endswith(b"\r\n\r\n") else data
-        at = ahead
+        found = _member(b, at, payload)
+        if not found:
+            end, digest, pos = _next(b, at), hashlib.sha256(), at
+            while pos < end:
+                some = b.at(pos)[: end - pos]
+                digest.update(some)
+                pos += len(some)
+            found = (end, digest.hexdigest(), b"")
+        yield at, found[0] - at, found[1], found[2]
+        at = found[0]
 
 
 def read(spark: SparkSession, folder: str, *, payload: bool = False) -> DataFrame:
-    """(file, offset, length, sha256[, uri, payload]) of every record below ``folder``. Files are read in parallel, each as
-    a stream of records."""
+    """(file, offset, length, sha256[, uri, payload]) of every record below ``folder``. Spark deals
+    the files out by their sizes; each is read as a stream of records."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,12 +192,12 @@ def read(spark: SparkSession, folder: str, *, payload: bool = False) -> DataFram
                 where, inner = filesystem(path)
                 file, held = int(re.search(r"file=(-?\d+)", path)[1]), []
                 with where.open_input_file(inner) as f:
-                    for offset, length, data in walk(f, size):
-                        row = (file, offset, length, hashlib.sha256(data).hexdigest())
+                    for offset, length, digest, data in walk(f, size, payload):
+                        row = (file, offset, length, digest)
                         if payload:
                             head, _, body = data.partition(b"\r\n\r\n")
                             uri = re.search(rb"\r\nWARC-Target-URI: ([^\r\n]*)", head)
-                            row += (uri[1].decode(errors="replace") if uri else None, body)
+                            row += (uri[1].decode(errors="replace") if uri else None, body.removesuffix(END.encode()))
                         held.append(row)
                         if len(held) == 256:
                             yield made(held)
@@ -148,41 +210,39 @@ def read(spark: SparkSession, folder: str, *, payload: bool = False) -> DataFram
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), types)], names=[n for n, _ in types])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc").load(folder).select("path", "length")
-    return files.repartition(F.xxhash64("path")).mapInArrow(scan, LEAF + (", uri string, payload binary" if payload else ""))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
+    return files.mapInArrow(scan, LEAF + (", uri string, payload binary" if payload else ""))
 
 
 def tree(replica: DataFrame, levels: int) -> list[DataFrame]:
-    """Tables (file, node, hash) of each level, leaves first. A node has at most ``FAN`` children."""
+    """Tables (file, node, hash) of each level, leaves first. A node has at most ``FAN`` children. Each level is written, so
+    none is made twice."""
     leaf = replica.withColumn("node", F.floor(F.col("offset") / RANGE_BYTES).cast("long"))
     part = F.struct("offset", "length", "sha256")
     level = leaf.groupBy("file", "node").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: F.concat_ws(" ", x["offset"], x["length"], x["sha256"])), "\n"), 256).alias("hash"))
-    level = stage_table(level, "leaves")  # few rows; every level above and the way down start from them
-    out = [level]
+    out = [stage_table(level, "level")]
     for _ in range(levels):
-        child = level.select("file", F.col("node").alias("child"), F.floor(F.col("node") / FAN).cast("long").alias("node"), "hash")
+        child = out[-1].select("file", F.col("node").alias("child"), F.floor(F.col("node") / FAN).cast("long").alias("node"), "hash")
         kids = F.array_sort(F.collect_list(F.struct("child", "hash")))
         level = child.groupBy("file", "node").agg(F.sha2(F.array_join(F.transform(kids, lambda x: F.concat_ws(" ", x["child"], x["hash"])), "\n"), 256).alias("hash"))
-        out.append(level)
+        out.append(stage_table(level, "level"))
     return out
 
 
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(file, offset, length, status) of records that differ: 'altered', 'missing' in theirs, or 'extra' there."""
     ours, theirs = ours.select("file", "offset", "length", "sha256"), theirs.select("file", "offset", "length", "sha256")
-    most = ours.agg(F.max("offset")).first()[0] or 0
-    most = max(most, theirs.agg(F.max("offset")).first()[0] or 0) // RANGE_BYTES
+    most = max(r.agg(F.max("offset")).first()[0] or 0 for r in (ours, theirs)) // RANGE_BYTES
     levels = 0
     while most >= FAN**levels:
         levels += 1
-    a, b = tree(ours, levels), tree(theirs, levels)
     suspects = None
-    for x, y in reversed(list(zip(a, b))):
+    for x, y in reversed(list(zip(tree(ours, levels), tree(theirs, levels)))):
         if suspects is not None:  # only the children of nodes that differ
             up = F.floor(F.col("node") / FAN).cast("long")
             x, y = (t.withColumn("up", up).join(suspects, ["file", "up"], "left_semi").drop("up") for t in (x, y))
         both = x.withColumnRenamed("hash", "ha").join(y.withColumnRenamed("hash", "hb"), ["file", "node"], "full")
-        suspects = both.where(~F.col("ha").eqNullSafe(F.col("hb"))).select("file", F.col("node").alias("up"))
+        suspects = stage_table(both.where(~F.col("ha").eqNullSafe(F.col("hb"))).select("file", F.col("node").alias("up")), "suspects")
     below = F.floor(F.col("offset") / RANGE_BYTES).cast("long")
     x, y = (t.withColumn("up", below).join(suspects, ["file", "up"], "left_semi").drop("up") for t in (ours, theirs))
     both = x.select("file", "offset", F.struct("length", "sha256").alias("a")).join(y.select("file", "offset", F.struct("length", "sha256").alias("b")), ["file", "offset"], "full")
@@ -191,9 +251,14 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return differs.select("file", "offset", F.coalesce("a.length", "b.length").alias("length"), status.alias("status"))
 
 
-def replicas(pages: DataFrame, damaged: DataFrame, *, key: str = "page_id") -> tuple[DataFrame, DataFrame]:
-    """What files of ``pages`` must hold, with keys, and what files written from ``damaged`` do hold; both as stage tables."""
+def replicas(pages: DataFrame, damage: Callable[[Column, Column], Column] | None = None, *, key: str = "page_id") -> tuple[DataFrame, DataFrame]:
+    """What files of ``pages`` must hold, with keys, and what such files do hold once they are written; both as stage tables.
+    ``damage`` changes stored bytes on their way to the files, given a page's key and its bytes. The files go once they are
+    read."""
     files = number_of_files(pages)
-    folder = write(records(damaged, files, key=key), key=key)
-    ours = stage_table(expected(records(pages, files, key=key), key=key), "replica")
-    return ours, stage_table(read(pages.sparkSession, folder), "replica")
+    stored = members(records(pages, files, key=key))
+    folder = write(stored.withColumn("data", damage(F.col("k"), F.col("data"))) if damage else stored, files)
+    theirs = stage_table(read(pages.sparkSession, folder), "replica")
+    where, inner = filesystem(folder)
+    where.delete_dir(inner)
+    return stage_table(expected(stored).withColumnRenamed("k", key), "replica"), theirs

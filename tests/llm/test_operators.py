@@ -1,17 +1,19 @@
 """Each operator against a plain version, with nulls, empty and long texts, repeated rows, empty tables and extra columns."""
 
+import gzip
 import hashlib
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, htmltext, pii, quality, ring, sentencepiece, simhash, substrings, tokencounts, warc
+from corpusloom.llm import decontaminate, htmltext, pii, quality, queries, ring, sentencepiece, simhash, substrings, tokencounts, warc
 from corpusloom.llm.components import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -343,8 +345,6 @@ def test_marginals_are_exact():
 
 def test_html_held_out(spark):
     """Pages that were not trained on; the article as marked is the truth."""
-    from pathlib import Path
-
     path = Path("/root/testdata/sf0.001/pages.parquet")
     if not path.exists():
         pytest.skip("no test tables")
@@ -378,28 +378,52 @@ def test_separators_across_blocks(spark, tmp_path, block):
     assert Counter((r["path"].rpartition("/")[2], r["ordinal"], r["n_tokens"], r["closed"]) for r in got) == want
 
 
-def test_warc(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("block", [1 << 20, 97])
+def test_warc(spark, monkeypatch, block):
+    """A byte changed in the middle of a record, in its first bytes, and at the file's end; blocks of any size."""
     monkeypatch.setattr(warc, "RANGE_BYTES", 600)
-    rows = [(k, f"http://x/{k}", f"<p>{'é' * k}\r\n\r\nWARC/1.0 {k}</p>") for k in range(40)] + [(None, None, None), (7, "http://x/7", "<p>again</p>")]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    made = warc.records(pages, 2)
-    folder = warc.write(made)
+    monkeypatch.setattr(warc, "READ", block)
+    rows = [(k, f"http://x/{k}", f"<p>{'é' * k}\r\n\r\nWARC/1.0 {k}</p>") for k in range(40)] + [(None, None, None), (7, "http://x/7", "<p>again</p>"), (50, "http://x/50", "long " * 100_000)]
+    pages = spark.createDataFrame([(*r, 1, "c", 2) for r in rows], "page_id bigint, url string, html string, file int, record string, k int")
+    stored = warc.members(warc.records(pages, 2))
+    folder = warc.write(stored, 2)
     back = warc.read(spark, folder, payload=True)
     assert Counter((r["uri"] or "", bytes(r["payload"]).decode()) for r in back.collect()) == Counter((u or "", h or "") for _, u, h in rows)
-    ours = warc.expected(made)
+    ours = warc.expected(stored)
     assert warc.audit(ours, warc.read(spark, folder)).count() == 0
-    from pathlib import Path
-
-    hurt = {}
-    for f in sorted(Path(folder.removeprefix("file://")).rglob("*.warc")):
-        data = bytearray(f.read_bytes())
-        at = data.rfind(b"<p>")
-        data[at + 1] ^= 1
+    hurt = set()
+    for f in sorted(Path(folder.removeprefix("file://")).rglob("*.warc.gz")):
+        file, data = int(re.search(r"file=(\d+)", str(f))[1]), bytearray(f.read_bytes())
+        mine = sorted((r["offset"], r["length"]) for r in ours.where(F.col("file") == file).collect())
+        assert sum(n for _, n in mine) == len(data)
+        assert all(gzip.decompress(bytes(data[o : o + n])).startswith(b"WARC/1.0\r\n") for o, n in mine)
+        for (offset, length), at in ((mine[2], 1), (mine[5], mine[5][1] // 2), (mine[-1], mine[-1][1] - 6)):
+            data[offset + at] ^= 255
+            hurt.add((file, offset, length, "altered"))
         f.write_bytes(bytes(data))
-        hurt[int(re.search(r"file=(\d+)", str(f))[1])] = at
-    bad = warc.audit(ours, warc.read(spark, folder)).collect()
-    assert len(bad) == len(hurt) and all(r["status"] == "altered" and r["offset"] <= hurt[r["file"]] < r["offset"] + r["length"] for r in bad)
-    short = ours.where("page_id != 39 or page_id is null")
+    assert {tuple(r) for r in warc.audit(ours, warc.read(spark, folder)).collect()} == hurt
+    f.write_bytes(bytes(data[: mine[-2][0] + 5]))  # cut off in the last but one
+    gone = {(r["offset"], r["status"]) for r in warc.audit(ours, warc.read(spark, folder)).where(F.col("file") == file).collect()}
+    assert gone == {(o, "altered") for f, o, _, _ in hurt if f == file and o < mine[-2][0]} | {(mine[-2][0], "altered"), (mine[-1][0], "missing")}
+    short = ours.where("k != 39 or k is null")
     assert {r["status"] for r in warc.audit(ours, short).collect()} == {"missing"} and {r["status"] for r in warc.audit(short, ours).collect()} == {"extra"}
-    none, back = warc.replicas(pages.where("false"), pages.where("false"))
+    none, back = warc.replicas(pages.where("false"))
     assert warc.audit(none, back).count() == 0
+
+
+def test_warc_query(spark):
+    """The registered query, against the rule by which it damages records."""
+    path = "/root/testdata/sf0.001"
+    if not Path(path).exists():
+        pytest.skip("no test tables")
+    ids = [r[0] for r in spark.read.parquet(f"{path}/pages.parquet").select("page_id").collect()]
+    hurt = {i for i in ids if xxhash_of_long(i) % 97 in (0, 1)}
+    got = queries.QUERIES["op10_warc"](spark, path).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(ids) and {r["page_id"] for r in got if r["status"] == "altered"} == hurt
+    assert {r["status"] for r in got} <= {"same", "altered"}
+
+
+def xxhash_of_long(i):
+    """Spark's xxhash64 of a long."""
+    h = xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)
+    return h - (1 << 64) if h >> 63 else h
