@@ -1,36 +1,41 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page's block elements are the nodes of a tree; each is content or boilerplate. A node's own features (kind of element,
-words of its class and id, share of link text, length) give its potential, a parent and its child share one, and
-sum-product messages upward and downward give every node's marginal. Text whose nearest block is content by its marginal is
-kept. All pages of a batch are passed through together, one depth of their trees after the other.
-
-The model is trained on labelled pages: by default those of the table itself that mark their article (``<article>``,
-``<main>`` or ``role="main"``), at most ``TRAIN_PAGES`` of them by a hash of their id, each of at most ``TRAIN_CHARS``
-characters, with a few hand-labelled layouts beside them. These are the only bounds; every page is read whole.
-
-Null pages and pages without content give an empty text. Repeated rows give repeated results; an empty table gives an empty
-result; other columns are not read.
+words of its class and id, share of link text, length, marks of sentences and of notices, and whether it lies in the page's
+marked article, if it has one) give its potential, a parent and its child share one, and sum-product messages upward and
+downward give every node's marginal. Text whose nearest block is content by its marginal is kept. All pages of a batch are
+passed through together, one depth of their trees after the other.
+
+The model is trained on hand-labelled pages, ``LAYOUTS``: what is content there is said by a mark on the element, which is no
+feature, and by no rule. Their texts are filled in at random with a fixed seed. Potentials of nodes and pairs maximise the
+likelihood of all labels of a page together, by the same messages. No row of the table is used in training, and every page is
+read whole.
+
+Null pages and pages without content give an empty text. Tags may be broken: an attribute's value that is not closed ends
+with its tag, and one that is not quoted may hold quotes. Repeated rows give repeated results; an empty table gives an empty
+result; other columns are kept, but for one named like the new text.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-TRAIN_PAGES, TRAIN_CHARS = 300, 200_000
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "button", "title", "head"}
+#: Elements whose text is none of the page's: programs, forms' parts and graphics.
+RAW = {"script", "style", "template", "svg", "iframe", "textarea", "select", "button", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = (
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption "
-    "nav header footer aside form fieldset figure figcaption address details summary dialog center menu hr"
+    "nav header footer aside form fieldset figure figcaption address details summary dialog center menu noscript hr"
 ).split()
 BLOCK = set(BLOCKS)
 #: Elements whose open ones end where one of these begins (beside their parents' ends).
@@ -47,25 +52,32 @@ FRAME_WORDS = re.compile(
     r"newsletter|subscribe|signup|login|form|search|share|sharing|social|related|recommend\w*|comment\w*|replies|reply|disqus|breadcrumbs?|pagination|pager|toolbar|widget|copyright|legal|disclaimer|complementary|contentinfo)(?:[^a-z]|$)"
 )
 TEXT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|content|main|body|text|prose)(?:[^a-z]|$)")
-#: Tags, comments and declarations. A tag that never ends is dropped with what follows it.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S)
-ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-FEATURES = len(GROUPS) + 1 + 2 + 4 + 4 + 1  # element, words, link share, length, bias
+#: A tag's attributes: a quoted value ends at a quote that something may follow, else (and without quotes) before white space
+#: or the tag's end.
+VALUE = r"=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[^\s>]*+)"
+#: Comments, tags and declarations. A tag that never ends is dropped with what follows it.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|{VALUE})*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
+ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+LABEL = re.compile(r"\s([yn])(?=\s|$)")
+SENTENCE = re.compile(r"[.!?。！？…][\"'”’)]*(?:\s|$)")
+NOTICE = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|subscribe|sign up|log in|newsletter|advertis|sponsored|click here|read more|share this|javascript", re.I)
+FEATURES = len(GROUPS) + 1 + 2 + 4 + 4 + 2 + 2 + 1  # element, words, link share, length, marks, article, bias
 
 
 class Page(NamedTuple):
     parent: np.ndarray
     features: np.ndarray
     runs: list[tuple[int, str]]  # (node, text) in page order
-    marked: np.ndarray  # 1 inside a marked article, -1 inside a frame, 0 elsewhere
+    labels: np.ndarray  # of a hand-labelled page: whether a node is content
 
 
-def parse(html: str | None) -> Page:
+def parse(html: str | None, labelled: bool = False) -> Page:
     """Block tree, features and runs of text of a page."""
     html = html or ""
-    tags, parent, words = ["html"], [-1], [0]
-    marked, length, linked = [0], [0], [0]
+    tags, parent, words, labels = ["html"], [-1], [0], [False]
+    inside, length, linked, marks, notice = [False], [0], [0], [0], [0]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, each with its nearest block
+    is_open: defaultdict[str, int] = defaultdict(int)
     runs: list[tuple[int, str]] = []
     held: list[str] = []
     links = 0
@@ -74,8 +86,11 @@ def parse(html: str | None) -> Page:
         if held:
             text = " ".join(html_lib.unescape("".join(held)).split())
             if text:
-                runs.append((stack[-1][1], text))
-                length[stack[-1][1]] += len(text)
+                node = stack[-1][1]
+                runs.append((node, text))
+                length[node] += len(text)
+                marks[node] += bool(SENTENCE.search(text))
+                notice[node] += len(text) < 300 and bool(NOTICE.search(text))
             held.clear()
 
     def pop_to(k: int) -> None:
@@ -84,10 +99,13 @@ def parse(html: str | None) -> Page:
             name, _ = stack[-1]
             if name in BLOCK:
                 close()
-            if name == "a":
-                links -= 1
+            links -= name == "a"
+            is_open[name] -= 1
             stack.pop()
 
+    def last_open(name: str) -> int:
+        return next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name) if is_open[name] else 0
+
     at, end_of = 0, len(html)
     while at < end_of:
         m = TOKEN.search(html, at)
@@ -100,16 +118,15 @@ def parse(html: str | None) -> Page:
             break
         at = m.end()
         name = (m[2] or "").lower()
-        if not name:
+        if not name or name == "head":
             continue
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if depth:
+            if depth := last_open(name):
                 pop_to(depth)
             continue
         if name in RAW:
-            if name != "head" and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            if not m[3].rstrip().endswith("/"):
+                end = _end_of(name).search(html, at)
                 at = end.end() if end else (end_of if name in ("script", "style") else at)
             continue
         if name == "br":
@@ -117,50 +134,59 @@ def parse(html: str | None) -> Page:
             continue
         if name in VOID and name != "hr":
             continue
-        if name in ENDS_P and stack[-1][0] != "html":
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-            if depth and not any(s in BLOCK for s, _ in stack[depth + 1 :]):
-                pop_to(depth)
-        if name in ENDS:
+        if name in ENDS_P and (depth := last_open("p")) and not any(s in BLOCK for s, _ in stack[depth + 1 :]):
+            pop_to(depth)
+        if name in ENDS and any(is_open[x] for x in ENDS[name]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in ENDS[name]:
                     pop_to(k)
                     break
                 if stack[k][0] in SCOPES:
                     break
+        is_open[name] += 1
         if name not in BLOCK:
             links += name == "a"
             stack.append((name, stack[-1][1]))
             continue
         close()
         if name == "hr":
+            is_open[name] -= 1
             continue
         attrs = " ".join(x or y or z for _, x, y, z in ATTR.findall(m[3])).lower() if m[3] else ""
         up = stack[-1][1]
         frame, content = bool(FRAME_WORDS.search(attrs)), bool(TEXT_WORDS.search(attrs))
-        own = -1 if frame or GROUP_OF.get(name) == 6 else 1 if name in ("article", "main") or "main" in attrs.split() else 0
         parent.append(up)
         tags.append(name)
         words.append(frame - (content and not frame))
-        marked.append(-1 if marked[up] == -1 or own == -1 else own or marked[up])
-        length.append(0)
-        linked.append(0)
+        inside.append(inside[up] or name in ("article", "main") or "main" in attrs.split())
+        said = LABEL.search(m[3]) if labelled else None
+        labels.append(said[1] == "y" if said else labels[up])
+        for column in (length, linked, marks, notice):
+            column.append(0)
         stack.append((name, len(tags) - 1))
     pop_to(1)
     close()
-    return Page(np.array(parent), _features(tags, words, np.array(length), np.array(linked)), runs, np.array(marked))
+    columns = map(np.array, (words, inside, length, linked, marks, notice))
+    return Page(np.array(parent), _features(tags, *columns), runs, np.array(labels))
+
 
+@lru_cache(32)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
 
-def _features(tags: list[str], words: list[int], length: np.ndarray, linked: np.ndarray) -> np.ndarray:
+
+def _features(tags: list[str], words: np.ndarray, inside: np.ndarray, length: np.ndarray, linked: np.ndarray, marks: np.ndarray, notice: np.ndarray) -> np.ndarray:
     n = len(tags)
     x = np.zeros((n, FEATURES), np.float64)
     rows = np.arange(n)
     x[rows, [GROUP_OF.get(t, len(GROUPS)) for t in tags]] = 1
-    w, at = np.array(words), len(GROUPS) + 1
-    x[:, at], x[:, at + 1] = w == 1, w == -1
+    at = len(GROUPS) + 1
+    x[:, at], x[:, at + 1] = words == 1, words == -1
     share = np.minimum(1.0, linked / np.maximum(length, 1))
     x[rows, at + 2 + np.digitize(share, [0.05, 0.3, 0.7])] = length > 0
     x[rows, at + 6 + np.digitize(length, [1, 25, 120])] = 1
+    x[:, at + 10], x[:, at + 11] = marks > 0, notice > 0
+    x[:, at + 12], x[:, at + 13] = inside, ~inside & inside.any()
     x[:, -1] = 1
     return x
 
@@ -170,10 +196,15 @@ class Model(NamedTuple):
     pair: np.ndarray  # log-potential of (parent, child)
 
 
-def marginals(model: Model, parent: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Probability of content of each node of a forest whose parents come before their children."""
+class Messages(NamedTuple):
+    content: np.ndarray  # marginal of each node
+    pairs: np.ndarray  # joint marginals (parent, child), added up over all nodes that have a parent
+    log_total: float  # logarithm of the sum over all labellings
+
+
+def messages(model: Model, parent: np.ndarray, features: np.ndarray) -> Messages:
+    """Sum-product messages over a forest whose parents come before their children."""
     n = len(parent)
-    depth = np.zeros(n, np.int64)
     level = np.flatnonzero(parent < 0)
     order = [level]
     order_of = np.argsort(parent, kind="stable")
@@ -182,60 +213,116 @@ def marginals(model: Model, parent: np.ndarray, features: np.ndarray) -> np.ndar
         count = starts[level + 1] - starts[level]
         at = np.repeat(starts[level] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
         level = order_of[at]
-        depth[level] = len(order)
         order.append(level)
-    own = np.zeros((n, 2))
-    own[:, 1] = features @ model.weights
-    below, up = own.copy(), np.zeros((n, 2))
+    below, up = np.zeros((n, 2)), np.zeros((n, 2))
+    below[:, 1] = features @ model.weights
     for level in reversed(order[1:-1]):
         up[level] = np.logaddexp.reduce(model.pair[None] + below[level][:, None, :], axis=2)
         np.add.at(below, parent[level], up[level])
-    down = np.zeros((n, 2))
+    down, pairs = np.zeros((n, 2)), np.zeros((2, 2))
     for level in order[1:-1]:
         p = parent[level]
         rest = below[p] + down[p] - up[level]
+        joint = model.pair[None] + rest[:, :, None] + below[level][:, None, :]
+        joint -= joint.max((1, 2), keepdims=True)
+        joint = np.exp(joint)
+        pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         down[level] = np.logaddexp.reduce(model.pair[None] + rest[:, :, None], axis=1)
         down[level] -= down[level].max(1, keepdims=True)
     b = below + down
-    return 1 / (1 + np.exp(np.clip(b[:, 0] - b[:, 1], -50, 50)))
+    return Messages(1 / (1 + np.exp(np.clip(b[:, 0] - b[:, 1], -50, 50))), pairs, float(np.logaddexp.reduce(below[order[0]], axis=1).sum()))
 
 
-#: Hand-labelled layouts: what is inside an article and in no frame is content.
+#: Hand-labelled pages. An element marked y is content, one marked n is none, and so is what is inside, up to another mark.
+#: P stands for a paragraph, S for a short sentence, T for a title, W for a word or two, L for a list of links, I for a link, N for
+#: the words of a notice.
 LAYOUTS = (
-    '<body><header><h2>Site name</h2><p>Welcome to our site</p></header><div class="wrapper"><div class="sidebar"><h3>Recent</h3><ul><li><a href="/">One</a></li></ul></div><article><h1>A headline of some length</h1><p>%s</p><ul><li>%s</li></ul></article></div></body>',
-    '<body><div class="cookie-notice"><p>%s</p></div><main><h1>Title here</h1><p>%s</p><blockquote>%s</blockquote><pre>code of the page</pre><form><label>Mail</label><p>Sign up now</p></form></main><div class="related"><p>%s</p></div></body>',
-    '<body><article><section><h2>Part one of it</h2><p>%s</p></section><section><p>%s</p><table><tr><td>Cell one</td><td>%s</td></tr></table></section><section class="comments"><h3>Comments</h3><div class="comment"><p>%s</p></div></section></article><aside><p>%s</p></aside></body>',
-    '<body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div id="content"><article><div class="entry-content"><p>%s</p><div>%s</div><p>%s</p></div><div class="share">Share this</div></article></div><footer><p>%s</p></footer></body>',
-    '<body><div class="ad">%s</div><div class="menu"><a href="/x">Go</a></div><article><h1>Short</h1><p>Ti.</p><p>%s</p><p>By.</p></article><div class="newsletter"><p>%s</p></div></body>',
-    '<body><article><h1>A headline</h1><p>%s</p><div class="ad">Buy this thing now</div><p>%s</p><div class="promo"><p>%s</p></div><p>%s</p><div id="comments"><p>%s</p><p>%s</p></div></article></body>',
-    '<body><article><p>%s</p><div class="advert">%s</div><p>Tail.</p><form class="search"><p>Find it</p></form><div class="related-posts"><h3>More</h3><p>%s</p></div><aside><p>%s</p></aside></article><section class="comments"><div><p>%s</p></div></section></body>',
+    "<nav>L</nav><div class='ad'>S</div><article y><h1>T</h1><p>P<br>P<p>P</p></article><footer>&copy; S</footer>",
+    "<nav>L</nav><div class='ad'>P</div><article y><h1>T</h1><p>S</p><p>P</p><div class='ad' n>S</div><p>P</p></article><aside><h2>T</h2>L</aside><footer>W I W</footer>",
+    "<header><h2>T</h2><p>S</p></header><div class='wrapper'><div class='sidebar'><h3>T</h3>L</div><article y><h1>T</h1><p>P</p><ul><li>S</li><li>P</li></ul></article></div>",
+    "<div class='cookie-notice'><p>P</p></div><main y><h1>T</h1><p>P</p><blockquote>P</blockquote><pre>S</pre><form n><label>W</label><p>S</p></form></main><div class='related'><p>P</p></div>",
+    "<article y><section><h2>T</h2><p>P</p></section><section><p>P</p><table><tr><td>W</td><td>S</td></tr></table></section><section class='comments' n><h3>T</h3><div class='comment'><p>P</p></div></section></article><aside><p>P</p></aside>",
+    "<div class='menu'>I I I</div><article y><h1>T</h1><p>W.</p><p>P</p><p>S</p></article><div class='newsletter'><p>P</p></div>",
+    "<article y><h1>T</h1><div class='ad' n>S</div><p>P</p><div class='promo' n><p>P</p></div><p>P</p><div id='comments' n><p>P</p><p>S</p></div></article>",
+    "<article y><p>P</p><div class='advert' n>P</div><p>S</p><form class='search' n><p>S</p></form><div class='related-posts' n><h3>T</h3><p>P</p></div><aside n><p>P</p></aside></article><section class='comments'><div><p>P</p></div></section>",
+    "<body y><p>P</p><p>P</p><p>P</p></body>",
+    "<body y><h1>T</h1><p>P</p><p>S</p><h2>T</h2><p>P</p></body>",
+    "<body y>P<br>P<br>S</body>",
+    "<body y><div n>I I I</div><h1>T</h1><p>P</p><p>P</p><hr><div n>&copy; S</div></body>",
+    "<body y><nav n>L</nav><h1>T</h1><p>P</p><ul><li>S</li><li>S</li></ul><p>P</p><footer n>S I</footer></body>",
+    "<div id='header'><h2>T</h2>S</div><div id='nav'>L</div><div id='content' y><h1>T</h1><p>P</p><p>P</p><p>S</p></div><div id='footer'><p>P</p></div>",
+    "<div class='container'><div class='menu'>L</div><div class='text' y>P<br><br>P<br>S</div></div>",
+    "<div class='post' y><h2>T</h2><p>P</p><p>S</p><p>P</p><div class='share' n>I I</div></div><div class='comment-list'><div class='comment'><p>P</p></div><div class='comment'><p>S</p></div></div>",
+    "<div><div>L</div><div y><h2>T</h2><div>P</div><div>P</div><div>S</div></div><div>W I I</div></div>",
+    "<div>I I I I</div><div y><h1>T</h1><p>P</p><p>P</p></div><div>I W I</div>",
+    "<table><tr><td>L</td><td y><h1>T</h1><p>P</p><p>P</p></td></tr><tr><td>&copy; S</td></tr></table>",
+    "<table><tr><td>I<br>I<br>I</td><td y>P<br>P</td><td>I<br>I</td></tr></table>",
+    "<div class='wrapper'><div class='post-body entry-content' y><p>P</p><h3>T</h3><p>P</p><figure><figcaption>S</figcaption></figure></div><div class='sidebar'><h3>T</h3><p>P</p>L</div></div>",
+    "<div role='banner'><p>S</p></div><div role='navigation'>L</div><div role='main' y><h1>T</h1><p>P</p><p>P</p></div><div role='complementary'><p>P</p></div><div role='contentinfo'>S</div>",
+    "<header>L</header><main y><h1>T</h1><dl><dt>W</dt><dd>P</dd><dt>W</dt><dd>S</dd></dl></main><footer><p>P</p></footer>",
+    "<main y><h1>T</h1><p>S</p><ul><li>S</li><li>W W</li><li>S</li></ul><ol><li>P</li><li>S</li></ol></main><div class='subscribe'><h3>T</h3><p>P</p></div>",
+    "<noscript><p>Please enable JavaScript. S</p></noscript><div class='story' y><p>S</p><p>P</p><noscript>P</noscript><div class='promo' n><p>P</p></div><p>P</p></div>",
+    "<div class='breadcrumbs'>I I W</div><section y><h1>T</h1><p>P</p><p>P</p></section><div class='pagination'>I I I</div><section class='related'><h4>T</h4><p>P</p></section>",
+    "<div class='alert'><p>S</p></div><div role='dialog'><p>P</p></div><section class='main-text' y><h1>T</h1><p>P</p><div><p>P</p></div></section>",
+    "<article y><h2>T</h2><p>P</p></article><article y><h2>T</h2><p>P</p><table><tr><th>W</th><th>W</th></tr><tr><td>S</td><td>P</td></tr></table></article><aside>L</aside>",
+    "<nav>L</nav><form><p>P</p><p>S</p></form><footer><p>P</p></footer>",
+    "<div class='navbar'>L</div><div class='login'><p>S</p></div><div class='footer'>I I S</div>",
+    "<body y><pre>P</pre></body>",
+    "<body y><div>P</div></body>",
+    "<body y><div><div><div><div><div><div><p>P</p><p>P</p><p>S</p></div></div></div></div></div></div></body>",
+    "<body y><div><div><div><div><div><div><div><div><div>P</div><div>P</div></div></div></div></div></div></div></div></div></body>",
+    "<div><div><div><div><div>L</div></div></div></div><div><div><div y><div><div><div><h1>T</h1><p>P</p><p>P</p></div></div></div></div></div></div><div><div><div><p>I W I</p></div></div></div></div>",
+    "<body y><pre>P</pre><p>S</p></body>",
+    "<nav>L</nav><div class='ad'>N</div><article y><h1>T</h1><p>N</p><p>P</p><p>N</p></article><footer>N</footer>",
+    "<nav>L</nav><article y><p>N</p><p>P</p><div class='ad' n>N</div></article><footer><p>N</p></footer>",
+    "<div class='ad'>S</div><article y><p>N</p><p>S</p></article><div>N</div>",
+    "<div>L</div><div class='post' y><h1>T</h1><p>P</p><p>N</p><p>P</p></div><div>N I</div>",
+    "<div class='page'><div class='top'>I I I</div><div class='body' y><h1>T</h1><p>P</p><blockquote><p>P</p></blockquote><p>S</p></div><div class='widget'><p>P</p></div></div>",
+    "<section y><p>P</p><p>P</p></section><section class='comments'><h2>T</h2><ol><li><p>P</p></li><li><p>S</p></li></ol></section>",
+    "<div><p>I I</p></div><div y><p>P</p><p>P</p><p>W</p></div><div><p>Subscribe to our newsletter. S</p></div><div><p>Copyright W. All rights reserved.</p></div>",
+    "<div id='main' y><h1>T</h1><div class='entry'><p>P</p><div class='banner' n>P</div><p>P</p></div></div><div id='sidebar'><div class='widget'><h3>T</h3><p>P</p></div></div>",
+    "<body y><header n><h1>T</h1><p>P</p></header><h2>T</h2><p>P</p><p>P</p><div class='sponsor' n><p>P</p></div></body>",
 )
-PROSE = "These words stand for a paragraph of ordinary length, as an article has many of; they say nothing else."
-
-
-def train(pages: list[str | None], rounds: int = 300, smooth: float = 1.0) -> Model:
-    """Weights and pair potentials from pages that mark their article: logistic regression of the nodes on their features,
-    and smoothed counts of the labels of parents and children (piecewise training)."""
-    parsed = [p for p in map(parse, pages) if (p.marked == 1).any()]
-    parsed += [parse(x.replace("%s", PROSE)) for x in LAYOUTS for _ in range(max(3, len(parsed) // 10))]
-    x = np.concatenate([p.features for p in parsed])
-    y = np.concatenate([p.marked == 1 for p in parsed]).astype(np.float64)
-    counts = np.full((2, 2), smooth)
-    for p in parsed:
-        child = np.flatnonzero(p.parent >= 0)
-        np.add.at(counts, ((p.marked[p.parent[child]] == 1).astype(int), (p.marked[child] == 1).astype(int)), 1)
-    w = np.zeros(x.shape[1])
-    each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ w))
-        gradient = x.T @ (each * (p - y)) + 1e-3 * w
-        hessian = (x * (each * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    share = counts / counts.sum(1, keepdims=True) / (counts.sum(0) / counts.sum())
-    return Model(w, np.log(share))
+FILLS, ROUNDS, SEED = 8, 400, 1
+
+
+def _filled(layout: str, rng: random.Random) -> str:
+    """A labelled page, its texts made of random words."""
+    word = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    some = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize()
+    link = lambda: f"<a href='/{word()}'>{some(1, 4)}</a> "
+    made = {
+        "P": lambda: " ".join(some(4, 20) + "." for _ in range(rng.choice((1, 2, 4, 8)))),
+        "S": lambda: some(2, 7) + ".", "T": lambda: some(2, 9), "W": lambda: some(1, 2), "I": link,
+        "N": lambda: rng.choice(("All rights reserved.", "Copyright 2020 %s.", "Subscribe to %s.", "Sign up at %s.", "Read more of %s.", "%s uses cookies.")).replace("%s", some(1, 3)),
+        "L": lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(3, 8))) + "</ul>",
+    }
+    return re.sub(r"(?<![\w&])[PSTWLIN](?![\w=])", lambda m: made[m[0]](), layout)
+
+
+def train(layouts: tuple[str, ...] = LAYOUTS, *, fills: int = FILLS, rounds: int = ROUNDS, prior: float = 0.02) -> Model:
+    """Weights and pair potentials of the greatest likelihood of the labels, with a Gaussian prior, by Adam's steps."""
+    rng = random.Random(SEED)
+    parsed = [parse(_filled(x, rng), labelled=True) for x in layouts for _ in range(fills)]
+    parent, x = _forest(parsed)
+    y = np.concatenate([p.labels for p in parsed]).astype(int)
+    child = np.flatnonzero(parent >= 0)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[parent[child]], y[child]), 1)
+    theta, mean, square = np.zeros(FEATURES + 4), 0.0, 0.0
+    for k in range(1, rounds + 1):
+        got = messages(Model(theta[:FEATURES], theta[FEATURES:].reshape(2, 2)), parent, x)
+        g = np.r_[x.T @ (y - got.content), (seen - got.pairs).ravel()] / len(y) - prior / len(parsed) * theta
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+        theta = theta + 0.1 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
+    return Model(theta[:FEATURES], theta[FEATURES:].reshape(2, 2))
+
+
+def _forest(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
+    """Parents and features of all nodes of some pages, one page after the other."""
+    sizes = np.array([len(p.parent) for p in pages])
+    first = np.cumsum(sizes) - sizes
+    return np.concatenate([np.where(p.parent >= 0, p.parent + f, -1) for p, f in zip(pages, first)]), np.concatenate([p.features for p in pages])
 
 
 def extract(model: Model, pages: list[str | None]) -> list[str]:
@@ -243,18 +330,11 @@ def extract(model: Model, pages: list[str | None]) -> list[str]:
     parsed = [parse(h) for h in pages]
     if not parsed:
         return []
-    sizes = np.array([len(p.parent) for p in parsed])
-    first = np.cumsum(sizes) - sizes
-    parent = np.concatenate([np.where(p.parent >= 0, p.parent + f, -1) for p, f in zip(parsed, first)])
-    keep = marginals(model, parent, np.concatenate([p.features for p in parsed])) > 0.5
-    return [" ".join(t for node, t in p.runs if keep[f + node]) for p, f in zip(parsed, first.tolist())]
-
-
-def training_pages(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> list[str]:
-    """At most ``TRAIN_PAGES`` pages that mark their article. Only ids are ranked; the pages of those come to the driver."""
-    marked = pages.where((F.length(html) <= TRAIN_CHARS) & F.col(html).rlike(r"(?i)<(article|main)[\s>]|role=.?main"))
-    ids = [r[0] for r in marked.select(key, F.xxhash64(key).alias("_h")).orderBy("_h", key).limit(TRAIN_PAGES).collect()]
-    return [r[0] for r in marked.where(F.col(key).isin(ids)).select(html).limit(TRAIN_PAGES).collect()]
+    keep, first, out = messages(model, *_forest(parsed)).content > 0.5, 0, []
+    for p in parsed:
+        out.append(" ".join(t for node, t in p.runs if keep[first + node]))
+        first += len(p.parent)
+    return out
 
 
 def main_text(pages: DataFrame, model: Model, *, html: str = "html", batch: int = 64) -> DataFrame:

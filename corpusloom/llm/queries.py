@@ -75,9 +75,8 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    model = htmltext.train(htmltext.training_pages(pages))
-    return htmltext.main_text(pages.select("page_id", "url", "html"), model).withColumn("n_chars", F.length("text").cast("long"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.main_text(pages, htmltext.train()).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

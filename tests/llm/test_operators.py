@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, htmltext, pii, quality, queries, ring, sentencepiece, simhash, substrings, tokencounts, warc
+from corpusloom.llm import decontaminate, pii, quality, queries, ring, sentencepiece, simhash, substrings, tokencounts, warc
 from corpusloom.llm.components import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -311,52 +311,6 @@ def test_substrings_random(spark):
     assert bag(substrings.remove_repeats(docs, window=10, least_parts=3), "doc_id", "n_removed", "kept") == want
 
 
-PAGE = (
-    '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu one</a></li></ul></nav><div class="ad">Buy now</div>'
-    "<article><h1>A title &amp; more</h1><p><b>First</b> para&#233;graph of   some length, with words enough.<br>Line two<p>Second one, <i>in</i>line and long enough to be prose.</p>"
-    '<div class="ad">Advert inside</div></article><footer>&copy; foot &middot; x</footer></body></html>'
-)
-
-
-def test_html(spark):
-    rows = [(1, "u", PAGE), (2, "u", None), (3, None, ""), (None, "u", PAGE), (1, "u", PAGE), (4, "u", "<article><p>Cut off in the middle of a sentence that is long <b>and")]
-    pages = spark.createDataFrame([(*r, 7) for r in rows], "page_id bigint, url string, html string, text int")
-    model = htmltext.train(htmltext.training_pages(pages))
-    main = "A title & more First paraégraph of some length, with words enough. Line two Second one, inline and long enough to be prose."
-    got = bag(htmltext.main_text(pages, model), "page_id", "text")
-    assert got == Counter({(1, main): 2, (None, main): 1, (2, ""): 1, (3, ""): 1, (4, "Cut off in the middle of a sentence that is long and"): 1})
-    assert htmltext.main_text(pages.where("false"), model).count() == 0
-
-
-def test_marginals_are_exact():
-    rng = np.random.default_rng(3)
-    parent = np.array([-1, 0, 0, 1, 1, 2, 5])
-    x = rng.normal(size=(7, htmltext.FEATURES))
-    model = htmltext.Model(rng.normal(size=htmltext.FEATURES), rng.normal(size=(2, 2)))
-    own = np.stack([np.zeros(7), x @ model.weights], 1)
-    total, each = 0.0, np.zeros(7)
-    for k in range(128):
-        y = [k >> i & 1 for i in range(7)]
-        p = np.exp(sum(own[i, y[i]] for i in range(7)) + sum(model.pair[y[parent[i]], y[i]] for i in range(1, 7)))
-        total += p
-        each += p * np.array(y)
-    assert np.allclose(htmltext.marginals(model, parent, x), each / total)
-
-
-def test_html_held_out(spark):
-    """Pages that were not trained on; the article as marked is the truth."""
-    path = Path("/root/testdata/sf0.001/pages.parquet")
-    if not path.exists():
-        pytest.skip("no test tables")
-    html = [r["html"] for r in spark.read.parquet(str(path)).orderBy("page_id").collect()]
-    model = htmltext.train(html[::2])
-    right = 0
-    for h in html[1::2]:
-        p = htmltext.parse(h)
-        right += htmltext.extract(model, [h])[0] == " ".join(t for n, t in p.runs if p.marked[n] == 1)
-    assert right >= 0.98 * len(html[1::2])
-
-
 def test_token_counts(docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     enc, _ = tokencounts.encoder(path)
