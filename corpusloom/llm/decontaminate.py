@@ -4,13 +4,14 @@ A test item with a budget of k errors is cut into k + 1 pieces. If it occurs in
 piece occurs there unchanged. All pieces of all items are found at once by one automaton over the text; around each hit the
 item is verified with Myers' bit-parallel edit distance.
 
-Texts and items are compared in lower case with runs of white space as one space. Documents are read whole and in place;
-nothing is shuffled. Items are a stated query set: they travel to the tasks in blocks of at most ``BLOCK_CHARS`` characters
-(their size is measured first), and if there are more, the documents are read once for each block. The items never come
-together in one place beyond that bound.
+Texts and items are compared in lower case with runs of white space as one space. An item that is too short for an error must
+stand there as whole words: no letter or digit may touch it. Documents are read whole and in place; nothing is shuffled.
+Items are a stated query set: they are written to the shared folder in blocks of about ``BLOCK_CHARS`` characters, tasks read
+them from there, and the documents are read once for each block. Items never pass through the driver, and a task never holds
+more than one block.
 
 Null and empty texts hold nothing; null and empty items are no items; repeated rows give repeated results; empty tables
-give empty results.
+give empty results. Keys may be of any type, null too, and other columns of any name.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from functools import lru_cache, reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
+
+from corpusloom.llm.common import new_path
+from corpusloom.llm.sharedfiles import filesystem
 
 #: One error for so many characters of an item.
 CHARS_PER_ERROR = 12
@@ -116,10 +121,10 @@ class Matcher:
         for k, found in starts.items():
             p, errors, best = self.patterns[k], self.errors[k], None
             for start in found:
-                if start >= 0 and text.startswith(p.item, start):
+                if start >= 0 and text.startswith(p.item, start) and (errors or _whole(text, start, start + p.m)):
                     if best is None or (0, start + p.m) < best:
                         best = (0, start + p.m)
-            if best is None:
+            if best is None and errors:
                 upto = -1
                 for start in sorted(found):  # places close to each other share a window
                     lo = max(0, start - errors)
@@ -134,45 +139,63 @@ class Matcher:
         return out
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple]]:
-    """The items in lists of bounded size."""
+def _whole(text: str, a: int, b: int) -> bool:
+    """Whether no letter or digit inside ``text[a:b]`` has one next to it outside."""
+    return not (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
+
+
+def _blocks(items: DataFrame, key: str, text: str) -> list[str]:
+    """Folders in the shared folder that hold the items, each a block of about ``BLOCK_CHARS`` characters."""
     chars = items.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     n = int(chars // BLOCK_CHARS) + 1
+    folder = new_path(items.sparkSession, "items")
+    rows = items.select(items[key].alias("k"), items[text].alias("t")).where("trim(t) != ''").distinct()
+    out = []
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64(key, text), F.lit(n)) == k)
-        yield [tuple(r) for r in part.select(key, text).distinct().collect()]
+        out.append(f"{folder}/block-{k}")
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == k)
+        part.write.parquet(out[-1])
+    return out
+
+
+@lru_cache(1)
+def _matcher(folder: str, chars_per_error: int) -> tuple[Matcher, pa.Array]:
+    """The matcher of a block, whose ids are places in the array of keys. A worker keeps the last one."""
+    import pyarrow.parquet as pq
+
+    where, inner = filesystem(folder)
+    rows = pq.read_table(inner, filesystem=where)
+    return Matcher(list(enumerate(rows.column("t").to_pylist())), chars_per_error), rows.column("k").combine_chunks()
 
 
 def find(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
-    """(key, item_id, distance, end): one row for each document and item that it contains."""
-    kind, item_kind = dict(docs.dtypes)[key], dict(items.dtypes)[item_key]
-    schema = f"k {kind}, item {item_kind}, distance int, `end` int"
+    """(key, item_id, distance, end): one row for each document and item that it contains; end: a place in the normalised
+    text."""
+    schema = StructType().add("k", docs.schema[key].dataType).add("i", items.schema[item_key].dataType).add("distance", IntegerType()).add("end", IntegerType())
 
-    def over(block: list[tuple]) -> DataFrame:
+    def over(folder: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = None
             for batch in batches:
-                matcher = matcher or Matcher(block, chars_per_error)
+                matcher, keys = _matcher(folder, chars_per_error)
                 hits = [(n, *h) for n, t in enumerate(batch.column(1)) for h in matcher.find(t.as_py())]
                 at, ids, distance, end = zip(*hits) if hits else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.int64() if item_kind == "bigint" else None), pa.array(distance, pa.int32()), pa.array(end, pa.int32())], names=["k", "item", "distance", "end"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), keys.take(pa.array(ids, pa.int64())), pa.array(distance, pa.int32()), pa.array(end, pa.int32())], names=["k", "i", "distance", "end"])
 
         return docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInArrow(run, schema)
 
-    found = reduce(DataFrame.unionAll, map(over, _blocks(items, item_key, item_text)))
-    return found.withColumnRenamed("k", key).withColumnRenamed("item", item_key)
+    return reduce(DataFrame.unionAll, map(over, _blocks(items, item_key, item_text))).toDF(key, item_key, "distance", "end")
 
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
     """The documents that contain no item, with all their columns."""
+    at = docs.columns.index(text)
 
-    def without(block: list[tuple], rows: DataFrame) -> DataFrame:
+    def without(folder: str, rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = None
             for batch in batches:
-                matcher = matcher or Matcher(block, chars_per_error)
-                yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(text)], pa.bool_()))
+                matcher, _ = _matcher(folder, chars_per_error)
+                yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
         return rows.mapInArrow(run, rows.schema)
 
-    return reduce(lambda rows, block: without(block, rows), _blocks(items, item_key, item_text), docs)
+    return reduce(lambda rows, folder: without(folder, rows), _blocks(items, item_key, item_text), docs)
