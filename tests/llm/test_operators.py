@@ -307,9 +307,14 @@ def test_substrings(docs, rows, empty):
     assert bag(substrings.remove_repeats(docs, least_parts=4), "doc_id", "n_words", "n_removed", "kept") == want
     assert sum(k[2] > 0 for k in want) >= 4
     assert substrings.remove_repeats(empty, least_parts=4).count() == 0
+    with pytest.raises(TypeError):
+        substrings.remove_repeats(docs, key="lang")
 
 
-def test_substrings_random(spark):
+@pytest.mark.parametrize("way", ["plain", "routes", "clashes"])
+def test_substrings_random(spark, way):
+    """Also with more parts than routes, so that messages are passed on in small lots, and with a first hash that clashes."""
+    more = {"plain": {"least_parts": 2}, "routes": {"least_parts": 16, "routes": 2, "split": 50}, "clashes": {"least_parts": 4, "bits": 3}}[way]
     rng = random.Random(8)
     pool = [[rng.choice("abcdefgh") for _ in range(rng.randint(3, 30))] for _ in range(12)]
     rows = [(k, " ".join(w for _ in range(rng.randint(0, 9)) for w in rng.choice(pool))) for k in range(60)]
@@ -324,7 +329,7 @@ def test_substrings_random(spark):
         w = x.split()
         gone = {j for k in range(len(w) - 9) if first[tuple(w[k : k + 10])] < i for j in range(k, k + 10)}
         want[i, len(gone), " ".join(y for k, y in enumerate(w) if k not in gone)] += 1
-    assert bag(substrings.remove_repeats(docs, window=10, least_parts=3), "doc_id", "n_removed", "kept") == want
+    assert bag(substrings.remove_repeats(docs, window=10, **more), "doc_id", "n_removed", "kept") == want
 
 
 def test_token_counts(docs, rows, empty):
