@@ -106,8 +106,11 @@ def nearest_filled(mapping: DataFrame, keys: list[str], *, is_start: bool, size:
 
 
 def improve_span(tokens: Column, start: Column, end: Column, answer: Column) -> Column:
-    """struct(start, end): the first inner span, starts ascending and ends descending, whose tokens joined by spaces are the
-    tokenised answer; else the span itself."""
-    tries = F.flatten(F.transform(F.sequence(start, end), lambda s: F.transform(F.reverse(F.sequence(s, end)), lambda e: F.struct(s.alias("start"), e.alias("end")))))
-    good = F.filter(tries, lambda p: F.array_join(F.slice(tokens, p["start"] + 1, p["end"] - p["start"] + 1), " ") == answer)
-    return F.coalesce(F.get(good, F.lit(0)), F.struct(start.alias("start"), end.alias("end")))
+    """struct(start, end): the first inner span whose tokens joined by spaces are the tokenised answer; else the span itself.
+    Tokens hold no spaces, so a span has as many tokens as the answer, and each place is looked at once."""
+    size = F.size(F.split(answer, " "))
+    last = end - size + 1
+    places = F.when(last >= start, F.sequence(start, F.greatest(last, start))).otherwise(F.array().cast("array<int>"))
+    good = F.filter(places, lambda s: F.array_join(F.slice(tokens, s + 1, size), " ") == answer)
+    first = F.get(good, F.lit(0))
+    return F.when(first.isNotNull(), F.struct(first.alias("start"), (first + size - 1).alias("end"))).otherwise(F.struct(start.alias("start"), end.alias("end")))

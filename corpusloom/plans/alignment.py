@@ -118,10 +118,9 @@ def nearest_filled(spark, sf_dir):
     return longs(s.join(e, [*KEYS, "pos"]), "pos", "s", "e")
 
 
-@query("improve_span", f"WITH {SIDES}, q AS (SELECT doc_id, line_no, w, least(len(w), 9) - 1 AS e FROM w WHERE len(w) >= 2), t AS (SELECT doc_id, line_no, w, e, unnest(range(0, e + 1)) AS s FROM q), u AS (SELECT *, unnest(range(s, e + 1)) AS x FROM t), g AS (SELECT doc_id, line_no, s, x, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY s, x DESC) AS n FROM u WHERE array_to_string(w[s + 1:x + 1], ' ') = w[2] || coalesce(' ' || w[3], '')) SELECT q.doc_id, q.line_no, coalesce(g.s, 0) AS \"start\", coalesce(g.x, q.e) AS \"end\" FROM q LEFT JOIN g ON q.doc_id = g.doc_id AND q.line_no = g.line_no AND g.n = 1")
+@query("improve_span", f"WITH {SIDES}, u AS (SELECT doc_id, line_no, pos, piece, lead(piece) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS nxt FROM tok), a AS (SELECT doc_id, line_no, w[2] AS one, w[3] AS two, len(w) - 1 AS e FROM w WHERE len(w) >= 2), g AS (SELECT a.doc_id, a.line_no, min(pos) AS s FROM a JOIN u ON a.doc_id = u.doc_id AND a.line_no = u.line_no AND u.piece = a.one AND (a.two IS NULL OR u.nxt = a.two) GROUP BY ALL) SELECT a.doc_id, a.line_no, coalesce(g.s, 0)::BIGINT AS \"start\", coalesce(g.s + (a.two IS NOT NULL)::INT, a.e)::BIGINT AS \"end\" FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.line_no = g.line_no")
 def improve_span(spark, sf_dir):
-    """A line's first nine words hold the answer that its second and third are."""
+    """A whole line holds the answer that its second and third words are."""
     rows = lines(spark, sf_dir).withColumn("w", T.words("line")).where("size(w) >= 2")
-    end = F.least(F.size("w"), F.lit(9)) - 1
-    got = A.improve_span(F.col("w"), F.lit(0), end, F.array_join(F.slice("w", 2, 2), " "))
+    got = A.improve_span(F.col("w"), F.lit(0), F.size("w") - 1, F.array_join(F.slice("w", 2, 2), " "))
     return longs(rows.select(*KEYS, got.alias("g")).select(*KEYS, "g.start", "g.end"), "start", "end")
