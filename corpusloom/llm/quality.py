@@ -126,9 +126,10 @@ def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> DataFrame:
-    """The rows with all measures, base_failed, failed_rules and kept."""
-    m = docs.withColumn("_m", measures(docs[text]))
-    m = m.withColumns(_values(F.col("_m"))).drop("_m")
+    """The rows with all measures, base_failed, failed_rules and kept. A column of ``docs`` that has one of these names gives
+    way to it; the text is read before, so it may be one of them. ``keep`` returns all columns as they were."""
+    m = docs.withColumn("__quality", measures(docs[text]))
+    m = m.withColumns(_values(F.col("__quality"))).drop("__quality")
     v = {k: F.col(k) for k in MEASURES}
     failed = F.array_compact(F.array(*[F.when(~_bounds(r, v), F.lit(r.name)) for r in rules]))
     m = m.withColumns({"base_failed": _base_failed(v), "failed_rules": failed})

@@ -139,6 +139,9 @@ def test_quality(docs, rows, empty):
     assert bag(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
     assert bag(quality.keep(docs), "doc_id") == bag(got.where("kept"), "doc_id")
     assert quality.keep(docs).columns == docs.columns and quality.keep(empty).count() == 0
+    odd = docs.select("doc_id", F.col("text").alias("n_words"), F.lit("mine").alias("kept"), F.lit(1).alias("_m"))
+    assert bag(quality.measure(odd, text="n_words"), "doc_id", "n_words", "kept", "_m") == bag(got.withColumn("_m", F.lit(1)), "doc_id", "n_words", "kept", "_m")
+    assert bag(quality.keep(odd, text="n_words"), "doc_id", "n_words", "kept", "_m") == bag(got.where("kept"), "doc_id", "text", F.lit("mine"), F.lit(1))
     assert not any("Python" in line or "Arrow" in line for line in got._jdf.queryExecution().executedPlan().toString().splitlines())
 
 
@@ -192,6 +195,15 @@ def test_ring(docs, rows, empty):
     assert max(sizes) - min(sizes) <= 1 and ring.assign(empty, 5).count() == 0
 
 
+def test_ring_plain(spark, docs, rows):
+    """Bounds hold with equal and null keys, and all that is moved by one more shard is measured for the registered setting."""
+    place = {n: {r["id"]: r["shard"] for r in ring.assign(spark.range(4000).select("id", F.lit("t").alias("text")), n, key="id").collect()} for n in (16, 17)}
+    for n, p in place.items():
+        sizes = Counter(p.values())
+        assert set(sizes) == set(range(n)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert sum(place[16][k] != place[17][k] for k in range(4000)) < 0.2 * 4000
+
+
 def test_ring_bounds_and_movement(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"))
     a = {r["doc_id"]: r["shard"] for r in ring.assign(docs, 8, load=1.25).collect()}
@@ -402,3 +414,18 @@ def xxhash_of_long(i):
     """Spark's xxhash64 of a long."""
     h = xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)
     return h - (1 << 64) if h >> 63 else h
+
+
+def test_quality_sql(spark):
+    """The registered query and its SQL."""
+    path = Path("/root/testdata/sf0.001")
+    if not path.exists():
+        pytest.skip("no test tables")
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet{'/*.parquet' if (path / 'documents.parquet').is_dir() else ''}'")
+    r = c.execute(queries.ORACLES["op2_quality"])
+    names = [d[0] for d in r.description]
+    got = queries.QUERIES["op2_quality"](spark, str(path))
+    assert sorted(names) == sorted(got.columns) and bag(got, *names) == Counter(r.fetchall())
