@@ -57,7 +57,11 @@ def _longest_run(a: np.ndarray | None, b: np.ndarray | None) -> int:
     place = {x: k for k, x in enumerate(dict.fromkeys(x for x in b if x is not None))}
     y, best, row = np.array([place.get(x, -2) for x in b]), 0, np.zeros(len(b) + 1, np.int64)
     for x in a:
-        row[1:] = np.where(y == place.get(x, -1), row[:-1] + 1, 0)
+        k = place.get(x)
+        if k is None:
+            row[:] = 0
+            continue
+        row[1:] = (row[:-1] + 1) * (y == k)
         best = max(best, int(row.max()))
     return best
 
