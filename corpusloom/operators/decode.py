@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
+
 
 def top_n(rows: DataFrame, keys: list[str], scores: str, n: int) -> DataFrame:
     """(keys, idx, score, rank): the ``n`` largest scores of an array, ties by place; inside the row, without a shuffle."""
@@ -23,11 +25,28 @@ def match_results(features: DataFrame, scores: DataFrame, key: str = "unique_id"
     return features.join(scores, key)
 
 
-def span_candidates(rows: DataFrame, keys: list[str], starts: str, ends: str, n: int, longest: int) -> DataFrame:
-    """(keys, s, e, score): pairs of the ``n`` best starts and ends with s <= e < s + longest. At most n * n a row."""
-    a = top_n(rows, keys, starts, n).select(*keys, F.col("idx").alias("s"), F.col("score").alias("a"))
-    b = top_n(rows, keys, ends, n).select(*keys, F.col("idx").alias("e"), F.col("score").alias("b"))
-    return a.join(b, keys).where(f"e >= s AND e < s + {longest}").select(*keys, "s", "e", (F.col("a") + F.col("b")).alias("score"))
+def span_candidates(rows: DataFrame, keys: list[str], starts: str, ends: str, n: int, longest: int, *, n_tokens: Column | None = None, source: Column | None = None, max_context: Column | None = None) -> DataFrame:
+    """(keys, s, e, score): pairs of the ``n`` best starts and ends with s <= e < s + longest. At most n * n a row, made
+    inside it, without a shuffle. Of the best, places from ``n_tokens`` on, places without a source token (``source``: array,
+    null for none) and starts that have their most context in another window (``max_context``: array of booleans) do not count."""
+
+    def best(scores: str, is_start: bool) -> Column:
+        def good(p: Column) -> Column:
+            out = F.lit(True)
+            if n_tokens is not None:
+                out = out & (p["idx"] < n_tokens)
+            if source is not None:
+                out = out & F.get(source, p["idx"]).isNotNull()
+            if max_context is not None and is_start:
+                out = out & F.coalesce(F.get(max_context, p["idx"]), F.lit(False))
+            return out
+
+        pairs = F.transform(scores, lambda s, i: F.struct((-s).alias("neg"), i.alias("idx")))
+        return F.filter(F.slice(F.array_sort(pairs), 1, n), good)
+
+    found = rows.select(*keys, F.explode(best(starts, True)).alias("_a"), best(ends, False).alias("_ends")).select(*keys, "_a", F.explode("_ends").alias("_b"))
+    out = found.select(*keys, F.col("_a.idx").alias("s"), F.col("_b.idx").alias("e"), (-F.col("_a.neg") - F.col("_b.neg")).alias("score"))
+    return out.where(f"e >= s AND e < s + {longest}")
 
 
 def span_beam(rows: DataFrame, keys: list[str], start_idx: str, start_score: str, end_idx: str, end_score: str, k: int, longest: int) -> DataFrame:
@@ -64,9 +83,22 @@ def null_answer(best: DataFrame, nulls: DataFrame, question: list[str], threshol
     return both.select(*question, F.when(F.col("_null") - F.col("score") > threshold, "").otherwise(F.col("text")).alias("text"))
 
 
-def span_text(tokens: Column, start: Column, end: Column) -> Column:
-    """The source tokens of a span, joined by spaces."""
-    return F.array_join(F.slice(tokens, start + 1, end - start + 1), " ")
+def span_text(tokens: Column, start: Column, end: Column, sep: str = " ") -> Column:
+    """The source tokens of a span, joined."""
+    return F.array_join(F.slice(tokens, start + 1, end - start + 1), sep)
+
+
+def final_text(pieces: Column, source: Column) -> Column:
+    """The part of ``source`` that predicted pieces (``##`` before those that go on) stand for, in its own letter case and
+    spaces. The source is tokenised, the prediction is found in it, and characters are matched one to one, spaces apart; where
+    that fails the whole source is the answer (so, too, where the source itself has ``##``)."""
+    said = F.replace(F.array_join(pieces, ""), F.lit("##"), F.lit(""))
+    plain = F.array_join(T.basic_tokenize(source), "")
+    places = F.filter(F.transform(F.split(source, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: ~x["c"].isin("", " "))
+    at = F.instr(plain, said) - 1
+    first, last = F.get(places, at)["i"], F.get(places, at + F.length(said) - 1)["i"]
+    good = (F.length(said) > 0) & (at >= 0) & (F.size(places) == F.length(plain))
+    return F.when(good, F.substring(source, first + 1, last - first + 1)).otherwise(source)
 
 
 def assign_argmax(scores: DataFrame, blank: list[str]) -> DataFrame:

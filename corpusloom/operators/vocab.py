@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.sinks import scratch
 
 SPECIALS = ("[UNK]", "[PAD]", "[CLS]", "[SEP]", "[MASK]")
 ALPHABET = T.LITERALS + "❁❄❂❃❅"
+#: Pieces that tasks hold at most.
+MAX_HELD = 500_000
 
 
 def ranked(counts: DataFrame, size: int, *, token: str = "token", n: str = "n", specials: tuple[str, ...] = SPECIALS) -> DataFrame:
@@ -67,35 +73,66 @@ def decode_overlap(vocab: DataFrame, book: DataFrame, raw: DataFrame, sep: str =
     return vocab.agg(F.count("*").alias("tokens")).join(good.agg(F.count("*").alias("decodable"), F.coalesce(F.sum("raw"), F.lit(0)).alias("in_raw")), F.lit(True))
 
 
+def _staged(rows: DataFrame, name: str) -> DataFrame:
+    """The rows from a written table in the shared folder: plans do not grow with the rounds, and lost executors cost no round."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _dealt(words: DataFrame) -> DataFrame:
+    """The words as a written table, dealt over as many files as a shuffle has parts: work on them is far more than reading."""
+    spark = words.sparkSession
+    return _staged(words.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))), "words")
+
+
+def _sure(rows: list[tuple[str, str, int]], batch: int) -> list[tuple[str, str, int]]:
+    """The longest run of the best pairs that merging one pair a round would take in this order, whatever it makes on its way.
+
+    A pair that a merge of (a, b) newly makes is no more frequent than a present neighbour of a or b, that is a pair that
+    shares a symbol with it. So pairs are taken up to the first that shares one with a pair before it, and, as equals are
+    ordered by their symbols, without those of that one's frequency. Only (a, a) makes pairs out of itself: it ends the run.
+    ``rows``: at most ``batch + 1`` of the best pairs, in order.
+    """
+    taken, used, next_n = [], set(), 0
+    for a, b, n in rows:
+        if len(taken) == batch or {a, b} & used:
+            next_n = n
+            break
+        taken.append((a, b, n))
+        if a == b:
+            if len(taken) > 1:  # left to a round of its own
+                taken.pop()
+                next_n = n
+            break
+        used |= {a, b}
+    return taken[:1] + [t for t in taken[1:] if t[2] > next_n]
+
+
 def train_bpe(words: DataFrame, merges: int, *, batch: int = 8, checkpoint_every: int = 1) -> DataFrame:
-    """(rank, left, right, n): merges of pairs in order of their weight. ``words``: (word, n), distinct.
+    """(rank, left, right, n): merges of pairs in order of their frequency, ties by symbols. ``words``: (word, n), distinct.
 
-    A round counts neighbouring pairs over distinct words and merges the best, and further ones as long as they share no
-    symbol with a better one, so that the order is that of one merge a round up to pairs that a merge newly makes. What is
-    collected is at most ``batch`` pairs a round.
+    A round counts neighbouring pairs over distinct words and merges as many of the best as surely come next
+    (:func:`_sure`), so the order is that of one merge a round for every ``batch``. What is collected is at most
+    ``batch + 1`` pairs a round; every ``checkpoint_every`` rounds the words are written.
     """
     spark = words.sparkSession
-    now = words.select(F.filter(F.split("word", ""), lambda c: c != "").alias("s"), "n")
+    now = _dealt(words.select(F.filter(F.split("word", ""), lambda c: c != "").alias("s"), "n"))
     out: list[tuple] = []
     rounds = 0
     while len(out) < merges:
         pair = F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))
         counts = now.where(F.size("s") > 1).select(F.explode(pair).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
-        best, used = [], set()
-        for r in counts.orderBy(F.desc("n"), "a", "b").limit(batch).collect():
-            if {r["a"], r["b"]} & used:
-                break
-            used |= {r["a"], r["b"]}
-            best.append((r["a"], r["b"], r["n"]))
-        best = best[: merges - len(out)]
-        if not best or best[0][2] < 2:
+        rows = [tuple(r) for r in counts.where("n > 1").orderBy(F.desc("n"), "a", "b").limit(batch + 1).collect()]
+        best = _sure(rows, batch)[: merges - len(out)]
+        if not best:
             break
         for a, b, n in best:
             out.append((len(out), a, b, n))
             now = now.withColumn("s", _merged(F.col("s"), a, b))
         rounds += 1
         if rounds % checkpoint_every == 0:
-            now = now.checkpoint() if spark.sparkContext.getCheckpointDir() else now.persist()
+            now = _staged(now, "bpe")
     return spark.createDataFrame(out, "rank int, left string, right string, n bigint")
 
 
@@ -107,71 +144,115 @@ def _merged(s, a: str, b: str):
     return F.filter(F.split(whole, mark), lambda x: x != "")
 
 
-def _expected(words, scores: dict[str, float], longest: int) -> dict[str, float]:
-    """Expected uses of each piece over weighted words, by forward and backward sums of segmentations."""
-    import math
-
-    out: dict[str, float] = {}
-    for word, weight in words:
-        n = len(word)
-        fwd, bwd = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-
-        def add(x: float, y: float) -> float:
-            return max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
-
-        arcs = [(a, b, scores[word[a:b]]) for a in range(n) for b in range(a + 1, min(n, a + longest) + 1) if word[a:b] in scores]
-        for a, b, s in arcs:
-            fwd[b] = add(fwd[b], fwd[a] + s)
-        for a, b, s in reversed(arcs):
-            bwd[a] = add(bwd[a], s + bwd[b])
-        if fwd[n] == -math.inf:
-            continue
-        for a, b, s in arcs:
-            p = math.exp(fwd[a] + s + bwd[b] - fwd[n])
-            if p > 1e-9:
-                out[word[a:b]] = out.get(word[a:b], 0.0) + weight * p
-    return out
+def _expected(n: int, arcs: list[tuple[int, int, float]]) -> list[float]:
+    """The probability of each arc (start, stop, score), sorted by start, over all ways from 0 to ``n``; none if there is none."""
+    low = -math.inf
+    fwd, bwd = [0.0] + [low] * n, [low] * n + [0.0]
+
+    def add(x: float, y: float) -> float:
+        return max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > low else max(x, y)
+
+    for a, b, s in arcs:
+        fwd[b] = add(fwd[b], fwd[a] + s)
+    for a, b, s in reversed(arcs):
+        bwd[a] = add(bwd[a], s + bwd[b])
+    return [math.exp(fwd[a] + s + bwd[b] - fwd[n]) for a, b, s in arcs] if fwd[n] > low else []
+
+
+def _uses(batches, arcs_of):
+    """(token, n): expected uses of pieces in the words of each batch."""
+    for pdf in batches:
+        out: dict[str, float] = {}
+        for word, weight, arcs in arcs_of(pdf):
+            for (a, b, _), p in zip(arcs, _expected(len(word), arcs)):
+                if p > 1e-9:
+                    out[word[a:b]] = out.get(word[a:b], 0.0) + weight * p
+        yield pd.DataFrame({"token": list(out), "n": list(out.values())}, columns=["token", "n"])
+
+
+def _estimate(words: DataFrame, pieces: DataFrame, longest: int, held: int) -> DataFrame:
+    """(token, n): expected uses of ``pieces`` (token, score) over weighted words. Up to ``held`` pieces are held by tasks; more
+    are joined to the substrings of the words. Both give the same rows."""
+    rows = pieces.select("token", "score").limit(held + 1).collect()
+    if len(rows) <= held:
+        table = words.sparkSession.sparkContext.broadcast({r["token"]: r["score"] for r in rows})
+
+        def looked_up(pdf):
+            get = table.value.get
+            for word, weight in zip(pdf["word"], pdf["n"]):
+                n = len(word)
+                found = ((a, b, get(word[a:b])) for a in range(n) for b in range(a + 1, min(n, a + longest) + 1))
+                yield word, weight, [x for x in found if x[2] is not None]
+
+        return words.mapInPandas(lambda batches: _uses(batches, looked_up), "token string, n double")
+    cuts = _cuts(words, longest).join(pieces.select("token", "score"), "token")
+    packed = cuts.groupBy("word").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("a", "b", "score"))).alias("arcs"))
+    flat = packed.select("word", "n", "arcs.a", "arcs.b", "arcs.score")
+
+    def joined(pdf):
+        for word, weight, *arcs in zip(pdf["word"], pdf["n"], pdf["a"], pdf["b"], pdf["score"]):
+            yield word, weight, list(zip(*(x.tolist() for x in arcs)))
+
+    return flat.mapInPandas(lambda batches: _uses(batches, joined), "token string, n double")
+
+
+def _cuts(words: DataFrame, longest: int) -> DataFrame:
+    """(word, n, a, b, token): the substrings of up to ``longest`` characters."""
+    starts = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("a"))
+    stops = F.sequence(F.col("a") + 1, F.least(F.length("word"), F.col("a") + longest))
+    return starts.select("word", "n", "a", F.explode(stops).alias("b")).withColumn("token", F.substring(F.col("word"), F.col("a") + 1, F.col("b") - F.col("a")))
+
+
+def _most_used(pieces: DataFrame, least: int, size: int) -> DataFrame:
+    """The pieces without the least used: at least ``least`` of them and all as frequent as these, on a scale of 64 steps to
+    an octave that is counted as a whole; exactly ``size`` where that many are wanted or the scale tells nothing apart."""
+    if least > size:
+        step = pieces.withColumn("_step", F.floor(F.log2("n") * 64))
+        kept, cut = 0, None
+        counts = step.groupBy("_step").agg(F.count("*").alias("n")).orderBy(F.desc("_step")).collect()
+        for r in counts:
+            kept, cut = kept + r["n"], r["_step"]
+            if kept >= least:
+                break
+        if kept < sum(r["n"] for r in counts):
+            return step.where(F.col("_step") >= cut).drop("_step")
+    return pieces.orderBy(F.desc("n"), "token").limit(size)
 
 
-def train_unigram(words: DataFrame, size: int, *, longest: int = 8, seeds: int = 20_000, rounds: int = 2, keep: float = 0.5) -> DataFrame:
-    """(token, score): pieces of a unigram model and their log-probabilities. ``words``: (word, n), distinct.
+def train_unigram(words: DataFrame, size: int, *, longest: int = 16, rounds: int = 2, keep: float = 0.5, specials: tuple[str, ...] = (), held: int = MAX_HELD) -> DataFrame:
+    """(token, score): ``size`` pieces of a unigram model and their log-probabilities, all letters and ``specials`` (score 0)
+    among them; fewer if the words have fewer, more only if there are more letters. ``words``: (word, n), distinct; empty ones
+    do not count.
 
-    Seeds are all characters and the substrings of most characters covered; each round estimates expected uses over the
-    distinct words and then drops the least used, until ``size`` are left. What tasks hold is the current table of pieces,
-    ``seeds`` of them at most beside the characters.
+    Seeds are the letters and every substring of up to ``longest`` characters that occurs twice or more; none is left out
+    for its number. A round estimates expected uses over the distinct words ``rounds`` times and then drops the least used,
+    keeping ``keep`` of them, until ``size`` are left. Pieces are a written table; what comes to the driver is a histogram of
+    their frequencies, and what tasks hold is at most ``held`` pieces (more are joined).
     """
-    import math
-
-    import pandas as pd
-
-    spark = words.sparkSession
-    places = F.sequence(F.lit(1), F.length("word"))
-    cuts = words.where("word != ''").select("n", "word", F.explode(places).alias("a")).select("n", "word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("a") + 1))).alias("k"))
-    counts = cuts.groupBy(F.expr("substring(word, a, k)").alias("token")).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
-    letters = [(r["token"], float(r["n"])) for r in counts.where("length(token) = 1").collect()]
-    longer = counts.where("length(token) > 1 AND n > 1").orderBy(F.desc(F.col("n") * F.length("token")), "token").limit(seeds)
-    freq = dict(letters) | {r["token"]: float(r["n"]) for r in longer.collect()}
-    single = {t for t, _ in letters}
-
-    def scored(f: dict[str, float]) -> dict[str, float]:
-        total = sum(f.values()) or 1.0
-        return {t: math.log(max(n, 1e-3) / total) for t, n in f.items()}
+    words = _dealt(words.where("word != ''").select("word", "n"))
+    tall = F.length("token") > 1
+    freq = _cuts(words, longest).groupBy("token").agg(F.sum("n").cast("double").alias("n")).where((F.col("n") > 1) | ~tall)
+    freq = _staged(freq, "pieces")
+    letters = freq.where(~tall).select("token")
+    n_letters = letters.count()
+    wanted = max(size - len(specials) - n_letters, 0)
+
+    def scored(f: DataFrame) -> DataFrame:
+        total = f.agg(F.sum("n").alias("_total")).first()["_total"] or 1.0
+        return f.select("token", F.log(F.greatest("n", F.lit(1e-3)) / total).alias("score"))
 
     while True:
         for _ in range(rounds):
-            held = spark.sparkContext.broadcast(scored(freq))
-
-            def estimate(batches, held=held):
-                for b in batches:
-                    got = _expected(zip(b["word"], b["n"]), held.value, longest)
-                    yield pd.DataFrame({"token": list(got), "n": list(got.values())}, columns=["token", "n"])
-
-            new = words.mapInPandas(estimate, "token string, n double").groupBy("token").agg(F.sum("n").alias("n"))
-            freq = {r["token"]: r["n"] for r in new.collect()}
-            freq |= {t: 1e-3 for t in single if t not in freq}
-        if len(freq) <= max(size, len(single)):
+            new = _estimate(words, scored(freq), longest, held).groupBy("token").agg(F.round(F.sum("n"), 6).alias("n")).where("n > 0")
+            more = letters.join(new, "token", "left_anti").withColumn("n", F.lit(1e-3))
+            freq = _staged(new.unionByName(more), "pieces")
+        others = freq.where(tall)
+        n_others = others.count()
+        if n_others <= wanted:
+            break
+        least = int(keep * n_others)
+        freq = _staged(freq.where(~tall).unionByName(_most_used(others, least, wanted)), "pieces")
+        if least <= wanted:
             break
-        left = max(size - len(single), int(keep * (len(freq) - len(single))))
-        best = sorted((t for t in freq if t not in single), key=lambda t: (-freq[t], t))[:left]
-        freq = {t: freq[t] for t in [*single, *best]}
-    return spark.createDataFrame(sorted(scored(freq).items(), key=lambda x: (-x[1], x[0])), "token string, score double")
+    head = words.sparkSession.createDataFrame([(s, 0.0) for s in specials], "token string, score double")
+    return head.unionByName(scored(freq))

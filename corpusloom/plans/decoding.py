@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import decode as D
 from corpusloom.plans.base import query, table
 
@@ -44,11 +45,15 @@ def match_results(spark, sf_dir):
     return D.match_results(features, vectors(spark, sf_dir).select(F.col("vec_id").alias("unique_id"), "label"))
 
 
-CAND = f"{VEC}, ta AS MATERIALIZED {TOP.format(c='a')}, tb AS MATERIALIZED {TOP.format(c='b')}, cand AS (SELECT x.vec_id, x.vec_id // 3 AS q, x.idx AS s, y.idx AS e, x.s + y.s AS score FROM ta x JOIN tb y ON x.vec_id = y.vec_id WHERE y.idx >= x.idx AND y.idx < x.idx + 30)"
+CAND = f"{VEC}, ta AS MATERIALIZED {TOP.format(c='a')}, tb AS MATERIALIZED {TOP.format(c='b')}, cand AS (SELECT x.vec_id, x.vec_id // 3 AS q, x.idx AS s, y.idx AS e, x.s + y.s AS score FROM ta x JOIN tb y ON x.vec_id = y.vec_id WHERE y.idx >= x.idx AND y.idx < x.idx + 30 AND greatest(x.idx, y.idx) < 20 + x.vec_id % 40 AND least(x.idx, y.idx) >= 2 + x.vec_id % 3 AND (x.idx + x.vec_id) % 7 <> 0)"
 
 
 def candidates(spark, sf_dir):
-    c = D.span_candidates(vectors(spark, sf_dir), ["vec_id"], "a", "b", 5, 30)
+    """Features of 20 to 59 tokens after a query of two to four; one start in seven has more context in another window."""
+    at, v = F.sequence(F.lit(0), F.size("a") - 1), F.col("vec_id")
+    source = F.transform(at, lambda i: F.when(i >= 2 + v % 3, i - 2 - v % 3))
+    context = F.transform(at, lambda i: (i + v) % 7 != 0)
+    c = D.span_candidates(vectors(spark, sf_dir), ["vec_id"], "a", "b", 5, 30, n_tokens=20 + v % 40, source=source, max_context=context)
     return c.select("vec_id", F.floor(F.col("vec_id") / 3).cast("long").alias("q"), F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), "score")
 
 
@@ -97,13 +102,18 @@ def span_single(spark, sf_dir):
     return best.select("vec_id", "b.s", "b.e")
 
 
-@query("span_text", f"WITH {CAND}, w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), d AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, s, e) AS n FROM cand) SELECT doc_id, coalesce(array_to_string(w[s + 1:e + 1], ' '), '') AS answer FROM d JOIN w ON doc_id = vec_id WHERE n = 1")
-def span_text(spark, sf_dir):
-    from corpusloom.functions import text as T
+PLAIN = "list_filter(string_split_regex(regexp_replace(array_to_string(list_transform(string_split(lower(o), ''), lambda c: CASE WHEN c = 'ß' THEN c ELSE strip_accents(c) END), ''), '([" + T.PUNCT + "])', ' \\1 ', 'g'), '\\s+'), lambda x: x <> '')"
+
 
+@query("span_text", f"WITH {CAND}, w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), d AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, s, e) AS n FROM cand), o AS (SELECT doc_id, coalesce(array_to_string(w[s + 1:e + 1], ' '), '') AS o FROM d JOIN w ON doc_id = vec_id WHERE n = 1), t AS (SELECT doc_id, o, {PLAIN} AS t FROM o), p AS (SELECT doc_id, o, array_to_string(t, '') AS tok, flatten(list_transform(t, lambda x: list_transform(range((length(x) + 2) // 3), lambda i: CASE WHEN i = 0 THEN '' ELSE '##' END || x[3 * i + 1:3 * i + 3]))) AS p FROM t), said AS (SELECT *, replace(array_to_string(CASE doc_id % 3 WHEN 1 THEN p[2:] WHEN 2 THEN p[1:greatest(len(p) - 1, 0)] ELSE p END, ''), '##', '') AS said, list_filter(range(1, length(o) + 1), lambda i: o[i] <> ' ') AS c FROM p) SELECT doc_id, CASE WHEN coalesce(said, '') = '' OR instr(tok, said) = 0 OR len(c) <> length(tok) THEN o ELSE o[c[instr(tok, said)]:c[instr(tok, said) + length(said) - 1]] END AS answer FROM said")
+def span_text(spark, sf_dir):
+    """Answers predicted in pieces of three letters: whole spans, spans without their first and spans without their last piece."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), T.words("text").alias("w"))
-    both = span_single(spark, sf_dir).join(docs, "vec_id")
-    return both.select(F.col("vec_id").alias("doc_id"), D.span_text(F.col("w"), F.col("s"), F.col("e")).alias("answer"))
+    both = span_single(spark, sf_dir).join(docs, "vec_id").select(F.col("vec_id").alias("doc_id"), D.span_text(F.col("w"), F.col("s"), F.col("e")).alias("source"))
+    cut = lambda t: F.transform(F.regexp_extract_all(t, F.lit("(?s).{1,3}"), 0), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("##"), p)))
+    both = both.withColumn("pieces", F.flatten(F.transform(T.basic_tokenize("source"), cut)))
+    some = F.when(F.col("doc_id") % 3 == 1, F.slice("pieces", F.lit(2), F.size("pieces"))).when(F.col("doc_id") % 3 == 2, F.slice("pieces", F.lit(1), F.greatest(F.size("pieces") - 1, F.lit(0)))).otherwise(F.col("pieces"))
+    return both.select("doc_id", D.final_text(some, F.col("source")).alias("answer"))
 
 
 CHOICE = f"{VEC}, ch AS (SELECT vec_id // 6 AS passage, vec_id % 6 AS blank, unnest(range(6)) AS choice, unnest(a[1:6]) AS score FROM vec)"

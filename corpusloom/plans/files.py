@@ -49,15 +49,18 @@ def read_sentence_docs(spark, sf_dir):
     return R.sentence_docs(spark, path).groupBy("sentence", F.col("sent_no").cast("long").alias("sent_no")).agg(F.count("*").alias("n"))
 
 
-@query("read_books", "SELECT source, array_to_string(list_sort(list_filter(list_transform(string_split(string_agg(text, chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '')), ' ') AS text FROM documents GROUP BY source")
+#: Documents of a book.
+BOOK = 1024
+
+
+@query("read_books", f"SELECT source, doc_id // {BOOK} AS book, array_to_string(list_filter(list_transform(string_split(string_agg(text, chr(10) ORDER BY doc_id), chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS text FROM documents GROUP BY ALL")
 def read_books(spark, sf_dir):
-    """A folder, and so a book, of each source; the order of lines in it is not kept, so lines are compared sorted."""
+    """A book, and so a file, of at most ``BOOK`` documents of a source in order, however many a source has."""
     path = S.scratch(spark, "books")
-    docs(spark, sf_dir).select("source", F.col("text").alias("value")).repartition("source").write.partitionBy("source").text(path)
-    got = R.books(spark, path).select(F.regexp_extract("file", "source=([^/]+)", 1).alias("source"), "file")
-    whole = spark.read.text(path, wholetext=True).select("source", "value")
-    body = F.array_sort(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != ""))
-    return whole.join(got.select("source").distinct(), "source").select("source", F.array_join(body, " ").alias("text"))
+    rows = docs(spark, sf_dir).select("source", F.floor(F.col("doc_id") / BOOK).alias("book"), "doc_id", F.col("text").alias("value"))
+    rows.repartition("source", "book").sortWithinPartitions("source", "book", "doc_id").drop("doc_id").write.partitionBy("source", "book").text(path)
+    part = lambda name: F.regexp_extract("file", f"{name}=([^/]+)", 1)
+    return R.books(spark, path).select(part("source").alias("source"), part("book").cast("long").alias("book"), "text")
 
 
 @query("read_wiki_extract", "SELECT array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: rtrim(x)), lambda x: x <> ''), ' ') AS text, count(*) AS n FROM documents GROUP BY 1")

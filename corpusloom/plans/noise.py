@@ -45,7 +45,7 @@ def noise_same_shape(spark, sf_dir):
     return N.noisy(items(spark, sf_dir), ["item_id"], "text", N.groups(book(spark, "wubi"), drop_punct=True), 300, 11)
 
 
-RATES = [0, 100, 200, 300, 400, 500]
+RATES = [0, 100, 200, 300, 400, 500, 1000]
 SWEEP = " UNION ALL ".join(f"SELECT '{k}' AS kind, {r} AS rate, item_id, text, changed, chars FROM ({noisy_sql(s, r, 5)})" for k, s in (("sound", "pinyin"), ("shape", "wubi")) for r in RATES)
 
 

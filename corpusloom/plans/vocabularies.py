@@ -113,4 +113,4 @@ def train_bpe(spark, sf_dir):
 
 @query("train_unigram")
 def train_unigram(spark, sf_dir):
-    return V.train_unigram(word_counts(spark, sf_dir).select(F.col("token").alias("word"), "n"), 1000)
+    return V.train_unigram(word_counts(spark, sf_dir).select(F.col("token").alias("word"), "n"), 22_675, specials=V.SPECIALS)
