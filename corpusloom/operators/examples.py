@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
+
+# Fixed values.
 FILLER = "无效答案，仅作填充"
+LEADING_MARKS = ("。", "，", "：", ":", ".", ",")
+BLANK, BLANK_SIZE = "[unused1]", 4
 
 
 def truncate_pair(a: Column, b: Column, most: Column | int) -> tuple[Column, Column]:
@@ -78,6 +83,49 @@ def answer_shift(text: Column, start: Column, answer: Column, reach: int = 3) ->
     return start + F.coalesce(F.get(hit, F.lit(0)), F.lit(0))
 
 
+def reading_span(text: Column, given: Column, answer: Column) -> Column:
+    """struct(start, stop, matches): first and last token (:func:`T.reader_tokens`) of an answer whose start is given in
+    characters. While the text there is not the answer the start goes back by a character, three times at most; white space
+    and then one mark at the start are left out. ``matches`` tells whether the tokens are the answer, white space apart."""
+    size, most = F.length(answer), F.least(F.lit(3), given)
+    hit = F.filter(F.sequence(F.lit(0), most), lambda d: F.substring(text, given - d + 1, size) == answer)
+    begin = (given - F.coalesce(F.get(hit, F.lit(0)), most)).cast("int")
+    rest = F.substring(text, begin + 1, F.length(text))
+    first = begin + F.length(F.regexp_extract(rest, "^[ \t\r\n]*", 0))
+    token_at = lambda p: F.size(T.reader_tokens(F.substring(text, F.lit(1), p + 1))) - 1
+    tokens, at, stop = T.reader_tokens(text), token_at(first), token_at(begin + size - 1)
+    start = at + F.coalesce(F.get(tokens, at).isin(*LEADING_MARKS), F.lit(False)).cast("int")
+    said = F.array_join(F.slice(tokens, start + 1, F.greatest(stop - start + 1, F.lit(0))), "")
+    return F.struct(start.alias("start"), stop.alias("stop"), (said == F.regexp_replace(answer, r"(?U)\s", "")).alias("matches"))
+
+
+def cloze_examples(rows: DataFrame, keys: list[str], text: str, options: str, labels: DataFrame) -> DataFrame:
+    """(keys, blank, tag, tokens, options, answer): a row for each idiom blank of a record, with the record's options and the
+    answer of its tag, null where ``labels`` (keys, tag, answer) have none."""
+    tokens = T.blank_tokens(text)
+    cut = rows.select(*keys, F.col(options).alias("options"), tokens.alias("tokens"))
+    tags = F.filter("tokens", lambda t: t.rlike(f"^{T.IDIOM}$"))
+    blanks = cut.select("*", F.posexplode(tags).alias("blank", "tag"))
+    return blanks.join(labels.select(*keys, "tag", "answer"), [*keys, "tag"], "left").select(*keys, "blank", "tag", "tokens", "options", "answer")
+
+
+def option_tokens(option: Column, definition: Column, most: int = 32) -> Column:
+    """An option's tokens and, after a colon, those of its definition, ``most`` in all."""
+    return F.slice(F.concat(option, F.array(F.lit("：")), definition), 1, most)
+
+
+def cloze_tokens(option: Column, tokens: Column, tag: Column, most: int) -> Column:
+    """[CLS] option [SEP] left [unused1] right [SEP], at most ``most`` tokens: the window round the blank, in which other
+    blanks are masks of ``BLANK_SIZE``; what these take too much is cut at the far ends."""
+    left, right = around(tokens, (F.array_position(tokens, tag) - 1).cast("int"), F.lit(most) - F.size(option) - 4)
+    mask = F.array_repeat(F.lit("[MASK]"), BLANK_SIZE)
+    masked = lambda side: F.flatten(F.transform(side, lambda t: F.when(t.rlike(f"^{T.IDIOM}$"), mask).otherwise(F.array(t))))
+    m_left = masked(left)
+    near = F.slice(m_left, F.size(m_left) - F.size(left) + 1, F.size(left))
+    one = lambda t: F.array(F.lit(t))
+    return F.concat(one("[CLS]"), option, one("[SEP]"), near, one(BLANK), F.slice(masked(right), F.lit(1), F.size(right)), one("[SEP]"))
+
+
 def around(tokens: Column, pos: Column, n: Column | int) -> tuple[Column, Column]:
     """(left, right) tokens of a window of ``n`` round a place; where one side is short the other gets more."""
     n = n if isinstance(n, Column) else F.lit(n)
@@ -94,6 +142,12 @@ def labels_bmes(labels: Column) -> Column:
     return F.transform(labels, lambda x: F.regexp_replace(x, "^[ME]-", "I-"))
 
 
+def without_first(rows: DataFrame, key: str) -> DataFrame:
+    """The records without the first, as the formats that are read this way begin with one that is no example."""
+    first = rows.agg(F.min(key).alias("_first"))
+    return rows.join(F.broadcast(first), F.col(key) > F.col("_first")).drop("_first")
+
+
 def label_index(rows: DataFrame, label: str, names: list[str], neutral: str | None = None) -> DataFrame:
     """The rows with ``label_id``; ``-`` counts as ``neutral``."""
     value = F.when(F.col(label) == "-", neutral).otherwise(F.col(label)) if neutral else F.col(label)

@@ -20,6 +20,26 @@ def windows(rows: DataFrame, tokens: str, length: Column, stride: int) -> DataFr
     return out.withColumn("part", F.slice(F.col(tokens), F.col("start") + 1, length.cast("int")))
 
 
+def pieces_of(words: Column, cut) -> Column:
+    """array<struct<piece, source>>: the pieces of the words and the word each comes from; ``cut`` makes an array of a word."""
+    return F.flatten(F.transform(words, lambda w, i: F.transform(cut(w), lambda p: F.struct(p.alias("piece"), i.alias("source")))))
+
+
+def reading_features(rows: DataFrame, query: str, pieces: str, *, most: int, most_query: int = 64, stride: int = 128) -> DataFrame:
+    """A row for each window of ``pieces`` (see :func:`pieces_of`) after a query cut at ``most_query`` tokens, with ``window``,
+    ``start``, ``tokens`` ([CLS] query [SEP] window [SEP], ``most`` of them at most) and ``source``, an array of
+    struct(pos, source): the source word of each place of the window. A stride is never more than a window is long."""
+    if most < most_query + 4:
+        raise ValueError("a query leaves no room for the text")
+    q = rows.withColumn(query, F.slice(query, 1, most_query))
+    room = F.lit(most) - F.size(query) - 3
+    out = windows(q, pieces, room, min(stride, most - most_query - 3))
+    cls, sep = F.array(F.lit("[CLS]")), F.array(F.lit("[SEP]"))
+    tokens = F.concat(cls, F.col(query), sep, F.transform("part", lambda x: x["piece"]), sep)
+    source = F.transform("part", lambda x, i: F.struct((i + F.size(query) + 2).alias("pos"), x["source"].alias("source")))
+    return out.withColumns({"tokens": tokens, "source": source})
+
+
 def max_context(parts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, window): for each place the window in which it has most context on its shorter side, the first of
     equals. ``parts``: (keys, window, start, size)."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import examples as E
-from corpusloom.plans.base import query, table
+from corpusloom.plans.base import HANZI, LATIN, query, table
 
 TURN = "conversations"
 
@@ -66,11 +66,11 @@ def ex_column_layouts(spark, sf_dir):
     return rows.select("doc_id", "l.layout", F.get("cols", F.col("l.a")).alias("text_a"), F.get("cols", F.col("l.b")).alias("text_b"), F.get("cols", F.col("l.c")).alias("label"))
 
 
-@query("ex_labels_bmes", "SELECT user_id, string_agg(regexp_replace((['B-X', 'M-X', 'E-X', 'S-X', 'O'])[event_id % 5 + 1], '^[ME]-', 'I-'), ' ' ORDER BY ts, event_id) AS labels FROM events GROUP BY user_id")
+@query("ex_labels_bmes", "SELECT user_id, string_agg(regexp_replace((['B-X', 'M-X', 'E-X', 'S-X', 'O'])[event_id % 5 + 1], '^[ME]-', 'I-'), ' ' ORDER BY ts, event_id) AS labels FROM events WHERE user_id > (SELECT min(user_id) FROM events) GROUP BY user_id")
 def ex_labels_bmes(spark, sf_dir):
     label = F.get(F.split(F.lit("B-X M-X E-X S-X O"), " "), (F.col("event_id") % 5).cast("int"))
     seq = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", label.alias("l")))), lambda x: x["l"]).alias("labels"))
-    return seq.select("user_id", F.array_join(E.labels_bmes(F.col("labels")), " ").alias("labels"))
+    return E.without_first(seq, "user_id").select("user_id", F.array_join(E.labels_bmes(F.col("labels")), " ").alias("labels"))
 
 
 @query("ex_spans", "WITH d AS (SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_id % 7 AS k FROM events)) SELECT user_id, string_agg(pos || ':' || pos, ' ' ORDER BY pos) AS spans FROM d WHERE k = 4 GROUP BY user_id")
@@ -102,12 +102,25 @@ def ex_swag(spark, sf_dir):
     return choices(spark, sf_dir).select("conv_id", "turn", F.col("question").alias("context"), *[F.get("choices", F.lit(k)).alias(f"e{k}") for k in range(4)])
 
 
-@query("ex_cloze", "WITH t AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(text, '\\.', '#idiom' || lpad((conv_id % 1000000)::VARCHAR, 6, '0') || '#', 'g'), '#idiom\\d{6}#') AS tags FROM conversations) SELECT conv_id, turn, unnest(range(len(tags))) AS blank, unnest(tags) AS tag FROM t")
+#: The ends of sentences stand in for blanks, the first four words of a turn for its options.
+CLOZE = f"cz AS (SELECT conv_id, turn, w[1:4] AS options, p, list_transform(range(len(p) - 1), lambda i: '#idiom' || lpad(((conv_id * 1000 + i) % 1000000)::VARCHAR, 6, '0') || '#') AS tags FROM (SELECT conv_id, turn, string_split(text, '.') AS p, {WT} AS w FROM conversations)), ct AS (SELECT conv_id, turn, options, tags, regexp_extract_all(array_to_string(list_transform(range(len(p)), lambda i: p[i + 1] || coalesce(tags[i + 1], '')), ''), '#idiom\\d{{6}}#|[{T.CJK}{T.PUNCT}]|[^\\s{T.CJK}{T.PUNCT}]+') AS tokens FROM cz), cb AS (SELECT conv_id, turn, options, tokens, unnest(range(len(tags))) AS blank, unnest(tags) AS tag FROM ct)"
+
+
+def cloze(spark, sf_dir):
+    """One blank in five has no label."""
+    number = lambda i: F.lpad(((F.col("conv_id") * 1000 + i) % 1000000).cast("string"), 6, "0")
+    p = turns(spark, sf_dir).select("conv_id", "turn", F.slice(words(), 1, 4).alias("options"), F.split("text", r"\.").alias("p"))
+    tags = F.transform("p", lambda _, i: F.concat(F.lit("#idiom"), number(i), F.lit("#")))
+    p = p.withColumn("tags", F.slice(tags, F.lit(1), F.size("p") - 1))
+    text = F.array_join(F.transform("p", lambda s, i: F.concat(s, F.coalesce(F.get("tags", i), F.lit("")))), "")
+    labels = p.select("conv_id", "turn", F.posexplode("tags").alias("i", "tag")).where("i % 5 != 4").withColumn("answer", (F.col("conv_id") + F.col("i")) % 4)
+    return E.cloze_examples(p.withColumn("text", text), ["conv_id", "turn"], "text", "options", labels)
+
+
+@query("ex_cloze", f"WITH {CLOZE} SELECT conv_id, turn, blank, tag, list_position(tokens, tag) - 1 AS place, array_to_string(options, '|') AS options, CASE WHEN blank % 5 <> 4 THEN (conv_id + blank) % 4 END AS answer FROM cb")
 def ex_cloze(spark, sf_dir):
-    """The ends of sentences stand in for blanks."""
-    tag = F.concat(F.lit("#idiom"), F.lpad((F.col("conv_id") % 1000000).cast("string"), 6, "0"), F.lit("#"))
-    text = F.regexp_replace(F.col("text"), F.lit(r"\."), tag)
-    return turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(F.regexp_extract_all(text, F.lit(T.IDIOM), 0)).alias("blank", "tag")).withColumn("blank", F.col("blank").cast("long"))
+    rows = cloze(spark, sf_dir)
+    return rows.select("conv_id", "turn", F.col("blank").cast("long").alias("blank"), "tag", (F.array_position("tokens", F.col("tag")) - 1).alias("place"), F.array_join("options", "|").alias("options"), F.col("answer").cast("long").alias("answer"))
 
 
 READ = f"r AS (SELECT conv_id, turn, text, w[2] AS answer, greatest(instr(text, w[2]) - 1 + conv_id % 9 - 4, 0) AS given FROM (SELECT *, {WT} AS w FROM conversations) WHERE len(w) >= 2), s AS (SELECT *, list_filter([given - 3, given - 2, given - 1, given, given + 1, given + 2, given + 3], lambda p: p >= 0 AND text[p + 1:p + length(answer)] = answer) AS hit FROM r)"
@@ -124,12 +137,24 @@ def ex_reading_shift(spark, sf_dir):
     return reading(spark, sf_dir).select("conv_id", "turn", E.answer_shift(F.col("text"), F.col("given"), F.col("answer")).cast("long").alias("start"))
 
 
-@query("ex_reading", f"WITH {READ} SELECT conv_id, turn, answer, CASE WHEN len(hit) > 0 THEN len({W_SQL.format('text[1:hit[1]]')}) END AS word FROM s")
+H_SQL = f"translate(text, '{LATIN}', '{HANZI}')"
+TOKEN_SQL = f"list_filter(string_split_regex(regexp_replace({{0}}, '([{T.CJK}{T.PUNCT}])', ' \\1 ', 'g'), '\\s+'), lambda x: x <> '')".replace("{0}", "@")
+tokens_sql = lambda c: TOKEN_SQL.replace("@", c)
+SPANS = f"h AS (SELECT conv_id, turn, {H_SQL} AS text, {W_SQL.format(H_SQL)} AS w FROM conversations), a AS (SELECT *, CASE WHEN conv_id % 4 = 1 AND contains(text, '。') THEN text[instr(text, '。'):instr(text, '。') + 5] WHEN conv_id % 4 = 2 THEN ' ' || w[2] ELSE w[2] || coalesce(' ' || w[3], '') END AS answer FROM h WHERE len(w) >= 2), g AS (SELECT *, greatest(instr(text, answer) - 2 + (conv_id // 4) % 5, 0) AS given FROM a), b AS (SELECT *, given - coalesce(list_filter(range(0, least(3, given) + 1), lambda d: text[given - d + 1:given - d + length(answer)] = answer)[1], least(3, given)) AS begin FROM g), f AS (SELECT *, begin + length(regexp_extract(text[begin + 1:], '^[ \\t\\r\\n]*')) AS first, {tokens_sql('text')} AS tokens FROM b), p AS (SELECT *, len({tokens_sql('text[1:first + 1]')}) - 1 AS tok, len({tokens_sql('text[1:begin + length(answer)]')}) - 1 AS stop FROM f), s AS (SELECT *, tok + (coalesce(tokens[tok + 1], '') IN ('。', '，', '：', ':', '.', ','))::INTEGER AS start FROM p)"
+
+
+@query("ex_reading", f"WITH {SPANS} SELECT conv_id, turn, answer, start::BIGINT AS \"start\", stop::BIGINT AS stop, array_to_string(tokens[start + 1:stop + 1], '') = regexp_replace(answer, '\\s', '', 'g') AS matches FROM s")
 def ex_reading(spark, sf_dir):
-    """The number of words that begin before the answer; null where it is not found (a mismatch)."""
-    r = reading(spark, sf_dir).withColumn("at", E.answer_shift(F.col("text"), F.col("given"), F.col("answer")))
-    found = F.substring("text", F.col("at") + 1, F.length("answer")) == F.col("answer")
-    return r.select("conv_id", "turn", "answer", F.when(found, F.size(T.words(F.substring(F.col("text"), F.lit(1), F.col("at"))))).cast("long").alias("word"))
+    """Answers of two words, after a space, or from a full stop on, in texts with marks and characters; their given start is
+    up to one character early and three late."""
+    h = turns(spark, sf_dir).select("conv_id", "turn", F.translate("text", LATIN, HANZI).alias("text")).withColumn("w", words()).where("size(w) >= 2")
+    second, third, stop = F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.instr("text", "。")
+    plain = F.concat(second, F.coalesce(F.concat(F.lit(" "), third), F.lit("")))
+    kind = F.col("conv_id") % 4
+    h = h.withColumn("answer", F.when((kind == 1) & (stop > 0), F.substring(F.col("text"), stop, F.lit(6))).when(kind == 2, F.concat(F.lit(" "), second)).otherwise(plain))
+    h = h.withColumn("given", F.greatest(F.instr("text", F.col("answer")) - 2 + F.floor(F.col("conv_id") / 4) % 5, F.lit(0)).cast("int"))
+    at = h.select("conv_id", "turn", "answer", E.reading_span(F.col("text"), F.col("given"), F.col("answer")).alias("at"))
+    return at.select("conv_id", "turn", "answer", F.col("at.start").cast("long").alias("start"), F.col("at.stop").cast("long").alias("stop"), "at.matches")
 
 
 @query("ex_reading_negative", f"WITH {READ} SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN -1 ELSE hit[1] END AS \"start\" FROM s WHERE turn % 3 = 0 OR len(hit) > 0")

@@ -11,7 +11,7 @@ from corpusloom.operators import features as X
 from corpusloom.operators import tokens as K
 from corpusloom.plans.base import query, table
 from corpusloom.plans.codebooks import WORDS
-from corpusloom.plans.examples import CHOICES, WT, choices, turns, words
+from corpusloom.plans.examples import CHOICES, CLOZE, WT, choices, cloze, turns, words
 from corpusloom.plans.vocabularies import vocab_sql, word_vocab
 
 PAIR = f"p AS (SELECT conv_id, turn, {WT} AS a, list_filter(string_split(role, ''), lambda x: x <> '') AS b FROM conversations), z AS (SELECT *, len(a) AS la, len(b) AS lb FROM p), k AS (SELECT *, CASE WHEN la + lb <= 29 THEN la WHEN la <= 15 THEN la WHEN lb <= 14 THEN 29 - lb ELSE 15 END AS ka, CASE WHEN la + lb <= 29 THEN lb WHEN la <= 15 THEN 29 - la WHEN lb <= 14 THEN lb ELSE 14 END AS kb FROM z), f AS (SELECT conv_id, turn, list_concat(list_concat(['[CLS]'], a[1:ka], ['[SEP]']), list_concat(b[1:kb], ['[SEP]'])) AS tokens, ka + 2 AS first, kb + 1 AS second FROM k)"
@@ -71,12 +71,18 @@ def feat_choices(spark, sf_dir):
     return q.select("conv_id", "turn", F.col("k").cast("long").alias("k"), text_of(tokens).alias("tokens"))
 
 
-@query("feat_cloze", f"WITH q AS (SELECT conv_id, turn, w, len(w) AS n, (conv_id % len(w))::BIGINT AS pos FROM (SELECT conv_id, turn, {WT} AS w FROM conversations) WHERE len(w) > 0), s AS (SELECT *, 5 AS l, 6 AS r, n - 1 - pos AS after FROM q), k AS (SELECT *, CASE WHEN pos >= l AND after >= r THEN l WHEN pos <= l THEN pos ELSE least(pos, 11 - after) END AS kl, CASE WHEN pos >= l AND after >= r THEN r WHEN pos <= l THEN least(after, 11 - pos) ELSE after END AS kr FROM s) SELECT conv_id, turn, array_to_string(w[pos - kl + 1:pos], ' ') AS \"left\", array_to_string(w[pos + 2:pos + 1 + kr], ' ') AS \"right\" FROM k")
+CLOZE_TOKENS = "o AS (SELECT *, unnest(range(10)) AS k FROM cb), e AS (SELECT *, (list_concat([options[k + 1], '：'], string_split(options[k + 1], '')))[1:8] AS opt, list_position(tokens, tag) - 1 AS pos FROM o WHERE k < len(options)), n AS (SELECT *, 32 - len(opt) - 4 AS n, len(tokens) - 1 - pos AS after FROM e), k AS (SELECT *, CASE WHEN pos >= n // 2 AND after >= n - n // 2 THEN n // 2 WHEN pos <= n // 2 THEN pos ELSE least(pos, n - after) END AS kl, CASE WHEN pos >= n // 2 AND after >= n - n // 2 THEN n - n // 2 WHEN pos <= n // 2 THEN least(after, n - pos) ELSE after END AS kr FROM n), m AS (SELECT *, flatten(list_transform(tokens[pos - kl + 1:pos], lambda t: CASE WHEN t LIKE '#idiom%' THEN ['[MASK]', '[MASK]', '[MASK]', '[MASK]'] ELSE [t] END)) AS l, flatten(list_transform(tokens[pos + 2:pos + 1 + kr], lambda t: CASE WHEN t LIKE '#idiom%' THEN ['[MASK]', '[MASK]', '[MASK]', '[MASK]'] ELSE [t] END)) AS r FROM k), c AS (SELECT conv_id, turn, blank, k, array_to_string(list_concat(list_concat(['[CLS]'], opt, ['[SEP]']), list_concat(l[len(l) - kl + 1:], ['[unused1]']), list_concat(r[1:kr], ['[SEP]'])), ' ') AS tokens FROM m)"
+
+
+@query("feat_cloze", f"WITH {CLOZE}, {CLOZE_TOKENS} SELECT o.conv_id, o.turn, o.blank, o.k, coalesce(c.tokens, '') AS tokens, (c.tokens IS NOT NULL)::INTEGER AS mask FROM o LEFT JOIN c ON o.conv_id = c.conv_id AND o.turn = c.turn AND o.blank = c.blank AND o.k = c.k")
 def feat_cloze(spark, sf_dir):
-    """Eleven words round a blank."""
-    q = turns(spark, sf_dir).select("conv_id", "turn", words().alias("w")).where("size(w) > 0")
-    left, right = E.around(F.col("w"), (F.col("conv_id") % F.size("w")).cast("int"), 11)
-    return q.select("conv_id", "turn", text_of(left).alias("left"), text_of(right).alias("right"))
+    """A row for each of ten choices of a blank, the ones beyond the options empty and masked; an option's letters stand in for
+    its definition, cut with it at eight, and windows are of 32 tokens."""
+    rows = cloze(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    option = F.get("options", F.col("k"))
+    letters = F.filter(F.split(option, ""), lambda c: c != "")
+    tokens = E.cloze_tokens(E.option_tokens(F.array(option), letters, 8), F.col("tokens"), F.col("tag"), 32)
+    return rows.select("conv_id", "turn", F.col("blank").cast("long").alias("blank"), F.col("k").cast("long").alias("k"), F.when(option.isNotNull(), text_of(tokens)).otherwise("").alias("tokens"), option.isNotNull().cast("int").alias("mask"))
 
 
 DOCWIN = "w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT doc_id, w, len(w) AS n, 60 - doc_id % 8 AS m FROM w), win AS (SELECT doc_id, w, n, m, unnest(range(0, CASE WHEN n <= m THEN 1 ELSE (ceil((n - m) / 32) * 32)::BIGINT + 1 END, 32)) AS start FROM n)"
@@ -87,9 +93,17 @@ def doc_windows(spark, sf_dir):
     return X.windows(rows, "w", (60 - F.col("doc_id") % 8).cast("int"), 32)
 
 
-@query("feat_windows", f"WITH {DOCWIN} SELECT doc_id, start // 32 AS \"window\", start, array_to_string(w[start + 1:start + m], ' ') AS part FROM win")
+READWIN = "p AS (SELECT doc_id, w[1:least(doc_id % 9, 6)] AS q, flatten(list_transform(w, lambda x: regexp_extract_all(x, '(?s).{1,3}'))) AS pieces, flatten(list_transform(range(len(w)), lambda i: list_transform(regexp_extract_all(w[i + 1], '(?s).{1,3}'), lambda y: i))) AS src FROM w), l AS (SELECT *, 60 - len(q) - 3 AS m, len(pieces) AS n FROM p), v AS (SELECT *, unnest(range(0, CASE WHEN n <= m THEN 1 ELSE (ceil((n - m) / 32) * 32)::BIGINT + 1 END, 32)) AS start FROM l)"
+
+
+@query("feat_windows", f"WITH {DOCWIN.split(', n AS')[0]}, {READWIN} SELECT doc_id, start // 32 AS \"window\", start, array_to_string(list_concat(list_concat(['[CLS]'], q, ['[SEP]']), list_concat(pieces[start + 1:start + m], ['[SEP]'])), ' ') AS tokens, array_to_string(list_transform(range(len(pieces[start + 1:start + m])), lambda i: (i + len(q) + 2) || ':' || src[start + i + 1]), ' ') AS source FROM v")
 def feat_windows(spark, sf_dir):
-    return doc_windows(spark, sf_dir).select("doc_id", F.col("window").cast("long").alias("window"), F.col("start").cast("long").alias("start"), text_of("part").alias("part"))
+    """Questions of up to eight words, cut at six, and documents in pieces of three letters; features of 60 tokens."""
+    cut = lambda w: F.regexp_extract_all(w, F.lit("(?s).{1,3}"), 0)
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w"))
+    rows = rows.select("doc_id", F.slice("w", F.lit(1), (F.col("doc_id") % 9).cast("int")).alias("q"), X.pieces_of(F.col("w"), cut).alias("pieces"))
+    out = X.reading_features(rows, "q", "pieces", most=60, most_query=6, stride=32)
+    return out.select("doc_id", F.col("window").cast("long").alias("window"), F.col("start").cast("long").alias("start"), text_of("tokens").alias("tokens"), text_of(F.transform("source", lambda x: F.concat_ws(":", x["pos"], x["source"]))).alias("source"))
 
 
 @query("feat_single_window", f"WITH {DOCWIN} SELECT doc_id, array_to_string(w[1:m], ' ') AS part FROM n")
