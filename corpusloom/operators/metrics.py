@@ -83,6 +83,13 @@ def f1_of(run: Column, pred: Column, gold: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
+def best_f1(rows: DataFrame, keys: list[str], pred: str, answers: str) -> DataFrame:
+    """(keys, f1): the best F1 of the longest common runs with any of the ``answers`` (an array of arrays); 0 without one."""
+    each = rows.select(*keys, F.col(pred).alias("_p"), F.posexplode_outer(answers).alias("_k", "_g"))
+    scores = each.select(*keys, f1_of(_longest_runs("_p", "_g"), F.size("_p"), F.size("_g")).alias("f1"))
+    return scores.groupBy(*keys).agg(F.max("f1").alias("f1"))
+
+
 def qa_report(scored: DataFrame) -> DataFrame:
     """Percentages over all questions; ``f1`` and ``em`` are null for a question without an answer, which counts as 0."""
     pct = lambda c: 100 * F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) / F.count("*")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.examples import truncate_pair
+
 
 def draw(seed: int, n: Column | int, *keys: Column | str) -> Column:
     """An even number from 0 to n - 1 for these keys."""
@@ -42,23 +44,30 @@ def duplicate(docs: DataFrame, times: int) -> DataFrame:
     return docs.withColumn("dupe", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
 
-def pack_chunks(docs: DataFrame, key: str, sizes: str, target: int) -> DataFrame:
+def chunk_target(most: int, short_permille: int, seed: int, *keys: Column | str) -> Column:
+    """The target of a document: ``most``, or with a chance of ``short_permille`` in a thousand an even number from 2 to it."""
+    short = draw(seed, 1000, *keys, F.lit("short")) < short_permille
+    return F.when(short, 2 + draw(seed, most - 1, *keys, F.lit("target"))).otherwise(most)
+
+
+def pack_chunks(docs: DataFrame, key: str, sizes: str, target: int | Column) -> DataFrame:
     """(key, chunk, first, last): sentences are collected until their tokens reach the target or the document ends.
     ``sizes``: the numbers of tokens of a document's sentences."""
+    wanted = target if isinstance(target, Column) else F.lit(target)
 
     def one(batches):
         for pdf in batches:
             out = []
-            for k, lengths in zip(pdf[key], pdf["sizes"]):
+            for k, lengths, most in zip(pdf[key], pdf["sizes"], pdf["_most"]):
                 first, total, chunk = 0, 0, 0
                 for i, n in enumerate(lengths):
                     total += n
-                    if total >= target or i == len(lengths) - 1:
+                    if total >= most or i == len(lengths) - 1:
                         out.append((k, chunk, first, i))
                         first, total, chunk = i + 1, 0, chunk + 1
             yield pd.DataFrame(out, columns=[key, "chunk", "first", "last"])
 
-    return docs.select(key, F.col(sizes).alias("sizes")).mapInPandas(one, f"{key} {dict(docs.dtypes)[key]}, chunk bigint, first bigint, last bigint")
+    return docs.select(key, F.col(sizes).alias("sizes"), wanted.cast("long").alias("_most")).mapInPandas(one, f"{key} {dict(docs.dtypes)[key]}, chunk bigint, first bigint, last bigint")
 
 
 def next_sentence(chunks: DataFrame, docs: DataFrame, key: str, n_sentences: str, seed: int) -> DataFrame:
@@ -84,6 +93,18 @@ def front_drops(n: Column, seed: int, *keys: Column | str) -> Column:
     return F.when(n > 0, F.aggregate(coins, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(0)
 
 
+def truncate_random(a: Column, b: Column, most: int, seed: int, *keys: Column | str) -> tuple[Column, Column]:
+    """Two sequences cut to ``most`` in all: the longer loses one (the second, if equal) until they fit, each time at its front
+    or at its back with even chances."""
+    left = truncate_pair(F.size(a), F.size(b), most)
+
+    def cut(x: Column, n: Column, name: str) -> Column:
+        front = front_drops(F.size(x) - n, seed, *keys, F.lit(name))
+        return F.slice(x, (front + 1).cast("int"), n)
+
+    return cut(a, left[0], "a"), cut(b, left[1], "b")
+
+
 def masked_count(size: Column, permille: int, most: int) -> Column:
     """min(most, max(1, round(size * p))), halves to even."""
     return F.least(F.lit(most), F.greatest(F.lit(1), F.bround(size * F.lit(permille / 1000)).cast("int")))

@@ -77,19 +77,25 @@ def scored(spark, sf_dir):
     return both.withColumn("f1", M.f1_of(F.col("lcs"), F.col("p"), F.col("g")))
 
 
-@query("lcs_f1", f"WITH {PAIRS} SELECT conv_id, turn, lcs, round({F1}, 9) AS f1 FROM f")
+#: The same for the first half of the next turn.
+HALF = PAIRS.replace("AS b FROM (SELECT *,", "AS b0, b0[1:len(b0) // 2] AS b FROM (SELECT *,")
+
+
+@query("lcs_f1", f"SELECT conv_id, turn, round(max(f1), 9) AS f1 FROM (SELECT * FROM (WITH {PAIRS} SELECT conv_id, turn, {F1} AS f1 FROM f) UNION ALL SELECT * FROM (WITH {HALF} SELECT conv_id, turn, {F1} AS f1 FROM f)) GROUP BY conv_id, turn")
 def lcs_f1(spark, sf_dir):
-    return scored(spark, sf_dir).select("conv_id", "turn", F.col("lcs").cast("long").alias("lcs"), F.round("f1", 9).alias("f1"))
+    """Two answers to each turn: the next turn, and its first half."""
+    both = pairs(spark, sf_dir).withColumn("answers", F.array("b", F.slice("b", F.lit(1), F.floor(F.size("b") / 2).cast("int"))))
+    return M.best_f1(both, ["conv_id", "turn"], "a", "answers").withColumn("f1", F.round("f1", 9))
 
 
-REPORT = f"s AS (SELECT conv_id, CASE WHEN turn % 5 = 4 THEN NULL ELSE {F1} END AS f1, CASE WHEN turn % 5 = 4 THEN NULL ELSE (lcs = p AND p = g)::INTEGER END AS em, CASE turn % 4 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE 'span' END AS kind FROM f), r AS (SELECT 100 * sum(coalesce(f1, 0)) / count(*) AS f1, 100 * sum(coalesce(em, 0)) / count(*) AS em, count(*) AS total, count(*) FILTER (f1 IS NULL) AS skipped, 100.0 * sum(coalesce(em, 0)) FILTER (kind = 'YES') / count(*) FILTER (kind = 'YES') AS y, 100.0 * sum(coalesce(em, 0)) FILTER (kind = 'NO') / count(*) FILTER (kind = 'NO') AS n FROM s)"
+REPORT = f"s AS (SELECT conv_id, CASE WHEN turn % 5 = 4 THEN NULL ELSE {F1} END AS f1, CASE WHEN turn % 5 = 4 THEN NULL ELSE (lcs = p AND p = g)::INTEGER END AS em, CASE turn % 4 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' WHEN 2 THEN 'unanswerable' ELSE 'span' END AS kind FROM f), r AS (SELECT 100 * sum(coalesce(f1, 0)) / count(*) AS f1, 100 * sum(coalesce(em, 0)) / count(*) AS em, count(*) AS total, count(*) FILTER (f1 IS NULL) AS skipped, 100.0 * sum(coalesce(em, 0)) FILTER (kind = 'YES') / count(*) FILTER (kind = 'YES') AS y, 100.0 * sum(coalesce(em, 0)) FILTER (kind = 'NO') / count(*) FILTER (kind = 'NO') AS n, 100.0 * sum(coalesce(em, 0)) FILTER (kind = 'unanswerable') / count(*) FILTER (kind = 'unanswerable') AS u FROM s)"
 
 
 def questions(spark, sf_dir):
     """One in five turns is left without an answer."""
     rows, none = scored(spark, sf_dir), F.col("turn") % 5 == 4
     em = ((F.col("lcs") == F.col("p")) & (F.col("p") == F.col("g"))).cast("int")
-    kind = F.when(F.col("turn") % 4 == 0, "YES").when(F.col("turn") % 4 == 1, "NO").otherwise("span")
+    kind = F.when(F.col("turn") % 4 == 0, "YES").when(F.col("turn") % 4 == 1, "NO").when(F.col("turn") % 4 == 2, "unanswerable").otherwise("span")
     return rows.select(F.when(~none, F.col("f1")).alias("f1"), F.when(~none, em).alias("em"), kind.alias("kind"))
 
 
@@ -98,7 +104,7 @@ def qa_report(spark, sf_dir):
     return M.qa_report(questions(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("f1", "em", "average")], "total", "skipped")
 
 
-@query("qa_report_negative", f"WITH {PAIRS}, {REPORT} SELECT round(f1, 6) AS f1, total, round(y, 6) AS yes_acc, round(n, 6) AS no_acc, NULL::DOUBLE AS unanswerable_acc FROM r")
+@query("qa_report_negative", f"WITH {PAIRS}, {REPORT} SELECT round(f1, 6) AS f1, total, round(y, 6) AS yes_acc, round(n, 6) AS no_acc, round(u, 6) AS unanswerable_acc FROM r")
 def qa_report_negative(spark, sf_dir):
     out = M.qa_report_negative(questions(spark, sf_dir), "kind")
     return out.select(F.round("f1", 6).alias("f1"), "total", *[F.round(c, 6).cast("double").alias(c) for c in ("yes_acc", "no_acc", "unanswerable_acc")])

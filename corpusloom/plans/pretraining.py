@@ -44,11 +44,11 @@ def duplicate_factor(spark, sf_dir):
     return P.duplicate(table(spark, sf_dir, "documents").select("doc_id"), 5)
 
 
-CHUNK = f"RECURSIVE {SENT}, ck AS (SELECT doc_id, 1 AS i, sizes, n, sizes[1] AS total, 0 AS chunk, 0 AS first FROM n WHERE n > 0 UNION ALL SELECT doc_id, i + 1, sizes, n, CASE WHEN total >= 125 THEN 0 ELSE total END + sizes[i + 1], chunk + (total >= 125)::INTEGER, CASE WHEN total >= 125 THEN i ELSE first END FROM ck WHERE i < n), chunks AS (SELECT doc_id, chunk::BIGINT AS chunk, first::BIGINT AS first, max(i)::BIGINT - 1 AS last FROM ck GROUP BY doc_id, chunk, first)"
+CHUNK = f"RECURSIVE {SENT}, ck AS (SELECT doc_id, 1 AS i, sizes, n, CASE WHEN {d(8, 1000, 'doc_id', repr('short'))} < 100 THEN 2 + {d(8, 124, 'doc_id', repr('target'))} ELSE 125 END AS most, sizes[1] AS total, 0 AS chunk, 0 AS first FROM n WHERE n > 0 UNION ALL SELECT doc_id, i + 1, sizes, n, most, CASE WHEN total >= most THEN 0 ELSE total END + sizes[i + 1], chunk + (total >= most)::INTEGER, CASE WHEN total >= most THEN i ELSE first END FROM ck WHERE i < n), chunks AS (SELECT doc_id, chunk::BIGINT AS chunk, first::BIGINT AS first, max(i)::BIGINT - 1 AS last FROM ck GROUP BY doc_id, chunk, first)"
 
 
 def chunks(spark, sf_dir):
-    return P.pack_chunks(sentences(spark, sf_dir), "doc_id", "sizes", 125)
+    return P.pack_chunks(sentences(spark, sf_dir), "doc_id", "sizes", P.chunk_target(125, 100, 8, "doc_id"))
 
 
 @query("pack_chunks", f"WITH {CHUNK} SELECT doc_id, chunk, first, last FROM chunks")
@@ -71,11 +71,18 @@ def next_sentence(spark, sf_dir):
     return P.next_sentence(chunks(spark, sf_dir), sentences(spark, sf_dir).select("doc_id", "n"), "doc_id", "n", 9)
 
 
-@query("truncate_pair_random", f"WITH z AS (SELECT conv_id, turn, greatest(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) - 12, 0)::BIGINT AS dropped FROM conversations), x AS (SELECT conv_id, turn, dropped, unnest(range(1, greatest(dropped, 1) + 1)) AS i FROM z) SELECT conv_id, turn, dropped, CASE WHEN dropped > 0 THEN sum({d(4, 2, 'conv_id', 'turn', 'i')}) ELSE 0 END::BIGINT AS front FROM x GROUP BY conv_id, turn, dropped")
+def front_sql(x: str, n: str, name: str) -> str:
+    """Words left of a list: as many coins as words are dropped tell how many of them stand in front."""
+    front = f"coalesce(list_sum(list_transform(range(1, len({x}) - {n} + 1), lambda i: {d(4, 2, 'conv_id', 'turn', repr(name), 'i')})), 0)::BIGINT"
+    return f"array_to_string({x}[{front} + 1:{front} + {n}], ' ')"
+
+
+@query("truncate_pair_random", f"WITH p AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS a, list_filter(string_split(role, ''), lambda x: x <> '') AS b FROM conversations), k AS (SELECT *, CASE WHEN len(a) + len(b) <= 12 OR len(a) <= 6 THEN len(a) WHEN len(b) <= 6 THEN 12 - len(b) ELSE 6 END AS ka, CASE WHEN len(a) + len(b) <= 12 THEN len(b) WHEN len(a) <= 6 THEN 12 - len(a) WHEN len(b) <= 6 THEN len(b) ELSE 6 END AS kb FROM p) SELECT conv_id, turn, {front_sql('a', 'ka', 'a')} AS a, {front_sql('b', 'kb', 'b')} AS b FROM k")
 def truncate_pair_random(spark, sf_dir):
-    """How many words of a turn are dropped to leave twelve, and how many of them in front."""
-    z = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.greatest(F.size(T.words("text")) - 12, F.lit(0)).alias("dropped"))
-    return z.select("conv_id", "turn", F.col("dropped").cast("long").alias("dropped"), P.front_drops(F.col("dropped"), 4, "conv_id", "turn").cast("long").alias("front"))
+    """Words of a turn and letters of its role, twelve in all."""
+    z = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.words("text").alias("a"), F.filter(F.split("role", ""), lambda x: x != "").alias("b"))
+    a, b = P.truncate_random(F.col("a"), F.col("b"), 12, 4, "conv_id", "turn")
+    return z.select("conv_id", "turn", F.array_join(a, " ").alias("a"), F.array_join(b, " ").alias("b"))
 
 
 VOCAB = ["the", "of", "and", "to", "in"]
