@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.order import numbered
 
 MAX_HELD = 500_000
 SCHEMES = ("cangjie", "stroke", "zhengma", "wubi", "pinyin", "zhuyin")
@@ -107,8 +108,8 @@ def build_random_index(chars: DataFrame, seed: int, first: int = 10_000) -> Data
 def build_permutation(book: DataFrame, seed: int, within: Column | None = None) -> DataFrame:
     """(ch, to): a permutation of the distinct characters, inside groups of equal ``within``."""
     rows = book.withColumn("_g", F.lit(0) if within is None else within).select("ch", "_g").distinct()
-    plain = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy("ch")))
-    mixed = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(seeded(seed, "ch"), "ch")))
+    plain = numbered(rows, ["ch"], by=["_g"], name="_n")
+    mixed = numbered(rows, [seeded(seed, "ch"), "ch"], by=["_g"], name="_n")
     return plain.join(mixed.withColumnRenamed("ch", "to"), ["_g", "_n"]).select("ch", "to")
 
 

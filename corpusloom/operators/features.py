@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.examples import padded
+from corpusloom.operators.order import numbered
 
 
 def window_starts(size: Column, length: Column, stride: int) -> Column:
@@ -71,7 +72,6 @@ def sequence_features(tokens: Column, labels: Column, most: int, *, cls_at_end:
 
 def batch_trim(rows: DataFrame, order: list[str], column: str, length: str, batch: int, *, by: str) -> DataFrame:
     """Arrays cut to the longest row of their batch. Batches are of ``batch`` rows in order within each ``by``."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    numbered = rows.withColumn("batch", F.floor(n / batch).cast("long"))
+    placed = numbered(rows, order, by=[by], name="_place").withColumn("batch", F.floor(F.col("_place") / batch).cast("long")).drop("_place")
     longest = F.max(length).over(Window.partitionBy(by, "batch"))
-    return numbered.withColumn("longest", longest).withColumn(column, F.slice(F.col(column), F.lit(1), F.col("longest")))
+    return placed.withColumn("longest", longest).withColumn(column, F.slice(F.col(column), F.lit(1), F.col("longest")))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from corpusloom.operators.order import numbered
+
 
 def _n(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0))
@@ -34,13 +36,12 @@ def matthews(rows: DataFrame, pred: str, gold: str) -> DataFrame:
 
 
 def pearson_spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Both correlations and their mean. Ranks come from the counts of distinct values, so one global order is needed only
-    over those."""
+    """Both correlations and their mean. Ranks come from the counts of distinct values in
+    order."""
 
     def ranked(c: str) -> DataFrame:
         counts = rows.groupBy(c).agg(F.count("*").alias("_n"))
-        before = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-        return counts.select(c, (before + (F.col("_n") + 1) / 2).alias(f"_r{c}"))
+        return numbered(counts, [c], weight="_n", name="_before").select(c, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"_r{c}"))
 
     both = rows.join(ranked(x), x).join(ranked(y), y)
     return both.agg(F.corr(x, y).alias("pearson"), F.corr(f"_r{x}", f"_r{y}").alias("spearman")).withColumn("corr", (F.col("pearson") + F.col("spearman")) / 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import vocab as V
+from corpusloom.operators.order import numbered
 from corpusloom.plans.base import query, table
 from corpusloom.plans.codebooks import CHARS, NOSPACE, WORDS, corpus_words
 
@@ -49,10 +50,9 @@ def unk_count(spark, sf_dir):
 
 def coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vocabulary of a coded corpus: words whose vowels stand for separators, numbered by word."""
-    from pyspark.sql import Window
-
     tokens = corpus_words(spark, sf_dir).select(F.translate("w", "eo", T.SEP * 2).alias("token")).distinct()
-    return tokens.withColumn("id", F.row_number().over(Window.partitionBy(F.length("token")).orderBy("token")))
+    sized = tokens.withColumn("_size", F.length("token"))
+    return numbered(sized, ["token"], by=["_size"]).select("token", (F.col("place") + 1).alias("id"))
 
 
 CODED = f"coded AS (SELECT token, row_number() OVER (PARTITION BY length(token) ORDER BY encode(token)) AS id FROM (SELECT DISTINCT translate(w, 'eo', '{T.SEP * 2}') AS token FROM words))"
