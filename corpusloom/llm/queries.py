@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, htmltext, pii, quality, ring, sentencepiece, simhash, substrings, tokencounts, warc
+from corpusloom.llm import compressed, decontaminate, htmltext, manifest, pii, quality, ring, sentencepiece, simhash, substrings, tokencounts, warc, whitening
 from corpusloom.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -99,6 +99,75 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.audit(ours, theirs).select("file", "offset", "status")
     return ours.join(found, ["file", "offset"], "full").select("page_id", "file", "offset", "length", "sha256", F.coalesce("status", F.lit("same")).alias("status"))
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, their proofs, and what these say of one in five whose text was lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    return manifest.audit(docs, seen=manifest.tampered(docs))
+
+
+def _tree_sql(name: str, leaves: str, depth: int) -> str:
+    """Tables of a tree over ``leaves`` (g, i, h, n): {name}0 to {name}{depth}, each node with what lies before and after it
+    under its parent, and {name}_top (g, h)."""
+    out, from_ = [], f"SELECT g, i, h, n FROM {leaves}"
+    for k in range(depth + 1):
+        beside = "PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+        out.append(
+            f"{name}{k} AS (SELECT *, coalesce(string_agg(h, '') OVER ({beside} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,"
+            f" coalesce(string_agg(h, '') OVER ({beside} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM ({from_}))"
+        )
+        from_ = f"SELECT g, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, n FROM {name}{k} WHERE n > {16**k} GROUP BY g, i // 16, n"
+    last = " UNION ALL ".join(f"SELECT g, h FROM {name}{k} WHERE n <= {16**k}" + (f" AND n > {16 ** (k - 1)}" if k else "") for k in range(depth + 1))
+    return ", ".join([*out, f"{name}_top AS ({last})"])
+
+
+def _climb_sql(name: str, rows: str, depth: int) -> str:
+    """``rows`` (g, i, n, f, p, ...) with f folded, and p lengthened, by each level of a tree: {name}_up."""
+    out = [f"{name}_c0 AS (SELECT * FROM {rows})"]
+    for k in range(depth):
+        out.append(
+            f"{name}_c{k + 1} AS (SELECT c.* REPLACE (CASE WHEN c.n > {16**k} THEN sha256(t.before || c.f || t.after) ELSE c.f END AS f,"
+            f" CASE WHEN c.n > {16**k} THEN c.p || t.before || t.after ELSE c.p END AS p) FROM {name}_c{k} c LEFT JOIN {name}{k} t ON c.g = t.g AND c.i // {16**k} = t.i)"
+        )
+    return ", ".join([*out, f"{name}_up AS (SELECT * FROM {name}_c{depth})"])
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}) || ':' || {x} END" for x in fields) + ")"
+
+
+#: Trees of at most 16^5 rows a source and 16^4 sources.
+ORACLES["op11_manifest"] = f"""
+WITH d AS (SELECT doc_id, coalesce('1' || source, '0') AS g, {_leaf_sql("text")} AS h,
+  {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch:
+    list_transform(range(8), lambda b: ((ascii(ch) >> b::INT) & 1)::BIGINT)))), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS crc FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree_sql("t", "leaves", 5)},
+sources AS (SELECT '' AS g, g AS source, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t_top),
+{_tree_sql("s", "sources", 4)},
+starts AS (SELECT *, CASE WHEN crc % 5 = 0 THEN low ELSE h END AS f, '' AS p FROM leaves),
+{_climb_sql("t", "starts", 5)},
+between_ AS (SELECT s.g, s.i, s.n, u.f, u.p, u.doc_id, u.h AS leaf, s.h AS subroot FROM t_up u JOIN sources s ON u.g = s.source),
+{_climb_sql("s", "between_", 4)}
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM s_up, s_top r
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four strongest components."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from the labelled documents whose remainder is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(compressed.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = compressed.fit(docs.where(~held_out), labels, label="quality")
+    scored = compressed.score(docs, model, columns=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -111,4 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
+    "op11_manifest": op11_manifest,
+    "op12_whitening": op12_whitening,
+    "op13_compression": op13_compression,
 }
