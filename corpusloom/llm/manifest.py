@@ -68,9 +68,9 @@ def _several(level: int) -> Column:
 
 
 def levels(leaves: DataFrame) -> list[DataFrame]:
-    """Tables (g, n, lo, hi, h, kids) of the nodes of each level, leaves first. ``leaves``: (g, n, rank, h). A group's last
-    node stands alone at the highest level that has one of its nodes."""
-    nodes = leaves.select("g", "n", F.col("rank").alias("lo"), F.col("rank").alias("hi"), "h")
+    """Tables (g, n, lo, hi, h, kids) of the nodes of each level. The first are the leaves, (g, n, rank, h) with columns of
+    their own. A group's last node stands alone at the highest level that has one of its nodes."""
+    nodes = leaves.withColumnRenamed("rank", "lo").withColumn("hi", F.col("lo"))
     most, out = nodes.agg(F.max("n")).first()[0] or 0, []
     while True:
         out.append(nodes)
@@ -93,14 +93,15 @@ def _beside(kids: Column, lo: Column, hi: Column) -> Column:
 
 
 def attach(tree: list[DataFrame], tops: DataFrame, carried: list[str]) -> DataFrame:
-    """(g, lo, path, *carried) of every leaf: what lies beside it and beside each of its ancestors, nearest first.
+    """The leaves with ``path``, what lies beside each and beside each of its ancestors, nearest first, and what ``tops`` has.
 
-    ``tops``: (g, path, *carried) of every group's last node. Each level takes its ancestors from the level above.
+    ``tops``: (g, path, *carried) of every group's last node. Each level takes its ancestors from the level above; a path is
+    made where its node is and moves with it only if it has children.
     """
     above = None
     for level in range(len(tree) - 1, -1, -1):
-        nodes = tree[level].select("g", "n", "lo", "hi", *(["kids"] if level else []))
-        keep = ["g", "lo", "hi", "path", *carried] + (["kids"] if level else [])
+        nodes = tree[level]
+        keep = [*nodes.columns, "path", *carried]
         got = nodes.where(~_several(level)).join(tops, "g").select(keep)
         if above is not None:
             up = above.select("g", _bucket(level + 1).alias("bucket"), F.col("lo").alias("from"), F.col("hi").alias("to"), F.col("kids").alias("row"), F.col("path").alias("rest"), *carried)
@@ -109,7 +110,7 @@ def attach(tree: list[DataFrame], tops: DataFrame, carried: list[str]) -> DataFr
             path = F.concat(F.array(_beside(F.col("row"), F.col("lo"), F.col("hi"))), F.col("rest"))
             got = got.unionByName(inside.withColumn("path", path).select(keep))
         above = got
-    return above.select("g", "lo", "path", *carried)
+    return above
 
 
 def _tops(tree: list[DataFrame]) -> DataFrame:
@@ -143,9 +144,8 @@ def manifest(docs: DataFrame, *, key: str = "doc_id", group: str = "source", fie
     upper = levels(sources)
     nothing = F.array().cast(PATH).alias("path")
     over = attach(upper, _tops(upper).select("g", nothing, F.col("h").alias("root")), ["root"])
-    tops = sources.join(over.withColumnRenamed("lo", "rank"), ["g", "rank"]).select(F.col("source").alias("g"), "path", F.col("h").alias("subroot"), "root")
-    paths = attach(tree, stage_table(tops, "tops"), ["subroot", "root"])
-    out = leaves.withColumnRenamed("rank", "lo").join(paths, ["g", "lo"])
+    tops = over.select(F.col("source").alias("g"), "path", F.col("h").alias("subroot"), "root")
+    out = attach(tree, stage_table(tops, "tops"), ["subroot", "root"])
     return out.select(F.col("k").alias(key), F.col("h").alias("leaf"), "subroot", "root", "path", *[F.col(f"x_{n}").alias(n) for n in named])
 
 
