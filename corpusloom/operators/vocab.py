@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.bpe import train_bpe
 from corpusloom.sources.sinks import scratch
 
 SPECIALS = ("[UNK]", "[PAD]", "[CLS]", "[SEP]", "[MASK]")
@@ -16,6 +17,8 @@ ALPHABET = T.LITERALS + "❁❄❂❃❅"
 #: Pieces that tasks hold at most.
 MAX_HELD = 500_000
 
+__all__ = ["train_bpe", "train_unigram"]
+
 
 def ranked(counts: DataFrame, size: int, *, token: str = "token", n: str = "n", specials: tuple[str, ...] = SPECIALS) -> DataFrame:
     """(id, token, n): the specials with 0, then the most frequent tokens, ``size`` in all; ties by token."""
@@ -86,64 +89,6 @@ def _dealt(words: DataFrame) -> DataFrame:
     return _staged(words.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))), "words")
 
 
-def _sure(rows: list[tuple[str, str, int]], batch: int) -> list[tuple[str, str, int]]:
-    """The longest run of the best pairs that merging one pair a round would take in this order, whatever it makes on its way.
-
-    A pair that a merge of (a, b) newly makes is no more frequent than a present neighbour of a or b, that is a pair that
-    shares a symbol with it. So pairs are taken up to the first that shares one with a pair before it, and, as equals are
-    ordered by their symbols, without those of that one's frequency. Only (a, a) makes pairs out of itself: it ends the run.
-    ``rows``: at most ``batch + 1`` of the best pairs, in order.
-    """
-    taken, used, next_n = [], set(), 0
-    for a, b, n in rows:
-        if len(taken) == batch or {a, b} & used:
-            next_n = n
-            break
-        taken.append((a, b, n))
-        if a == b:
-            if len(taken) > 1:  # left to a round of its own
-                taken.pop()
-                next_n = n
-            break
-        used |= {a, b}
-    return taken[:1] + [t for t in taken[1:] if t[2] > next_n]
-
-
-def train_bpe(words: DataFrame, merges: int, *, batch: int = 8, checkpoint_every: int = 1) -> DataFrame:
-    """(rank, left, right, n): merges of pairs in order of their frequency, ties by symbols. ``words``: (word, n), distinct.
-
-    A round counts neighbouring pairs over distinct words and merges as many of the best as surely come next
-    (:func:`_sure`), so the order is that of one merge a round for every ``batch``. What is collected is at most
-    ``batch + 1`` pairs a round; every ``checkpoint_every`` rounds the words are written.
-    """
-    spark = words.sparkSession
-    now = _dealt(words.select(F.filter(F.split("word", ""), lambda c: c != "").alias("s"), "n"))
-    out: list[tuple] = []
-    rounds = 0
-    while len(out) < merges:
-        pair = F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))
-        counts = now.where(F.size("s") > 1).select(F.explode(pair).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
-        rows = [tuple(r) for r in counts.where("n > 1").orderBy(F.desc("n"), "a", "b").limit(batch + 1).collect()]
-        best = _sure(rows, batch)[: merges - len(out)]
-        if not best:
-            break
-        for a, b, n in best:
-            out.append((len(out), a, b, n))
-            now = now.withColumn("s", _merged(F.col("s"), a, b))
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            now = _staged(now, "bpe")
-    return spark.createDataFrame(out, "rank int, left string, right string, n bigint")
-
-
-def _merged(s, a: str, b: str):
-    """Symbols with each ``a`` that stands before a ``b`` merged with it, from the left."""
-    mark = "\x00"
-    line = F.concat(F.lit(mark), F.array_join(s, mark + mark), F.lit(mark))  # every symbol between two marks
-    whole = F.replace(line, F.lit(f"{mark}{a}{mark}{mark}{b}{mark}"), F.lit(f"{mark}{a}{b}{mark}"))
-    return F.filter(F.split(whole, mark), lambda x: x != "")
-
-
 def _expected(n: int, arcs: list[tuple[int, int, float]]) -> list[float]:
     """The probability of each arc (start, stop, score), sorted by start, over all ways from 0 to ``n``; none if there is none."""
     low = -math.inf

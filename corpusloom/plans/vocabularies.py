@@ -108,7 +108,7 @@ def label_distribution(spark, sf_dir):
 
 @query("train_bpe")
 def train_bpe(spark, sf_dir):
-    return V.train_bpe(word_counts(spark, sf_dir).select(F.col("token").alias("word"), "n"), 24)
+    return V.train_bpe(word_counts(spark, sf_dir).select(F.col("token").alias("word"), "n"), 22_675)
 
 
 @query("train_unigram")

@@ -1,7 +1,11 @@
 """Subword learning against plain versions."""
 
 import random
+from collections import Counter
 
+import pytest
+
+from corpusloom.operators import bpe as B
 from corpusloom.operators import vocab as V
 
 
@@ -38,6 +42,49 @@ def test_bpe_takes_the_order_of_single_merges(spark):
         assert [(r["left"], r["right"], r["n"]) for r in got] == plain_bpe(words, 20)
 
 
+@pytest.mark.parametrize("pairs, most", [(1, 50_000), (64, 50_000), (64, 40), (4, 0)])
+def test_bpe_order_at_any_width(spark, pairs, most):
+    """Whatever a round looks at, and also where it can look at nothing but the best pair."""
+    for seed, letters in ((5, "abcdefghijkl"), (6, "aaab")):
+        words = corpus(seed, letters, 150, 14)
+        got = B.train_bpe(spark.createDataFrame(words, "word string, n bigint"), 10, pairs=pairs, most_stretches=most).orderBy("rank").collect()
+        assert [(r["left"], r["right"], r["n"]) for r in got] == plain_bpe(words, 10)
+
+
+def test_bpe_to_the_end(spark):
+    """More merges than there are, with rewritten tables on the way."""
+    words = corpus(8, "abcde", 60)
+    got = B.train_bpe(spark.createDataFrame(words, "word string, n bigint"), 10_000, pairs=8, most_stretches=200).orderBy("rank").collect()
+    assert [(r["left"], r["right"], r["n"]) for r in got] == plain_bpe(words, 10_000) and len(got) > 50
+
+
+def test_certain_merges_are_the_next_ones():
+    """Stretches of the best pairs alone tell the next merges of the corpus; and more than one of them."""
+    rng, taken = random.Random(9), 0
+    for _ in range(120):
+        words = corpus(rng.random(), rng.choice(["abc", "abcdef", "aab"]), 40, 12)
+        counts = Counter()
+        for w, n in words:
+            for p in zip(w, w[1:]):
+                counts[p] += n
+        keys = sorted((-n, p) for p, n in counts.items())
+        k = rng.randint(1, len(keys))
+        pairs = {p for _, p in keys[:k]}
+        rows = [(s, n) for w, n in words for s in B.stretches(list(w), pairs)]
+        got = B.certain_merges(rows, pairs, keys[k] if k < len(keys) else None, 30)
+        assert got == plain_bpe(words, 30)[: len(got)] and (got or keys[0][0] == -1)
+        taken += len(got)
+    assert taken > 500
+
+
+def test_bpe_coverage(spark):
+    words = spark.createDataFrame([("abab", 10), ("abzab", 5), ("z", 1), ("qab", 1)], "word string, n bigint")
+    cut = {r["word"]: r["n"] for r in B.covered(words, 0.9).collect()}
+    assert cut == {"abab": 10, "ab": 11}
+    assert {r["word"] for r in B.covered(words, 1.0).collect()} == {"abab", "abzab", "z", "qab"}
+    assert [r["left"] + r["right"] for r in B.train_bpe(words, 9, coverage=0.9).orderBy("rank").collect()] == ["ab", "abab"]
+
+
 def test_bpe_of_nothing(spark):
     assert V.train_bpe(spark.createDataFrame([("", 3), ("a", 2)], "word string, n bigint"), 5).count() == 0
 
