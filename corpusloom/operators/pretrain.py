@@ -3,6 +3,10 @@ not depend on how rows are dealt over tasks."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,21 +74,74 @@ def pack_chunks(docs: DataFrame, key: str, sizes: str, target: int | Column) ->
     return docs.select(key, F.col(sizes).alias("sizes"), wanted.cast("long").alias("_most")).mapInPandas(one, f"{key} {dict(docs.dtypes)[key]}, chunk bigint, first bigint, last bigint")
 
 
-def next_sentence(chunks: DataFrame, docs: DataFrame, key: str, n_sentences: str, seed: int) -> DataFrame:
-    """The chunks (key, chunk, first, last) with a cut, and for half of them (and all of one sentence) another document and a
-    sentence in it for the second part; else the chunk's own rest follows (``is_next``). The partner is never the document
-    itself if there are two or more."""
-    numbered = ranked(docs.select(key, n_sentences), n_sentences, key, seed=seed).select(key, n_sentences, "rank")
-    total = numbered.count()
-    size = F.col("last") - F.col("first") + 1
-    c = chunks.join(numbered.select(key, F.col("rank").alias("_r")), key)
-    c = c.withColumn("cut", F.when(size > 1, 1 + draw(seed, F.greatest(size - 1, F.lit(1)), key, "chunk", F.lit("cut"))).otherwise(1))
-    c = c.withColumn("is_next", (size > 1) & (draw(seed, 2, key, "chunk", F.lit("next")) == 0))
-    other = F.when(~F.col("is_next"), F.pmod(F.col("_r") + 1 + draw(seed, max(total - 1, 1), key, "chunk", F.lit("doc")), F.lit(max(total, 1))))
-    partner = numbered.select(F.col("rank").alias("_p"), F.col(key).alias("b_doc"), F.col(n_sentences).alias("_n"))
-    c = c.withColumn("_p", other).join(partner, "_p", "left")
-    start = F.when(F.col("is_next"), F.col("first") + F.col("cut")).otherwise(draw(seed, F.greatest(F.col("_n"), F.lit(1)), key, "chunk", F.lit("start")))
-    return c.select(key, "chunk", "first", "last", "cut", "is_next", F.coalesce("b_doc", key).alias("b_doc"), start.alias("b_start"))
+def _draw(seed: int, n: int, *keys: object) -> int:
+    """What :func:`draw` gives for these keys."""
+    return int(hashlib.md5("|".join(map(str, (seed, *keys))).encode()).hexdigest()[:7], 16) % n
+
+
+def _filled(sizes: pd.Series, start: pd.Series, left: pd.Series) -> pd.Series:
+    """The last sentence that is read from ``start`` on until ``left`` tokens are reached, or the document's last."""
+
+    def one(s: np.ndarray, at: int, tokens: int) -> int:
+        running = np.cumsum(s)
+        before = running[at - 1] if at else 0
+        return int(min(max(np.searchsorted(running, before + tokens), at), len(s) - 1))
+
+    return pd.Series([None if s is None else one(s, int(at), int(t)) for s, at, t in zip(sizes, start, left)], dtype="Int64")
+
+
+def fold_chunks(key: str, sizes: list[int], most: int, seed: int) -> list[tuple[int, int, int, int, bool, int]]:
+    """(chunk, first, last, cut, follows, left) of a document's chunks, in order.
+
+    Sentences are collected until their tokens reach ``most`` or the document ends. The first ``cut`` of them are part A. If B
+    does not follow, which is so by a coin and for a single sentence, the rest of the chunk is put back: the next chunk begins
+    after A, and B is to have ``left`` tokens.
+    """
+    out, first, total, i = [], 0, 0, 0
+    while i < len(sizes):
+        total += sizes[i]
+        if total >= most or i == len(sizes) - 1:
+            chunk, several = len(out), i > first
+            cut = 1 + _draw(seed, i - first, key, chunk, "cut") if several else 1
+            follows = several and _draw(seed, 2, key, chunk, "next") == 0
+            out.append((chunk, first, i, cut, follows, most - sum(sizes[first : first + cut])))
+            first, total = (i + 1 if follows else first + cut), 0
+            i = first - 1
+        i += 1
+    return out
+
+
+def next_sentence(docs: DataFrame, key: str, sizes: str, most: int | Column, seed: int) -> DataFrame:
+    """(key, chunk, first, last, cut, is_next, b_doc, b_first, b_last): part A is ``cut`` sentences from ``first``; part B the
+    sentences ``b_first`` to ``b_last`` of ``b_doc``.
+
+    ``sizes``: the numbers of tokens of a document's sentences; those without tokens, and documents without any, do not count.
+    B follows A in the chunk, or it begins at a random sentence of another document and fills up to the chunk's target, and
+    then sentences of the chunk that are not in A are used again (:func:`fold_chunks`). Only if there is no other document is
+    it the same, with ``is_next`` false. Every partner is read with its running numbers of tokens.
+    """
+    wanted = most if isinstance(most, Column) else F.lit(most)
+    full = docs.select(key, F.filter(sizes, lambda n: n > 0).cast("array<bigint>").alias("_sizes"), wanted.cast("long").alias("_most")).where(F.size("_sizes") > 0)
+    numbered = ranked(full.withColumn("_count", F.size("_sizes")), "_count", key, seed=seed).select(key, "_count", "_sizes", "_most", "rank")
+    total = full.count()
+    kind = dict(docs.dtypes)[key]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, r, *c) for k, name, r, s, m in zip(pdf[key], pdf["_name"], pdf["rank"], pdf["_sizes"], pdf["_most"]) for c in fold_chunks(name, s.tolist(), m, seed)]
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "_r", "chunk", "first", "last", "cut", "is_next", "_left"])
+
+    named = numbered.select(key, F.col(key).cast("string").alias("_name"), "rank", "_sizes", "_most")
+    c = named.mapInPandas(fold, f"{key} {kind}, _r bigint, chunk bigint, first bigint, last bigint, cut bigint, is_next boolean, _left bigint")
+    other = F.pmod(F.col("_r") + 1 + draw(seed, max(total - 1, 1), key, "chunk", F.lit("doc")), F.lit(max(total, 1)))
+    partner = numbered.select(F.col("rank").alias("_p"), F.col(key).alias("b_doc"), "_count", "_sizes")
+    c = c.withColumn("_p", F.when(~F.col("is_next"), other)).join(partner, "_p", "left")
+    c = c.withColumn("_at", draw(seed, F.greatest("_count", F.lit(1)), key, "chunk", F.lit("start")))
+    c = c.withColumn("_to", F.pandas_udf(_filled, "bigint")("_sizes", "_at", "_left"))
+    b_first = F.when(F.col("is_next"), F.col("first") + F.col("cut")).otherwise(F.col("_at"))
+    b_last = F.when(F.col("is_next"), F.col("last")).otherwise(F.col("_to"))
+    return c.select(key, "chunk", "first", "last", "cut", "is_next", F.coalesce("b_doc", key).alias("b_doc"), b_first.alias("b_first"), b_last.alias("b_last"))
 
 
 def front_drops(n: Column, seed: int, *keys: Column | str) -> Column:
@@ -110,22 +167,35 @@ def masked_count(size: Column, permille: int, most: int) -> Column:
     return F.least(F.lit(most), F.greatest(F.lit(1), F.bround(size * F.lit(permille / 1000)).cast("int")))
 
 
-def mask(tokens: Column, count: Column, vocab: list[str], seed: int, *keys: Column | str) -> tuple[Column, Column, Column]:
-    """(tokens with masks, places, labels): the ``count`` places of least hash that are no specials; of those eight in ten are
-    masked, one keeps its token, one gets one of ``vocab``."""
+def mask_places(tokens: Column, count: Column, seed: int, *keys: Column | str) -> tuple[Column, Column]:
+    """(places, labels): the ``count`` places of least hash that are no specials, in order, and the tokens there."""
     special = ["[CLS]", "[SEP]"]
     at = F.filter(F.transform(tokens, lambda t, i: F.struct(draw(seed, 1 << 28, *keys, i).alias("h"), i.alias("i"), t.isin(special).alias("s"))), lambda x: ~x["s"])
     places = F.array_sort(F.transform(F.slice(F.array_sort(at), F.lit(1), count), lambda x: x["i"]))
-    words = F.array(*map(F.lit, vocab))
+    return places, F.transform(places, lambda i: F.get(tokens, i))
+
+
+def mask(rows: DataFrame, keys: list[str], tokens: str, count: Column, vocab: DataFrame, seed: int) -> DataFrame:
+    """(keys, tokens, places, labels): of the places of :func:`mask_places` eight in ten are masked, one keeps its token, one
+    gets an even draw of the whole vocabulary (id from 0 without gaps, token). Keys name a row.
+
+    A replacement is drawn as an id, and ids are joined to the vocabulary: about one token in a hundred takes part.
+    """
+    size = vocab.count()
+    places, labels = mask_places(F.col(tokens), count, seed, *keys)
+    r = rows.select(*keys, F.col(tokens).alias("_t"), places.alias("places"), labels.alias("labels"))
+    how = lambda i: draw(seed + 1, 10, *keys, i)
+    drawn = r.select(*keys, F.explode(F.filter("places", lambda i: how(i) > 8)).alias("_i")).withColumn("id", draw(seed + 2, max(size, 1), *keys, "_i"))
+    others = drawn.join(vocab.select("id", "token"), "id").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", "token"))).alias("_other"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    both = r.alias("a").join(others.alias("b"), same, "left").select("a.*", "_other")
 
     def change(t: Column, i: Column) -> Column:
-        d = draw(seed + 1, 10, *keys, i)
-        other = F.element_at(words, (draw(seed + 2, len(vocab), *keys, i) + 1).cast("int"))
-        return F.when(d < 8, "[MASK]").when(d == 8, t).otherwise(other)
+        return F.when(how(i) < 8, "[MASK]").when(how(i) == 8, t).otherwise(F.coalesce(F.element_at("_other", i), t))
 
-    labels = F.transform(places, lambda i: F.get(tokens, i))
-    held = F.transform(F.array(places), lambda p: F.transform(tokens, lambda t, i: F.when(F.array_contains(p, i), change(t, i)).otherwise(t)))[0]
-    return held, places, labels
+    return both.select(*keys, F.transform("_t", lambda t, i: F.when(F.array_contains("places", i), change(t, i)).otherwise(t)).alias("tokens"), "places", "labels")
 
 
 def dense_labels(places: Column, ids: Column, size: int) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import pretrain as P
 from corpusloom.plans.base import query, table
+from corpusloom.plans.codebooks import WORDS
 from corpusloom.plans.features import PAIR, pair, text_of
+from corpusloom.plans.vocabularies import vocab_sql, word_vocab
 
 
 def d(seed: int, n, *keys: str) -> str:
@@ -66,9 +68,23 @@ def split_ab(spark, sf_dir):
     return c.select("doc_id", "chunk", F.when(n > 0, 1 + P.draw(9, F.greatest(n, F.lit(1)), "doc_id", "chunk", F.lit("cut"))).otherwise(1).alias("cut"))
 
 
-@query("next_sentence", f"WITH {CHUNK}, rk AS (SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, {d(9, 64, 'doc_id')}, md5('9|' || doc_id), doc_id) - 1 AS r, count(*) OVER () AS total FROM n), c AS (SELECT k.*, r, total, last > first AND {d(9, 2, 'k.doc_id', 'chunk', repr('next'))} = 0 AS is_next FROM chunks k JOIN rk ON k.doc_id = rk.doc_id), p AS (SELECT c.*, CASE WHEN NOT is_next THEN (r + 1 + {d(9, '(total - 1)', 'doc_id', 'chunk', repr('doc'))}) % total END AS p FROM c) SELECT p.doc_id, p.chunk, p.first, p.last, {CUT.replace('doc_id', 'p.doc_id')} AS cut, is_next, coalesce(rk.doc_id, p.doc_id) AS b_doc, CASE WHEN is_next THEN first + {CUT.replace('doc_id', 'p.doc_id')} ELSE {d(9, 'greatest(rk.n, 1)', 'p.doc_id', 'chunk', repr('start'))} END AS b_start FROM p LEFT JOIN rk ON p.p = rk.r")
+#: Sentences with words, documents with such sentences, and chunks whose unused sentences are put back.
+PAIRS = f"""RECURSIVE {SENT}, f AS (SELECT doc_id, len(sizes)::INTEGER AS n, sizes, CASE WHEN {d(8, 1000, "doc_id", repr("short"))} < 100 THEN 2 + {d(8, 124, "doc_id", repr("target"))} ELSE 125 END AS most
+  FROM (SELECT doc_id, list_filter(sizes, lambda x: x > 0) AS sizes FROM n) WHERE len(sizes) > 0),
+steps AS (SELECT doc_id, sizes, n, most, 0 AS first, 0 AS i, 0 AS chunk, sizes[1]::BIGINT AS total FROM f UNION ALL
+  SELECT doc_id, sizes, n, most, CASE WHEN ended THEN start ELSE first END, CASE WHEN ended THEN start ELSE i + 1 END, chunk + ended::INTEGER, CASE WHEN ended THEN sizes[start + 1] ELSE total + sizes[i + 2] END
+  FROM (SELECT *, CASE WHEN i > first AND {d(9, 2, "doc_id", "chunk", repr("next"))} = 0 THEN i + 1 WHEN i > first THEN first + 1 + {d(9, "(i - first)", "doc_id", "chunk", repr("cut"))} ELSE first + 1 END AS start
+    FROM (SELECT *, total >= most OR i = n - 1 AS ended FROM steps)) WHERE NOT ended OR start < n),
+pairs AS (SELECT doc_id, chunk::BIGINT AS chunk, first::BIGINT AS first, i::BIGINT AS last, CASE WHEN i > first THEN 1 + {d(9, "(i - first)", "doc_id", "chunk", repr("cut"))} ELSE 1 END AS cut,
+  i > first AND {d(9, 2, "doc_id", "chunk", repr("next"))} = 0 AS is_next, most, sizes FROM steps WHERE total >= most OR i = n - 1),
+rk AS (SELECT doc_id, n, sizes, row_number() OVER (ORDER BY n DESC, {d(9, 64, "doc_id")}, md5('9|' || doc_id), doc_id) - 1 AS r, count(*) OVER () AS total FROM f),
+partner AS (SELECT p.*, most - list_sum(p.sizes[first + 1:first + cut]) AS missing, rk.doc_id AS b_doc, rk.n AS b_n, rk.sizes AS b_sizes, {d(9, "rk.n", "p.doc_id", "chunk", repr("start"))} AS b_start
+  FROM (SELECT pairs.*, (r + 1 + {d(9, "greatest(total - 1, 1)", "pairs.doc_id", "chunk", repr("doc"))}) % total AS p FROM pairs JOIN rk ON pairs.doc_id = rk.doc_id) p JOIN rk ON p.p = rk.r)"""
+
+
+@query("next_sentence", f"WITH {PAIRS} SELECT doc_id, chunk, first, last, cut, is_next, CASE WHEN is_next THEN doc_id ELSE b_doc END AS b_doc, CASE WHEN is_next THEN first + cut ELSE b_start END AS b_first, CASE WHEN is_next THEN last ELSE least(b_start + len(list_filter(range(b_start + 1, b_n + 1), lambda k: list_sum(b_sizes[b_start + 1:k]) < missing)), b_n - 1) END AS b_last FROM partner")
 def next_sentence(spark, sf_dir):
-    return P.next_sentence(chunks(spark, sf_dir), sentences(spark, sf_dir).select("doc_id", "n"), "doc_id", "n", 9)
+    return P.next_sentence(sentences(spark, sf_dir), "doc_id", "sizes", P.chunk_target(125, 100, 8, "doc_id"), 9)
 
 
 def front_sql(x: str, n: str, name: str) -> str:
@@ -85,15 +101,15 @@ def truncate_pair_random(spark, sf_dir):
     return z.select("conv_id", "turn", F.array_join(a, " ").alias("a"), F.array_join(b, " ").alias("b"))
 
 
-VOCAB = ["the", "of", "and", "to", "in"]
-MASKED = f"{PAIR}, t AS (SELECT conv_id, turn, len(tokens) AS n, unnest(range(len(tokens))) AS i, unnest(tokens) AS token FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY token IN ('[CLS]', '[SEP]'), {d(1, 1 << 28, 'conv_id', 'turn', 'i')}, i) AS rk, token IN ('[CLS]', '[SEP]') AS sp FROM t), m AS (SELECT *, NOT sp AND rk <= least(5, greatest(1, round_even(n * 0.15, 0)::INTEGER)) AS hit, {d(2, 10, 'conv_id', 'turn', 'i')} AS how, {d(3, 5, 'conv_id', 'turn', 'i')} AS other FROM r)"
+#: Words of the vocabulary that replacements are drawn from.
+VOCABULARY = 22_675
+MASKED = f"{PAIR}, {WORDS}, {vocab_sql(VOCABULARY)}, t AS (SELECT conv_id, turn, len(tokens) AS n, unnest(range(len(tokens))) AS i, unnest(tokens) AS token FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY token IN ('[CLS]', '[SEP]'), {d(1, 1 << 28, 'conv_id', 'turn', 'i')}, i) AS rk, token IN ('[CLS]', '[SEP]') AS sp FROM t), m AS (SELECT *, NOT sp AND rk <= least(5, greatest(1, round_even(n * 0.15, 0)::INTEGER)) AS hit, {d(2, 10, 'conv_id', 'turn', 'i')} AS how, {d(3, '(SELECT count(*) FROM vocab)', 'conv_id', 'turn', 'i')} AS other FROM r)"
 
 
-@query("mask_tokens", f"WITH {MASKED} SELECT conv_id, turn, string_agg(CASE WHEN NOT hit OR how = 8 THEN token WHEN how < 8 THEN '[MASK]' ELSE (['the', 'of', 'and', 'to', 'in'])[other + 1] END, ' ' ORDER BY i) AS tokens, string_agg(i::VARCHAR, ' ' ORDER BY i) FILTER (hit) AS places, string_agg(token, ' ' ORDER BY i) FILTER (hit) AS labels FROM m GROUP BY conv_id, turn")
+@query("mask_tokens", f"WITH {MASKED} SELECT conv_id, turn, string_agg(CASE WHEN NOT hit OR how = 8 THEN m.token WHEN how < 8 THEN '[MASK]' ELSE v.token END, ' ' ORDER BY i) AS tokens, string_agg(i::VARCHAR, ' ' ORDER BY i) FILTER (hit) AS places, string_agg(m.token, ' ' ORDER BY i) FILTER (hit) AS labels FROM m LEFT JOIN vocab v ON m.other = v.id GROUP BY conv_id, turn")
 def mask_tokens(spark, sf_dir):
-    p = pair(spark, sf_dir)
-    t, places, labels = P.mask(F.col("tokens"), P.masked_count(F.size("tokens"), 150, 5), VOCAB, 1, "conv_id", "turn")
-    out = p.select("conv_id", "turn", text_of(t).alias("m"), text_of(places).alias("places"), text_of(labels).alias("labels"))
+    masked = P.mask(pair(spark, sf_dir), ["conv_id", "turn"], "tokens", P.masked_count(F.size("tokens"), 150, 5), word_vocab(spark, sf_dir, VOCABULARY), 1)
+    out = masked.select("conv_id", "turn", text_of("tokens").alias("m"), text_of("places").alias("places"), text_of("labels").alias("labels"))
     return out.withColumnRenamed("m", "tokens")
 
 
@@ -110,7 +126,7 @@ def pad_encode(spark, sf_dir):
 @query("dense_labels", f"WITH {MASKED}, g AS (SELECT conv_id, turn, i, CASE WHEN hit THEN length(token) ELSE -1 END AS v FROM m), s AS (SELECT conv_id, turn, unnest(range(32)) AS i FROM f) SELECT s.conv_id, s.turn, string_agg(coalesce(v, -1)::VARCHAR, ' ' ORDER BY s.i) AS labels FROM s LEFT JOIN g USING (conv_id, turn, i) GROUP BY s.conv_id, s.turn")
 def dense_labels(spark, sf_dir):
     p = pair(spark, sf_dir)
-    _, places, labels = P.mask(F.col("tokens"), P.masked_count(F.size("tokens"), 150, 5), VOCAB, 1, "conv_id", "turn")
+    places, labels = P.mask_places(F.col("tokens"), P.masked_count(F.size("tokens"), 150, 5), 1, "conv_id", "turn")
     m = p.select("conv_id", "turn", F.concat(places, F.array(F.lit(0))).alias("p"), F.concat(F.transform(labels, lambda x: F.length(x)), F.array(F.lit(0))).alias("l"))
     return m.select("conv_id", "turn", text_of(P.dense_labels(F.col("p"), F.col("l"), 32)).alias("labels"))
 
