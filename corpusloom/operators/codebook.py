@@ -6,6 +6,8 @@ or a vectorised function that holds the table, for books of at most ``MAX_HELD``
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,23 +126,67 @@ def collisions(book: DataFrame) -> DataFrame:
     return invert(book, index=False).groupBy(F.size("chars").alias("size")).agg(F.count("*").alias("codes"))
 
 
-def phrase_translator(table: DataFrame):
-    """A column function that replaces the longest phrase of ``table`` (ch, out) at each place, from left to right."""
-    import re
-
+class _Phrases:
+    """Phrases by their first character, longer ones first: a leftmost-longest transducer over a table of any key length."""
+
+    def __init__(self, book: dict[str, str]):
+        self.book, self.by_first = book, {}
+        for k in sorted(book, key=len, reverse=True):
+            lengths = self.by_first.setdefault(k[0], [])
+            if len(k) not in lengths:
+                lengths.append(len(k))
+
+    def pieces(self, text: str) -> Iterator[tuple[int, str]]:
+        """(characters read, characters written) from left to right."""
+        at = 0
+        while at < len(text):
+            size = next((n for n in self.by_first.get(text[at], ()) if at + n <= len(text) and text[at : at + n] in self.book), 0)
+            yield (size, self.book[text[at : at + size]]) if size else (1, text[at])
+            at += size or 1
+
+    def offsets(self, text: str) -> tuple[str, list[int], list[int]]:
+        """The text, and for each character read where what it became begins and ends; all of a phrase have the same."""
+        out, starts, ends, size = [], [], [], 0
+        for n, new in self.pieces(text):
+            starts += [size] * n
+            size += len(new)
+            ends += [size] * n
+            out.append(new)
+        return "".join(out), starts, ends
+
+
+def _held_phrases(table: DataFrame):
     rows = table.limit(MAX_HELD + 1).collect()
     if len(rows) > MAX_HELD:
         raise ValueError("the table is too large to be held")
-    held = table.sparkSession.sparkContext.broadcast({r["ch"]: r["out"] for r in rows if r["ch"]})
+    return table.sparkSession.sparkContext.broadcast({r["ch"]: r["out"] for r in rows if r["ch"]})
+
+
+def phrase_translator(table: DataFrame):
+    """A column function that replaces the longest phrase of ``table`` (ch, out) at each place, from left to right."""
+    held = _held_phrases(table)
 
     @F.pandas_udf("string")
     def apply(texts: pd.Series) -> pd.Series:
         book = held.value
-        single = {ord(k): v for k, v in book.items() if len(k) == 1}
-        longer = sorted((k for k in book if len(k) > 1), key=len, reverse=True)
-        if not longer:
+        if all(len(k) == 1 for k in book):
+            single = {ord(k): v for k, v in book.items()}
             return pd.Series([t if t is None else t.translate(single) for t in texts], dtype=object)
-        any_of = re.compile("|".join(map(re.escape, [*longer, *(k for k in book if len(k) == 1)])))
-        return pd.Series([t if t is None else any_of.sub(lambda m: book[m[0]], t) for t in texts], dtype=object)
+        phrases = _Phrases(book)
+        return pd.Series([t if t is None else "".join(new for _, new in phrases.pieces(t)) for t in texts], dtype=object)
+
+    return apply
+
+
+def phrase_transducer(table: DataFrame):
+    """The same with where things went: a struct (text, starts, ends), by which spans of the old text are found in the new
+    one though phrases change their length. Null for a null."""
+    held = _held_phrases(table)
+
+    @F.pandas_udf("text string, starts array<int>, ends array<int>")
+    def apply(texts: pd.Series) -> pd.DataFrame:
+        phrases = _Phrases(held.value)
+        rows = [(None, None, None) if t is None else phrases.offsets(t) for t in texts]
+        return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=object) for k, c in enumerate(("text", "starts", "ends"))})
 
     return apply

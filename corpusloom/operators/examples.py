@@ -90,10 +90,24 @@ def reading_span(text: Column, given: Column, answer: Column) -> Column:
     size, most = F.length(answer), F.least(F.lit(3), given)
     hit = F.filter(F.sequence(F.lit(0), most), lambda d: F.substring(text, given - d + 1, size) == answer)
     begin = (given - F.coalesce(F.get(hit, F.lit(0)), most)).cast("int")
+    return _token_span(text, begin, begin + size - 1, answer)
+
+
+def reading_span_in_converted(converted: Column, given: Column, size: Column, answer: Column) -> Column:
+    """The same for a text that :func:`codebook.phrase_transducer` has converted: ``given`` and ``size`` are the answer's start
+    and length in the old text, ``answer`` is the converted answer. Both ends are carried over by the transducer's offsets, a
+    phrase as a whole; the start does not go back. Null where the answer does not lie in the old text."""
+    begin, end = F.get(converted["starts"], given.cast("int")), F.get(converted["ends"], (given + size - 1).cast("int"))
+    inside = (given >= 0) & (size > 0) & (given + size <= F.size(converted["starts"]))
+    return F.when(inside, _token_span(converted["text"], begin, end - 1, answer))
+
+
+def _token_span(text: Column, begin: Column, last: Column, answer: Column) -> Column:
+    """struct(start, stop, matches) of the characters ``begin`` to ``last``."""
     rest = F.substring(text, begin + 1, F.length(text))
     first = begin + F.length(F.regexp_extract(rest, "^[ \t\r\n]*", 0))
     token_at = lambda p: F.size(T.reader_tokens(F.substring(text, F.lit(1), p + 1))) - 1
-    tokens, at, stop = T.reader_tokens(text), token_at(first), token_at(begin + size - 1)
+    tokens, at, stop = T.reader_tokens(text), token_at(first), token_at(last)
     start = at + F.coalesce(F.get(tokens, at).isin(*LEADING_MARKS), F.lit(False)).cast("int")
     said = F.array_join(F.slice(tokens, start + 1, F.greatest(stop - start + 1, F.lit(0))), "")
     return F.struct(start.alias("start"), stop.alias("stop"), (said == F.regexp_replace(answer, r"(?U)\s", "")).alias("matches"))

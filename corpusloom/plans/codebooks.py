@@ -160,9 +160,17 @@ def top_codes(spark, sf_dir):
 PHRASES = {"tion": "T", "th": "þ", "the": "ð", "é": "e", "ñ": "n"}
 
 
-def simplified(spark: SparkSession, x: Column | str) -> Column:
+def phrases(spark: SparkSession) -> DataFrame:
     values = ", ".join(f"('{a}', '{b}')" for a, b in PHRASES.items())
-    return C.phrase_translator(spark.sql(f"SELECT * FROM VALUES {values} AS t(ch, out)"))(x)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(ch, out)")
+
+
+def simplified(spark: SparkSession, x: Column | str) -> Column:
+    return C.phrase_translator(phrases(spark))(x)
+
+
+def transducer(spark: SparkSession):
+    return C.phrase_transducer(phrases(spark))
 
 
 def simplified_sql(x: str) -> str:

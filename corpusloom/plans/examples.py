@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import examples as E
 from corpusloom.plans.base import HANZI, LATIN, query, table
+from corpusloom.plans.codebooks import PHRASES, simplified, simplified_sql, transducer
 
 TURN = "conversations"
 
@@ -192,11 +193,17 @@ def truncate_triple(spark, sf_dir):
     return sizes(spark, sf_dir).select("conv_id", "turn", a.alias("a"), b.alias("b"), c.alias("c"))
 
 
-@query("ex_reading_simplified")
-def ex_reading_simplified(spark, sf_dir):
-    """Answer starts after both passage and answer are made simple."""
-    from corpusloom.plans.codebooks import simplified
+#: Pieces of a text from the left, the longest phrase first.
+PIECES = "|".join([*sorted(PHRASES, key=len, reverse=True), "(?s:.)"])
+SIMPLE = f"q AS (SELECT conv_id, turn, text AS old, instr(text, w[2]) - 1 AS given, w[2] || coalesce(' ' || w[3], '') AS ans, regexp_extract_all(text, '{PIECES}') AS pcs FROM (SELECT *, {WT} AS w FROM conversations) WHERE len(w) >= 2), u AS (SELECT conv_id, turn, given, given + length(ans) - 1 AS final, unnest(range(len(pcs))) AS j, unnest(pcs) AS piece FROM q), v AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, turn ORDER BY j) AS upto FROM u), c AS (SELECT conv_id, turn, coalesce(sum(length({simplified_sql('piece')})) FILTER (upto <= given), 0)::BIGINT AS begin, sum(length({simplified_sql('piece')})) FILTER (upto - length(piece) <= final)::BIGINT - 1 AS last FROM v GROUP BY conv_id, turn), i AS (SELECT *, {simplified_sql('old')} AS text, {simplified_sql('ans')} AS answer FROM q JOIN c USING (conv_id, turn) WHERE given + length(ans) <= length(old)), f AS (SELECT *, begin + length(regexp_extract(text[begin + 1:], '^[ \\t\\r\\n]*')) AS first, {tokens_sql('text')} AS tokens FROM i), p AS (SELECT *, len({tokens_sql('text[1:first + 1]')}) - 1 AS tok, len({tokens_sql('text[1:last + 1]')}) - 1 AS stop FROM f), s AS (SELECT *, tok + (coalesce(tokens[tok + 1], '') IN ('。', '，', '：', ':', '.', ','))::INTEGER AS start FROM p)"
+
 
-    r = reading(spark, sf_dir)
-    r = r.select("conv_id", "turn", simplified(spark, "text").alias("text"), simplified(spark, "answer").alias("answer"))
-    return r.select("conv_id", "turn", "answer", (F.instr("text", F.col("answer")) - 1).cast("long").alias("start"))
+@query("ex_reading_simplified", f"WITH {SIMPLE} SELECT conv_id, turn, answer, start::BIGINT AS \"start\", stop::BIGINT AS stop, array_to_string(tokens[start + 1:stop + 1], '') = regexp_replace(answer, '\\s', '', 'g') AS matches FROM s")
+def ex_reading_simplified(spark, sf_dir):
+    """Answers of two words: passage and answer are made simple, and the answer's place is carried over."""
+    r = turns(spark, sf_dir).withColumn("w", words()).where("size(w) >= 2")
+    answer = F.concat(F.get("w", F.lit(1)), F.coalesce(F.concat(F.lit(" "), F.get("w", F.lit(2))), F.lit("")))
+    r = r.select("conv_id", "turn", "text", answer.alias("old"), (F.instr("text", F.get("w", F.lit(1))) - 1).alias("given"))
+    r = r.withColumns({"made": transducer(spark)("text"), "answer": simplified(spark, "old")})
+    at = r.select("conv_id", "turn", "answer", E.reading_span_in_converted(F.col("made"), F.col("given"), F.length("old"), F.col("answer")).alias("at")).where("at is not null")
+    return at.select("conv_id", "turn", "answer", F.col("at.start").cast("long").alias("start"), F.col("at.stop").cast("long").alias("stop"), "at.matches")

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import codebook as C
 from corpusloom.operators import decode as D
 from corpusloom.operators import examples as E
 from corpusloom.operators import features as X
@@ -91,3 +92,40 @@ def test_reading_features(spark):
     got = X.reading_features(df, "q", "p", most=8, most_query=2, stride=2).orderBy("window").collect()
     assert [" ".join(r["tokens"]) for r in got] == ["[CLS] q r [SEP] ab cd e [SEP]", "[CLS] q r [SEP] e fg h [SEP]"]
     assert [[tuple(x) for x in r["source"]] for r in got] == [[(4, 0), (5, 0), (6, 1)], [(4, 1), (5, 2), (6, 2)]]
+
+
+def plain_convert(text, book):
+    """The longest phrase at each place, and where each character read went."""
+    out, starts, ends, at = "", [], [], 0
+    while at < len(text):
+        found = max((k for k in book if text.startswith(k, at)), key=len, default=text[at])
+        starts += [len(out)] * len(found)
+        out += book.get(found, found)
+        ends += [len(out)] * len(found)
+        at += len(found)
+    return out, starts, ends
+
+
+def test_transducer(spark):
+    rng = random.Random(8)
+    book = {"a": "xyz", "ab": "", "abc": "Q", "bca": "long one", "c": "c", "ddd": "d"}
+    texts = ["", None, "abcabca", "ddddd", "abab", *("".join(rng.choice("abcd e") for _ in range(rng.randint(1, 40))) for _ in range(80))]
+    table = spark.createDataFrame(list(book.items()), "ch string, out string")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", C.phrase_transducer(table)("t").alias("m"), C.phrase_translator(table)("t").alias("s")).collect()
+    for r in got:
+        if r["t"] is None:
+            assert r["s"] is None and r["m"]["text"] is None
+            continue
+        assert (r["m"]["text"], r["m"]["starts"], r["m"]["ends"]) == plain_convert(r["t"], book) and r["s"] == r["m"]["text"]
+
+
+def test_reading_span_in_converted_text(spark):
+    """Spans survive phrases that grow or shrink before and inside of them."""
+    table = spark.createDataFrame([("裏", "里面"), ("乾隆", "乾"), ("計程車", "出租车")], "ch string, out string")
+    rows = [("他在裏，乾隆來計程車。", 4, "乾隆"), ("他在裏，乾隆來計程車。", 7, "計程車"), ("裏 ab，x", 1, " ab"), ("裏", 0, "裏"), ("裏", 3, "no"), ("乾隆", 1, "隆")]
+    df = spark.createDataFrame(rows, "text string, given int, answer string")
+    df = df.withColumns({"m": C.phrase_transducer(table)("text"), "new": C.phrase_translator(table)("answer")})
+    got = df.select("answer", E.reading_span_in_converted(F.col("m"), F.col("given"), F.length("answer"), F.col("new")).alias("at"), T.reader_tokens(F.col("m.text")).alias("tokens")).collect()
+    said = [r["at"] and ("".join(r["tokens"][r["at"]["start"] : r["at"]["stop"] + 1]), r["at"]["matches"]) for r in got]
+    assert said == [("乾", True), ("出租车", True), ("ab", True), ("里面", True), None, ("乾", False)]
