@@ -77,8 +77,8 @@ def wordpiece(word: str, vocab: dict, unk: str = "[UNK]", longest: int = 100) ->
     return out
 
 
-def unigram(word: str, scores: dict[str, float], longest: int, unk: str = "[UNK]") -> list[str]:
-    """The segmentation of the highest total score; a character without a piece is unknown."""
+def unigram(word: str, scores: dict[str, float], longest: int, unk: str | None = "[UNK]") -> list[str]:
+    """The segmentation of the highest total score; a character without a piece is unknown (or itself, if ``unk`` is None)."""
     worst = min(scores.values(), default=0.0) - 10.0
     best: list[tuple[float, int, bool]] = [(0.0, 0, True)]
     for end in range(1, len(word) + 1):
@@ -91,7 +91,7 @@ def unigram(word: str, scores: dict[str, float], longest: int, unk: str = "[UNK]
     out, end = [], len(word)
     while end:
         _, start, known = best[end]
-        out.append(word[start:end] if known else unk)
+        out.append(word[start:end] if known or unk is None else unk)
         end = start
     return out[::-1]
 
@@ -121,13 +121,43 @@ def tokenize_unigram(rows: DataFrame, keys: list[str], words: str, scored: DataF
     return segment_words(rows, keys, words, lambda w, v: unigram(w, v, longest, unk), held)
 
 
-def words_first(rows: DataFrame, keys: list[str], words: str, listed: DataFrame, sep: str = T.SEP) -> DataFrame:
-    """(keys, tokens): a word of the list stays whole; any other is taken apart: its listed characters as they are, literals
-    shifted behind a separator, others marked by a separator for the segmenter."""
+def words_first(rows: DataFrame, keys: list[str], words: str, listed: DataFrame, book: DataFrame, scored: DataFrame, sep: str = T.SEP) -> DataFrame:
+    """(keys, tokens): a word of the list (token) stays whole; any other is taken apart. Of its characters those of the list
+    stay as they are, literals are shifted, and others become their code in ``book`` (ch, code), or stay without one, and are
+    cut into the likeliest pieces of ``scored`` (token, score); what is not of the list has a separator before every piece.
+    A character without a piece is a piece of its own.
+
+    Only distinct characters are coded and cut: an alphabet, whatever the corpus. :func:`to_ids_two` gives the tokens' ids, with
+    :func:`marked` pieces behind the words.
+    """
     flat = rows.select(*keys, F.posexplode_outer(words).alias("_w", "word"))
     known = listed.select(F.col("token").alias("word"), F.lit(True).alias("_whole")).distinct()
     split = flat.join(known, "word", "left").select(*keys, "_w", F.posexplode_outer(F.when(F.col("_whole"), F.array("word")).otherwise(F.filter(F.split("word", ""), lambda c: c != ""))).alias("_c", "token"), "_whole")
     found = split.join(listed.select("token", F.lit(True).alias("_in")).distinct(), "token", "left")
-    piece = F.when(F.coalesce("_whole", "_in", F.lit(False)), F.col("token")).otherwise(F.concat(F.lit(sep), T.shift_literals("token")))
-    one = F.when(F.col("token").isNotNull(), F.struct("_w", "_c", piece.alias("t")))
-    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(one)), lambda p: p["t"]).alias("tokens"))
+    whole, literal = F.coalesce("_whole", "_in", F.lit(False)), F.col("token").isin(list(T.LITERALS))
+    found = found.withColumn("_cut", F.when(~whole & ~literal, F.col("token")))
+    codes = found.where(F.col("_cut").isNotNull()).select(F.col("_cut").alias("ch")).distinct().join(book.groupBy("ch").agg(F.max("code").alias("code")), "ch", "left")
+    pieces = segmented(codes.select("ch", F.coalesce("code", "ch").alias("word")).where("word != ''"), scored).select(F.col("ch").alias("_cut"), F.transform("pieces", lambda p: F.concat(F.lit(sep), p)).alias("_pieces"))
+    moved = F.array(F.concat(F.lit(sep), T.shift_literals("token")))
+    token = F.when(whole, F.array("token")).when(literal, moved).otherwise(F.coalesce("_pieces", F.array().cast("array<string>")))
+    one = F.when(F.col("token").isNotNull(), F.struct("_w", "_c", token.alias("t")))
+    return found.join(pieces, "_cut", "left").groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(one)), lambda p: p["t"])).alias("tokens"))
+
+
+def segmented(words: DataFrame, scored: DataFrame) -> DataFrame:
+    """The rows with ``pieces``: the likeliest of their ``word``, a character without a piece as it is."""
+    held = _held(scored, "token", "score")
+    longest = max(map(len, held.value), default=1)
+    fields = ", ".join(f"{n} {t}" for n, t in words.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["pieces"] = [unigram(w, held.value, longest, None) for w in b["word"]]
+            yield b
+
+    return words.mapInPandas(run, f"{fields}, pieces array<string>")
+
+
+def marked(pieces: DataFrame, sep: str = T.SEP) -> DataFrame:
+    """A piece vocabulary (id, token) as :func:`words_first` writes its pieces."""
+    return pieces.withColumn("token", F.concat(F.lit(sep), F.col("token")))

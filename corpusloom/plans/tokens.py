@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import tokens as K
 from corpusloom.plans.base import LINES, lines, query, table
-from corpusloom.plans.codebooks import WORDS, corpus_words
+from corpusloom.plans.codebooks import BOOK, WORDS, book, corpus_words
 from corpusloom.plans.vocabularies import vocab_sql, word_counts, word_vocab
 
 KEYS = ["doc_id", "line_no"]
@@ -76,7 +76,23 @@ def tokenize_unigram(spark, sf_dir):
     return out.select(*KEYS, F.array_join("tokens", " ").alias("out"))
 
 
-@query("tokenize_words_first", f"WITH {TOKENS}, {WORDS}, {vocab_sql()}, c AS (SELECT doc_id, line_no, k * 10000 + unnest(range(len(x))) AS k, unnest(x) AS c, whole FROM (SELECT doc_id, line_no, k, v.token IS NOT NULL AS whole, CASE WHEN v.token IS NOT NULL THEN [t.token] ELSE list_filter(string_split(t.token, ''), lambda y: y <> '') END AS x FROM t LEFT JOIN vocab v USING (token))), p AS (SELECT doc_id, line_no, k, CASE WHEN whole OR v.token IS NOT NULL THEN c ELSE '{T.SEP}' || translate(c, '{T.LITERALS}', '{T.SHIFTED}') END AS s FROM c LEFT JOIN vocab v ON v.token = c.c) " + JOINED.format(x="s", s=" ", t="p"))
+def code_pieces(spark):
+    """Pieces of the stand-in codes: their letters and digits by use, and whole codes that are likelier (digit 1) or less
+    likely (digit 2) than their parts."""
+    codes = book(spark).select("code").withColumn("d", F.substring("code", 2, 1))
+    parts = codes.select(F.explode(F.split("code", "")).alias("token")).where("token != ''").groupBy("token").agg(F.count("*").cast("double").alias("n"))
+    whole = codes.where("d != '3'").select(F.col("code").alias("token"), F.when(F.col("d") == "1", 2.0).otherwise(0.5).alias("n"))
+    return parts.unionAll(whole).select("token", F.log(F.col("n") / 36).alias("score"))
+
+
+FIRST = f"""{TOKENS}, {WORDS}, {vocab_sql()}, {BOOK}, codes AS (SELECT ch, code FROM book WHERE scheme = 'pinyin'),
+pieces AS (SELECT token, ln(count(*) / 36.0) AS score FROM (SELECT unnest(string_split(code, '')) AS token FROM codes) GROUP BY token UNION ALL SELECT code, ln(CASE code[2] WHEN '1' THEN 2.0 ELSE 0.5 END / 36.0) FROM codes WHERE code[2] <> '3'),
+best AS (SELECT ch, CASE WHEN w.score > a.score + b.score THEN '{T.SEP}' || code ELSE '{T.SEP}' || code[1] || ' {T.SEP}' || code[2] END AS s FROM codes JOIN pieces a ON a.token = code[1] JOIN pieces b ON b.token = code[2] LEFT JOIN pieces w ON w.token = code),
+c AS (SELECT doc_id, line_no, k * 10000 + unnest(range(len(x))) AS k, unnest(x) AS c, whole FROM (SELECT doc_id, line_no, k, v.token IS NOT NULL AS whole, CASE WHEN v.token IS NOT NULL THEN [t.token] ELSE list_filter(string_split(t.token, ''), lambda y: y <> '') END AS x FROM t LEFT JOIN vocab v USING (token))),
+p AS (SELECT doc_id, line_no, k, CASE WHEN whole OR v.token IS NOT NULL THEN c WHEN contains('{T.LITERALS}', c) THEN '{T.SEP}' || translate(c, '{T.LITERALS}', '{T.SHIFTED}') ELSE coalesce(best.s, '{T.SEP}' || c) END AS s FROM c LEFT JOIN vocab v ON v.token = c.c LEFT JOIN best ON best.ch = c.c)"""
+
+
+@query("tokenize_words_first", f"WITH {FIRST} " + JOINED.format(x="s", s=" ", t="p"))
 def tokenize_words_first(spark, sf_dir):
-    out = K.words_first(token_lines(spark, sf_dir), KEYS, "tokens", word_vocab(spark, sf_dir))
+    out = K.words_first(token_lines(spark, sf_dir), KEYS, "tokens", word_vocab(spark, sf_dir), book(spark), code_pieces(spark))
     return out.select(*KEYS, F.array_join("tokens", " ").alias("out"))

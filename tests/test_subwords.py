@@ -5,7 +5,12 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
 from corpusloom.operators import bpe as B
+from corpusloom.operators import tokens as K
 from corpusloom.operators import vocab as V
 
 
@@ -120,3 +125,19 @@ def test_unigram_expected_uses_are_those_of_all_ways():
 
 def test_unigram_of_nothing(spark):
     assert V.train_unigram(spark.createDataFrame([], "word string, n bigint"), 10).count() == 0
+
+
+def test_words_first(spark):
+    """Words of the list, listed characters, literals, coded characters cut into pieces, and characters without a code."""
+    sep, up = T.SEP, lambda x: "".join(chr(ord(c) + 50_000) for c in x)
+    listed = spark.createDataFrame([(0, "[UNK]"), (1, "天气"), (2, "好")], "id int, token string")
+    book = spark.createDataFrame([("今", "jin1"), ("天", "tian1"), ("很", "hen3")], "ch string, code string")
+    scored = spark.createDataFrame([("jin", -1.0), ("1", -1.0), ("tian1", -1.5), ("tian", -1.0), ("hen", -2.0), ("h", -0.5), ("en", -1.0)], "token string, score double")
+    rows = spark.createDataFrame([(1, ["天气", "今天", "很好", "a9", "氣"]), (2, []), (3, None)], "k int, w array<string>")
+    got = {r["k"]: r["tokens"] for r in K.words_first(rows, ["k"], "w", listed, book, scored).collect()}
+    want = ["天气", "jin", "1", "tian1", "h", "en", "3", "好", up("a"), up("9"), "氣"]
+    assert got == {1: [t if t in ("天气", "好") else sep + t for t in want], 2: [], 3: []}
+    pieces = K.marked(scored.select(F.row_number().over(Window.orderBy("token")).alias("id"), "token"))
+    ids = K.to_ids_two(spark.createDataFrame([(1, got[1])], "k int, t array<string>"), ["k"], "t", listed, pieces).first()["ids"]
+    order = sorted(["jin", "1", "tian1", "tian", "hen", "h", "en"])
+    assert ids == [1] + [3 + order.index(t) + 1 if t in order else 3 for t in ["jin", "1", "tian1", "h", "en", "3"]] + [2, 3, 3, 3]
