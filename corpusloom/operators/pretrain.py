@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.examples import truncate_pair
+from corpusloom.operators.order import numbered
 
 
 def draw(seed: int, n: Column | int, *keys: Column | str) -> Column:
@@ -32,16 +33,86 @@ def ranked(rows: DataFrame, first: str, key: str, *, seed: int = 0, buckets: int
     return r.withColumn("_r", inside).join(offsets, [first, "_b"]).withColumn("rank", F.col("_r") + F.col("_before")).drop("_b", "_h", "_r", "_before")
 
 
-def shard_balance(docs: DataFrame, size: str, key: str, shards: int, *, test_permille: int = 100, seed: int = 0) -> DataFrame:
-    """The documents with ``split`` and ``shard``: largest first, to and fro over the shards, so that shards of a split get
-    sizes that differ by little. Every document is in one shard."""
-    split = F.when(draw(seed, 1000, key, F.lit("split")) < test_permille, "test").otherwise("training")
-    parts = []
-    for name in ("training", "test"):
-        r = ranked(docs.withColumn("split", split).where(F.col("split") == name), size, key, seed=seed)
-        turn, place = F.floor(F.col("rank") / shards), F.col("rank") % shards
-        parts.append(r.withColumn("shard", F.when(turn % 2 == 0, place).otherwise(shards - 1 - place).cast("long")).drop("rank"))
-    return parts[0].unionByName(parts[1])
+def _levelled(room: list[int], size: int, n: int) -> list[int]:
+    """How many of ``n`` equal documents each shard gets if each goes to the one with most room, the first of several.
+
+    A shard's k-th document finds it with room - (k - 1) * size; the ``n`` largest of these numbers win. The least of them is
+    found by halving, so the work does not grow with ``n``.
+    """
+
+    def above(level: int) -> list[int]:
+        return [max(0, -((level - r) // size)) if r > level else 0 for r in room]  # how often a room stays over the level
+
+    low, high = min(room) - size * (n + 1), max(room)
+    while high - low > 1:  # more than n are over low, at most n over high
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(above(middle)) > n else (low, middle)
+    got = above(high)
+    left = n - sum(got)
+    for i, r in enumerate(room):  # those that are level with it, in order
+        if left and r - got[i] * size == high:
+            got[i] += 1
+            left -= 1
+    return got
+
+
+def pack(sizes: list[tuple[int, int]], budgets: list[int]) -> list[tuple[int, int, int, int]]:
+    """(size, shard, first, end): which documents of a size, by their number among equals, a shard gets.
+
+    ``sizes``: (size, documents). Largest first, a document goes to the shard with most of its budget left; budgets that are
+    used up go on below nought, all alike. Where there are no more documents than empty shards, these get them. A document
+    without a size counts as one of size 1.
+    """
+    room, empty, out = list(budgets), set(range(len(budgets))), []
+    left = sum(n for _, n in sizes)
+    for size, n in sorted(sizes, reverse=True):
+        got = [0] * len(room)
+        while n:
+            free = min(n, left - len(empty))
+            if free > 0:
+                given = _levelled(room, max(size, 1), free)
+            else:
+                i = max(empty, key=lambda e: (room[e], -e))
+                free, given = 1, [int(k == i) for k in range(len(room))]
+            for i, k in enumerate(given):
+                got[i] += k
+                room[i] -= k * max(size, 1)
+                if k:
+                    empty.discard(i)
+            n, left = n - free, left - free
+        first = 0
+        for i, k in enumerate(got):
+            if k:
+                out.append((size, i, first, first + k))
+            first += k
+    return out
+
+
+def shard_balance(docs: DataFrame, size: str, key: str, shards: int, *, test_shards: int | None = None, test_permille: int = 100, seed: int = 0) -> DataFrame:
+    """The documents with ``split`` and ``shard``: every document is in one shard; the shards of a split get equal budgets of
+    sentences, and documents go largest first to the shard with most room (:func:`pack`), so that shards differ by little and
+    none is empty unless there are fewer documents than shards.
+
+    What comes to the driver is the number of documents of each size. Documents are numbered among those of their size, in a
+    hashed order and in ranges (:func:`order.numbered`), so a frequent size is no single task; a size's plan is looked up.
+    """
+    test_shards = shards if test_shards is None else test_shards
+    sized = docs.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
+    counts = [(r["_size"], r["n"]) for r in sized.groupBy("_size").agg(F.count("*").alias("n")).collect()]
+    total = sum(z * n for z, n in counts)
+    training = total * (1000 - test_permille) // 1000
+    budgets = [training // shards] * shards + [(total - training) // max(test_shards, 1)] * test_shards
+    plans: dict[int, tuple[list[int], list[int]]] = {}
+    for z, shard, _, end in pack(counts, budgets):
+        ends, names = plans.setdefault(z, ([], []))
+        ends.append(end)
+        names.append(shard)
+    table = docs.sparkSession.createDataFrame([(z, *p) for z, p in plans.items()], "_size bigint, _ends array<bigint>, _shards array<int>")
+    mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    placed = numbered(sized.withColumn("_mixed", mixed), ["_mixed", key], by=["_size"], name="_place").join(table, "_size")
+    shard = F.get("_shards", F.size(F.filter("_ends", lambda e: e <= F.col("_place"))))
+    split = F.when(shard < shards, "training").otherwise("test")
+    return placed.select(*docs.columns, split.alias("split"), F.when(shard < shards, shard).otherwise(shard - shards).cast("long").alias("shard"))
 
 
 def duplicate(docs: DataFrame, times: int) -> DataFrame:
@@ -122,7 +193,7 @@ def next_sentence(docs: DataFrame, key: str, sizes: str, most: int | Column, see
     """
     wanted = most if isinstance(most, Column) else F.lit(most)
     full = docs.select(key, F.filter(sizes, lambda n: n > 0).cast("array<bigint>").alias("_sizes"), wanted.cast("long").alias("_most")).where(F.size("_sizes") > 0)
-    numbered = ranked(full.withColumn("_count", F.size("_sizes")), "_count", key, seed=seed).select(key, "_count", "_sizes", "_most", "rank")
+    places = ranked(full.withColumn("_count", F.size("_sizes")), "_count", key, seed=seed).select(key, "_count", "_sizes", "_most", "rank")
     total = full.count()
     kind = dict(docs.dtypes)[key]
 
@@ -132,10 +203,10 @@ def next_sentence(docs: DataFrame, key: str, sizes: str, most: int | Column, see
             if rows:
                 yield pd.DataFrame(rows, columns=[key, "_r", "chunk", "first", "last", "cut", "is_next", "_left"])
 
-    named = numbered.select(key, F.col(key).cast("string").alias("_name"), "rank", "_sizes", "_most")
+    named = places.select(key, F.col(key).cast("string").alias("_name"), "rank", "_sizes", "_most")
     c = named.mapInPandas(fold, f"{key} {kind}, _r bigint, chunk bigint, first bigint, last bigint, cut bigint, is_next boolean, _left bigint")
     other = F.pmod(F.col("_r") + 1 + draw(seed, max(total - 1, 1), key, "chunk", F.lit("doc")), F.lit(max(total, 1)))
-    partner = numbered.select(F.col("rank").alias("_p"), F.col(key).alias("b_doc"), "_count", "_sizes")
+    partner = places.select(F.col("rank").alias("_p"), F.col(key).alias("b_doc"), "_count", "_sizes")
     c = c.withColumn("_p", F.when(~F.col("is_next"), other)).join(partner, "_p", "left")
     c = c.withColumn("_at", draw(seed, F.greatest("_count", F.lit(1)), key, "chunk", F.lit("start")))
     c = c.withColumn("_to", F.pandas_udf(_filled, "bigint")("_sizes", "_at", "_left"))

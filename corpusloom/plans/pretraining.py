@@ -24,7 +24,17 @@ def sentences(spark, sf_dir):
     return s.select("doc_id", F.size("s").alias("n"), F.transform("s", lambda x: F.size(T.words(x))).alias("sizes"))
 
 
-SHARD = f"{SENT}, sp AS (SELECT doc_id, n, CASE WHEN {d(0, 1000, 'doc_id', repr('split'))} < 100 THEN 'test' ELSE 'training' END AS split FROM n), rk AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY n DESC, {d(0, 64, 'doc_id')}, md5('0|' || doc_id), doc_id) - 1 AS r FROM sp), sh AS (SELECT doc_id, n, split, CASE WHEN (r // 8) % 2 = 0 THEN r % 8 ELSE 7 - r % 8 END AS shard FROM rk)"
+#: One document after the other: largest first, to the shard (1 to 16, the last eight of the test) with most room, or, where
+#: there are no more documents than empty shards, to one of these. Only the numbers of each size and shard count.
+SHARD = f"""RECURSIVE {SENT}, ord AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS k, count(*) OVER () AS total, sum(n) OVER () AS s FROM n),
+bud AS (SELECT any_value(total) AS total, list_concat(list_transform(range(8), lambda i: ((s * 900) // 1000)::BIGINT // 8), list_transform(range(8), lambda i: (s - (s * 900) // 1000)::BIGINT // 8)) AS room FROM ord GROUP BY s),
+dealt AS (SELECT 0::BIGINT AS k, NULL::INTEGER AS n, 0::BIGINT AS shard, room, list_transform(range(16), lambda i: 0::BIGINT) AS docs FROM bud UNION ALL
+  SELECT k, n, shard, list_transform(room, lambda r, i: r - CASE WHEN i = shard THEN greatest(n, 1) ELSE 0 END), list_transform(docs, lambda c, i: c + (i = shard)::BIGINT)
+  FROM (SELECT k, n, room, docs, list_position(key, list_max(key)) AS shard FROM (SELECT o.k, o.n, d.room, d.docs,
+    CASE WHEN o.total - o.k + 1 <= len(list_filter(d.docs, lambda c: c = 0)) THEN list_transform(d.room, lambda r, i: CASE WHEN d.docs[i] = 0 THEN r ELSE -9000000000000000 END) ELSE d.room END AS key FROM dealt d JOIN ord o ON o.k = d.k + 1))),
+per AS (SELECT n, shard, sum(count(*)) OVER (PARTITION BY n ORDER BY shard) AS stop, count(*) AS c FROM dealt WHERE k > 0 GROUP BY n, shard),
+placed AS (SELECT doc_id, n, row_number() OVER (PARTITION BY n ORDER BY md5('0|' || doc_id), doc_id) - 1 AS p FROM n),
+sh AS (SELECT doc_id, placed.n, CASE WHEN shard <= 8 THEN 'training' ELSE 'test' END AS split, (shard - 1) % 8 AS shard FROM placed JOIN per ON placed.n = per.n AND p < stop AND p >= stop - c)"""
 
 
 def shards(spark, sf_dir):

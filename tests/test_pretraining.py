@@ -87,3 +87,63 @@ def test_mask_with_an_empty_vocabulary(spark):
     df = spark.createDataFrame([(1, ["[CLS]", "a", "b", "[SEP]"])], "a int, tokens array<string>")
     row = P.mask(df, ["a"], "tokens", F.lit(2), spark.createDataFrame([], "id int, token string"), 1).first()
     assert all(t in ("[MASK]", old) for t, old in zip(row["tokens"], ["[CLS]", "a", "b", "[SEP]"]))
+
+
+def plain_pack(sizes, budgets):
+    """One document after the other."""
+    room, docs, out = list(budgets), [0] * len(budgets), {}
+    every = sorted((z for z, n in sizes for _ in range(n)), reverse=True)
+    for k, z in enumerate(every):
+        empty = [i for i, c in enumerate(docs) if not c]
+        among = empty if len(every) - k <= len(empty) else range(len(room))
+        i = max(among, key=lambda j: (room[j], -j))
+        room[i] -= max(z, 1)
+        docs[i] += 1
+        out[z, i] = out.get((z, i), 0) + 1
+    return out, docs
+
+
+def test_pack_is_one_document_at_a_time():
+    rng = random.Random(1)
+    for _ in range(300):
+        sizes = [(z, rng.choice([1, 2, 7, 60])) for z in sorted(rng.sample(range(40), rng.randint(1, 12)))]
+        budgets = [rng.randint(0, 400) for _ in range(rng.randint(1, 9))]
+        want, docs = plain_pack(sizes, budgets)
+        got = P.pack(sizes, budgets)
+        assert {(z, i): b - a for z, i, a, b in got} == want
+        assert min(docs) > 0 or sum(n for _, n in sizes) < len(budgets)
+        for z, n in sizes:  # places of a size without gaps
+            ends = sorted((a, b) for y, _, a, b in got if y == z)
+            assert [a for a, _ in ends] == [0] + [b for _, b in ends[:-1]] and ends[-1][1] == n
+
+
+def test_pack_of_many_documents():
+    """The work is that of the sizes, not of the documents."""
+    got = P.pack([(1, 10**12), (30, 10**9), (7, 5 * 10**10)], [10**9] * 500)
+    load = [0] * 500
+    for z, i, a, b in got:
+        load[i] += z * (b - a)
+    assert max(load) - min(load) <= 1
+
+
+def test_shard_balance(spark):
+    """Every document once, no empty shard, and shards of a split within one small document of each other; no worse than the
+    spread of a deal to and fro."""
+    rng = random.Random(6)
+    rows = [(k, min(int(rng.paretovariate(1.1)), 300), "x") for k in range(1500)] + [(1500 + k, 0, "x") for k in range(40)] + [(9000, None, "x")]
+    out = P.shard_balance(spark.createDataFrame(rows, "k int, size int, shardx string"), "size", "k", 6, test_shards=3).collect()
+    assert sorted(r["k"] for r in out) == sorted(r[0] for r in rows)
+    load = {}
+    for r in out:
+        load.setdefault(r["split"], {}).setdefault(r["shard"], []).append(r["size"] or 0)
+    assert {s: sorted(x) for s, x in load.items()} == {"training": list(range(6)), "test": [0, 1, 2]}
+    for shards in load.values():
+        sums = [sum(max(z, 1) for z in x) for x in shards.values()]
+        assert max(sums) - min(sums) <= 2
+    assert abs(sum(sum(x) for x in load["test"].values()) / sum(r[1] or 0 for r in rows) - 0.1) < 0.02
+
+
+def test_fewer_documents_than_shards(spark):
+    out = P.shard_balance(spark.createDataFrame([(1, 5), (2, 9)], "k int, size int"), "size", "k", 4).collect()
+    assert len({(r["split"], r["shard"]) for r in out}) == 2
+    assert P.shard_balance(spark.createDataFrame([], "k int, size int"), "size", "k", 4).count() == 0
