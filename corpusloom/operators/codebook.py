@@ -69,6 +69,20 @@ def encode(x: Column | str, book: DataFrame, *, index: bool = True, **prepare) -
     return translator(replacements(book, index=index))(prepared(x, **prepare))
 
 
+def count_codes(rows: DataFrame, text: str, book: DataFrame, *, sep: str = T.SEP, **prepare) -> DataFrame:
+    """(code, n): how often each code stands in the coded texts, that is what lies between two separators: a character's code
+    behind the uncoded characters before it. Characters are counted first; only distinct ones are coded."""
+    coded = book.groupBy("ch").agg(F.max("code").alias("code"))
+    chars = [r["ch"] for r in coded.select("ch").limit(MAX_HELD + 1).collect() if r["ch"] and len(r["ch"]) == 1]
+    if len(chars) > MAX_HELD:
+        raise ValueError("the book is too large to be held")
+    every = "".join("\\" + c if c in "\\[]^-&~|" else c for c in sorted(chars))
+    found = rows.select(F.explode(F.regexp_extract_all(prepared(text, **prepare), F.lit(f"[^{every}]*[{every}]"), 0)).alias("piece"))
+    counts = found.groupBy("piece").agg(F.count("*").alias("n")).withColumn("ch", F.right("piece", F.lit(1)))
+    before = T.shift_literals(F.expr("left(piece, length(piece) - 1)"))
+    return counts.join(coded, "ch").groupBy(F.concat(before, "code", F.lit(sep)).alias("code")).agg(F.sum("n").alias("n"))
+
+
 def encode_concat(x: Column | str, first: DataFrame, second: DataFrame) -> Column:
     """Both codes of a character without digits, one after the other; one of them may be missing."""
     both = first.select("ch", T.drop_digits("code").alias("a")).join(second.select("ch", T.drop_digits("code").alias("b")), "ch", "full")

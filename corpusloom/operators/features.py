@@ -16,9 +16,11 @@ def window_starts(size: Column, length: Column, stride: int) -> Column:
 
 
 def windows(rows: DataFrame, tokens: str, length: Column, stride: int) -> DataFrame:
-    """A row for each window, with ``window``, ``start`` and ``part`` (its tokens)."""
-    out = rows.select("*", F.posexplode(window_starts(F.size(tokens), length, stride)).alias("window", "start"))
-    return out.withColumn("part", F.slice(F.col(tokens), F.col("start") + 1, length.cast("int")))
+    """A row for each window, with ``window``, ``start`` and ``part`` (its tokens) in place of ``tokens``: windows are cut
+    before they become rows, so no row carries the whole passage."""
+    cut = F.transform(window_starts(F.size(tokens), length, stride), lambda at: F.struct(at.alias("start"), F.slice(F.col(tokens), at + 1, length.cast("int")).alias("part")))
+    rest = [F.col(f"`{c}`") for c in rows.columns if c != tokens]
+    return rows.select(*rest, F.posexplode(cut).alias("window", "_cut")).select(*rest, "window", "_cut.start", "_cut.part")
 
 
 def pieces_of(words: Column, cut) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.examples import truncate_pair
 from corpusloom.operators.order import numbered
+from corpusloom.sources.sinks import scratch
 
 
 def draw(seed: int, n: Column | int, *keys: Column | str) -> Column:
@@ -97,7 +98,9 @@ def shard_balance(docs: DataFrame, size: str, key: str, shards: int, *, test_sha
     hashed order and in ranges (:func:`order.numbered`), so a frequent size is no single task; a size's plan is looked up.
     """
     test_shards = shards if test_shards is None else test_shards
-    sized = docs.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
+    sized, path = docs.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long")), scratch(docs.sparkSession, "sizes")
+    sized.write.parquet(path)  # counting, numbering and placing read it, and sizes may be dear
+    sized = docs.sparkSession.read.schema(sized.schema).parquet(path)
     counts = [(r["_size"], r["n"]) for r in sized.groupBy("_size").agg(F.count("*").alias("n")).collect()]
     total = sum(z * n for z, n in counts)
     training = total * (1000 - test_permille) // 1000

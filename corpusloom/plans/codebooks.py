@@ -153,8 +153,7 @@ def codebook_coverage(spark, sf_dir):
 def top_codes(spark, sf_dir):
     """Sentences, coded, and their twenty most frequent codes: the flagship query."""
     sentences = lines(spark, sf_dir).select(F.explode(T.sentence_split("line")).alias("s"))
-    codes = sentences.select(F.explode(F.regexp_extract_all(C.encode("s", book(spark)), F.lit(f"[^{T.SEP}]+{T.SEP}"), 0)).alias("code"))
-    return codes.groupBy("code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(20)
+    return C.count_codes(sentences, "s", book(spark)).orderBy(F.desc("n"), "code").limit(20)
 
 
 PHRASES = {"tion": "T", "th": "þ", "the": "ð", "é": "e", "ñ": "n"}

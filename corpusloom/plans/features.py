@@ -89,7 +89,7 @@ DOCWIN = "w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lam
 
 
 def doc_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("w")).withColumn("n", F.size("w"))
     return X.windows(rows, "w", (60 - F.col("doc_id") % 8).cast("int"), 32)
 
 
@@ -123,7 +123,7 @@ def max_context(spark, sf_dir):
 def window_labels(spark, sf_dir):
     """Answers in the middle of a document, after a query of ten tokens."""
     w = doc_windows(spark, sf_dir)
-    s = F.floor(F.size("w") / 2).cast("int")
+    s = F.floor(F.col("n") / 2).cast("int")
     got = X.window_label(F.col("start"), F.size("part"), s, s + (F.col("doc_id") % 5).cast("int"), F.lit(12))
     return w.select("doc_id", F.col("window").cast("long").alias("window"), got.alias("g")).select("doc_id", "window", F.col("g.start").cast("long").alias("s"), F.col("g.end").cast("long").alias("e"))
 
