@@ -101,6 +101,37 @@ def final_text(pieces: Column, source: Column) -> Column:
     return F.when(good, F.substring(source, first + 1, last - first + 1)).otherwise(source)
 
 
+def filled_at(values: Column, at: Column, *, is_start: bool) -> Column:
+    """What :func:`align.nearest_filled` puts at place ``at`` of an array with nulls; null if all are null."""
+    some = lambda x: F.filter(x, lambda v: v.isNotNull())
+    lo = F.try_element_at(some(F.slice(values, F.lit(1), at + 1)), F.lit(-1))
+    hi = F.get(some(F.slice(values, at + 1, F.greatest(F.size(values) - at, F.lit(0)))), F.lit(0))
+    only_right = F.when(hi >= 1, F.lit(0) if is_start else hi - 1).otherwise(hi)
+    between = F.when(hi > lo + 1, lo + 1 if is_start else hi - 1).otherwise(hi if is_start else lo)
+    here = F.get(values, at)
+    return F.when(here.isNotNull(), here).when(lo.isNull(), only_right).when(hi.isNull(), lo).otherwise(between)
+
+
+def span_two_level(candidates: DataFrame, keys: list[str], features: DataFrame) -> DataFrame:
+    """(keys, s, e, first, last, answer, score): the best span of each row in sub-characters, the tokens it reaches and the
+    answer in the source text.
+
+    ``candidates``: (keys, s, e, score), see :func:`span_candidates`, over the sub-characters of a feature. ``features``: (keys,
+    subs, owner, tokens): owner is the token of each sub-character, null where there is none; an end without a token goes to
+    the nearest filled place inside the span's side. The predicted sub-characters are then found in the tokens' own text
+    (:func:`final_text`), so letters come back in their case. Of equal spans the first counts; a row has none if no
+    sub-character has a token.
+    """
+    best = candidates.groupBy(*keys).agg(F.min_by(F.struct("s", "e", "score"), F.struct(-F.col("score"), F.col("s"), F.col("e"))).alias("b")).select(*keys, "b.*")
+    at = best.join(features, keys).where((F.col("s") >= 0) & (F.col("e") < F.size("subs")))
+    s, e = F.col("s").cast("int"), F.col("e").cast("int")
+    at = at.withColumns({"first": filled_at(F.col("owner"), s, is_start=True), "last": filled_at(F.col("owner"), e, is_start=False)}).where("first is not null")
+    at = at.withColumn("last", F.greatest("first", "last"))
+    source = F.array_join(F.slice("tokens", F.col("first") + 1, F.col("last") - F.col("first") + 1), " ")
+    said = F.slice("subs", s + 1, e - s + 1)
+    return at.select(*keys, "s", "e", "first", "last", final_text(said, source).alias("answer"), "score")
+
+
 def assign_argmax(scores: DataFrame, blank: list[str]) -> DataFrame:
     """(blank, choice): each blank's best choice, the first of equals. ``scores``: (blank, choice, score)."""
     return scores.groupBy(*blank).agg(F.min_by("choice", F.struct(-F.col("score"), F.col("choice"))).alias("choice"))

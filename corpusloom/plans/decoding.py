@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import decode as D
+from corpusloom.operators import twolevel as Y
 from corpusloom.plans.base import query, table
 
 LABEL = "['B-PER', 'I-PER', 'I-LOC', 'O', 'S-LOC', 'B-LOC', 'I-LOC']"
@@ -176,12 +177,27 @@ def prediction_diff(spark, sf_dir):
     return D.prediction_diff(a, b, ["user_id"], "seq")
 
 
-@query("span_two_level", f"WITH {CAND}, t AS (SELECT vec_id, s // 3 AS s, e // 3 AS e, max(score) AS score FROM cand GROUP BY ALL) SELECT vec_id, s, e, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, s, e) AS n FROM t) WHERE n <= 3")
-def span_two_level(spark, sf_dir):
-    """Scores of sub-characters, three to a token; the best spans of tokens."""
-    c = candidates(spark, sf_dir).select("vec_id", F.floor(F.col("s") / 3).alias("s"), F.floor(F.col("e") / 3).alias("e"), "score")
-    t = c.groupBy("vec_id", "s", "e").agg(F.max("score").alias("score"))
-    from pyspark.sql import Window
+#: The first sub-characters (three letters) of a document's words, the word of each, one in two or three without; and the best
+#: candidate in them, moved back by the query's length.
+TWO = f"""{CAND}, w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:200] AS w FROM documents),
+sb AS (SELECT doc_id, w, list_transform(range(len(w)), lambda j: length(array_to_string(w[1:j], ''))) AS starts, regexp_extract_all(lower(array_to_string(w, '')), '(?s).{{1,3}}')[1:64] AS subs FROM w),
+ow AS (SELECT *, list_transform(range(len(subs)), lambda i: CASE WHEN (i * 7 + doc_id) % 5 < 3 THEN len(list_filter(starts, lambda x: x <= 3 * i)) - 1 END) AS m FROM sb),
+b AS (SELECT vec_id, s - 2 - vec_id % 3 AS s, e - 2 - vec_id % 3 AS e, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, s, e) AS n FROM cand) WHERE n = 1),
+x AS (SELECT vec_id, s, e, score, w, subs, m[s + 1] AS ms, m[e + 1] AS me, list_filter(m[1:s + 1], lambda v: v IS NOT NULL)[-1] AS sl, list_filter(m[s + 1:], lambda v: v IS NOT NULL)[1] AS sr,
+  list_filter(m[1:e + 1], lambda v: v IS NOT NULL)[-1] AS el, list_filter(m[e + 1:], lambda v: v IS NOT NULL)[1] AS er FROM b JOIN ow ON vec_id = doc_id WHERE e < len(subs)),
+y AS (SELECT *, CASE WHEN ms IS NOT NULL THEN ms WHEN sl IS NULL THEN CASE WHEN sr >= 1 THEN 0 ELSE sr END WHEN sr IS NULL THEN sl WHEN sr > sl + 1 THEN sl + 1 ELSE sr END AS first,
+  CASE WHEN me IS NOT NULL THEN me WHEN el IS NULL THEN CASE WHEN er >= 1 THEN er - 1 ELSE er END WHEN er IS NULL THEN el WHEN er > el + 1 THEN er - 1 ELSE el END AS last0 FROM x),
+o AS (SELECT *, greatest(first, last0) AS last, array_to_string(w[first + 1:greatest(first, last0) + 1], ' ') AS o, replace(array_to_string(subs[s + 1:e + 1], ''), '##', '') AS said FROM y WHERE first IS NOT NULL),
+z AS (SELECT *, array_to_string({PLAIN}, '') AS tok, list_filter(range(1, length(o) + 1), lambda i: o[i] <> ' ') AS c FROM o)"""
 
-    best = t.withColumn("n", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "s", "e"))).where("n <= 3")
-    return best.select("vec_id", "s", "e", F.round("score", 6).alias("score"))
+
+@query("span_two_level", f"WITH {TWO} SELECT vec_id, s, e, first, last, CASE WHEN said <> '' AND instr(tok, said) > 0 AND len(c) = length(tok) THEN o[c[instr(tok, said)]:c[instr(tok, said) + length(said) - 1]] ELSE o END AS answer, round(score, 6) AS score FROM z")
+def span_two_level(spark, sf_dir):
+    """Scores of sub-characters of three letters; some have no word of their own."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.slice(T.words("text"), 1, 200).alias("tokens"))
+    docs = docs.join(vectors(spark, sf_dir).select("vec_id"), "vec_id").withColumn("subs", F.slice(F.regexp_extract_all(F.lower(F.array_join("tokens", "")), F.lit("(?s).{1,3}"), 0), 1, 64))
+    f = Y.owners(docs, ["vec_id"], "subs", "tokens", "own")
+    holes = F.transform("own", lambda x, i: F.when((i * 7 + F.col("vec_id")) % 5 < 3, x))
+    moved = [(F.col(c) - 2 - F.col("vec_id") % 3).alias(c) for c in ("s", "e")]
+    out = D.span_two_level(candidates(spark, sf_dir).select("vec_id", *moved, "score"), ["vec_id"], f.select("vec_id", "subs", holes.alias("owner"), "tokens"))
+    return out.select("vec_id", "s", "e", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "answer", F.round("score", 6).alias("score"))

@@ -9,10 +9,12 @@ from corpusloom.operators import align as A
 from corpusloom.operators import examples as E
 from corpusloom.operators import features as X
 from corpusloom.operators import tokens as K
+from corpusloom.operators import twolevel as Y
+from corpusloom.operators import vocab as V
 from corpusloom.plans.base import query, table
 from corpusloom.plans.codebooks import WORDS
-from corpusloom.plans.examples import CHOICES, CLOZE, WT, choices, cloze, turns, words
-from corpusloom.plans.vocabularies import vocab_sql, word_vocab
+from corpusloom.plans.examples import CHOICES, CLOZE, W_SQL, WT, choices, cloze, turns, words
+from corpusloom.plans.vocabularies import SPECIAL_SQL, vocab_sql, word_vocab
 
 PAIR = f"p AS (SELECT conv_id, turn, {WT} AS a, list_filter(string_split(role, ''), lambda x: x <> '') AS b FROM conversations), z AS (SELECT *, len(a) AS la, len(b) AS lb FROM p), k AS (SELECT *, CASE WHEN la + lb <= 29 THEN la WHEN la <= 15 THEN la WHEN lb <= 14 THEN 29 - lb ELSE 15 END AS ka, CASE WHEN la + lb <= 29 THEN lb WHEN la <= 15 THEN 29 - la WHEN lb <= 14 THEN lb ELSE 14 END AS kb FROM z), f AS (SELECT conv_id, turn, list_concat(list_concat(['[CLS]'], a[1:ka], ['[SEP]']), list_concat(b[1:kb], ['[SEP]'])) AS tokens, ka + 2 AS first, kb + 1 AS second FROM k)"
 
@@ -41,18 +43,61 @@ def feat_single_pair(spark, sf_dir):
     return ids.select("conv_id", "turn", text_of(E.padded(F.col("ids"), 32)).alias("ids"), text_of(E.mask_of(F.col("ids"), 32), "").alias("mask"))
 
 
-@query("feat_two_level")
+PIECES3 = lambda w: f"regexp_extract_all(array_to_string({w}, ''), '(?s).{{1,3}}')"
+#: Where words start, and for each piece of three characters (from 0) the word that holds its start.
+STARTS3 = lambda w: f"list_transform(range(len({w})), lambda j: length(array_to_string({w}[1:j], '')))"
+OWNER3 = lambda starts, n: f"list_transform(range({n}), lambda i: len(list_filter({starts}, lambda x: x <= 3 * i)) - 1)"
+SUBS = f"sub_counts AS (SELECT w AS token, count(*) AS n FROM (SELECT unnest({PIECES3(W_SQL.format('text'))}) AS w FROM documents) GROUP BY w), subs_vocab AS ({SPECIAL_SQL} UNION ALL SELECT 4 + row_number() OVER (ORDER BY n DESC, encode(token)), token, n FROM (SELECT * FROM sub_counts ORDER BY n DESC, encode(token) LIMIT 2000))"
+
+
+def subs_of(w):
+    return F.regexp_extract_all(F.array_join(w, ""), F.lit("(?s).{1,3}"), 0)
+
+
+def sub_vocab(spark, sf_dir):
+    """Pieces of three characters of the documents' words."""
+    subs = table(spark, sf_dir, "documents").select(F.explode(subs_of(T.words("text"))).alias("token"))
+    return V.ranked(subs.groupBy("token").agg(F.count("*").alias("n")), 2005)
+
+
+def two_level_sql(source: str, keys: str) -> str:
+    """SQL of both levels, from ``source`` (keys, sa, ta, oa, sb, tb, ob), cut already. Needs subs_vocab and vocab."""
+    by = ", ".join(f"r.{k}" for k in keys.split(", "))
+    ids = lambda name, list_, vocab: f"{name} AS (SELECT {by}, string_agg(coalesce(v.id, 0)::VARCHAR, ' ' ORDER BY r.i) AS ids FROM (SELECT {keys}, unnest(range(len({list_}))) AS i, unnest({list_}) AS token FROM lv) r LEFT JOIN {vocab} v ON v.token = r.token GROUP BY {by})"
+    return (
+        f"lv AS (SELECT *, list_concat(list_concat(['[CLS]'], sa, ['[SEP]']), list_concat(sb, ['[SEP]'])) AS s, list_concat(list_concat(['[CLS]'], ta, ['[SEP]']), list_concat(tb, ['[SEP]'])) AS t,"
+        f" list_concat(list_concat([0], list_transform(oa, lambda x: x + 1), [len(ta) + 1]), list_concat(list_transform(ob, lambda x: x + len(ta) + 2), [len(ta) + len(tb) + 2])) AS l FROM {source}), "
+        + ids("si", "s", "subs_vocab") + ", " + ids("ti", "t", "vocab")
+        + ", two AS (SELECT lv.*, si.ids AS s_ids, ti.ids AS t_ids FROM lv JOIN si USING (" + keys + ") JOIN ti USING (" + keys + "))"
+    )
+
+
+def two_level_out(most: int) -> str:
+    pad = lambda x, n, fill=" 0": f"{x} || repeat('{fill}', ({most} - {n})::INTEGER)"
+    text = lambda x: f"array_to_string({x}, ' ')"
+    right = "list_transform(range(len(l)), lambda i: greatest(coalesce(l[i + 2], len(t)), l[i + 1] + 1))"
+    return (
+        pad("s_ids", "len(s)") + " AS input_ids, " + f"repeat('1', len(s)::INTEGER) || repeat('0', ({most} - len(s))::INTEGER) AS input_mask, "
+        + f"repeat('0', (len(sa) + 2)::INTEGER) || repeat('1', (len(sb) + 1)::INTEGER) || repeat('0', ({most} - len(s))::INTEGER) AS segments, "
+        + f"array_to_string(list_concat(string_split(t_ids, ' '), list_transform(range({most}), lambda x: '0'))[1:{most}], ' ') AS token_ids, "
+        + pad(text("l"), "len(s)", " -1") + " AS pos_left, " + pad(text(right), "len(s)", " -1") + " AS pos_right"
+    )
+
+
+def two_level_text(out, *keys):
+    return out.select(*keys, *[text_of(c, "" if c in ("input_mask", "segments") else " ").alias(c) for c in ("input_ids", "input_mask", "segments", "token_ids", "pos_left", "pos_right")])
+
+
+TWO = f"{WORDS}, {vocab_sql()}, {SUBS}, p AS (SELECT conv_id, turn, {WT} AS ta, [role] AS tb FROM conversations), z AS (SELECT *, {PIECES3('ta')} AS sa, {PIECES3('tb')} AS sb, {STARTS3('ta[1:140]')} AS pa, {STARTS3('tb')} AS pb FROM p), k AS (SELECT *, CASE WHEN len(sa) + len(sb) <= 45 THEN len(sa) WHEN len(sa) <= 23 THEN len(sa) WHEN len(sb) <= 22 THEN 45 - len(sb) ELSE 23 END AS ka, CASE WHEN len(sa) + len(sb) <= 45 THEN len(sb) WHEN len(sa) <= 23 THEN 45 - len(sa) WHEN len(sb) <= 22 THEN len(sb) ELSE 22 END AS kb FROM z), o AS (SELECT conv_id, turn, sa[1:ka] AS sa, sb[1:kb] AS sb, {OWNER3('pa', 'ka')} AS oa, {OWNER3('pb', 'kb')} AS ob, ta AS wa, tb AS wb FROM k), x AS (SELECT *, wa[1:coalesce(oa[-1] + 1, 0)] AS ta, wb[1:coalesce(ob[-1] + 1, 0)] AS tb FROM o), {two_level_sql('x', 'conv_id, turn')}"
+
+
+@query("feat_two_level", f"WITH {TWO} SELECT conv_id, turn, {two_level_out(48)} FROM two")
 def feat_two_level(spark, sf_dir):
-    """Pieces of three characters of a turn's words, with the range of words that each belongs to."""
-    keys = ["conv_id", "turn"]
-    rows = turns(spark, sf_dir).select(*keys, words().alias("words"))
-    rows = rows.withColumn("subs", F.regexp_extract_all(F.array_join("words", ""), F.lit("(?s).{1,3}"), 0))
-    own = A.owner(A.positions(rows, keys, "subs"), A.positions(rows, keys, "words"), keys)
-    lr = A.pos_left_right(own, keys, rows.select(*keys, F.size("words").alias("n")))
-    packed = F.array_sort(F.collect_list(F.struct("pos", "left", "right")))
-    arrays = lr.groupBy(*keys).agg(packed.alias("p"))
-    cut = lambda name: text_of(E.padded(F.transform("p", lambda x: x[name]), 48, -1))
-    return arrays.select(*keys, cut("left").alias("left"), cut("right").alias("right"))
+    """Words of a turn and its role, and their pieces of three characters."""
+    rows = turns(spark, sf_dir).select("conv_id", "turn", words().alias("ta"), F.array("role").alias("tb"))
+    rows = rows.withColumns({"sa": subs_of("ta"), "sb": subs_of("tb")})
+    out = Y.two_level(rows, ["conv_id", "turn"], ("sa", "ta"), ("sb", "tb"), F.broadcast(sub_vocab(spark, sf_dir)), F.broadcast(word_vocab(spark, sf_dir)), 48)
+    return two_level_text(out, "conv_id", "turn")
 
 
 @query("feat_triple", f"WITH {CHOICES} SELECT conv_id, turn, k, '[CLS] ' || question || ' [SEP] ' || choice || ' [SEP] ' || answer || ' [SEP]' AS tokens FROM (SELECT conv_id, turn, question, answer, unnest(range(4)) AS k, unnest(choices) AS choice FROM c)")
@@ -128,14 +173,17 @@ def window_labels(spark, sf_dir):
     return w.select("doc_id", F.col("window").cast("long").alias("window"), got.alias("g")).select("doc_id", "window", F.col("g.start").cast("long").alias("s"), F.col("g.end").cast("long").alias("e"))
 
 
-@query("feat_windows_two_level")
+TWOWIN = f"{WORDS}, {vocab_sql()}, {SUBS}, w AS (SELECT doc_id, {W_SQL.format('text')} AS w FROM documents), p AS (SELECT doc_id, w[1:doc_id % 9] AS wa, w AS wb FROM w), z AS (SELECT *, {PIECES3('wa')}[1:6] AS sa, {PIECES3('wb')} AS sb, {STARTS3('wa')} AS pa FROM p), st AS (SELECT doc_id, unnest(range(len(wb))) AS j, unnest(list_transform(wb, lambda x: length(x))) AS len FROM z), tok AS (SELECT doc_id, j, sum(len) OVER (PARTITION BY doc_id ORDER BY j) - len AS start FROM st), sp AS (SELECT doc_id, unnest(range(len(sb))) AS i FROM z), own AS (SELECT sp.doc_id, list(j ORDER BY i) AS ob FROM sp ASOF JOIN tok ON sp.doc_id = tok.doc_id AND 3 * i >= start GROUP BY sp.doc_id), o AS (SELECT z.doc_id, wa, wb, sa, sb, {OWNER3('pa', 'len(sa)')} AS oa, coalesce(ob, []) AS ob, 60 - len(sa) - 3 AS m, len(sb) AS n FROM z LEFT JOIN own USING (doc_id)), v AS (SELECT *, unnest(range(0, CASE WHEN n <= m THEN 1 ELSE (ceil((n - m) / 32) * 32)::BIGINT + 1 END, 32)) AS start FROM o), y AS (SELECT doc_id, start // 32 AS win, start, sa, wa[1:coalesce(oa[-1] + 1, 0)] AS ta, oa, sb[start + 1:start + m] AS sb, ob[start + 1:start + m] AS own, wb FROM v), x AS (SELECT doc_id, win, start, coalesce(own[1], 0) AS first, sa, ta, oa, sb, list_transform(own, lambda q: q - own[1]) AS ob, CASE WHEN len(own) = 0 THEN [] ELSE wb[own[1] + 1:own[-1] + 1] END AS tb FROM y), {two_level_sql('x', 'doc_id, win')}"
+
+
+@query("feat_windows_two_level", f"WITH {TWOWIN} SELECT doc_id, win AS \"window\", start, first, {two_level_out(60)} FROM two")
 def feat_windows_two_level(spark, sf_dir):
-    """Windows of words, each with its pieces of three characters and their words."""
-    keys = ["doc_id", "window"]
-    w = doc_windows(spark, sf_dir).where("size(part) > 0").select(*keys, F.col("part").alias("words"))
-    w = w.withColumn("subs", F.regexp_extract_all(F.array_join("words", ""), F.lit("(?s).{1,3}"), 0))
-    own = A.owner(A.positions(w, keys, "subs"), A.positions(w, keys, "words"), keys)
-    return own.groupBy(*keys).agg(text_of(F.transform(F.array_sort(F.collect_list(F.struct("pos", "owner"))), lambda x: x["owner"])).alias("owners"))
+    """Questions of up to eight words, cut at six pieces, and documents, in windows of 60 pieces of three characters."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("tb")).withColumn("ta", F.slice("tb", F.lit(1), (F.col("doc_id") % 9).cast("int")))
+    rows = rows.withColumns({"sa": subs_of("ta"), "sb": subs_of("tb")})
+    out = Y.two_level_windows(rows, ["doc_id"], ("sa", "ta"), ("sb", "tb"), F.broadcast(sub_vocab(spark, sf_dir)), F.broadcast(word_vocab(spark, sf_dir)), most=60, most_query=6, stride=32)
+    out = out.withColumns({c: F.col(c).cast("long") for c in ("window", "start", "first")})
+    return two_level_text(out, "doc_id", "window", "start", "first")
 
 
 SEQ16 = "s AS (SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS t, string_agg((['B-X', 'I-X', 'O'])[event_id % 3 + 1], ' ' ORDER BY ts, event_id) AS l FROM events GROUP BY user_id), a AS (SELECT user_id, string_split(t, ' ')[1:14] AS t, string_split(l, ' ')[1:14] AS l FROM s)"
