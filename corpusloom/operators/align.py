@@ -82,6 +82,37 @@ def labels_to_pieces(labelled: DataFrame, pieces: DataFrame, keys: list[str]) ->
     return rows.select(*keys, "pos", spread_label(F.col("_label"), F.col("_n"), F.col("_size")).alias("label"))
 
 
+def labels_to_chars(labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, label): labels of tokens (keys, pos, start, stop, label) on the characters that they cover, the inverse of
+    :func:`labels_to_tokens`. A B and the I of its type that follow it are one entity over all their characters, S if these
+    are one; an S over several characters becomes B and I; an I that continues nothing stays I; a token may cover none."""
+    order = Window.partitionBy(*keys).orderBy("pos")
+    kind, before = F.substring("label", 3, 1000), F.lag("label").over(order)
+    goes_on = F.col("label").startswith("I-") & (F.substring(before, 3, 1000) == kind) & (before != "O")
+    run = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    r = labelled.select(*keys, "pos", "start", "stop", "label", kind.alias("_kind"), run.alias("_run"))
+    whole = Window.partitionBy(*keys, "_run")
+    in_order = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of_run = F.first("label").over(in_order).startswith("B-")
+    begin = F.when(of_run, F.min("start").over(whole)).otherwise(F.col("start"))
+    size = F.when(of_run, F.sum(F.col("stop") - F.col("start")).over(whole)).otherwise(F.col("stop") - F.col("start"))
+    r = r.withColumns({"_whole": of_run, "_begin": begin, "_size": size}).where("stop > start")
+    c = r.select("*", F.explode(F.sequence("start", F.col("stop") - 1)).alias("_at"))
+    as_it_is = (F.col("label") == "O") | (F.col("label").startswith("I-") & ~F.col("_whole"))
+    tag = F.when(F.col("_size") == 1, "S-").when(F.col("_at") == F.col("_begin"), "B-").otherwise("I-")
+    return c.select(*keys, F.col("_at").alias("pos"), F.when(as_it_is, F.col("label")).otherwise(F.concat(tag, "_kind")).alias("label"))
+
+
+def label_ids(rows: DataFrame, labels: DataFrame, keys: list[str], names: list[str], most: int, *, edge: int, fill: int = 0) -> DataFrame:
+    """(keys, ids): an array for each of ``rows``, ``edge`` at both ends of its labels' ids (``names`` from 1 on), filled up to
+    ``most``; longer ones are not cut."""
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("label")).cast("int")
+    packed = labels.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", number.alias("id")))), lambda x: x["id"]).alias("_ids"))
+    ids = F.concat(F.array(F.lit(edge)), F.coalesce("_ids", F.array().cast("array<int>")), F.array(F.lit(edge)))
+    padded = F.concat(ids, F.array_repeat(F.lit(fill), F.greatest(F.lit(most) - F.size(ids), F.lit(0))))
+    return rows.select(*keys).join(packed, keys, "left").select(*keys, padded.alias("ids"))
+
+
 def pos_left_right(owners: DataFrame, keys: list[str], n_tokens: DataFrame) -> DataFrame:
     """(keys, pos, left, right): the token of each sub-character and that of the next one, at least one apart; the last one's
     right end is the number of tokens (keys, n)."""

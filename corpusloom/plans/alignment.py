@@ -65,7 +65,8 @@ def spans(subs):
     return some.select(*KEYS, F.concat(F.lit("T"), (F.col("pos") % 3).cast("string")).alias("type"), "start", F.least(F.col("start") + 2 * (F.col("pos") % 4) + 1, F.col("size")).alias("stop"))
 
 
-LABELLED = "h AS (SELECT t.doc_id, t.line_no, t.pos, s.start AS s_start, s.type, count(*) OVER (PARTITION BY t.doc_id, t.line_no, s.start) AS n, min(t.pos) OVER (PARTITION BY t.doc_id, t.line_no, s.start) AS first FROM spans s JOIN tok t ON t.doc_id = s.doc_id AND t.line_no = s.line_no AND t.start < s.stop AND t.stop > s.start), lab AS (SELECT t.*, coalesce(l.label, 'O') AS label FROM tok t LEFT JOIN (SELECT doc_id, line_no, pos, arg_max(CASE WHEN n = 1 THEN 'S' WHEN pos = first THEN 'B' ELSE 'I' END || '-' || type, s_start) AS label FROM h GROUP BY ALL) l USING (doc_id, line_no, pos))"
+#: The tokens of a span lie between those that hold its first and its last character.
+LABELLED = "sa AS (SELECT s.*, t.pos AS first FROM spans s ASOF JOIN tok t ON s.doc_id = t.doc_id AND s.line_no = t.line_no AND s.start >= t.start), sb AS (SELECT s.doc_id, s.line_no, s.type, s.start AS s_start, s.first, t.pos AS final FROM (SELECT *, stop - 1 AS inner_stop FROM sa) s ASOF JOIN tok t ON s.doc_id = t.doc_id AND s.line_no = t.line_no AND s.inner_stop >= t.start), h AS (SELECT *, final - first + 1 AS n, unnest(range(first, final + 1)) AS pos FROM sb), lab AS (SELECT t.*, coalesce(l.label, 'O') AS label FROM tok t LEFT JOIN (SELECT doc_id, line_no, pos, arg_max(CASE WHEN n = 1 THEN 'S' WHEN pos = first THEN 'B' ELSE 'I' END || '-' || type, s_start) AS label FROM h GROUP BY ALL) l USING (doc_id, line_no, pos))"
 
 
 @query("labels_char_to_token", f"WITH {SIDES}, {SPANS}, {LABELLED} SELECT doc_id, line_no, pos, label FROM lab")
@@ -93,11 +94,18 @@ def labels_char_to_subchar(spark, sf_dir):
     return longs(A.labels_to_pieces(labelled_tokens(tokens, subs), subs, KEYS), "pos")
 
 
-@query("labels_token_to_char", spread_sql("chars"))
+NAMES = ["O", *(f"{x}-T{k}" for k in range(3) for x in "BIS")]
+EDGE, ROOM = 31, 64
+BY = "PARTITION BY doc_id, line_no"
+CHARS = f"{SIDES}, {SPANS}, {LABELLED}, r AS (SELECT *, label[3:] AS kind, CASE WHEN label LIKE 'I-%' AND lag(label) OVER ({BY} ORDER BY pos) <> 'O' AND lag(label[3:]) OVER ({BY} ORDER BY pos) = label[3:] THEN 0 ELSE 1 END AS fresh FROM lab), g AS (SELECT *, sum(fresh) OVER ({BY} ORDER BY pos) AS run FROM r), k AS (SELECT *, first_value(label) OVER ({BY}, run ORDER BY pos) LIKE 'B-%' AS whole, sum(stop - start) OVER ({BY}, run) AS total, min(start) OVER ({BY}, run) AS begin FROM g), c AS (SELECT *, unnest(range(start::BIGINT, stop::BIGINT)) AS c FROM k), l AS (SELECT doc_id, line_no, c, CASE WHEN label = 'O' OR (label LIKE 'I-%' AND NOT whole) THEN label WHEN CASE WHEN whole THEN total ELSE stop - start END = 1 THEN 'S-' || kind WHEN c = CASE WHEN whole THEN begin ELSE start END THEN 'B-' || kind ELSE 'I-' || kind END AS label FROM c), s AS (SELECT doc_id, line_no, count(*) AS n, string_agg(list_position({NAMES}, label)::VARCHAR, ' ' ORDER BY c) || ' ' AS ids FROM l GROUP BY ALL)"
+
+
+@query("labels_token_to_char", f"WITH {CHARS} SELECT doc_id, line_no, '{EDGE} ' || coalesce(ids, '') || '{EDGE}' || repeat(' 0', greatest({ROOM} - 2 - coalesce(n, 0), 0)::INTEGER) AS ids FROM lines LEFT JOIN s USING (doc_id, line_no)")
 def labels_token_to_char(spark, sf_dir):
     rows, tokens, subs = sides(spark, sf_dir)
-    chars = A.positions(rows.withColumn("chars", F.filter(F.split(F.array_join("words", ""), ""), lambda c: c != "")), KEYS, "chars")
-    return longs(A.labels_to_pieces(labelled_tokens(tokens, subs), chars, KEYS), "pos")
+    chars = A.labels_to_chars(labelled_tokens(tokens, subs), KEYS)
+    out = A.label_ids(rows, chars, KEYS, NAMES, ROOM, edge=EDGE)
+    return out.select(*KEYS, F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query("pos_left_right", f"WITH {SIDES}, n AS (SELECT doc_id, line_no, len(w) AS n FROM w) SELECT doc_id, line_no, pos, owner AS \"left\", greatest(coalesce(lead(owner) OVER (PARTITION BY doc_id, line_no ORDER BY pos), n), owner + 1) AS \"right\" FROM own JOIN n USING (doc_id, line_no)")

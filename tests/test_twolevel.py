@@ -139,3 +139,37 @@ def test_span_two_level(spark):
     c = spark.createDataFrame([(1, 0, 3, 1.0), (1, 3, 5, 0.5), (3, 1, 1, 9.0)], "k int, s int, e int, score double")
     got = sorted(tuple(r) for r in D.span_two_level(c, ["k"], f).collect())
     assert got == [(1, 0, 3, 0, 1, "Beijing C", 1.0), (3, 1, 1, 0, 0, "Y", 9.0)]
+
+
+def plain_chars(labels, sizes):
+    """Token by token."""
+    out, i = [], 0
+    while i < len(labels):
+        tag, kind, j = labels[i][0], labels[i][2:], i + 1
+        if tag == "B":
+            while j < len(labels) and labels[j] == "I-" + kind:
+                j += 1
+        n = sum(sizes[i:j])
+        if tag in "OI":
+            out += [labels[i]] * n
+        else:
+            out += [f"S-{kind}"] if n == 1 else [f"B-{kind}"] * (n > 0) + [f"I-{kind}"] * (n - 1)
+        i = j
+    return out
+
+
+def test_labels_back_to_characters(spark):
+    rng, rows, want = random.Random(5), [], {}
+    names = ["O", "B-X", "I-X", "S-X", "B-Y", "I-Y", "S-Y"]
+    for k in range(80):
+        labels, sizes = [rng.choice(names) for _ in range(rng.randint(0, 12))], []
+        at = 0
+        for pos, label in enumerate(labels):
+            sizes.append(rng.choice([0, 1, 1, 2, 3]))
+            rows.append((k, pos, at, at + sizes[-1], label))
+            at += sizes[-1]
+        want[k] = [9, *(names.index(x) + 1 for x in plain_chars(labels, sizes)), 9]
+        want[k] += [0] * (10 - len(want[k]))
+    df = spark.createDataFrame(rows, "k int, pos int, start int, stop int, label string")
+    got = A.label_ids(spark.range(80).select(F.col("id").cast("int").alias("k")), A.labels_to_chars(df, ["k"]), ["k"], names, 10, edge=9)
+    assert {r["k"]: r["ids"] for r in got.collect()} == want
