@@ -6,7 +6,7 @@ marked article, if it has one) give its potential, a parent and its child share
 downward give every node's marginal. Text whose nearest block is content by its marginal is kept. All pages of a batch are
 passed through together, one depth of their trees after the other.
 
-The model is trained on hand-labelled pages, ``LAYOUTS``: what is content there is said by a mark on the element, which is no
+Elements that are headers or footers are none of the text, also inside an article. The model is trained on hand-labelled pages, ``LAYOUTS``: what is content there is said by a mark on the element, which is no
 feature, and by no rule. Their texts are filled in at random with a fixed seed. Potentials of nodes and pairs maximise the
 likelihood of all labels of a page together, by the same messages. No row of the table is used in training, and every page is
 read whole.
@@ -47,11 +47,18 @@ GROUPS = {
     "list": "ul ol li menu", "table": "table thead tbody tfoot tr td th caption", "frame": "nav header footer aside form fieldset dialog address", "root": "html body",
 }
 GROUP_OF = {tag: k for k, tags in enumerate(GROUPS.values()) for tag in tags.split()}
+#: Parts of names of classes that tell of a frame, of text, and of neither.
 FRAME_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|header|footer|foot|sidebar|side|aside|ad|ads|advert\w*|banner|promo\w*|sponsor\w*|cookie\w*|consent|notice|alert|popup|modal|"
-    r"newsletter|subscribe|signup|login|form|search|share|sharing|social|related|recommend\w*|comment\w*|replies|reply|disqus|breadcrumbs?|pagination|pager|toolbar|widget|copyright|legal|disclaimer|complementary|contentinfo)(?:[^a-z]|$)"
+    r"(?:nav|navbar|navigation|topnav|menu|header|footer|foot|sidebar|side|aside|ad|ads|advert\w*|banner|promo\w*|sponsor\w*|cookie\w*|consent|notice|alert|popup|modal|"
+    r"newsletter|subscribe|signup|login|form|search|share|sharing|social|related|recommend\w*|comment\w*|replies|reply|disqus|breadcrumbs?|pagination|pager|toolbar|widget|copyright|legal|disclaimer|complementary|contentinfo)"
 )
-TEXT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|content|main|body|text|prose)(?:[^a-z]|$)")
+TEXT_WORDS = re.compile(r"(?:article|post|entry|story|content|main|body|text|prose)")
+PLAIN_WORDS = set(
+    "area bar block bottom box buttons cell center col column container cta group holder icons inner item items left link links list module panel posts primary region right row section secondary site slot stories "
+    "strip title top unit wrap wrapper js is has no ui page global block1 sub".split()
+)
+PARTS = re.compile(r"[a-z]+|[^\W\d_a-z]+")
+CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 #: A tag's attributes: a quoted value ends at a quote that something may follow, else (and without quotes) before white space
 #: or the tag's end.
 VALUE = r"=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[^\s>]*+)"
@@ -59,9 +66,9 @@ VALUE = r"=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[^\s>]*+)"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|{VALUE})*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
 ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LABEL = re.compile(r"\s([yn])(?=\s|$)")
-SENTENCE = re.compile(r"[.!?。！？…][\"'”’)]*(?:\s|$)")
+SENTENCE = re.compile(r"[.!?…][\"'”’)]*(?:\s|$)|[。！？]")
 NOTICE = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|subscribe|sign up|log in|newsletter|advertis|sponsored|click here|read more|share this|javascript", re.I)
-FEATURES = len(GROUPS) + 1 + 2 + 4 + 4 + 2 + 2 + 1  # element, words, link share, length, marks, article, bias
+FEATURES = len(GROUPS) + 1 + 4 + 4 + 4 + 2 + 2 + 1  # element, names, link share, length, marks, article, bias
 
 
 class Page(NamedTuple):
@@ -88,7 +95,7 @@ def parse(html: str | None, labelled: bool = False) -> Page:
             if text:
                 node = stack[-1][1]
                 runs.append((node, text))
-                length[node] += len(text)
+                length[node] += len(text) + 2 * len(CJK.findall(text))  # a character of these scripts says as much as three
                 marks[node] += bool(SENTENCE.search(text))
                 notice[node] += len(text) < 300 and bool(NOTICE.search(text))
             held.clear()
@@ -154,10 +161,9 @@ def parse(html: str | None, labelled: bool = False) -> Page:
             continue
         attrs = " ".join(x or y or z for _, x, y, z in ATTR.findall(m[3])).lower() if m[3] else ""
         up = stack[-1][1]
-        frame, content = bool(FRAME_WORDS.search(attrs)), bool(TEXT_WORDS.search(attrs))
         parent.append(up)
         tags.append(name)
-        words.append(frame - (content and not frame))
+        words.append(_names(attrs))
         inside.append(inside[up] or name in ("article", "main") or "main" in attrs.split())
         said = LABEL.search(m[3]) if labelled else None
         labels.append(said[1] == "y" if said else labels[up])
@@ -170,6 +176,21 @@ def parse(html: str | None, labelled: bool = False) -> Page:
     return Page(np.array(parent), _features(tags, *columns), runs, np.array(labels))
 
 
+@lru_cache(4096)
+def _names(attrs: str) -> int:
+    """What the names of classes, id and role say, as a set of bits: a frame (1), perhaps one (2: a name that has other words
+    beside a frame's, as in social-history), text (4), both (8)."""
+    sure = perhaps = text = False
+    for name in attrs.split():
+        parts = PARTS.findall(name)
+        frames = sum(bool(FRAME_WORDS.fullmatch(p)) for p in parts)
+        if frames:
+            rest = sum(not FRAME_WORDS.fullmatch(p) and p not in PLAIN_WORDS for p in parts)
+            sure, perhaps = sure or not rest, perhaps or rest > 0
+        text = text or any(TEXT_WORDS.fullmatch(p) for p in parts)
+    return sure * 1 | (perhaps and not sure) * 2 | (text and not sure and not perhaps) * 4 | (text and (sure or perhaps)) * 8
+
+
 @lru_cache(32)
 def _end_of(name: str) -> re.Pattern:
     return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
@@ -181,7 +202,9 @@ def _features(tags: list[str], words: np.ndarray, inside: np.ndarray, length: np
     rows = np.arange(n)
     x[rows, [GROUP_OF.get(t, len(GROUPS)) for t in tags]] = 1
     at = len(GROUPS) + 1
-    x[:, at], x[:, at + 1] = words == 1, words == -1
+    for k in range(4):
+        x[:, at + k] = words >> k & 1
+    at += 2
     share = np.minimum(1.0, linked / np.maximum(length, 1))
     x[rows, at + 2 + np.digitize(share, [0.05, 0.3, 0.7])] = length > 0
     x[rows, at + 6 + np.digitize(length, [1, 25, 120])] = 1
@@ -235,7 +258,7 @@ def messages(model: Model, parent: np.ndarray, features: np.ndarray) -> Messages
 
 #: Hand-labelled pages. An element marked y is content, one marked n is none, and so is what is inside, up to another mark.
 #: P stands for a paragraph, S for a short sentence, T for a title, W for a word or two, L for a list of links, I for a link, N for
-#: the words of a notice.
+#: the words of a notice, K for a sentence that is a link.
 LAYOUTS = (
     "<nav>L</nav><div class='ad'>S</div><article y><h1>T</h1><p>P<br>P<p>P</p></article><footer>&copy; S</footer>",
     "<nav>L</nav><div class='ad'>P</div><article y><h1>T</h1><p>S</p><p>P</p><div class='ad' n>S</div><p>P</p></article><aside><h2>T</h2>L</aside><footer>W I W</footer>",
@@ -281,25 +304,49 @@ LAYOUTS = (
     "<section y><p>P</p><p>P</p></section><section class='comments'><h2>T</h2><ol><li><p>P</p></li><li><p>S</p></li></ol></section>",
     "<div><p>I I</p></div><div y><p>P</p><p>P</p><p>W</p></div><div><p>Subscribe to our newsletter. S</p></div><div><p>Copyright W. All rights reserved.</p></div>",
     "<div id='main' y><h1>T</h1><div class='entry'><p>P</p><div class='banner' n>P</div><p>P</p></div></div><div id='sidebar'><div class='widget'><h3>T</h3><p>P</p></div></div>",
+    "<nav>L</nav><div class='social-studies' y><h1>T</h1><p>P</p><p>P</p></div><div class='social-links'>I I I</div>",
+    "<div class='top-menu'>L</div><div class='share-prices' y><p>P</p><p>P</p><p>S</p></div><div class='share-buttons'>I I W</div><div class='site-footer'>S</div>",
+    "<div id='menu-planner' y><h1>T</h1><p>P</p><ul><li>S</li><li>P</li></ul></div><div id='page-footer'><p>W I</p></div>",
+    "<nav>L</nav><div class='content-with-aside' y><h2>T</h2><p>P</p><p>P</p></div><div class='right-aside'><p>P</p></div>",
+    "<div class='page-header'>L</div><div class='legal-advice-text' y><p>P</p><p>P</p></div><div class='legal'><p>P</p></div>",
+    "<nav>L</nav><article y><h1>T</h1><p>P</p><div class='promo-spring' n><p>P</p></div><p>P</p><div class='related-reading' n><p>S</p></div></article>",
+    "<div y><p>P</p><p>P</p></div><div class='sponsor-of-day'><p>S</p></div><div class='comment-by-guest'><p>P</p></div>",
+    "<nav>L</nav><article y><h1>T</h1><p>P</p><p>K</p><p>P</p></article><footer>I I</footer>",
+    "<div class='nav'>L</div><article y><p>K</p><p>P</p><p>K</p><p>S</p><div class='share' n>I I</div></article>",
+    "<nav>L</nav><main y><p>P</p><p>K</p><ul><li>K</li><li>S</li></ul></main><aside>L</aside>",
+    "<nav>L</nav><div y><p>P</p><p>S</p></div><footer>S</footer>",
+    "<nav>L</nav><div y><p>S</p><p>P</p></div>",
+    "<nav>L</nav><div y><h1>T</h1><p>S</p><p>P</p><p>S</p></div><div>I W</div>",
+    "<nav>L</nav><article y>" + "<div>" * 40 + "<p>P</p></article>",
+    "<nav>L</nav><main y>" + "<div>" * 20 + "<p>P</p><p>S</p></main>",
+    "<div y><p>P</p><p>P</p><p>P</p></div><div>I I</div>",
+    "<div class='page'><div y><h1>T</h1><p>P</p><p>P</p></div><div>I I I</div></div>",
+    "<main y><h1>T</h1><p>P</p></main><section class='comments'><h3>T</h3><div><p>P</p></div><div><p>S</p></div></section>",
     "<body y><header n><h1>T</h1><p>P</p></header><h2>T</h2><p>P</p><p>P</p><div class='sponsor' n><p>P</p></div></body>",
 )
-FILLS, ROUNDS, SEED = 8, 400, 1
+FILLS, ROUNDS, SEED = 10, 400, 1
 
 
 def _filled(layout: str, rng: random.Random) -> str:
-    """A labelled page, its texts made of random words."""
-    word = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
-    some = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize()
-    link = lambda: f"<a href='/{word()}'>{some(1, 4)}</a> "
+    """A labelled page, its texts made of random words: of Latin or Cyrillic letters, or of Chinese characters without spaces."""
+    script = rng.choice(("latin",) * 5 + ("cyrillic", "han", "han"))
+    letters = ("бвгдклмнпрст", "аеиоуы") if script == "cyrillic" else ("bcdfglmnprstv", "aeiou")
+    latin = lambda: "".join(rng.choice(letters[0]) + rng.choice(letters[1]) for _ in range(rng.randint(1, 4)))
+    han = lambda: "".join(chr(rng.randint(0x4E00, 0x8FFF)) for _ in range(rng.randint(1, 2)))
+    word, space, stop, between = (han, "", "。", "") if script == "han" else (latin, " ", ".", " ")
+    some = lambda a, b: space.join(word() for _ in range(rng.randint(a, b))).capitalize()
+    link = lambda: f"<a href='/x'>{some(1, 4)}</a> "
     made = {
-        "P": lambda: " ".join(some(4, 20) + "." for _ in range(rng.choice((1, 2, 4, 8)))),
-        "S": lambda: some(2, 7) + ".", "T": lambda: some(2, 9), "W": lambda: some(1, 2), "I": link,
+        "P": lambda: between.join(some(4, 20) + stop for _ in range(rng.choice((1, 2, 4, 8)))),
+        "S": lambda: some(2, 7) + stop, "T": lambda: some(2, 9), "W": lambda: some(1, 2), "I": link,
+        "K": lambda: f"<a href='/x'>{some(4, 14)}{stop}</a>",
         "N": lambda: rng.choice(("All rights reserved.", "Copyright 2020 %s.", "Subscribe to %s.", "Sign up at %s.", "Read more of %s.", "%s uses cookies.")).replace("%s", some(1, 3)),
         "L": lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(3, 8))) + "</ul>",
     }
-    return re.sub(r"(?<![\w&])[PSTWLIN](?![\w=])", lambda m: made[m[0]](), layout)
+    return re.sub(r"(?<![\w&])[PSTWLINK](?![\w=])", lambda m: made[m[0]](), layout)
 
 
+@lru_cache(4)
 def train(layouts: tuple[str, ...] = LAYOUTS, *, fills: int = FILLS, rounds: int = ROUNDS, prior: float = 0.02) -> Model:
     """Weights and pair potentials of the greatest likelihood of the labels, with a Gaussian prior, by Adam's steps."""
     rng = random.Random(SEED)
