@@ -49,12 +49,27 @@ def span_candidates(rows: DataFrame, keys: list[str], starts: str, ends: str, n:
     return out.where(f"e >= s AND e < s + {longest}")
 
 
-def span_beam(rows: DataFrame, keys: list[str], start_idx: str, start_score: str, end_idx: str, end_score: str, k: int, longest: int) -> DataFrame:
-    """The same on given lists: the ends of start i stand at i * k to i * k + k - 1."""
+def span_beam(
+    rows: DataFrame, keys: list[str], start_idx: str, start_score: str, end_idx: str, end_score: str, k: int, longest: int,
+    *, n_tokens: Column | None = None, max_context: Column | None = None, text: Column | None = None, first_char: Column | None = None, last_char: Column | None = None,
+) -> DataFrame:
+    """The same on given lists: the ends of start i stand at i * k to i * k + k - 1. The last of ``n_tokens`` places, and
+    places after it, are none of the passage's; starts that have their most context in another window do not count. With the
+    passage's ``text`` and the first and last character of each place there are also ``char_start``, ``char_end`` and
+    ``answer``, cut from the text by character."""
     s = rows.select("*", F.posexplode(start_idx).alias("_i", "s"))
     both = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j")).withColumn("_at", F.col("_i") * k + F.col("_j"))
-    out = both.select(*keys, "s", F.get(end_idx, F.col("_at")).alias("e"), (F.get(start_score, F.col("_i")) + F.get(end_score, F.col("_at"))).alias("score"))
-    return out.where(f"e >= s AND e < s + {longest}")
+    both = both.withColumns({"e": F.get(end_idx, F.col("_at")), "score": F.get(start_score, F.col("_i")) + F.get(end_score, F.col("_at"))}).where(f"e >= s AND e < s + {longest}")
+    if n_tokens is not None:
+        both = both.where((F.col("s") < n_tokens - 1) & (F.col("e") < n_tokens - 1))
+    if max_context is not None:
+        both = both.where(F.coalesce(F.get(max_context, F.col("s").cast("int")), F.lit(False)))
+    made = ["s", "e", "score"]
+    if text is not None:
+        both = both.withColumns({"char_start": F.get(first_char, F.col("s").cast("int")), "char_end": F.get(last_char, F.col("e").cast("int"))})
+        both = both.withColumn("answer", F.substring(text, F.col("char_start") + 1, F.col("char_end") - F.col("char_start") + 1))
+        made += ["char_start", "char_end", "answer"]
+    return both.select(*keys, *made)
 
 
 def nbest(candidates: DataFrame, question: list[str], text: str, n: int, *, questions: DataFrame | None = None) -> DataFrame:

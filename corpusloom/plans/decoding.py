@@ -63,11 +63,21 @@ def span_candidates(spark, sf_dir):
     return candidates(spark, sf_dir).select("vec_id", "s", "e", F.round("score", 6).alias("score"))
 
 
-@query("span_topk_beam", f"WITH {VEC}, s AS (SELECT vec_id, unnest(range(3)) AS i, a, b FROM vec), p AS (SELECT *, i * 2 + unnest(range(2)) AS place FROM s) SELECT vec_id, s, e, score FROM (SELECT vec_id, i * 7 AS s, place * 4 AS e, round(a[i + 1] + b[place + 1], 6) AS score FROM p) WHERE e >= s AND e < s + 15")
+BEAM = f"{VEC}, w AS (SELECT doc_id AS vec_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:15 + doc_id % 20] AS w FROM documents), s AS (SELECT vec_id, unnest(range(3)) AS i, a, b FROM vec), p AS (SELECT *, i * 2 + unnest(range(2)) AS place FROM s), c AS (SELECT vec_id, i * 7 AS s, place * 4 AS e, round(a[i + 1] + b[place + 1], 6) AS score FROM p), o AS (SELECT c.*, array_to_string(w, ' ') AS text, length(array_to_string(w[1:s], ' ')) + (s > 0)::INTEGER AS char_start, length(array_to_string(w[1:e + 1], ' ')) - 1 AS char_end FROM c JOIN w USING (vec_id) WHERE e >= s AND e < s + 15 AND s < len(w) - 1 AND e < len(w) - 1 AND (s + vec_id) % 5 <> 0)"
+
+
+@query("span_topk_beam", f"WITH {BEAM} SELECT vec_id, s, e, score, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, text[char_start + 1:char_end + 1] AS answer FROM o")
 def span_topk_beam(spark, sf_dir):
-    v = vectors(spark, sf_dir).withColumns({"si": F.sequence(F.lit(0), F.lit(14), F.lit(7)), "ei": F.sequence(F.lit(0), F.lit(20), F.lit(4))})
-    out = D.span_beam(v, ["vec_id"], "si", "a", "ei", "b", 2, 15)
-    return out.select("vec_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.round("score", 6).alias("score"))
+    """Passages of fifteen to 34 words; one start in five has more context in another window."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.slice(T.words("text"), F.lit(1), (15 + F.col("doc_id") % 20).cast("int")).alias("w"))
+    v = vectors(spark, sf_dir).withColumns({"si": F.sequence(F.lit(0), F.lit(14), F.lit(7)), "ei": F.sequence(F.lit(0), F.lit(20), F.lit(4))}).join(words, "vec_id")
+    last = F.transform("w", lambda x, i: F.length(F.array_join(F.slice("w", F.lit(1), i + 1), " ")) - 1)
+    v = v.withColumns({"last": last, "text": F.array_join("w", " ")})
+    first = F.transform("w", lambda x, i: F.get("last", i) - F.length(x) + 1)
+    context = F.transform("w", lambda x, i: (i + F.col("vec_id")) % 5 != 0)
+    out = D.span_beam(v, ["vec_id"], "si", "a", "ei", "b", 2, 15, n_tokens=F.size("w"), max_context=context, text=F.col("text"), first_char=first, last_char=F.col("last"))
+    longs = [F.col(c).cast("long").alias(c) for c in ("s", "e", "char_start", "char_end")]
+    return out.select("vec_id", *longs, "answer", F.round("score", 6).alias("score"))
 
 
 NBEST = f"{CAND}, nb AS (SELECT q, text, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, text) AS rank FROM (SELECT q, s || '-' || e AS text, max(score) AS score FROM cand GROUP BY ALL) QUALIFY rank <= 4), nbest AS (SELECT * FROM nb UNION ALL SELECT DISTINCT vec_id // 3, 'empty', 0.0, 1 FROM vec WHERE vec_id // 3 NOT IN (SELECT q FROM nb))"
@@ -130,7 +140,11 @@ def assign_argmax(spark, sf_dir):
     return D.assign_argmax(choice_scores(spark, sf_dir), ["passage", "blank"])
 
 
-@query("assign_greedy")
+#: The best free pair of each passage again and again.
+GREEDY = f"RECURSIVE {CHOICE}, g AS (SELECT passage, []::BIGINT[] AS bs, []::BIGINT[] AS cs, NULL::STRUCT(b BIGINT, c BIGINT) AS p FROM (SELECT DISTINCT passage FROM ch) UNION ALL SELECT passage, list_append(bs, p.b), list_append(cs, p.c), p FROM (SELECT g.passage, g.bs, g.cs, first({{'b': ch.blank, 'c': ch.choice}} ORDER BY ch.score DESC, ch.blank, ch.choice) AS p FROM g JOIN ch ON g.passage = ch.passage WHERE NOT list_contains(g.bs, ch.blank) AND NOT list_contains(g.cs, ch.choice) GROUP BY g.passage, g.bs, g.cs))"
+
+
+@query("assign_greedy", f"WITH {GREEDY} SELECT passage, p.b AS blank, p.c AS choice FROM g WHERE p IS NOT NULL")
 def assign_greedy(spark, sf_dir):
     return D.assign_greedy(choice_scores(spark, sf_dir), "passage", "blank")
 

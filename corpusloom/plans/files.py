@@ -216,20 +216,21 @@ def read_model_scores(spark, sf_dir):
     return R.model_scores(spark, path).select("unique_id", F.size("start_logits").alias("n"), F.round(F.get("start_logits", F.lit(0)), 6).alias("first"))
 
 
-@query("write_shards_text", f"WITH {SHARD} SELECT split, shard, sum(n)::BIGINT AS sentences, count(*) AS docs FROM sh GROUP BY split, shard")
+@query("write_shards_text", f"WITH {SHARD} SELECT split, shard, array_to_string(list_transform(s, lambda x: replace(x, chr(10), ' ')), chr(10)) AS text, count(*) AS n FROM sh JOIN sent USING (doc_id) GROUP BY ALL")
 def write_shards_text(spark, sf_dir):
+    """Documents as they are read back, their sentences in order."""
     path = S.scratch(spark, "shards")
     flat = docs(spark, sf_dir).select("doc_id", F.transform(T.sentence_split("text"), lambda s: F.translate(s, "\n", " ")).alias("sentences"))
-    S.shards_text(flat.join(shards(spark, sf_dir).select("doc_id", "split", "shard"), "doc_id"), path)
-    back = spark.read.text(path)
-    return back.groupBy("split", F.col("shard").cast("long").alias("shard")).agg(F.sum((F.col("value") != "").cast("long")).alias("sentences"), F.sum((F.col("value") == "").cast("long")).alias("docs"))
+    S.shards_text(flat.join(shards(spark, sf_dir).select("doc_id", "split", "shard"), "doc_id"), path, per_file=20)
+    back = spark.read.option("lineSep", "\n\n").text(path)
+    return back.groupBy("split", F.col("shard").cast("long").alias("shard"), F.col("value").alias("text")).agg(F.count("*").alias("n"))
 
 
-@query("write_examples", f"WITH {SHARD} SELECT split, shard, count(*) AS rows, sum(n)::BIGINT AS ids FROM sh GROUP BY split, shard")
+@query("write_examples", f"WITH {SHARD} SELECT split, shard, doc_id || ' ' || n AS ids FROM sh")
 def write_examples(spark, sf_dir):
     path = S.scratch(spark, "examples")
-    S.examples(shards(spark, sf_dir).select("split", "shard", F.array("n").alias("input_ids")), path)
-    return spark.read.parquet(path).groupBy("split", F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("rows"), F.sum(F.get("input_ids", F.lit(0))).alias("ids"))
+    S.examples(shards(spark, sf_dir).select("split", "shard", F.array("doc_id", "n").alias("input_ids")), path, per_file=20)
+    return spark.read.parquet(path).select("split", F.col("shard").cast("long").alias("shard"), F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query("write_jsonl", "SELECT conv_id, turn, text FROM conversations")

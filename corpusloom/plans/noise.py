@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import codebook as C
 from corpusloom.operators import noise as N
 from corpusloom.plans.base import query, table
-from corpusloom.plans.codebooks import LETTERS, book, code
+from corpusloom.plans.codebooks import LETTERS, NO_DIGITS, book, code, coded, per_char
 from corpusloom.plans.pretraining import d
 
 # Names of tokenizers, longer ones before those that they contain.
@@ -64,7 +64,12 @@ def noise_ratio(spark, sf_dir):
     return sweep(spark, sf_dir).groupBy("kind", "rate").agg(F.sum("changed").alias("changed"), F.sum("chars").alias("chars"), (F.sum("changed") / F.sum("chars")).alias("ratio"))
 
 
-@query("noise_invariance", "SELECT count(*) AS items, 0::BIGINT AS differ FROM benchmark")
+def coded_sql(x: str) -> str:
+    """Digit-free coding of a text."""
+    return per_char(coded(NO_DIGITS), f"regexp_replace(lower({x}), '\\s', '', 'g')")
+
+
+@query("noise_invariance", f"SELECT count(*) AS items, sum((a <> b)::INTEGER)::BIGINT AS differ FROM (SELECT {coded_sql('o.text')} AS a, {coded_sql('n.text')} AS b FROM benchmark o JOIN ({noisy_sql('pinyin', 300, 11)}) n USING (item_id))")
 def noise_invariance(spark, sf_dir):
     """Digit-free coding does not see sound noise: no item may differ."""
     plain, noisy = items(spark, sf_dir), noise_same_sound(spark, sf_dir)

@@ -19,15 +19,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def shards_text(docs: DataFrame, path: str) -> None:
-    """``docs``: (split, shard, sentences). A sentence a line, a blank line after each document, a folder for each shard."""
+def _dealt(rows: DataFrame, per_file: int) -> DataFrame:
+    """Rows by split, shard and file of about ``per_file`` rows: a large shard is written by several tasks."""
+    largest = rows.groupBy("split", "shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    files = -(-largest // per_file) or 1
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(files))
+    return rows.withColumn("_file", part).repartition("split", "shard", "_file").drop("_file")
+
+
+def shards_text(docs: DataFrame, path: str, *, per_file: int = 100_000) -> None:
+    """``docs``: (split, shard, sentences). A sentence a line, a blank line after each document, a folder for each shard with a
+    file for about ``per_file`` documents."""
     rows = docs.select("split", "shard", F.concat(F.array_join("sentences", "\n"), F.lit("\n")).alias("value"))
-    rows.repartition("split", "shard").write.partitionBy("split", "shard").text(path)
+    _dealt(rows, per_file).write.partitionBy("split", "shard").text(path)
 
 
-def examples(rows: DataFrame, path: str) -> None:
-    """Fixed-length integer arrays as Parquet, by split and shard."""
-    rows.repartition("split", "shard").write.partitionBy("split", "shard").parquet(path)
+def examples(rows: DataFrame, path: str, *, per_file: int = 1_000_000) -> None:
+    """Fixed-length integer arrays as Parquet, by split and shard, a file for about ``per_file`` rows."""
+    _dealt(rows, per_file).write.partitionBy("split", "shard").parquet(path)
 
 
 def vocab(ranked: DataFrame, path: str) -> None:
