@@ -229,6 +229,16 @@ def _power(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
 
+def two_of_each(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key with its least and its greatest document only (one, if it stands once)."""
+    order = np.lexsort((docs, keys))
+    if not len(order):
+        return keys, docs
+    ends = np.flatnonzero(np.diff(keys[order]))
+    two = order[np.unique(np.r_[0, ends, ends + 1, len(order) - 1])]
+    return keys[two], docs[two]
+
+
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 50, least_parts: int = 64, routes: int = ROUTES, split: int = SPLIT, bits: int = 64) -> DataFrame:
     """(key, n_words, n_removed, kept): the words of each document without those covered by a window whose words also start
     in a document with a smaller key; ``kept`` has them joined by one space. Windows are judged on the input.
@@ -249,13 +259,15 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = docs.select(seg.alias("seg"), docs[key].cast("long").alias("doc"), docs[text].alias("text"))
 
     def index(key: tuple, group: pa.Table) -> pa.Table:
-        """Blocks with their documents, and rolling runs, of a segment."""
+        """Blocks, each with the least and the greatest document of the segment that has it, and rolling runs: whether a
+        block has several documents shows from these two."""
         seg, s = key[0].as_py(), _Segment(group, window)
         h, whole = s.runs()
         k = _key(h, parts)
         fixed = np.flatnonzero(whole & (s.place[: len(h)] % s.block == 0))
         rolling = np.unique(k[whole & (s.place[: len(h)] % s.block != 0)])
-        return _table(OUT, _sent(_Hashes(k[fixed], None, s.doc[s.owner[fixed]]), seg, BLOCKS, parts, routes, 0) + _sent(_Hashes(rolling), seg, RUNS, parts, routes, 0))
+        blocks, doc = two_of_each(k[fixed], s.doc[s.owner[fixed]])
+        return _table(OUT, _sent(_Hashes(blocks, None, doc), seg, BLOCKS, parts, routes, 0) + _sent(_Hashes(rolling), seg, RUNS, parts, routes, 0))
 
     def read(group: pa.Table, kind: int) -> _Hashes:
         return _Hashes.read([r for r in group.to_pylist() if r["kind"] == kind])

@@ -429,3 +429,18 @@ def test_quality_sql(spark):
     names = [d[0] for d in r.description]
     got = queries.QUERIES["op2_quality"](spark, str(path))
     assert sorted(names) == sorted(got.columns) and bag(got, *names) == Counter(r.fetchall())
+
+
+def test_substrings_sends_a_block_twice_at_most(spark):
+    """Equal texts of a segment: every block is sent for its least and its greatest document, however many there are."""
+    def plain_index(texts):
+        rows = spark.createDataFrame(texts, "doc_id bigint, text string")
+        return substrings.remove_repeats(rows, least_parts=1, routes=1)
+
+    text = " ".join(f"w{k}" for k in range(120))
+    out = plain_index([(k, text) for k in range(300)] + [(1000, "other " + text)]).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in out} == {0: (120, 0), **{k: (120, 120) for k in range(1, 300)}, 1000: (121, 120)}
+    blocks, doc = np.array([5, 5, 5, 7, 9, 9]), np.array([3, 1, 2, 4, 6, 6])
+    kept, docs = substrings.two_of_each(blocks, doc)
+    assert list(zip(kept.tolist(), docs.tolist())) == [(5, 1), (5, 3), (7, 4), (9, 6), (9, 6)]
+    assert len(substrings.two_of_each(blocks[:0], doc[:0])[0]) == 0
