@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators.bpe import train_bpe
+from corpusloom.operators.bpe import covered, train_bpe
 from corpusloom.sources.sinks import scratch
 
 SPECIALS = ("[UNK]", "[PAD]", "[CLS]", "[SEP]", "[MASK]")
@@ -115,9 +116,9 @@ def _uses(batches, arcs_of):
         yield pd.DataFrame({"token": list(out), "n": list(out.values())}, columns=["token", "n"])
 
 
-def _estimate(words: DataFrame, pieces: DataFrame, longest: int, held: int) -> DataFrame:
-    """(token, n): expected uses of ``pieces`` (token, score) over weighted words. Up to ``held`` pieces are held by tasks; more
-    are joined to the substrings of the words. Both give the same rows."""
+def _with_arcs(words: DataFrame, pieces: DataFrame, longest: int, held: int, per_word, out: str) -> DataFrame:
+    """``per_word`` over (word, n, arcs) of each batch of words, arcs being the pieces (token, score) in a word as (start, stop,
+    score). Up to ``held`` pieces are held by tasks; more are joined to the substrings of the words. Both give the same rows."""
     rows = pieces.select("token", "score").limit(held + 1).collect()
     if len(rows) <= held:
         table = words.sparkSession.sparkContext.broadcast({r["token"]: r["score"] for r in rows})
@@ -129,7 +130,7 @@ def _estimate(words: DataFrame, pieces: DataFrame, longest: int, held: int) -> D
                 found = ((a, b, get(word[a:b])) for a in range(n) for b in range(a + 1, min(n, a + longest) + 1))
                 yield word, weight, [x for x in found if x[2] is not None]
 
-        return words.mapInPandas(lambda batches: _uses(batches, looked_up), "token string, n double")
+        return words.mapInPandas(lambda batches: per_word(batches, looked_up), out)
     cuts = _cuts(words, longest).join(pieces.select("token", "score"), "token")
     packed = cuts.groupBy("word").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("a", "b", "score"))).alias("arcs"))
     flat = packed.select("word", "n", "arcs.a", "arcs.b", "arcs.score")
@@ -138,7 +139,38 @@ def _estimate(words: DataFrame, pieces: DataFrame, longest: int, held: int) -> D
         for word, weight, *arcs in zip(pdf["word"], pdf["n"], pdf["a"], pdf["b"], pdf["score"]):
             yield word, weight, list(zip(*(x.tolist() for x in arcs)))
 
-    return flat.mapInPandas(lambda batches: _uses(batches, joined), "token string, n double")
+    return flat.mapInPandas(lambda batches: per_word(batches, joined), out)
+
+
+def _estimate(words: DataFrame, pieces: DataFrame, longest: int, held: int) -> DataFrame:
+    """(token, n): expected uses of ``pieces`` (token, score) over weighted words."""
+    return _with_arcs(words, pieces, longest, held, _uses, "token string, n double")
+
+
+def _without(n: int, arcs: list[tuple[int, int, float]]) -> float:
+    """The score of the best way from 0 to ``n`` by arcs sorted by start, but for the one that goes all the way."""
+    best = [0.0] + [-math.inf] * n
+    for a, b, s in arcs:
+        if b - a < n and best[a] + s > best[b]:
+            best[b] = best[a] + s
+    return best[n]
+
+
+def _lost(batches, arcs_of):
+    """(token, n, loss) of pieces, as words whose weight is their number of uses."""
+    for pdf in batches:
+        out = []
+        for word, weight, arcs in arcs_of(pdf):
+            own = next((s for a, b, s in arcs if b - a == len(word)), None)
+            if own is not None:
+                out.append((word, weight, weight * (own - _without(len(word), arcs))))
+        yield pd.DataFrame(out, columns=["token", "n", "loss"])
+
+
+def losses(pieces: DataFrame, scored: DataFrame, longest: int, held: int = MAX_HELD) -> DataFrame:
+    """(token, n, loss): what the likelihood loses if one of ``pieces`` (token, n) goes and its ``n`` uses are written in the best
+    other way by pieces of ``scored`` (token, score). It is nought or less where another way is as good."""
+    return _with_arcs(pieces.select(F.col("token").alias("word"), "n"), scored, longest, held, _lost, "token string, n double, loss double")
 
 
 def _cuts(words: DataFrame, longest: int) -> DataFrame:
@@ -148,11 +180,11 @@ def _cuts(words: DataFrame, longest: int) -> DataFrame:
     return starts.select("word", "n", "a", F.explode(stops).alias("b")).withColumn("token", F.substring(F.col("word"), F.col("a") + 1, F.col("b") - F.col("a")))
 
 
-def _most_used(pieces: DataFrame, least: int, size: int) -> DataFrame:
-    """The pieces without the least used: at least ``least`` of them and all as frequent as these, on a scale of 64 steps to
-    an octave that is counted as a whole; exactly ``size`` where that many are wanted or the scale tells nothing apart."""
+def _dearest(pieces: DataFrame, least: int, size: int) -> DataFrame:
+    """The pieces whose ``loss`` is greatest: at least ``least`` of them and all that cost as much as these, on a scale of 64
+    steps to an octave that is counted as a whole; exactly ``size`` where that many are wanted or the scale tells nothing apart."""
     if least > size:
-        step = pieces.withColumn("_step", F.floor(F.log2("n") * 64))
+        step = pieces.withColumn("_step", F.floor(F.log2(F.greatest("loss", F.lit(1e-9))) * 64))
         kept, cut = 0, None
         counts = step.groupBy("_step").agg(F.count("*").alias("n")).orderBy(F.desc("_step")).collect()
         for r in counts:
@@ -161,20 +193,29 @@ def _most_used(pieces: DataFrame, least: int, size: int) -> DataFrame:
                 break
         if kept < sum(r["n"] for r in counts):
             return step.where(F.col("_step") >= cut).drop("_step")
-    return pieces.orderBy(F.desc("n"), "token").limit(size)
+    return pieces.orderBy(F.desc(F.round("loss", 6)), "token").limit(size)
 
 
-def train_unigram(words: DataFrame, size: int, *, longest: int = 16, rounds: int = 2, keep: float = 0.5, specials: tuple[str, ...] = (), held: int = MAX_HELD) -> DataFrame:
+def train_unigram(
+    words: DataFrame, size: int, *, longest: int = 16, rounds: int = 2, keep: float = 0.5, specials: tuple[str, ...] = (), user: tuple[str, ...] = (), coverage: float = 1.0, held: int = MAX_HELD
+) -> DataFrame:
     """(token, score): ``size`` pieces of a unigram model and their log-probabilities, all letters and ``specials`` (score 0)
     among them; fewer if the words have fewer, more only if there are more letters. ``words``: (word, n), distinct; empty ones
     do not count.
 
     Seeds are the letters and every substring of up to ``longest`` characters that occurs twice or more; none is left out
-    for its number. A round estimates expected uses over the distinct words ``rounds`` times and then drops the least used,
-    keeping ``keep`` of them, until ``size`` are left. Pieces are a written table; what comes to the driver is a histogram of
+    for its number. A round estimates expected uses over the distinct words ``rounds`` times and then drops the pieces that the
+    likelihood misses least (:func:`losses`), keeping ``keep`` of them, until ``size`` are left. ``user`` symbols are pieces of
+    their own (score 0) at which words are cut; so are letters beyond the most frequent ones that make up ``coverage``, which
+    are no pieces. Pieces are a written table; what comes to the driver is a histogram of
     their frequencies, and what tasks hold is at most ``held`` pieces (more are joined).
     """
-    words = _dealt(words.where("word != ''").select("word", "n"))
+    words = words.where("word != ''").select("word", "n")
+    if user:
+        parts = F.split("word", "|".join(map(re.escape, sorted(user, key=len, reverse=True))))
+        words = words.select(F.explode(parts).alias("word"), "n").where("word != ''").groupBy("word").agg(F.sum("n").alias("n"))
+    words = _dealt(covered(words, coverage))
+    specials = (*specials, *(u for u in user if u not in specials))
     tall = F.length("token") > 1
     freq = _cuts(words, longest).groupBy("token").agg(F.sum("n").cast("double").alias("n")).where((F.col("n") > 1) | ~tall)
     freq = _staged(freq, "pieces")
@@ -191,12 +232,12 @@ def train_unigram(words: DataFrame, size: int, *, longest: int = 16, rounds: int
             new = _estimate(words, scored(freq), longest, held).groupBy("token").agg(F.round(F.sum("n"), 6).alias("n")).where("n > 0")
             more = letters.join(new, "token", "left_anti").withColumn("n", F.lit(1e-3))
             freq = _staged(new.unionByName(more), "pieces")
-        others = freq.where(tall)
-        n_others = others.count()
+        n_others = freq.where(tall).count()
         if n_others <= wanted:
             break
         least = int(keep * n_others)
-        freq = _staged(freq.where(~tall).unionByName(_most_used(others, least, wanted)), "pieces")
+        others = _staged(losses(freq.where(tall), scored(freq), longest, held), "losses")
+        freq = _staged(freq.where(~tall).unionByName(_dearest(others, least, wanted).select("token", "n")), "pieces")
         if least <= wanted:
             break
     head = words.sparkSession.createDataFrame([(s, 0.0) for s in specials], "token string, score double")

@@ -123,6 +123,47 @@ def test_unigram_expected_uses_are_those_of_all_ways():
         assert abs(p - sum(q for q, w in every if arc in w) / total) < 1e-9
 
 
+def best_way(word, scores):
+    best = [0.0] + [-1e18] * len(word)
+    for b in range(1, len(word) + 1):
+        best[b] = max(best[a] + scores[word[a:b]] if word[a:b] in scores else -1e18 for a in range(b))
+    return best[-1]
+
+
+def test_losses_are_those_of_the_second_way(spark):
+    scores = {"a": -1.0, "b": -2.0, "c": -9.0, "ab": -2.5, "abc": -3.0, "bc": -20.0, "aba": -4.0}
+    uses = {"ab": 10.0, "abc": 4.0, "bc": 3.0, "aba": 1.0}
+    frame = lambda d, n: spark.createDataFrame(list(d.items()), f"token string, {n} double")
+    want = {t: n * (scores[t] - best_way(t, {k: v for k, v in scores.items() if k != t})) for t, n in uses.items()}
+    for held in (100, 0):
+        got = {r["token"]: r["loss"] for r in V.losses(frame(uses, "n"), frame(scores, "score"), 16, held).collect()}
+        assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    assert want["bc"] < 0 < want["abc"]  # a piece that another way beats goes first
+
+
+def test_unigram_drops_what_the_likelihood_misses_least(spark):
+    """At the same size the words are likelier than with the least used pieces dropped; and rounds do not lower it."""
+    words = corpus(12, "abcd", 200, 12)
+    df = spark.createDataFrame(words, "word string, n bigint")
+    total = lambda rows: sum(n * best_way(w, rows) for w, n in words)
+    learn = lambda **k: total({r["token"]: r["score"] for r in V.train_unigram(df, 60, **k).collect()})
+    by_loss = learn(keep=0.8)
+    uses = V.losses
+    V.losses = lambda pieces, *a: pieces.select("token", "n", F.col("n").alias("loss"))
+    try:
+        by_use = learn(keep=0.8)
+    finally:
+        V.losses = uses
+    assert by_loss > by_use
+    assert learn(keep=0.8, rounds=4) >= by_loss * 1.02  # both are negative
+
+
+def test_unigram_user_symbols_and_coverage(spark):
+    words = spark.createDataFrame([("ab<x>ab", 10), ("abab", 8), ("zab", 1)], "word string, n bigint")
+    got = {r["token"]: r["score"] for r in V.train_unigram(words, 8, user=("<x>",), coverage=0.97).collect()}
+    assert got["<x>"] == 0 and "ab" in got and not any(c in t for t in got if t != "<x>" for c in "<x>z")
+
+
 def test_unigram_of_nothing(spark):
     assert V.train_unigram(spark.createDataFrame([], "word string, n bigint"), 10).count() == 0
 
