@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+#: Pieces that tasks hold at most; larger vocabularies are joined.
 MAX_HELD = 500_000
 
 
@@ -56,15 +57,8 @@ def oov_rate(rows: DataFrame, by: list[str], tokens: str, vocab: DataFrame) -> D
     return known.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("_in").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("oov"))
 
 
-def _held(vocab: DataFrame, *cols: str):
-    rows = vocab.select(*cols).limit(MAX_HELD + 1).collect()
-    if len(rows) > MAX_HELD:
-        raise ValueError("the vocabulary is too large to be held by a task")
-    return vocab.sparkSession.sparkContext.broadcast({r[0]: r[-1] for r in rows})
-
-
-def wordpiece(word: str, vocab: dict, unk: str = "[UNK]", longest: int = 100) -> list[str]:
-    """Greedy longest match; continuations start with ##."""
+def wordpiece(word: str, vocab, unk: str = "[UNK]", longest: int = 100) -> list[str]:
+    """Greedy longest match; continuations start with ##. ``vocab`` holds pieces."""
     if len(word) > longest:
         return [unk]
     out, at = [], 0
@@ -77,9 +71,10 @@ def wordpiece(word: str, vocab: dict, unk: str = "[UNK]", longest: int = 100) ->
     return out
 
 
-def unigram(word: str, scores: dict[str, float], longest: int, unk: str | None = "[UNK]") -> list[str]:
-    """The segmentation of the highest total score; a character without a piece is unknown (or itself, if ``unk`` is None)."""
-    worst = min(scores.values(), default=0.0) - 10.0
+def unigram(word: str, scores: dict[str, float], longest: int, unk: str | None = "[UNK]", worst: float | None = None) -> list[str]:
+    """The segmentation of the highest total score; a character without a piece is unknown (or itself, if ``unk`` is None), and
+    counts as ``worst``, ten below the least score."""
+    worst = min(scores.values(), default=0.0) - 10.0 if worst is None else worst
     best: list[tuple[float, int, bool]] = [(0.0, 0, True)]
     for end in range(1, len(word) + 1):
         cell = (best[end - 1][0] + worst, end - 1, False)
@@ -96,29 +91,57 @@ def unigram(word: str, scores: dict[str, float], longest: int, unk: str | None =
     return out[::-1]
 
 
-def segment_words(rows: DataFrame, keys: list[str], words: str, segment, held) -> DataFrame:
-    """(keys, tokens): each distinct word of the arrays segmented by ``segment(word, held.value)``, joined back in order."""
-    flat = rows.select(*keys, F.posexplode_outer(words).alias("_pos", "word"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _segmented(words: DataFrame, vocab: DataFrame, segment, marks: bool, held: int) -> DataFrame:
+    """The rows (word, ...) with ``pieces``: ``segment(word, table, longest)`` of each, over a table of (token, score) that holds
+    at least the pieces in the word. Up to ``held`` pieces are held by tasks; of a larger vocabulary a word gets those that
+    its substrings join to (with ``marks`` those inside it are joined by their ## form). Both give the same rows."""
+    size = F.length(F.regexp_replace("token", "^##", "")) if marks else F.length("token")
+    longest = vocab.agg(F.max(size)).first()[0] or 1
+    rows = vocab.select("token", "score").limit(held + 1).collect()
+    fields = ", ".join(f"`{n}` {t}" for n, t in words.dtypes)
+    if len(rows) <= held:
+        table = vocab.sparkSession.sparkContext.broadcast({r["token"]: r["score"] for r in rows})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                b["pieces"] = [segment(w, table.value, longest) for w in b["word"]]
+                yield b
+
+        return words.mapInPandas(run, f"{fields}, pieces array<string>")
+    starts = words.select("word").distinct().select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("a"))
+    cuts = starts.select("word", "a", F.explode(F.sequence(F.col("a") + 1, F.least(F.length("word"), F.col("a") + longest))).alias("b"))
+    piece = F.substring(F.col("word"), F.col("a") + 1, F.col("b") - F.col("a"))
+    cuts = cuts.select("word", (F.when(F.col("a") > 0, F.concat(F.lit("##"), piece)).otherwise(piece) if marks else piece).alias("token")).distinct()
+    own = cuts.join(vocab.select("token", "score"), "token").groupBy("word").agg(F.collect_list("token").alias("_t"), F.collect_list(F.coalesce("score", F.lit(0.0))).alias("_s"))
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["pieces"] = [segment(w, held.value) for w in b["word"]]
+            b["pieces"] = [segment(w, {} if t is None else dict(zip(t, s)), longest) for w, t, s in zip(b["word"], b.pop("_t"), b.pop("_s"))]
             yield b
 
-    pieces = flat.where("word is not null").select("word").distinct().mapInPandas(run, "word string, pieces array<string>")
-    one = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "pieces"))
+    return words.join(own, "word", "left").select(*words.columns, "_t", "_s").mapInPandas(joined, f"{fields}, pieces array<string>")
+
+
+def segment_words(rows: DataFrame, keys: list[str], words: str, vocab: DataFrame, segment, marks: bool, held: int) -> DataFrame:
+    """(keys, tokens): each distinct word of the arrays segmented once, joined back in order."""
+    flat = rows.select(*keys, F.posexplode_outer(words).alias("_pos", "word"))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    distinct = flat.where("word != ''").select("word").repartition(parts, "word").distinct()
+    pieces = _segmented(distinct, vocab, segment, marks, held)
+    one = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("pieces", F.array().cast("array<string>")).alias("pieces")))
     return flat.join(pieces, "word", "left").groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(one)), lambda p: p["pieces"])).alias("tokens"))
 
 
-def tokenize_wordpiece(rows: DataFrame, keys: list[str], words: str, vocab: DataFrame, *, unk: str = "[UNK]", longest: int = 100) -> DataFrame:
-    return segment_words(rows, keys, words, lambda w, v: wordpiece(w, v, unk, longest), _held(vocab, "token"))
+def tokenize_wordpiece(rows: DataFrame, keys: list[str], words: str, vocab: DataFrame, *, unk: str = "[UNK]", longest: int = 100, held: int = MAX_HELD) -> DataFrame:
+    """``vocab``: (token), distinct; of any size."""
+    scored = vocab.select("token", F.lit(0.0).alias("score"))
+    return segment_words(rows, keys, words, scored, lambda w, v, _: wordpiece(w, v, unk, longest), True, held)
 
 
-def tokenize_unigram(rows: DataFrame, keys: list[str], words: str, scored: DataFrame, *, unk: str = "[UNK]") -> DataFrame:
-    """``scored``: (token, score)."""
-    held = _held(scored, "token", "score")
-    longest = max(map(len, held.value), default=1)
-    return segment_words(rows, keys, words, lambda w, v: unigram(w, v, longest, unk), held)
+def tokenize_unigram(rows: DataFrame, keys: list[str], words: str, scored: DataFrame, *, unk: str = "[UNK]", held: int = MAX_HELD) -> DataFrame:
+    """``scored``: (token, score), tokens distinct; of any size."""
+    worst = (scored.agg(F.min("score")).first()[0] or 0.0) - 10.0
+    return segment_words(rows, keys, words, scored, lambda w, v, n: unigram(w, v, n, unk, worst), False, held)
 
 
 def words_first(rows: DataFrame, keys: list[str], words: str, listed: DataFrame, book: DataFrame, scored: DataFrame, sep: str = T.SEP) -> DataFrame:
@@ -144,18 +167,10 @@ def words_first(rows: DataFrame, keys: list[str], words: str, listed: DataFrame,
     return found.join(pieces, "_cut", "left").groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(one)), lambda p: p["t"])).alias("tokens"))
 
 
-def segmented(words: DataFrame, scored: DataFrame) -> DataFrame:
+def segmented(words: DataFrame, scored: DataFrame, *, held: int = MAX_HELD) -> DataFrame:
     """The rows with ``pieces``: the likeliest of their ``word``, a character without a piece as it is."""
-    held = _held(scored, "token", "score")
-    longest = max(map(len, held.value), default=1)
-    fields = ", ".join(f"{n} {t}" for n, t in words.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["pieces"] = [unigram(w, held.value, longest, None) for w in b["word"]]
-            yield b
-
-    return words.mapInPandas(run, f"{fields}, pieces array<string>")
+    worst = (scored.agg(F.min("score")).first()[0] or 0.0) - 10.0
+    return _segmented(words, scored, lambda w, v, n: unigram(w, v, n, None, worst), False, held)
 
 
 def marked(pieces: DataFrame, sep: str = T.SEP) -> DataFrame:

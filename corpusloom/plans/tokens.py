@@ -54,15 +54,29 @@ def oov_rate(spark, sf_dir):
     return K.oov_rate(docs, ["source"], "tokens", word_vocab(spark, sf_dir))
 
 
+#: Words in the vocabulary of pieces.
+PIECES = 22_675
+
+
 def piece_vocab(spark, sf_dir):
-    """Pieces of the corpus: letters, pairs and frequent words, each also as a continuation."""
-    words = word_counts(spark, sf_dir).orderBy(F.desc("n"), "token").limit(300).select("token")
+    """Pieces of the corpus: letters and frequent words, each also as a continuation."""
+    words = word_counts(spark, sf_dir).orderBy(F.desc("n"), "token").limit(PIECES).select("token")
     letters = corpus_words(spark, sf_dir).select(F.explode(F.split("w", "")).alias("token")).where("token != ''").distinct()
     both = words.unionAll(letters).distinct()
-    return both.unionAll(both.select(F.concat(F.lit("##"), "token")))
+    return both.unionAll(both.select(F.concat(F.lit("##"), "token"))).distinct()
+
+
+#: Every distinct word, from its start on, by the longest piece at each place; a word that does not come to its end is unknown.
+GREEDY = f"""RECURSIVE {TOKENS}, {WORDS}, top AS (SELECT token FROM (SELECT w AS token, count(*) AS n FROM words GROUP BY w ORDER BY n DESC, encode(w) LIMIT {PIECES}) UNION SELECT * FROM (SELECT unnest(string_split(w, '')) AS c FROM words) WHERE c <> ''),
+pv AS (SELECT token FROM top UNION SELECT '##' || token FROM top), big AS (SELECT max(length(token)) AS most FROM top), d AS (SELECT DISTINCT token AS word FROM t),
+g AS (SELECT word, 0::BIGINT AS place, []::VARCHAR[] AS pieces FROM d UNION ALL
+  SELECT word, max(stop), list_append(any_value(pieces), arg_max(piece, stop)) FROM (SELECT c.* FROM (SELECT word, pieces, stop, CASE WHEN place > 0 THEN '##' ELSE '' END || word[place + 1:stop] AS piece
+    FROM (SELECT word, place, pieces, unnest(range(place + 1, least(length(word), place + most) + 1)) AS stop FROM g, big WHERE place < length(word))) c JOIN pv ON pv.token = c.piece) GROUP BY word),
+cut AS (SELECT d.word, CASE WHEN length(d.word) > 100 OR g.word IS NULL THEN '[UNK]' ELSE array_to_string(g.pieces, ' ') END AS piece FROM d LEFT JOIN g ON d.word = g.word AND g.place = length(d.word)),
+p AS (SELECT doc_id, line_no, k, piece FROM t JOIN cut ON t.token = cut.word)"""
 
 
-@query("tokenize_wordpiece")
+@query("tokenize_wordpiece", f"WITH {GREEDY} " + JOINED.format(x="piece", s=" ", t="p"))
 def tokenize_wordpiece(spark, sf_dir):
     out = K.tokenize_wordpiece(token_lines(spark, sf_dir), KEYS, "tokens", piece_vocab(spark, sf_dir))
     return out.select(*KEYS, F.array_join("tokens", " ").alias("out"))

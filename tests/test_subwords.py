@@ -182,3 +182,23 @@ def test_words_first(spark):
     ids = K.to_ids_two(spark.createDataFrame([(1, got[1])], "k int, t array<string>"), ["k"], "t", listed, pieces).first()["ids"]
     order = sorted(["jin", "1", "tian1", "tian", "hen", "h", "en"])
     assert ids == [1] + [3 + order.index(t) + 1 if t in order else 3 for t in ["jin", "1", "tian1", "h", "en", "3"]] + [2, 3, 3, 3]
+
+
+def test_segmentation_below_and_above_what_tasks_hold(spark):
+    """Vocabularies that are held and those that are joined give the same tokens, which are those of the plain rules."""
+    rng = random.Random(13)
+    pieces = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): -rng.random() * 9 for _ in range(40)}
+    pieces.pop("c", None)
+    words = ["".join(rng.choice("abcd" if rng.random() < 0.1 else "abc") for _ in range(rng.randint(1, 14))) for _ in range(80)] + ["a" * 101, "", "d"]
+    rows = [(k, words[k : k + 5]) for k in range(0, len(words), 5)] + [(1000, []), (1001, None)]
+    df = spark.createDataFrame(rows, "k int, w array<string>")
+    scored = spark.createDataFrame(list(pieces.items()), "token string, score double")
+    both = [*pieces, *("##" + p for p in pieces)]
+    vocab = spark.createDataFrame([(p,) for p in both], "token string")
+    flat = lambda f: {k: [p for x in (w or []) if x for p in f(x)] for k, w in rows}
+    longest = max(map(len, pieces))
+    for held in (1000, 3):
+        got = {r["k"]: r["tokens"] for r in K.tokenize_unigram(df, ["k"], "w", scored, held=held).collect()}
+        assert got == flat(lambda x: K.unigram(x, pieces, longest))
+        got = {r["k"]: r["tokens"] for r in K.tokenize_wordpiece(df, ["k"], "w", vocab, held=held).collect()}
+        assert got == flat(lambda x: K.wordpiece(x, set(both)))
