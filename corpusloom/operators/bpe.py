@@ -241,14 +241,14 @@ def covered(words: DataFrame, coverage: float) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train_bpe(words: DataFrame, merges: int, *, coverage: float = 1.0, pairs: int = 64, most_stretches: int = 50_000) -> DataFrame:
+def train_bpe(words: DataFrame, merges: int, *, coverage: float = 1.0, batch: int = 64, most_stretches: int = 50_000) -> DataFrame:
     """(rank, left, right, n): merges of neighbouring pairs in order of their frequency, ties by symbols, as if one were made a
-    round; no pair that occurs once. ``words``: (word, n), distinct; null and empty ones don't count. ``pairs``: with how many
-    the first round begins."""
+    round; no pair that occurs once. ``words``: (word, n), distinct; null and empty ones don't count. ``batch``: with how many
+    pairs the first round begins."""
     spark = words.sparkSession
     state = _State(covered(words.where("word != ''").select("word", F.col("n").cast("long").alias("n")), coverage))
     out: list[Merge] = []
-    k = pairs
+    k = batch
     while len(out) < merges:
         top = state.top(k + 1)
         floor = top[k] if len(top) > k else None
