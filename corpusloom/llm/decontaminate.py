@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from corpusloom.llm.common import new_path
+from corpusloom.llm.common import new_path, stage_table
 from corpusloom.llm.sharedfiles import filesystem
 
 #: One error for so many characters of an item.
@@ -187,7 +187,8 @@ def find(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
 
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
+    """The documents that contain no item, with all their columns. What a block of items leaves is written before the next
+    block reads it, so a stage has one automaton."""
     at = docs.columns.index(text)
 
     def without(folder: str, rows: DataFrame) -> DataFrame:
@@ -198,4 +199,8 @@ def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: st
 
         return rows.mapInArrow(run, rows.schema)
 
-    return reduce(lambda rows, folder: without(folder, rows), _blocks(items, item_key, item_text), docs)
+    first, *rest = _blocks(items, item_key, item_text)
+    rows = without(first, docs)
+    for folder in rest:
+        rows = without(folder, stage_table(rows, "clean"))
+    return rows
