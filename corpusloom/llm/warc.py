@@ -190,7 +190,7 @@ def read(spark: SparkSession, folder: str, *, payload: bool = False) -> DataFram
         for batch in batches:
             for path, size in zip(*(c.to_pylist() for c in batch.columns)):
                 where, inner = filesystem(path)
-                file, held = int(re.search(r"file=(-?\d+)", path)[1]), []
+                file, held = int(re.findall(r"/file=(-?\d+)/", path)[-1]), []  # the folder's own name may hold such words
                 with where.open_input_file(inner) as f:
                     for offset, length, digest, data in walk(f, size, payload):
                         row = (file, offset, length, digest)
