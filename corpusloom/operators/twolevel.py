@@ -6,19 +6,33 @@ and the range of tokens of each sub-character are derived from what the cut leav
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators import align, tokens
-from corpusloom.operators.examples import assemble, mask_of, padded, truncate_pair
-from corpusloom.operators.features import window_starts
+from corpusloom.operators import rowwise, tokens
+from corpusloom.operators.examples import mask_of, padded, truncate_pair
+from corpusloom.operators.rowwise import ints, lists, offsets_of, ranges, sizes_of
 
 
 def owners(rows: DataFrame, keys: list[str], subs: str, whole: str, out: str) -> DataFrame:
-    """The rows with ``out``, for each of ``subs`` the one of ``whole`` that holds its start. Keys name a row."""
-    own = align.owner(align.positions(rows, keys, subs), align.positions(rows, keys, whole), keys)
-    packed = own.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "owner"))), lambda x: x["owner"].cast("int")).alias(out))
-    return rows.join(packed, keys, "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
+    """The rows with ``out``, for each of ``subs`` the one of ``whole`` that holds its start."""
+    return rows.withColumn(out, rowwise.owner(subs, whole))
+
+
+def _with_ids(rows: DataFrame, keys: list[str], columns: list[str], vocab: DataFrame) -> tuple[DataFrame, int, int]:
+    """(the rows with ids in place of tokens, the id of [CLS], that of [SEP]). A vocabulary that tasks hold is looked up where
+    the rows are; a larger one is joined, and keys name a row."""
+    table = tokens.held_table(vocab, "token", "id") if dict(vocab.dtypes)["id"] == "int" else None
+    if table is not None:
+        look = tokens.id_lookup(rows.sparkSession, table)
+        return rows.withColumns({c: look(c) for c in columns}), table.get("[CLS]") or 0, table.get("[SEP]") or 0
+    for c in columns:
+        ids, _ = tokens.to_ids(rows, keys, c, vocab, held=0)
+        rows = rows.drop(c).join(ids.withColumnRenamed("ids", c), keys)
+    marks = {r["token"]: r["id"] for r in vocab.where(F.col("token").isin("[CLS]", "[SEP]")).groupBy("token").agg(F.max("id").alias("id")).collect()}
+    return rows, marks.get("[CLS]", 0), marks.get("[SEP]", 0)
 
 
 def _count(owner: Column) -> Column:
@@ -26,23 +40,25 @@ def _count(owner: Column) -> Column:
     return F.coalesce(F.try_element_at(owner, F.lit(-1)) + 1, F.lit(0))
 
 
-def _features(rows: DataFrame, keys: list[str], sub_vocab: DataFrame, token_vocab: DataFrame, most: int, *, pair: bool) -> DataFrame:
-    """Both levels of rows (keys, sa, ta, oa[, sb, tb, ob]) that are cut already: each token has an owner's number."""
+def _features(rows: DataFrame, keys: list[str], subs: tuple[int, int], whole: tuple[int, int], most: int, *, pair: bool) -> DataFrame:
+    """Both levels of rows (keys, sa, ta, oa[, sb, tb, ob]) of ids that are cut already: each token has an owner's number.
+    ``subs`` and ``whole``: the ids of [CLS] and [SEP]."""
     one = lambda x: F.array(x)
-    subs, segments = assemble(F.col("sa"), F.col("sb") if pair else None)
-    whole, _ = assemble(F.col("ta"), F.col("tb") if pair else None)
     n = F.size("ta")
+
+    def joined(a: str, b: str, cls: int, sep: int) -> Column:
+        ends = one(F.lit(sep))
+        return F.concat(one(F.lit(cls)), F.col(a), ends, *((F.col(b), ends) if pair else ()))
+
+    segments = F.array_repeat(F.lit(0), F.size("sa") + 2)
     place = F.concat(one(F.lit(0)), F.transform("oa", lambda x: x + 1), one(n + 1))
     if pair:
+        segments = F.concat(segments, F.array_repeat(F.lit(1), F.size("sb") + 1))
         place = F.concat(place, F.transform("ob", lambda x: x + n + 2), one(n + F.size("tb") + 2))
-    r = rows.select(*keys, subs.alias("subs"), whole.alias("whole"), segments.alias("segments"), place.alias("left"))
-    right = F.transform("left", lambda x, i: F.greatest(F.coalesce(F.get("left", i + 1), F.size("whole")), x + 1))
-    r = r.withColumn("right", right)
-    ids, _ = tokens.to_ids(r, keys, "subs", sub_vocab)
-    whole_ids, _ = tokens.to_ids(r, keys, "whole", token_vocab)
-    both = r.join(ids, keys).join(whole_ids.withColumnRenamed("ids", "token_ids"), keys)
+    r = rows.select(*keys, joined("sa", "sb", *subs).alias("ids"), joined("ta", "tb", *whole).alias("token_ids"), segments.alias("segments"), place.alias("left"))
+    r = r.withColumn("right", F.transform("left", lambda x, i: F.greatest(F.coalesce(F.get("left", i + 1), F.size("token_ids")), x + 1)))
     fit = lambda c, fill=0: padded(F.col(c), most, fill).alias(c)
-    return both.select(*keys, padded(F.col("ids"), most).alias("input_ids"), mask_of(F.col("ids"), most).alias("input_mask"), fit("segments"), fit("token_ids"), padded(F.col("left"), most, -1).alias("pos_left"), padded(F.col("right"), most, -1).alias("pos_right"))
+    return r.select(*keys, padded(F.col("ids"), most).alias("input_ids"), mask_of(F.col("ids"), most).alias("input_mask"), fit("segments"), fit("token_ids"), padded(F.col("left"), most, -1).alias("pos_left"), padded(F.col("right"), most, -1).alias("pos_right"))
 
 
 def two_level(rows: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str] | None, sub_vocab: DataFrame, token_vocab: DataFrame, most: int) -> DataFrame:
@@ -59,7 +75,32 @@ def two_level(rows: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str
     else:
         r = r.withColumns({c: F.slice(c, 1, most - 2) for c in ("sa", "oa")})
     r = r.withColumn("ta", F.slice("ta", F.lit(1), _count(F.col("oa"))))
-    return _features(r, keys, sub_vocab, token_vocab, most, pair=b is not None)
+    r, *subs = _with_ids(r, keys, ["sa", "sb"] if b else ["sa"], sub_vocab)
+    r, *whole = _with_ids(r, keys, ["ta", "tb"] if b else ["ta"], token_vocab)
+    return _features(r, keys, subs, whole, most, pair=b is not None)
+
+
+def _windows(sb: Column, ob: Column, tb: Column, room: Column, stride: int) -> Column:
+    """array<struct<start, first, sb, ob, tb>>: the windows of a passage, cut from its flat arrays, so that one costs its own
+    length and not the passage's."""
+
+    @F.arrow_udf("array<struct<start:int,first:int,sb:array<int>,ob:array<int>,tb:array<int>>>")
+    def run(s: pa.Array, o: pa.Array, t: pa.Array, length: pa.Array) -> pa.Array:
+        n, m, room = sizes_of(s), sizes_of(t), np.asarray(length).astype(np.int64)
+        many = np.where(n <= room, 1, -(-(n - room) // stride) + 1)
+        row = np.repeat(np.arange(len(n)), many)
+        start = ranges(np.zeros(len(n), np.int64), many) * stride
+        size = np.minimum(room[row], n[row] - start)
+        at = ranges(offsets_of(n)[row] + start, size)
+        subs, own, whole = (np.append(np.asarray(x.flatten()), 0).astype(np.int64) for x in (s, o, t))
+        some, begin = size > 0, np.minimum(offsets_of(n)[row] + start, len(own) - 1)
+        first = np.where(some, own[begin], 0)
+        tokens = np.where(some, own[np.minimum(begin + np.maximum(size, 1) - 1, len(own) - 1)] + 1 - first, 0)
+        of_tokens = ranges(offsets_of(m)[row] + first, tokens)
+        fields = {"start": ints(start), "first": ints(first), "sb": lists(size, ints(subs[at])), "ob": lists(size, ints(own[at] - np.repeat(first, size))), "tb": lists(tokens, ints(whole[of_tokens]))}
+        return lists(many, pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+    return run(sb, ob, tb, room)
 
 
 def two_level_windows(
@@ -73,17 +114,8 @@ def two_level_windows(
     r = owners(owners(r, keys, "sa", "ta", "oa"), keys, "sb", "tb", "ob")
     r = r.withColumns({c: F.slice(c, 1, most_query) for c in ("sa", "oa")})
     r = r.withColumn("ta", F.slice("ta", F.lit(1), _count(F.col("oa"))))
-    room = F.lit(most) - F.size("sa") - 3
-
-    def cut(at: Column) -> Column:
-        own = F.slice(F.col("ob"), at + 1, room)
-        first = F.coalesce(F.get(own, F.lit(0)), F.lit(0))
-        return F.struct(
-            at.alias("start"), first.alias("first"), F.slice(F.col("sb"), at + 1, room).alias("sb"), F.transform(own, lambda x: x - first).alias("ob"),
-            F.slice(F.col("tb"), first + 1, _count(own) - first).alias("tb"),
-        )
-
-    starts = window_starts(F.size("sb"), room, min(stride, most - most_query - 3))
-    w = r.select(*keys, "sa", "ta", "oa", F.posexplode(F.transform(starts, cut)).alias("window", "w")).select(*keys, "window", "sa", "ta", "oa", "w.*")
-    made = _features(w, [*keys, "window"], sub_vocab, token_vocab, most, pair=True)
-    return made.join(w.select(*keys, "window", "start", "first"), [*keys, "window"])
+    r, *subs = _with_ids(r, keys, ["sa", "sb"], sub_vocab)
+    r, *whole = _with_ids(r, keys, ["ta", "tb"], token_vocab)
+    cut = _windows(F.col("sb"), F.col("ob"), F.col("tb"), F.lit(most) - F.size("sa") - 3, min(stride, most - most_query - 3))
+    w = r.select(*keys, "sa", "ta", "oa", F.posexplode(cut).alias("window", "w")).select(*keys, "window", "sa", "ta", "oa", "w.*")
+    return _features(w, [*keys, "window", "start", "first"], subs, whole, most, pair=True)
