@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.examples import padded
 from corpusloom.operators.order import numbered
+from corpusloom.operators.rowwise import ints, lists, offsets_of, ranges, sizes_of
 
 
 def window_starts(size: Column, length: Column, stride: int) -> Column:
@@ -51,6 +54,35 @@ def max_context(parts: DataFrame, keys: list[str]) -> DataFrame:
     return inside.groupBy(*keys, "pos").agg(F.min_by("window", F.struct(-context, F.col("window"))).alias("window"))
 
 
+def max_context_of(windows: Column) -> Column:
+    """array<int>: the same for the windows of a row, array<struct<start, size>> in their order: the window of each place from 0
+    on, null for a place in none."""
+
+    def some(x: pa.Array) -> pa.Array:
+        n, flat = sizes_of(x), x.flatten()
+        start, size = (np.asarray(flat.field(c)).astype(np.int64) for c in ("start", "size"))
+        row = np.repeat(np.arange(len(n)), n)
+        upto = np.zeros(len(n), np.int64)
+        np.maximum.at(upto, row, np.where(size > 0, start + size, 0))
+        number = np.repeat(np.arange(len(size)) - offsets_of(n)[row], size)
+        at = ranges(start, size)
+        context = np.minimum(at - np.repeat(start, size), np.repeat(start + size, size) - 1 - at) * 100 + np.repeat(size, size)
+        at += np.repeat(offsets_of(upto)[row], size)
+        best = np.full(upto.sum(), -1, np.int64)
+        np.maximum.at(best, at, context)
+        good = np.flatnonzero(context == best[at])[::-1]
+        window = np.full(upto.sum(), -1, np.int64)
+        window[at[good]] = number[good]  # backwards, so that the first of equals is written last
+        return lists(upto, ints(window, window >= 0))
+
+    @F.arrow_udf("array<int>")
+    def run(x: pa.Array) -> pa.Array:
+        parts = [some(x.slice(i, 1000)) for i in range(0, len(x), 1000)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+    return run(windows)
+
+
 def window_label(start: Column, size: Column, answer_start: Column, answer_end: Column, offset: Column) -> Column:
     """struct(start, end) of an answer inside a window, shifted by ``offset``; 0, 0 where it is not wholly inside."""
     inside = (answer_start >= start) & (answer_end < start + size)
