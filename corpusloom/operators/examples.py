@@ -116,11 +116,14 @@ def _token_span(text: Column, begin: Column, last: Column, answer: Column) -> Co
 def cloze_examples(rows: DataFrame, keys: list[str], text: str, options: str, labels: DataFrame) -> DataFrame:
     """(keys, blank, tag, tokens, options, answer): a row for each idiom blank of a record, with the record's options and the
     answer of its tag, null where ``labels`` (keys, tag, answer) have none."""
-    tokens = T.blank_tokens(text)
-    cut = rows.select(*keys, F.col(options).alias("options"), tokens.alias("tokens"))
+    # a record meets its labels once, before it becomes a row for each blank
+    known = labels.where(F.col("tag").isNotNull()).groupBy(*keys).agg(F.collect_list(F.struct("tag", "answer")).alias("_known"))
+    r = rows.select(*keys, F.col(options).alias("options"), F.col(text).alias("_text")).join(known, keys, "left")
+    cut = r.select(*keys, "options", "_known", T.blank_tokens("_text").alias("tokens"))
     tags = F.filter("tokens", lambda t: t.rlike(f"^{T.IDIOM}$"))
+    own = lambda tag: F.transform(F.filter(F.coalesce("_known", F.array()), lambda x: x["tag"] == tag), lambda x: x["answer"])
     blanks = cut.select("*", F.posexplode(tags).alias("blank", "tag"))
-    return blanks.join(labels.select(*keys, "tag", "answer"), [*keys, "tag"], "left").select(*keys, "blank", "tag", "tokens", "options", "answer")
+    return blanks.select(*keys, "blank", "tag", "tokens", "options", F.explode_outer(own(F.col("tag"))).alias("answer"))
 
 
 def option_tokens(option: Column, definition: Column, most: int = 32) -> Column:
