@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import rowwise, tokens
 from corpusloom.operators.examples import mask_of, padded, truncate_pair
-from corpusloom.operators.rowwise import ints, lists, offsets_of, ranges, sizes_of
+from corpusloom.operators.rowwise import by_rows, ints, lists, offsets_of, ranges, sizes_of
 
 
 def owners(rows: DataFrame, keys: list[str], subs: str, whole: str, out: str) -> DataFrame:
@@ -85,6 +85,7 @@ def _windows(sb: Column, ob: Column, tb: Column, room: Column, stride: int) -> C
     length and not the passage's."""
 
     @F.arrow_udf("array<struct<start:int,first:int,sb:array<int>,ob:array<int>,tb:array<int>>>")
+    @by_rows
     def run(s: pa.Array, o: pa.Array, t: pa.Array, length: pa.Array) -> pa.Array:
         n, m, room = sizes_of(s), sizes_of(t), np.asarray(length).astype(np.int64)
         many = np.where(n <= room, 1, -(-(n - room) // stride) + 1)

@@ -27,7 +27,7 @@ def cut(text, rng, longest):
 def both(spark):
     rng = random.Random(5)
     rows = []
-    for k in range(120):
+    for k in range(1400):
         text = "".join(rng.choice("ab中\U00020000 　\t") for _ in range(rng.choice([0, 1, 2, 9, 30])))
         bare = "".join(text.split())
         spans = []
@@ -37,8 +37,8 @@ def both(spark):
         labels = [rng.choice(["O", "S-X", "B-X", "I-X", "I-Y"]) for _ in range(40)]
         t = cut(bare, rng, 4)
         rows.append((k, text, cut(bare, rng, 3), t, spans, values, labels[: len(t)]))
-    rows += [(1000, None, None, None, None, None, None)]
-    df = spark.createDataFrame(rows, "k int, text string, s array<string>, t array<string>, spans array<struct<type:string,start:int,stop:int>>, v array<int>, l array<string>").repartition(3).cache()
+    rows += [(2000, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, text string, s array<string>, t array<string>, spans array<struct<type:string,start:int,stop:int>>, v array<int>, l array<string>").repartition(2).cache()  # more rows than are done at a time
     return df, A.positions(df, KEYS, "s"), A.positions(df, KEYS, "t")
 
 
