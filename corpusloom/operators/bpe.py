@@ -1,17 +1,17 @@
 """Learning of byte-pair merges in the exact order of one merge a round, with few passes.
 
-State is kept in tables: the count of every pair of neighbouring symbols, and an inverted index from pairs to the words that
-hold them. Words are stored once; their symbols at any time follow from the merges so far. A round
+The state is a written table of the distinct words as they are after the merges so far: numbers of symbols, and how often the
+word occurs. A round
 
-1. takes the ``k`` most frequent pairs, and the next one as a floor,
-2. reads the words of these pairs from the index and cuts out the stretches that such pairs cover, with a symbol on both sides;
-   equal stretches are counted together,
+1. counts all pairs of neighbouring symbols and takes the ``k`` most frequent ones, and the next one as a floor,
+2. cuts out the stretches that such pairs cover in words, with a symbol on both sides; equal stretches are counted together,
 3. merges the stretches on the driver, best pair first, for as long as it is certain that no pair outside of them is better,
-4. applies the merges to the words that hold one, again by the index, which gives the changes of the counts and of the index.
+4. applies the merges to the words, all words of a batch at once, and writes them; words of one symbol go.
 
-So a round reads the words of the pairs in question and no others, and merges that follow from each other, or that lie side by
-side, need no round of their own. The driver sees at most ``k + 1`` pairs and ``most_stretches`` stretches, whatever the corpus;
-``k`` grows and shrinks with the number of stretches. Where even those of one pair are too many, that pair is merged alone.
+So a round is three passes over words that get shorter and fewer, whatever the number of its merges, and merges that follow
+from each other, or that lie side by side, need no round of their own. The driver sees at most ``k + 1`` pairs and
+``most_stretches`` stretches, whatever the corpus; ``k`` grows and shrinks with the number of stretches. Where even those of
+one pair are too many, that pair is merged alone.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,10 @@ from corpusloom.sources.sinks import scratch
 
 Pair = tuple[str, str]
 Merge = tuple[str, str, int]
-#: Rows of the index in one of its slots, slots at most, pairs of a round at most, changes that are kept apart.
-SLOT_ROWS, MOST_SLOTS, MOST_PAIRS, MOST_CHANGES = 2_000_000, 512, 1 << 16, 8
+#: Pairs of a round at most.
+MOST_PAIRS = 1 << 16
+#: A letter's number is its code point, that of a merged symbol comes after all of these. What stands for the rest of a word.
+FIRST, REST = 0x110000, -1
 
 
 def merged(symbols: list, a: str, b: str) -> list:
@@ -43,17 +46,6 @@ def merged(symbols: list, a: str, b: str) -> list:
     return out
 
 
-def encode(word: str, ranks: dict[Pair, int]) -> list[str]:
-    """The symbols of a word after these merges, in their order."""
-    s = list(word)
-    while len(s) > 1:
-        first = min(((ranks[p], p) for p in zip(s, s[1:]) if p in ranks), default=None)
-        if first is None:
-            break
-        s = merged(s, *first[1])
-    return s
-
-
 def stretches(s: list[str], pairs: set[Pair]) -> Iterator[list[str | None]]:
     """What the pairs cover in a word, with a symbol on both sides; None stands where the word goes on. Stretches that would
     share a symbol are one."""
@@ -87,6 +79,8 @@ class _Stretches:
             self._count(i, 1)
         self.queue = [(-n, p) for p, n in self.counts.items()]
         heapq.heapify(self.queue)
+        #: Bounds of what is not known in full, none too low: (-bound, side or pair). Only bounds that rise are added.
+        self.bounds: list[tuple[int, int, tuple]] = []
 
     def _count(self, i: int, sign: int) -> set[Pair]:
         """Adds a stretch to the counts, or takes it away; returns the pairs whose count that changes."""
@@ -107,14 +101,29 @@ class _Stretches:
                 self.beside[a, 1].add(p)
         return changed
 
+    def _bound(self, is_pair: int, x: tuple) -> int:
+        """What a pair beside hidden places, or an unseen one at them, can have at most."""
+        if not is_pair:
+            return self.hidden[x]
+        more = self.hidden[x[1], 0] + self.hidden[x[0], 1]
+        return self.counts[x] + more if more else 0
+
+    def _rises(self, is_pair: int, x: tuple) -> None:
+        bound = self._bound(is_pair, x)
+        if bound > 0:
+            heapq.heappush(self.bounds, (-bound, is_pair, x))
+
     def unsure(self) -> int:
         """No pair that is not known in full is more frequent than this."""
-        most = 0
-        for side, n in self.hidden.items():
-            if n > 0:
-                known = max((self.counts[p] + self.hidden[p[1], 0] + self.hidden[p[0], 1] for p in self.beside[side]), default=0)
-                most = max(most, n, known)
-        return most
+        while self.bounds:
+            n, is_pair, x = self.bounds[0]
+            now = self._bound(is_pair, x)
+            if now == -n:
+                return now
+            heapq.heappop(self.bounds)
+            if now > 0:
+                heapq.heappush(self.bounds, (-now, is_pair, x))
+        return 0
 
     def best(self, floor: tuple[int, Pair] | None) -> Merge | None:
         """The next merge, if it is certain: it comes before ``floor`` and before every pair that is not known in full."""
@@ -129,19 +138,34 @@ class _Stretches:
     def merge(self, a: str, b: str) -> None:
         self.made.add(a + b)
         changed: set[Pair] = set()
+        before = {side: self.hidden[side] for i in self.where[a, b] for side in self._edges(i)}
         for i in self.where.pop((a, b)):
             s, n = self.rows[i]
             changed |= self._count(i, -1)
             self.rows[i] = (merged(s, a, b), n)
             changed |= self._count(i, 1)
+            for side in self._edges(i):
+                before.setdefault(side, 0)
         self.where.pop((a, b), None)
         for p in changed:
             if self.counts[p] > 0:
                 heapq.heappush(self.queue, (-self.counts[p], p))
+                self._rises(1, p)
             else:
                 del self.counts[p]
                 for side in ((p[1], 0), (p[0], 1)):
                     self.beside[side].discard(p)
+        for side, n in before.items():
+            if self.hidden[side] > n:
+                self._rises(0, side)
+                for p in self.beside[side]:
+                    self._rises(1, p)
+
+    def _edges(self, i: int) -> list[tuple[str, int]]:
+        """The sides of a stretch at which the word goes on."""
+        s = self.rows[i][0]
+        front, back = [(s[1], 0)] if s[0] is None else [], [(s[-2], 1)] if s[-1] is None else []
+        return front + back
 
 
 def certain_merges(rows: Iterable[tuple[list[str | None], int]], pairs: set[Pair], floor: tuple[int, Pair] | None, most: int) -> list[Merge]:
@@ -157,71 +181,137 @@ def certain_merges(rows: Iterable[tuple[list[str | None], int]], pairs: set[Pair
     return out
 
 
-def _write(rows: DataFrame, name: str, *by: str) -> DataFrame:
-    path = scratch(rows.sparkSession, name)
-    rows.write.partitionBy(*by).parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of a batch of words in one array, the number of each word's symbols, and how often it occurs."""
+    s = batch.column(0)
+    return s.flatten().to_numpy(), np.diff(s.offsets.to_numpy()), batch.column(1).to_numpy()
+
+
+def _packed(s: np.ndarray, size: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(s, pa.int32())), pa.array(n, pa.int64())], names=["s", "n"])
+
+
+def _keys(s: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pair that begins at each symbol as one number; -1 at the last symbol of a word."""
+    keys = np.full(len(s), -1, np.int64)
+    keys[:-1] = s[:-1].astype(np.int64) << 32 | s[1:]
+    keys[np.cumsum(size) - 1] = -1
+    return keys
+
+
+def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key is in ``sorted_keys``, or -1."""
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
+
+
+def _in_order(merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges (left, right, made) as sorted keys, their ranks, and what a rank makes. What is inside a symbol was merged as if it
+    stood alone, so a symbol is made in one way and at one rank, and no pair is merged twice."""
+    keys = np.array([a << 32 | b for a, b, _ in merges], np.int64)
+    order = np.argsort(keys)
+    return keys[order], order, np.array([ab for _, _, ab in merges], np.int32)
+
+
+def _merged(s: np.ndarray, size: np.ndarray, n: np.ndarray, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray) -> list[tuple]:
+    """Words (s, size, n) after these merges in their order, as several such groups of words. In a step every word makes the
+    first merge that it holds, everywhere in it, and words that hold none are done."""
+    done = []
+    while len(size):
+        at = _places(keys, _keys(s, size))
+        rank = np.where(at < 0, len(made), ranks[at])
+        least = np.minimum.reduceat(rank, np.cumsum(size) - size)
+        going = least < len(made)
+        if not going.all():
+            symbols = np.repeat(going, size)
+            done.append((s[~symbols], size[~going], n[~going]))
+            s, rank, size, n, least = s[symbols], rank[symbols], size[going], n[going], least[going]
+        if not len(size):
+            break
+        hit = rank == np.repeat(least, size)
+        where = np.arange(len(s))
+        begin = hit & ~np.r_[False, hit[:-1]]
+        hit &= (where - np.maximum.accumulate(np.where(begin, where, 0))) % 2 == 0  # of overlapping places the first
+        s = np.where(hit, np.repeat(made[least], size), s)
+        stays = ~np.r_[False, hit[:-1]]
+        word = np.repeat(np.arange(len(size)), size)
+        s, size = s[stays], np.bincount(word[stays], minlength=len(size))
+    return done
+
+
+def _applied(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """Words (s, n) after the merges (left, right, made), but for those that are one symbol."""
+    held = words.sparkSession.sparkContext.broadcast(_in_order(merges))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for s, size, n in _merged(*_flat(batch), *held.value):
+                several = size > 1
+                if several.any():
+                    yield _packed(s[np.repeat(several, size)], size[several], n[several])
 
+    return words.mapInArrow(run, "s array<int>, n bigint")
 
-class _State:
-    """The tables of counts (a, b, n) and of the index (a, b, word, n, slot), each a base and its latest changes."""
-
-    def __init__(self, words: DataFrame):
-        self.spark = words.sparkSession
-        self.parts = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        every = words.repartition(self.parts).mapInPandas(_pairs_of, "a string, b string, word string, n bigint, d bigint, fresh boolean")
-        first = _write(every, "pairs")
-        self.slots = min(MOST_SLOTS, first.count() // SLOT_ROWS + 1)
-        self.counts, self.index = [self._summed([first])], [self._slotted(first)]
-        self._settle()
-
-    def _summed(self, changes: list[DataFrame]) -> DataFrame:
-        every = changes[0].select("a", "b", "d")
-        for c in changes[1:]:
-            every = every.union(c.select("a", "b", "d"))
-        return every.groupBy("a", "b").agg(F.sum("d").alias("d")).where("d > 0")
-
-    def _slotted(self, changes: DataFrame) -> DataFrame:
-        slot = F.pmod(F.xxhash64("a", "b"), F.lit(self.slots)).cast("int")
-        return changes.where("fresh").select("a", "b", "word", "n", slot.alias("slot"))
-
-    def _settle(self) -> None:
-        """Rewrites each table as one."""
-        self.counts = [_write(self._summed(self.counts), "counts")]
-        index = self.index[0]
-        for more in self.index[1:]:
-            index = index.unionByName(more)
-        self.index = [_write(index.repartition("slot", F.pmod(F.xxhash64("word"), F.lit(16))), "index", "slot")]
-
-    def top(self, k: int) -> list[tuple[int, Pair]]:
-        """Keys (-n, pair) of the most frequent pairs."""
-        rows = self._summed(self.counts).orderBy(F.desc("d"), "a", "b").limit(k).collect()
-        return [(-r["d"], (r["a"], r["b"])) for r in rows]
-
-    def words_of(self, pairs: list[Pair]) -> DataFrame:
-        """(word, n) of the words that hold one of the pairs, or held it once. Only the slots of these pairs are read."""
-        wanted = self.spark.createDataFrame([(a, b) for a, b in pairs], "a string, b string").withColumn("slot", F.pmod(F.xxhash64("a", "b"), F.lit(self.slots)).cast("int"))
-        slots = sorted(r[0] for r in wanted.select("slot").distinct().collect()) if self.slots > 1 else [0]
-        every = self.index[0]
-        for more in self.index[1:]:
-            every = every.unionByName(more)
-        held = every.where(F.col("slot").isin(slots)).join(F.broadcast(wanted.drop("slot")), ["a", "b"], "left_semi").select("word", "n")
-        return held.repartition(self.parts, "word").distinct()  # a stated number: work on a word is far more than reading it
-
-    def change(self, changes: DataFrame) -> None:
-        changes = _write(changes, "changes")
-        self.counts.append(changes)
-        self.index.append(self._slotted(changes))
-        if len(self.index) > MOST_CHANGES:
-            self._settle()
-
-
-def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pairs of letters of each word, as changes."""
-    for pdf in batches:
-        out = [(a, b, w, n, n * k, True) for w, n in zip(pdf["word"], pdf["n"]) for (a, b), k in Counter(zip(w, w[1:])).items()]
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b", "word", "n", "d", "fresh"])
+
+def _pair_counts(words: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, n): pairs of neighbouring symbols that occur twice or more, by what the symbols are; ``names`` of the merged ones."""
+    held = words.sparkSession.sparkContext.broadcast(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, size, n = _flat(batch)
+            keys = _keys(s, size)
+            p, at = np.unique(keys[keys >= 0], return_inverse=True)
+            total = np.zeros(len(p), np.int64)
+            np.add.at(total, at, np.repeat(n, size)[keys >= 0])
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(total)], names=["p", "n"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(0).to_numpy()
+            sides = ([_name(x, held.value) for x in side.tolist()] for side in (p >> 32, p & 0xFFFFFFFF))
+            yield pa.RecordBatch.from_arrays([*(pa.array(side, pa.string()) for side in sides), batch.column(1)], names=["a", "b", "n"])
+
+    counts = words.mapInArrow(count, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n")).where("n > 1")
+    return counts.mapInArrow(named, "a string, b string, n bigint")
+
+
+def _name(symbol: int, names: list[str]) -> str:
+    return chr(symbol) if symbol < FIRST else names[symbol - FIRST]
+
+
+def _stretches_of(words: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """(s, n): the stretches (see :func:`stretches`) of words (s, n), equal ones together; ``REST`` stands for None."""
+    held = words.sparkSession.sparkContext.broadcast(np.sort(np.array([a << 32 | b for a, b in pairs], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, size, n = _flat(batch)
+            hit = np.flatnonzero(_places(held.value, _keys(s, size)) >= 0)
+            if not len(hit):
+                continue
+            end = np.cumsum(size)
+            word = np.repeat(np.arange(len(size)), size)[hit]
+            start, stop = np.maximum(hit - 1, (end - size)[word]), np.minimum(hit + 3, end[word])
+            new = np.r_[True, (word[1:] != word[:-1]) | (start[1:] >= stop[:-1])]
+            start, stop, word = start[new], stop[np.r_[new[1:], True]], word[new]
+            front, back = start > (end - size)[word], stop < end[word]
+            length = stop - start + front + back
+            first = np.cumsum(length) - length
+            at = np.repeat(start - front - first, length) + np.arange(length.sum())
+            out = s[np.clip(at, 0, len(s) - 1)]
+            out[first[front]] = REST
+            out[(first + length - 1)[back]] = REST
+            yield _packed(out, length, n[word])
+
+    return words.mapInArrow(run, "s array<int>, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
 
 
 def covered(words: DataFrame, coverage: float) -> DataFrame:
@@ -246,65 +336,55 @@ def train_bpe(words: DataFrame, merges: int, *, coverage: float = 1.0, batch: in
     round; no pair that occurs once. ``words``: (word, n), distinct; null and empty ones don't count. ``batch``: with how many
     pairs the first round begins."""
     spark = words.sparkSession
-    state = _State(covered(words.where("word != ''").select("word", F.col("n").cast("long").alias("n")), coverage))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    letters = covered(words.where("length(word) > 1").select("word", F.col("n").cast("long").alias("n")), coverage).repartition(parts)
+    state = _staged(letters.mapInArrow(_letters, "s array<int>, n bigint"))
     out: list[Merge] = []
+    names: list[str] = []  # a merged symbol is what it spells, whatever it was merged from
+    number: dict[str, int] = {}
+    of = lambda x: number[x] if x in number else ord(x)
     k = batch
     while len(out) < merges:
-        top = state.top(k + 1)
-        floor = top[k] if len(top) > k else None
-        wanted = [p for n, p in top[:k] if n < -1]
-        if not wanted:
+        rows = _pair_counts(state, names).orderBy(F.desc("n"), "a", "b").limit(k + 1).collect()
+        top = [(-r["n"], (r["a"], r["b"])) for r in rows]
+        if not top:
             break
-        ranks = spark.sparkContext.broadcast({(a, b): r for r, (a, b, _) in enumerate(out)})
-        found = _stretches_of(state.words_of(wanted), ranks, spark.sparkContext.broadcast(set(wanted))).limit(most_stretches + 1).collect()
-        if len(found) > most_stretches and k > 1:
+        while True:
+            wanted = [p for _, p in top[:k]]
+            floor = top[k] if len(top) > k else None
+            found = _stretches_of(state, [(of(a), of(b)) for a, b in wanted]).limit(most_stretches + 1).collect()
+            if len(found) <= most_stretches or k == 1:
+                break
             k = max(1, k // 2)
-            continue
-        if len(found) > most_stretches:
-            new = [(*top[0][1], -top[0][0])]
-        else:
-            new = certain_merges(((r["s"], r["n"]) for r in found), set(wanted), floor, merges - len(out))
+        new: list[Merge] = []
+        if len(found) <= most_stretches:
+            spelt = (([None if x == REST else _name(x, names) for x in r["s"]], r["n"]) for r in found)
+            new = certain_merges(spelt, set(wanted), floor, merges - len(out))
         new = new or [(*top[0][1], -top[0][0])]  # the best pair is always certain
-        given = set(wanted)
-        later = spark.sparkContext.broadcast({(a, b): len(out) + r for r, (a, b, _) in enumerate(new)})
+        made = []
+        for a, b, _ in new:
+            if a + b not in number:
+                number[a + b] = FIRST + len(names)
+                names.append(a + b)
+            made.append((of(a), of(b), number[a + b]))
         out += new
         if len(out) < merges:
-            state.change(_changes(state.words_of([(a, b) for a, b, _ in new if (a, b) in given]), ranks, later))
+            state = _staged(_applied(state, made))
         if 2 * len(found) <= most_stretches:
             k = min(2 * k, MOST_PAIRS)
     return spark.createDataFrame([(r, *m) for r, m in enumerate(out)], "rank int, left string, right string, n bigint")
 
 
-def _stretches_of(words: DataFrame, ranks, pairs) -> DataFrame:
-    """(s, n): the stretches of words (word, n), equal ones together."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            total: Counter[tuple] = Counter()
-            for w, n in zip(pdf["word"], pdf["n"]):
-                for s in stretches(encode(w, ranks.value), pairs.value):
-                    total[tuple(s)] += n
-            if total:
-                yield pd.DataFrame({"s": [list(s) for s in total], "n": list(total.values())})
-
-    return words.mapInPandas(run, "s array<string>, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
-
-
-def _changes(words: DataFrame, ranks, later) -> DataFrame:
-    """What the merges ``later`` change in words that have those of ``ranks``: (a, b, word, n, d, fresh), ``d`` to be added to
-    the pair's count; ``fresh``: the word had no such pair."""
+def _staged(rows: DataFrame) -> DataFrame:
+    path = scratch(rows.sparkSession, "symbols")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both = {**ranks.value, **later.value}
-        for pdf in batches:
-            out = []
-            for w, n in zip(pdf["word"], pdf["n"]):
-                old, new = encode(w, ranks.value), encode(w, both)
-                if len(new) == len(old):
-                    continue
-                before, after = Counter(zip(old, old[1:])), Counter(zip(new, new[1:]))
-                out += [(a, b, w, n, n * (after[a, b] - before[a, b]), not before[a, b]) for a, b in before.keys() | after.keys() if after[a, b] != before[a, b]]
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b", "word", "n", "d", "fresh"])
 
-    return words.mapInPandas(run, "a string, b string, word string, n bigint, d bigint, fresh boolean")
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, n): the code points of words (word, n) of two letters or more."""
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        size = np.array([len(w) for w in words], np.int64)
+        if len(words):
+            yield _packed(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32), size, batch.column(1).to_numpy())

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pyspark.sql import Window
@@ -82,6 +83,46 @@ def test_certain_merges_are_the_next_ones():
     assert taken > 500
 
 
+def numbered(words, names):
+    return [[ord(x) if len(x) == 1 else B.FIRST + names.index(x) for x in s] for s in words]
+
+
+def test_bpe_rounds_without_spark():
+    """Rounds of stretches, certain merges and merging of many words at once."""
+    rng = random.Random(21)
+    for _ in range(40):
+        words = corpus(rng.random(), rng.choice(["ab", "abc", "aab", "abcd"]), 60, 14)
+        want, out, names = plain_bpe(words, 400), [], []
+        state, weights = [list(w) for w, _ in words], [n for _, n in words]
+        while True:
+            counts = Counter()
+            for s, n in zip(state, weights):
+                for p in zip(s, s[1:]):
+                    counts[p] += n
+            keys = sorted((-n, p) for p, n in counts.items() if n > 1)
+            if not keys:
+                break
+            k = rng.randint(1, 12)
+            pairs = {p for _, p in keys[:k]}
+            rows = [(s, n) for w, n in zip(state, weights) for s in B.stretches(w, pairs)]
+            new = B.certain_merges(rows, pairs, keys[k] if k < len(keys) else None, 400) or [(*keys[0][1], -keys[0][0])]
+            out += new
+            made = []
+            for a, b, _ in new:
+                sides = [numbered([[x]], names)[0][0] for x in (a, b)]
+                assert a + b not in names
+                names.append(a + b)
+                made.append((*sides, B.FIRST + len(names) - 1))
+            flat = [x for s in numbered(state, names) for x in s]
+            groups = B._merged(np.array(flat, np.int32), np.array([len(s) for s in state]), np.array(weights), *B._in_order(made))
+            state, weights = [], []
+            for s, size, n in groups:
+                ends = np.cumsum(size)
+                state += [[B._name(x, names) for x in s[e - z : e].tolist()] for e, z in zip(ends, size)]
+                weights += n.tolist()
+        assert out == want
+
+
 def test_bpe_coverage(spark):
     words = spark.createDataFrame([("abab", 10), ("abzab", 5), ("z", 1), ("qab", 1)], "word string, n bigint")
     cut = {r["word"]: r["n"] for r in B.covered(words, 0.85).collect()}
