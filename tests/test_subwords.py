@@ -199,6 +199,22 @@ def test_unigram_drops_what_the_likelihood_misses_least(spark):
     assert learn(keep=0.8, rounds=4) >= by_loss * 1.02  # both are negative
 
 
+def test_unigram_many_words_at_once_are_as_one_by_one(spark):
+    """Words of all lengths, also longer than any piece and such that no way leads through, and letters beyond 16 bits."""
+    rng = random.Random(31)
+    words = [*corpus(4, "abcé😀", 300, 40), ("", 2), ("zz", 5), ("ab" * 300, 2)]
+    pieces = {"".join(rng.choice("abcé😀") for _ in range(rng.randint(1, 6))): -9 * rng.random() for _ in range(150)} | dict.fromkeys("abcé😀", -3.0)
+    df = spark.createDataFrame(words, "word string, n bigint").where("word != ''")
+    scored = spark.createDataFrame(list(pieces.items()), "token string, score double")
+    uses = {}
+    for w, n in words:
+        arcs = [(a, b, pieces[w[a:b]]) for a in range(len(w)) for b in range(a + 1, min(len(w), a + 5) + 1) if w[a:b] in pieces]
+        for (a, b, _), p in zip(arcs, V._expected(len(w), arcs)):
+            uses[w[a:b]] = uses.get(w[a:b], 0.0) + (n * p if p > 1e-9 else 0)
+    got = {r["token"]: r["n"] for r in V._estimate(df, scored, 5, 1000).collect()}
+    assert len(got) > 50 and all(abs(got.get(t, 0.0) - n) < 1e-6 for t, n in uses.items()) and got.keys() <= uses.keys()
+
+
 def test_unigram_user_symbols_and_coverage(spark):
     words = spark.createDataFrame([("ab<x>ab", 10), ("abab", 8), ("zab", 1)], "word string, n bigint")
     got = {r["token"]: r["score"] for r in V.train_unigram(words, 8, user=("<x>",), coverage=0.97).collect()}
