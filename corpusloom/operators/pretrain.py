@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ from corpusloom.operators.order import numbered
 from corpusloom.sources.sinks import scratch
 
 
+#: Chunks of one document that are asked of a partner in one row.
+ASKED = 1024
+
+
 def draw(seed: int, n: Column | int, *keys: Column | str) -> Column:
     """An even number from 0 to n - 1 for these keys."""
     parts = [F.lit(str(seed))] + [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
@@ -153,17 +158,6 @@ def _draw(seed: int, n: int, *keys: object) -> int:
     return int(hashlib.md5("|".join(map(str, (seed, *keys))).encode()).hexdigest()[:7], 16) % n
 
 
-def _filled(sizes: pd.Series, start: pd.Series, left: pd.Series) -> pd.Series:
-    """The last sentence that is read from ``start`` on until ``left`` tokens are reached, or the document's last."""
-
-    def one(s: np.ndarray, at: int, tokens: int) -> int:
-        running = np.cumsum(s)
-        before = running[at - 1] if at else 0
-        return int(min(max(np.searchsorted(running, before + tokens), at), len(s) - 1))
-
-    return pd.Series([None if s is None else one(s, int(at), int(t)) for s, at, t in zip(sizes, start, left)], dtype="Int64")
-
-
 def fold_chunks(key: str, sizes: list[int], most: int, seed: int) -> list[tuple[int, int, int, int, bool, int]]:
     """(chunk, first, last, cut, follows, left) of a document's chunks, in order.
 
@@ -192,12 +186,14 @@ def next_sentence(docs: DataFrame, key: str, sizes: str, most: int | Column, see
     ``sizes``: the numbers of tokens of a document's sentences; those without tokens, and documents without any, do not count.
     B follows A in the chunk, or it begins at a random sentence of another document and fills up to the chunk's target, and
     then sentences of the chunk that are not in A are used again (:func:`fold_chunks`). Only if there is no other document is
-    it the same, with ``is_next`` false. Every partner is read with its running numbers of tokens.
+    it the same, with ``is_next`` false. Texts are cut once, into written tables of sizes and of ranked documents. What is asked
+    of a partner meets its sizes in one row for up to ``ASKED`` questions, so sizes are not copied to each of them.
     """
     wanted = most if isinstance(most, Column) else F.lit(most)
     full = docs.select(key, F.filter(sizes, lambda n: n > 0).cast("array<bigint>").alias("_sizes"), wanted.cast("long").alias("_most")).where(F.size("_sizes") > 0)
-    places = ranked(full.withColumn("_count", F.size("_sizes")), "_count", key, seed=seed).select(key, "_count", "_sizes", "_most", "rank")
-    total = full.count()
+    full = _staged(full.withColumn("_count", F.size("_sizes")), "sizes")
+    places = _staged(ranked(full, "_count", key, seed=seed).select(key, "_count", "_sizes", "_most", "rank"), "places")
+    total = places.count()
     kind = dict(docs.dtypes)[key]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,15 +203,36 @@ def next_sentence(docs: DataFrame, key: str, sizes: str, most: int | Column, see
                 yield pd.DataFrame(rows, columns=[key, "_r", "chunk", "first", "last", "cut", "is_next", "_left"])
 
     named = places.select(key, F.col(key).cast("string").alias("_name"), "rank", "_sizes", "_most")
-    c = named.mapInPandas(fold, f"{key} {kind}, _r bigint, chunk bigint, first bigint, last bigint, cut bigint, is_next boolean, _left bigint")
-    other = F.pmod(F.col("_r") + 1 + draw(seed, max(total - 1, 1), key, "chunk", F.lit("doc")), F.lit(max(total, 1)))
-    partner = places.select(F.col("rank").alias("_p"), F.col(key).alias("b_doc"), "_count", "_sizes")
-    c = c.withColumn("_p", F.when(~F.col("is_next"), other)).join(partner, "_p", "left")
-    c = c.withColumn("_at", draw(seed, F.greatest("_count", F.lit(1)), key, "chunk", F.lit("start")))
-    c = c.withColumn("_to", F.pandas_udf(_filled, "bigint")("_sizes", "_at", "_left"))
-    b_first = F.when(F.col("is_next"), F.col("first") + F.col("cut")).otherwise(F.col("_at"))
-    b_last = F.when(F.col("is_next"), F.col("last")).otherwise(F.col("_to"))
-    return c.select(key, "chunk", "first", "last", "cut", "is_next", F.coalesce("b_doc", key).alias("b_doc"), b_first.alias("b_first"), b_last.alias("b_last"))
+    kinds = f"{key} {kind}, chunk bigint, first bigint, last bigint, cut bigint, is_next boolean"
+    c = _staged(named.mapInPandas(fold, f"{key} {kind}, _r bigint, chunk bigint, first bigint, last bigint, cut bigint, is_next boolean, _left bigint"), "chunks")
+    follows = c.where("is_next").select(key, "chunk", "first", "last", "cut", "is_next", F.col(key).alias("b_doc"), (F.col("first") + F.col("cut")).alias("b_first"), F.col("last").alias("b_last"))
+    others = c.where("not is_next").withColumn("_p", F.pmod(F.col("_r") + 1 + draw(seed, max(total - 1, 1), key, "chunk", F.lit("doc")), F.lit(max(total, 1))))
+    partner = places.select(F.col("rank").alias("_p"), F.col(key).alias("b_doc"), F.col("_count").cast("long").alias("_n"), "_sizes")
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("chunk").cast("string"), F.lit("start"))), 1, 7), 16, 10).cast("long")
+    one = F.struct(key, "chunk", "first", "last", "cut", "is_next", "_left", hashed.alias("_h"))
+    asked = others.select("_p", F.floor(F.col("chunk") / ASKED).alias("_part"), one.alias("_q")).groupBy("_p", "_part").agg(F.collect_list("_q").alias("_q"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked_of, questions = np.diff(b.column("_q").offsets.to_numpy()), b.column("_q").flatten()
+            size, sizes = np.diff(b.column("_sizes").offsets.to_numpy()), b.column("_sizes").flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), asked_of)
+            ends = np.cumsum(size)
+            running, begin = np.r_[0, np.cumsum(sizes)], (ends - size)[row]
+            at = questions.field("_h").to_numpy() % size[row]
+            last = np.searchsorted(running[1:], running[begin + at] + questions.field("_left").to_numpy())
+            last = np.minimum(np.maximum(last, begin + at), ends[row] - 1) - begin
+            cols = [questions.field(n) for n in (key, "chunk", "first", "last", "cut", "is_next")]
+            yield pa.RecordBatch.from_arrays([*cols, b.column("b_doc").take(pa.array(row)), pa.array(at), pa.array(last)], names=[key, "chunk", "first", "last", "cut", "is_next", "b_doc", "b_first", "b_last"])
+
+    met = asked.join(partner, "_p").select("_q", "b_doc", "_sizes")
+    return follows.union(met.mapInArrow(fill, f"{kinds}, b_doc {kind}, b_first bigint, b_last bigint"))
+
+
+def _staged(rows: DataFrame, name: str) -> DataFrame:
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def front_drops(n: Column, seed: int, *keys: Column | str) -> Column:
