@@ -1,4 +1,8 @@
-"""Near copies at an exact Jaccard similarity of five-word shingles, by prefix filtering.
+"""Near copies at an exact Jaccard similarity of five-word shingles, by a fingerprint tree and by prefix filtering.
+
+The SimHash fingerprints of the sets go through the vantage-point tree of :mod:`simhash`; what it links, and sets of one
+fingerprint, are candidates. At the similarity of 0.8 sets may lie further apart than any radius that the tree can prune by, so
+prefix filtering adds the candidates beyond it; an exact check follows for all of them.
 
 All shingles stand in one order, common ones last. Of two sets at the similarity or more, each has a shingle of the other
 among its first n - ceil(similarity * n) + 1 in that order, so no pair is missed: only these prefixes are dealt out by
@@ -24,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm import simhash
 from corpusloom.llm.bloom import bloom
 from corpusloom.llm.common import stage_table
 from corpusloom.llm.components import components
@@ -31,6 +36,8 @@ from corpusloom.llm.components import components
 #: Similarity as a fraction, so that all bounds are whole numbers.
 SIMILARITY = (4, 5)
 WIDTH = 5
+#: Radius of the fingerprint tree in bits.
+BITS = 3
 #: Documents of the sample, about, and most common shingles that are put last in the order.
 SAMPLE, COMMON = 20_000, 200_000
 #: Sets that meet at a shingle are paired up to this number.
@@ -67,8 +74,8 @@ def _common(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, td, row, node, n, sketch, prefix): digests of a row's text and of its shingle set, the size of the set and its prefix, in
-    48 bits a shingle. Sets count as equal if their 64-bit digests are; shingles that only look equal in the prefix make
+    """(key, td, row, node, n, fp, sketch, prefix): digests of a row's text and of its shingle set, the size of the set, its
+    fingerprint, and its prefix, in 48 bits a shingle. Sets count as equal if their 64-bit digests are; shingles that only look equal in the prefix make
     candidates, no links."""
     last = _common(docs, text)
     order = np.argsort(last)
@@ -78,11 +85,12 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = held.value
         for b in batches:
-            node, n, sketch, prefix = [], [], [], []
+            node, n, fp, sketch, prefix = [], [], [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py())
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
                 n.append(len(s))
+                fp.append(simhash.majority(s))
                 sketch.append(_sketch(s).tobytes())
                 first = s
                 if len(known):
@@ -91,10 +99,10 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
                 prefix.append((first[: len(s) - -(-num * len(s) // den) + 1 if len(s) else 0] >> np.uint64(16)).view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), lists], names=["k", "td", "node", "n", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sketch, pa.binary()), lists], names=["k", "td", "node", "n", "fp", "sketch", "prefix"])
 
     rows = docs.select(docs[key].alias("k"), F.xxhash64(text).alias("td"), docs[text].alias("t"))
-    rows = rows.mapInArrow(run, f"k {dict(docs.dtypes)[key]}, td bigint, node bigint, n int, sketch binary, prefix array<bigint>")
+    rows = rows.mapInArrow(run, f"k {dict(docs.dtypes)[key]}, td bigint, node bigint, n int, fp bigint, sketch binary, prefix array<bigint>")
     return stage_table(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
@@ -230,6 +238,17 @@ def _linked(sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int,
     return out
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(u, v): candidates among sets (id, n, fp) by the fingerprint tree, at ``BITS`` bits or fewer, enough of them to join every
+    group of such sets: of each fingerprint the set with the smallest id, and it with the others of its fingerprint."""
+    some = nodes.where("n > 0").select("id", "fp")
+    least = stage_table(some.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
+    side = lambda fp, name: least.select(F.col("fp").alias(fp), F.col("least").alias(name))
+    apart = simhash.links(least.select("fp"), BITS).toDF("a", "b").join(side("a", "u"), "a").join(side("b", "v"), "b").select("u", "v")
+    equal = some.join(least, "fp").where("id != least").select(F.col("least").alias("u"), F.col("id").alias("v"))
+    return apart.union(equal)
+
+
 def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(u, v): pairs of different sets at the similarity or more, by the ids of ``nodes``, enough of them to join every group."""
     entries = rows.join(nodes.select(F.col("id").alias("row")), "row", "left_semi").select(F.posexplode("prefix").alias("pos", "h"), F.col("row").alias("node"), "n")
@@ -251,7 +270,7 @@ def links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: st
     pairs = pairs.join(sketches.toDF("u", "a"), "u").join(sketches.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(agree, "u bigint, v bigint")
     meetings = _pieces(met.where("nu is null").select(F.col("u").alias("meeting"), F.col("v").alias("node")).distinct(), "meeting", F.count("*") / SKETCHES)
     meetings = meetings.join(nodes.select(F.col("id").alias("node"), "sketch", "n"), "node").groupBy("meeting", "one", "two").applyInArrow(told, "u bigint, v bigint")
-    crowds = components(pairs.union(meetings))
+    crowds = components(by_fingerprint(nodes).union(pairs).union(meetings))
     asked = stage_table(crowds.join(nodes.select(F.col("id").alias("node"), "k", "td", "n"), "node"), "asked")
     dealt = _pieces(asked.withColumnsRenamed({"k": "_k", "td": "_td"}), "component", F.greatest(F.count("*") / PIECE, F.sum("n") / PIECE_SHINGLES))
     in_crowd = bloom(asked.select(F.xxhash64("k", "td")))
@@ -266,8 +285,8 @@ def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     null; of repeated rows (equal key and text) one stays."""
     rows = _sets(docs, key, text)
     least = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "td"))
-    nodes = rows.groupBy("node").agg(least.alias("least"), F.min(F.struct("row", "td", "k")).alias("at"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    nodes = stage_table(nodes.select("least", F.col("at.row").alias("id"), "at.k", "at.td", "n", "sketch"), "nodes")
+    nodes = rows.groupBy("node").agg(least.alias("least"), F.min(F.struct("row", "td", "k")).alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
+    nodes = stage_table(nodes.select("least", F.col("at.row").alias("id"), "at.k", "at.td", "n", "fp", "sketch"), "nodes")
     groups = components(links(rows, nodes, docs, key, text)).withColumnRenamed("node", "id")
     named = nodes.join(groups, "id", "left").groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("least").alias("f"))
     first = named.select(F.col("f.k").alias("_k"), F.col("f.td").alias("_td"))

@@ -44,7 +44,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) > width else [b" ".join(words)]
-    h = np.fromiter(map(_hash, shingles), np.uint64)
+    return majority(np.fromiter(map(_hash, shingles), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of these 64-bit numbers."""
     count = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         bits = np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

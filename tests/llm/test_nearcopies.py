@@ -4,8 +4,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.llm import nearcopies
+from corpusloom.llm import nearcopies, simhash
 
 
 def grams(x, width=5):
@@ -83,3 +84,17 @@ def test_stage_takes_copies_beyond_three_bits(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
     docs = spark.createDataFrame([(1, " ".join(base)), (2, changed(101))], "doc_id bigint, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 2}
+
+
+def test_candidates_come_from_the_fingerprint_tree(spark, monkeypatch):
+    """Near copies within the radius are grouped by the tree and the exact check alone; what the tree alone says is no link."""
+    rng = random.Random(41)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(3000)]
+    near, other = [*base[:-1], "end"], [f"w{rng.randint(0, 10**6)}" for _ in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([base, near, other])], "doc_id bigint, text string")
+    fp = [simhash.majority(nearcopies.shingles(" ".join(w))) for w in (base, near, other)]
+    assert (fp[0] ^ fp[1]).bit_count() <= nearcopies.BITS < (fp[0] ^ fp[2]).bit_count()
+    monkeypatch.setattr(nearcopies, "_candidates", lambda pairs: pairs.where("false").select("u", "v"))
+    assert {r["doc_id"] for r in nearcopies.keep_first(docs).collect()} == {0, 2}
+    monkeypatch.setattr(nearcopies, "by_fingerprint", lambda nodes: nodes.select(F.lit(0).alias("u"), F.col("id").alias("v")).where("v != 0"))
+    assert {r["doc_id"] for r in nearcopies.keep_first(docs).collect()} == {0, 2}
