@@ -3,11 +3,17 @@
 The state is a written table of the distinct words as they are after the merges so far: numbers of symbols, and how often the
 word occurs. A round
 
-1. counts all pairs of neighbouring symbols and takes the ``k`` most frequent ones, and the next one as a floor,
-2. cuts out the stretches that such pairs cover in words, with a symbol on both sides; equal stretches are counted together,
-3. merges the stretches on the driver, best pair first, for as long as it is certain that no pair outside of them is better,
+1. counts all pairs of neighbouring symbols and takes those of the ``k`` most frequent ones that are more frequent than the
+   next one, the floor,
+2. cuts out the stretches that such pairs cover in words; equal stretches are counted together,
+3. merges the stretches on the driver, best pair first, for as long as a pair is more frequent than the floor,
 4. applies the merges to the words, all words of a batch at once, and writes them; words of one symbol go.
 
+What stands around a stretch need not be known. A pair that merges make across its edge is there at most as often as the pair
+that stood at this edge before, which is not above the floor, or the stretch would have gone on. So distinct stretches are few,
+and many pairs fit a round. Only where the ``k`` best pairs and the next one are equally frequent, the order of the symbols
+decides, and there stretches have a symbol on both sides and merges end where a pair that is not known in full may come first.
+
 So a round is three passes over words that get shorter and fewer, whatever the number of its merges, and merges that follow
 from each other, or that lie side by side, need no round of their own. The driver sees at most ``k + 1`` pairs and
 ``most_stretches`` stretches, whatever the corpus; ``k`` grows and shrinks with the number of stretches. Where even those of
@@ -32,6 +38,8 @@ Pair = tuple[str, str]
 Merge = tuple[str, str, int]
 #: Pairs of a round at most.
 MOST_PAIRS = 1 << 16
+#: Symbols that are counted at once, about.
+SYMBOLS = 1 << 20
 #: A letter's number is its code point, that of a merged symbol comes after all of these. What stands for the rest of a word.
 FIRST, REST = 0x110000, -1
 
@@ -46,10 +54,13 @@ def merged(symbols: list, a: str, b: str) -> list:
     return out
 
 
-def stretches(s: list[str], pairs: set[Pair]) -> Iterator[list[str | None]]:
-    """What the pairs cover in a word, with a symbol on both sides; None stands where the word goes on. Stretches that would
-    share a symbol are one."""
+def stretches(s: list[str], pairs: set[Pair], around: bool = True) -> Iterator[list[str | None]]:
+    """What the pairs cover in a word; with ``around`` a symbol on both sides, too, and None where the word goes on. Stretches
+    that would share a symbol are one."""
     hits = [i for i in range(len(s) - 1) if (s[i], s[i + 1]) in pairs]
+    if not around:
+        yield from (s[run[0] : run[-1] + 2] for run in _runs(hits))
+        return
     spans: list[list[int]] = []
     for i in hits:
         start, stop = max(0, i - 1), min(len(s), i + 3)
@@ -61,6 +72,17 @@ def stretches(s: list[str], pairs: set[Pair]) -> Iterator[list[str | None]]:
         yield [None] * (start > 0) + s[start:stop] + [None] * (stop < len(s))
 
 
+def _runs(hits: list[int]) -> Iterator[list[int]]:
+    """Numbers that follow each other, together."""
+    for i, h in enumerate(hits):
+        if not i or hits[i - 1] != h - 1:
+            run = [h]
+        else:
+            run.append(h)
+        if i + 1 == len(hits) or hits[i + 1] != h + 1:
+            yield run
+
+
 class _Stretches:
     """Counts of the pairs that are known in full: the given ones and those with a symbol that was made since.
 
@@ -170,7 +192,7 @@ class _Stretches:
 
 def certain_merges(rows: Iterable[tuple[list[str | None], int]], pairs: set[Pair], floor: tuple[int, Pair] | None, most: int) -> list[Merge]:
     """The next merges of a corpus of which ``rows`` are the stretches of ``pairs``, its most frequent ones; ``floor`` is the
-    key (-n, pair) of the next one."""
+    key (-n, pair) of the next one. Stretches with nothing around them need a floor before all pairs of its frequency."""
     state, out = _Stretches(rows, pairs), []
     while len(out) < most:
         found = state.best(floor)
@@ -192,6 +214,19 @@ def _packed(s: np.ndarray, size: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(s, pa.int32())), pa.array(n, pa.int64())], names=["s", "n"])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`_flat` of several batches at once, of about ``SYMBOLS`` symbols: what is counted shrinks with it."""
+    parts: list[tuple] = []
+    for batch in batches:
+        if batch.num_rows:
+            parts.append(_flat(batch))
+        if sum(len(s) for s, _, _ in parts) >= SYMBOLS:
+            yield tuple(map(np.concatenate, zip(*parts)))
+            parts = []
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts)))
+
+
 def _keys(s: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The pair that begins at each symbol as one number; -1 at the last symbol of a word."""
     keys = np.full(len(s), -1, np.int64)
@@ -256,49 +291,76 @@ def _applied(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
     return words.mapInArrow(run, "s array<int>, n bigint")
 
 
-def _pair_counts(words: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, n): pairs of neighbouring symbols that occur twice or more, by what the symbols are; ``names`` of the merged ones."""
-    held = words.sparkSession.sparkContext.broadcast(names)
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of ``n`` for each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+def _pair_counts(words: DataFrame) -> DataFrame:
+    """(p, n): pairs of neighbouring symbols that occur twice or more, as one number each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s, size, n = _flat(batch)
+        for s, size, n in _gathered(batches):
             keys = _keys(s, size)
-            p, at = np.unique(keys[keys >= 0], return_inverse=True)
-            total = np.zeros(len(p), np.int64)
-            np.add.at(total, at, np.repeat(n, size)[keys >= 0])
+            p, total = _summed(keys[keys >= 0], np.repeat(n, size)[keys >= 0])
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(total)], names=["p", "n"])
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return words.mapInArrow(count, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def _named(counts: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, n): the pairs by what their symbols are; ``names`` of the merged ones."""
+    held = counts.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(0).to_numpy()
             sides = ([_name(x, held.value) for x in side.tolist()] for side in (p >> 32, p & 0xFFFFFFFF))
             yield pa.RecordBatch.from_arrays([*(pa.array(side, pa.string()) for side in sides), batch.column(1)], names=["a", "b", "n"])
 
-    counts = words.mapInArrow(count, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n")).where("n > 1")
-    return counts.mapInArrow(named, "a string, b string, n bigint")
+    return counts.mapInArrow(run, "a string, b string, n bigint")
 
 
 def _name(symbol: int, names: list[str]) -> str:
     return chr(symbol) if symbol < FIRST else names[symbol - FIRST]
 
 
-def _stretches_of(words: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+def _cut(s: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(s, n): the parts of ``s``, equal ones together, a length at a time. They are compared by a hash, and then whole."""
+    for k in np.unique(length):
+        of = length == k
+        rows, weight = s[start[of][:, None] + np.arange(k)], n[of]
+        h = np.zeros(len(rows), np.uint64)
+        for x in rows.T:
+            h = (h ^ x.astype(np.uint32)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        _, first, at = np.unique(h, return_index=True, return_inverse=True)
+        if (rows[first][at] == rows).all():
+            total = np.zeros(len(first), np.int64)
+            np.add.at(total, at, weight)
+            rows, weight = rows[first], total
+        yield _packed(rows.ravel(), np.full(len(rows), k), weight)
+
+
+def _stretches_of(words: DataFrame, pairs: list[int], around: bool) -> DataFrame:
     """(s, n): the stretches (see :func:`stretches`) of words (s, n), equal ones together; ``REST`` stands for None."""
-    held = words.sparkSession.sparkContext.broadcast(np.sort(np.array([a << 32 | b for a, b in pairs], np.int64)))
+    held = words.sparkSession.sparkContext.broadcast(np.sort(np.array(pairs, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s, size, n = _flat(batch)
+        for s, size, n in _gathered(batches):
             hit = np.flatnonzero(_places(held.value, _keys(s, size)) >= 0)
             if not len(hit):
                 continue
             end = np.cumsum(size)
             word = np.repeat(np.arange(len(size)), size)[hit]
+            if not around:
+                new = np.r_[True, hit[1:] != hit[:-1] + 1]
+                start = hit[new]
+                yield from _cut(s, start, hit[np.r_[new[1:], True]] + 2 - start, n[word[new]])
+                continue
             start, stop = np.maximum(hit - 1, (end - size)[word]), np.minimum(hit + 3, end[word])
             new = np.r_[True, (word[1:] != word[:-1]) | (start[1:] >= stop[:-1])]
             start, stop, word = start[new], stop[np.r_[new[1:], True]], word[new]
@@ -309,7 +371,7 @@ def _stretches_of(words: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
             out = s[np.clip(at, 0, len(s) - 1)]
             out[first[front]] = REST
             out[(first + length - 1)[back]] = REST
-            yield _packed(out, length, n[word])
+            yield from _cut(out, first, length, n[word])
 
     return words.mapInArrow(run, "s array<int>, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
 
@@ -343,24 +405,32 @@ def train_bpe(words: DataFrame, merges: int, *, coverage: float = 1.0, batch: in
     names: list[str] = []  # a merged symbol is what it spells, whatever it was merged from
     number: dict[str, int] = {}
     of = lambda x: number[x] if x in number else ord(x)
+    spelt = lambda p: (_name(p >> 32, names), _name(p & 0xFFFFFFFF, names))
     k = batch
     while len(out) < merges:
-        rows = _pair_counts(state, names).orderBy(F.desc("n"), "a", "b").limit(k + 1).collect()
-        top = [(-r["n"], (r["a"], r["b"])) for r in rows]
-        if not top:
+        counts = _pair_counts(state)
+        rows = [(r["n"], r["p"]) for r in counts.orderBy(F.desc("n")).limit(k + 1).collect()]
+        if not rows:
             break
+        equal = None  # the best pairs by name, where more than ``k`` of them are equally frequent
         while True:
-            wanted = [p for _, p in top[:k]]
-            floor = top[k] if len(top) > k else None
-            found = _stretches_of(state, [(of(a), of(b)) for a, b in wanted]).limit(most_stretches + 1).collect()
+            least = rows[k][0] if len(rows) > k else 1
+            wanted = [p for n, p in rows[:k] if n > least]
+            floor = (-least, ("", ""))
+            around = not wanted
+            if around:
+                equal = equal or [((r["a"], r["b"]), r["n"]) for r in _named(counts, names).orderBy(F.desc("n"), "a", "b").limit(k + 1).collect()]
+                wanted = [of(a) << 32 | of(b) for (a, b), _ in equal[:k]]
+                floor = (-equal[k][1], equal[k][0])
+            found = _stretches_of(state, wanted, around).limit(most_stretches + 1).collect()
             if len(found) <= most_stretches or k == 1:
                 break
             k = max(1, k // 2)
         new: list[Merge] = []
         if len(found) <= most_stretches:
-            spelt = (([None if x == REST else _name(x, names) for x in r["s"]], r["n"]) for r in found)
-            new = certain_merges(spelt, set(wanted), floor, merges - len(out))
-        new = new or [(*top[0][1], -top[0][0])]  # the best pair is always certain
+            in_words = (([None if x == REST else _name(x, names) for x in r["s"]], r["n"]) for r in found)
+            new = certain_merges(in_words, set(map(spelt, wanted)), floor, merges - len(out))
+        new = new or [(*spelt(wanted[0]), rows[0][0])]  # the best pair is always certain
         made = []
         for a, b, _ in new:
             if a + b not in number:
@@ -371,7 +441,7 @@ def train_bpe(words: DataFrame, merges: int, *, coverage: float = 1.0, batch: in
         if len(out) < merges:
             state = _staged(_applied(state, made))
         if 2 * len(found) <= most_stretches:
-            k = min(2 * k, MOST_PAIRS)
+            k = min((8 if 16 * len(found) <= most_stretches else 2) * k, MOST_PAIRS)
     return spark.createDataFrame([(r, *m) for r, m in enumerate(out)], "rank int, left string, right string, n bigint")
 
 

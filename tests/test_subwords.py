@@ -83,6 +83,44 @@ def test_certain_merges_are_the_next_ones():
     assert taken > 500
 
 
+def test_stretches_with_nothing_around_them_tell_the_next_merges():
+    """Runs of the pairs above the floor alone, a few different ones, tell the next merges down to the floor."""
+    rng, taken, bare, whole = random.Random(10), 0, 0, 0
+    for _ in range(120):
+        words = [(w, rng.randint(1, 60)) for w, _ in corpus(rng.random(), rng.choice(["abc", "abcdef", "aab"]), 60, 12)]
+        counts = Counter()
+        for w, n in words:
+            for p in zip(w, w[1:]):
+                counts[p] += n
+        keys = sorted((-n, p) for p, n in counts.items())
+        least = rng.choice([1, *(-n for n, _ in keys)])
+        pairs = {p for n, p in keys if -n > least}
+        weights = Counter()
+        for w, n in words:
+            for s in B.stretches(list(w), pairs, False):
+                weights[tuple(s)] += n
+        got = B.certain_merges([(list(s), n) for s, n in weights.items()], pairs, (-least, ("", "")), 60)
+        want = plain_bpe(words, 60)
+        assert got == want[: len(got)] and (len(got) == len(want) or want[len(got)][2] <= least)
+        taken, bare, whole = taken + len(got), bare + len(weights), whole + len({tuple(s) for w, _ in words for s in B.stretches(list(w), pairs)})
+    assert taken > 1000 and bare < 0.8 * whole
+
+
+def test_bpe_takes_few_rounds(spark):
+    """Words that frequent pairs cover in many ways: 300 stretches are enough for many merges."""
+    rng = random.Random(41)
+    words = [("".join(rng.choice("abcdefghijklmnopqrst"[: rng.randint(2, 20)]) for _ in range(rng.randint(4, 10))), rng.randint(1, 9)) for _ in range(1500)]
+    words = sorted(dict(words).items())
+    rounds, staged = [], B._staged
+    B._staged = lambda rows: rounds.append(1) or staged(rows)
+    try:
+        got = B.train_bpe(spark.createDataFrame(words, "word string, n bigint"), 300, batch=8, most_stretches=300).orderBy("rank").collect()
+    finally:
+        B._staged = staged
+    assert [(r["left"], r["right"], r["n"]) for r in got] == plain_bpe(words, 300)
+    assert len(rounds) < 15, len(rounds)
+
+
 def numbered(words, names):
     return [[ord(x) if len(x) == 1 else B.FIRST + names.index(x) for x in s] for s in words]
 
