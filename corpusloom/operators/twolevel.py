@@ -6,14 +6,20 @@ and the range of tokens of each sub-character are derived from what the cut leav
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import rowwise, tokens
 from corpusloom.operators.examples import mask_of, padded, truncate_pair
-from corpusloom.operators.rowwise import by_rows, ints, lists, offsets_of, ranges, sizes_of
+from corpusloom.operators.rowwise import by_rows, heads_of, ints, lists, offsets_of, owners_of, ranges, sizes_of
+
+#: Pieces of passages that are cut into windows at once, about; a passage is not parted.
+PIECES = 200_000
 
 
 def owners(rows: DataFrame, keys: list[str], subs: str, whole: str, out: str) -> DataFrame:
@@ -80,30 +86,68 @@ def two_level(rows: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str
     return _features(r, keys, subs, whole, most, pair=b is not None)
 
 
+def _windows_of(s: pa.Array, o: pa.Array, t: pa.Array, room: np.ndarray, stride: int) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """How many windows each passage has, and their fields start, first, sb, ob and tb, one window's after the other: they are cut
+    from the flat arrays, so that one costs its own length and not the passage's."""
+    n, m = sizes_of(s), sizes_of(t)
+    many = np.where(n <= room, 1, -(-(n - room) // stride) + 1)
+    row = np.repeat(np.arange(len(n)), many)
+    start = ranges(np.zeros(len(n), np.int64), many) * stride
+    size = np.minimum(room[row], n[row] - start)
+    at = ranges(offsets_of(n)[row] + start, size)
+    subs, own, whole = (np.append(np.asarray(x.flatten()), 0).astype(np.int64) for x in (s, o, t))
+    some, begin = size > 0, np.minimum(offsets_of(n)[row] + start, len(own) - 1)
+    first = np.where(some, own[begin], 0)
+    tokens = np.where(some, own[np.minimum(begin + np.maximum(size, 1) - 1, len(own) - 1)] + 1 - first, 0)
+    of_tokens = ranges(offsets_of(m)[row] + first, tokens)
+    return many, {"start": ints(start), "first": ints(first), "sb": lists(size, ints(subs[at])), "ob": lists(size, ints(own[at] - np.repeat(first, size))), "tb": lists(tokens, ints(whole[of_tokens]))}
+
+
 def _windows(sb: Column, ob: Column, tb: Column, room: Column, stride: int) -> Column:
-    """array<struct<start, first, sb, ob, tb>>: the windows of a passage, cut from its flat arrays, so that one costs its own
-    length and not the passage's."""
+    """array<struct<start, first, sb, ob, tb>>: the windows of a passage."""
 
     @F.arrow_udf("array<struct<start:int,first:int,sb:array<int>,ob:array<int>,tb:array<int>>>")
     @by_rows
     def run(s: pa.Array, o: pa.Array, t: pa.Array, length: pa.Array) -> pa.Array:
-        n, m, room = sizes_of(s), sizes_of(t), np.asarray(length).astype(np.int64)
-        many = np.where(n <= room, 1, -(-(n - room) // stride) + 1)
-        row = np.repeat(np.arange(len(n)), many)
-        start = ranges(np.zeros(len(n), np.int64), many) * stride
-        size = np.minimum(room[row], n[row] - start)
-        at = ranges(offsets_of(n)[row] + start, size)
-        subs, own, whole = (np.append(np.asarray(x.flatten()), 0).astype(np.int64) for x in (s, o, t))
-        some, begin = size > 0, np.minimum(offsets_of(n)[row] + start, len(own) - 1)
-        first = np.where(some, own[begin], 0)
-        tokens = np.where(some, own[np.minimum(begin + np.maximum(size, 1) - 1, len(own) - 1)] + 1 - first, 0)
-        of_tokens = ranges(offsets_of(m)[row] + first, tokens)
-        fields = {"start": ints(start), "first": ints(first), "sb": lists(size, ints(subs[at])), "ob": lists(size, ints(own[at] - np.repeat(first, size))), "tb": lists(tokens, ints(whole[of_tokens]))}
+        many, fields = _windows_of(s, o, t, np.asarray(length).astype(np.int64), stride)
         return lists(many, pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
     return run(sb, ob, tb, room)
 
 
+def _by_pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``PIECES`` pieces of that column."""
+    of = np.cumsum(sizes_of(batch.column(column))) // PIECES
+    cuts = np.flatnonzero(np.diff(of)) + 1
+    for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        yield batch.slice(start, stop - start)
+
+
+def _held_windows(rows: DataFrame, keys: list[str], sub_table: dict, token_table: dict, most: int, most_query: int, stride: int) -> DataFrame:
+    """(keys, window, sa, ta, oa, start, first, sb, ob, tb) of rows (keys, sa, ta, sb, tb) of texts, in one pass: a task holds a batch
+    as it came and the windows of a slice of it, whatever the passages' lengths, and no second Python beside it."""
+    spark = rows.sparkSession
+    sub_ids, token_ids = tokens.ids_of(spark, sub_table), tokens.ids_of(spark, token_table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _by_pieces(batch, "sb") if batch.num_rows else ():
+                sa, ta, sb, tb = (part.column(c) for c in ("sa", "ta", "sb", "tb"))
+                oa = heads_of(owners_of(sa, ta), most_query)
+                sa = heads_of(sa, most_query)
+                n, last = sizes_of(oa), np.append(np.asarray(pc.fill_null(oa.flatten(), -1)), -1)
+                ta = heads_of(ta, np.where(n > 0, last[offsets_of(n)[1:] - 1], -1) + 1)
+                many, fields = _windows_of(sub_ids(sb), owners_of(sb, tb), token_ids(tb), most - n - 3, stride)
+                row = pa.array(np.repeat(np.arange(len(many)), many))
+                query = {"sa": sub_ids(sa), "ta": token_ids(ta), "oa": oa}
+                columns = {k: part.column(k).take(row) for k in keys} | {"window": ints(ranges(np.zeros(len(many), np.int64), many))} | {c: x.take(row) for c, x in query.items()} | fields
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    kinds = dict(rows.dtypes)
+    out = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return rows.select(*keys, "sa", "ta", "sb", "tb").mapInArrow(run, f"{out}, window int, sa array<int>, ta array<int>, oa array<int>, start int, first int, sb array<int>, ob array<int>, tb array<int>")
+
+
 def two_level_windows(
     rows: DataFrame, keys: list[str], query: tuple[str, str], passage: tuple[str, str], sub_vocab: DataFrame, token_vocab: DataFrame, *, most: int, most_query: int = 64, stride: int = 128
 ) -> DataFrame:
@@ -112,11 +156,16 @@ def two_level_windows(
     if most < most_query + 4:
         raise ValueError("a query leaves no room for the text")
     r = rows.select(*keys, *[F.col(c).alias(n) for c, n in zip((*query, *passage), ("sa", "ta", "sb", "tb"))])
+    stride = min(stride, most - most_query - 3)
+    tables = [tokens.held_table(v, "token", "id") if dict(v.dtypes)["id"] == "int" else None for v in (sub_vocab, token_vocab)]
+    if None not in tables:
+        subs, whole = ((t.get("[CLS]") or 0, t.get("[SEP]") or 0) for t in tables)
+        return _features(_held_windows(r, keys, *tables, most, most_query, stride), [*keys, "window", "start", "first"], subs, whole, most, pair=True)
     r = owners(owners(r, keys, "sa", "ta", "oa"), keys, "sb", "tb", "ob")
     r = r.withColumns({c: F.slice(c, 1, most_query) for c in ("sa", "oa")})
     r = r.withColumn("ta", F.slice("ta", F.lit(1), _count(F.col("oa"))))
     r, *subs = _with_ids(r, keys, ["sa", "sb"], sub_vocab)
     r, *whole = _with_ids(r, keys, ["ta", "tb"], token_vocab)
-    cut = _windows(F.col("sb"), F.col("ob"), F.col("tb"), F.lit(most) - F.size("sa") - 3, min(stride, most - most_query - 3))
+    cut = _windows(F.col("sb"), F.col("ob"), F.col("tb"), F.lit(most) - F.size("sa") - 3, stride)
     w = r.select(*keys, "sa", "ta", "oa", F.posexplode(cut).alias("window", "w")).select(*keys, "window", "sa", "ta", "oa", "w.*")
     return _features(w, [*keys, "window", "start", "first"], subs, whole, most, pair=True)

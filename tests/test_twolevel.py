@@ -173,3 +173,21 @@ def test_labels_back_to_characters(spark):
     df = spark.createDataFrame(rows, "k int, pos int, start int, stop int, label string")
     got = A.label_ids(spark.range(80).select(F.col("id").cast("int").alias("k")), A.labels_to_chars(df, ["k"]), ["k"], names, 10, edge=9)
     assert {r["k"]: r["ids"] for r in got.collect()} == want
+
+
+def test_windows_are_cut_in_one_pass(spark):
+    """One Python node between the texts and the windows, so that a task holds a batch once; and it works slice by slice."""
+    df = spark.createDataFrame(rows_of(random.Random(5), 3), "k int, j string, sa array<string>, ta array<string>, sb array<string>, tb array<string>")
+    _, (sv, tv) = vocabularies(spark, rows_of(random.Random(5), 3))
+    plan = Y.two_level_windows(df, KEYS, ("sa", "ta"), ("sb", "tb"), sv, tv, most=14, most_query=4, stride=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_slices_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(Y, "PIECES", 10)
+    rows = [["a"] * n for n in (3, 4, 0, 25, 1, 1, 9, 2)] + [None]
+    parts = list(Y._by_pieces(pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["sb"]), "sb"))
+    assert [r for x in parts for r in x.column("sb").to_pylist()] == rows
+    assert len(parts) > 2 and all(sum(len(r or []) for r in x.column("sb").to_pylist()) < 10 or x.num_rows == 1 or max(len(r or []) for r in x.column("sb").to_pylist()) > 8 for x in parts)
